@@ -138,3 +138,13 @@ def today_estimate(kwh: str, hour: str, tariff: Tariff = DEFAULT_TARIFF) -> dict
         "confidence": f"(CASE WHEN {hours} < 8 THEN 'low' WHEN {hours} < 16 THEN 'medium' ELSE 'high' END)",
         "projected_daily": js_round(f"{est} / {hours} * 24.0e0", 2),
     }
+
+
+def num_text(e: str) -> str:
+    """JS ``String(x)`` for doubles in the common range (see functions.formatting)."""
+    return (f"(CASE WHEN ({e}) IS NULL THEN NULL WHEN ({e}) = floor({e}) AND abs({e}) < 1e15 "
+            f"THEN CAST(CAST({e} AS BIGINT) AS VARCHAR) ELSE CAST({e} AS VARCHAR) END)")
+
+
+def ts(value: str) -> str:
+    return f"TIMESTAMP '{value}'"
