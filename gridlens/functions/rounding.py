@@ -41,3 +41,8 @@ def exact_sum(col: Column) -> Column:
 def exact_avg(col: Column) -> Column:
     """Mean as ``exact_sum / count`` (DOUBLE), independent of row order."""
     return exact_sum(col) / F.count(_c(col)).cast("double")
+
+
+def exact_sum_over(col, window) -> Column:
+    """:func:`exact_sum` as a window aggregate."""
+    return F.sum(_c(col).cast("decimal(38,10)")).over(window).cast("double")

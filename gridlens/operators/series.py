@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rounding import exact_avg, exact_sum
+from ..functions.rounding import exact_avg, exact_sum_over
 from .periods import _ts
 
 # Fixed values.
@@ -47,8 +47,8 @@ def rolling_features(df: DataFrame, value: str = "value", order_cols=("timestamp
     w = _window(order_cols, partition_cols).rowsBetween(-(n - 1), 0)
     x = F.col(value)
     k = F.count(x).over(w).cast("double")
-    s1 = exact_sum(x).over(w)
-    s2 = exact_sum(x * x).over(w)
+    s1 = exact_sum_over(x, w)
+    s2 = exact_sum_over(x * x, w)
     mean = s1 / k
     var = F.greatest(F.lit(0.0), (s2 - s1 * s1 / k) / (k - F.lit(1.0)))
     return (df.withColumn("rolling_mean", mean)
@@ -62,7 +62,7 @@ def expected_value(df: DataFrame, value: str = "value", order_cols=("timestamp",
     before = n // 2
     after = n - before - 1
     w = _window(order_cols, partition_cols).rowsBetween(-before, after)
-    return df.withColumn(out, exact_sum(value).over(w) / F.count(value).over(w).cast("double"))
+    return df.withColumn(out, exact_sum_over(value, w) / F.count(value).over(w).cast("double"))
 
 
 def cyclic_time_features(df: DataFrame, ts: str = "timestamp") -> DataFrame:
@@ -99,16 +99,14 @@ def expanding_splits(series: DataFrame, n_splits: int = 4, min_train_days: int =
     # training folds: every i in [first_i, k-1] with pos < train_end(i)
     first_i = F.greatest(F.lit(0), F.floor((pos_us - min_train_days * us_day) / (validation_days * us_day)) + 1)
     val_i = F.floor((pos_us - min_train_days * us_day) / (validation_days * us_day))
-    fold_list = F.concat(
-        F.when(first_i <= k - 1, F.transform(F.sequence(first_i.cast("int"), (k - 1).cast("int")),
-                                             lambda i: F.struct(i.alias("fold0"), F.lit("train").alias("role"))))
-         .otherwise(F.array().cast("array<struct<fold0:int,role:string>>")),
-        F.when((val_i >= 0) & (val_i <= k - 1),
-               F.array(F.struct(val_i.cast("int").alias("fold0"), F.lit("validation").alias("role"))))
-         .otherwise(F.array().cast("array<struct<fold0:int,role:string>>")),
-    )
+    empty = F.array().cast("array<int>")
+    train_folds = F.when(first_i <= k - 1, F.sequence(first_i.cast("int"), (k - 1).cast("int"))).otherwise(empty)
+    val_folds = F.when((val_i >= 0) & (val_i <= k - 1), F.array(val_i.cast("int"))).otherwise(empty)
     cols = series.columns
-    long = series.select(*cols, F.explode(fold_list).alias("f")).select("f.fold0", "f.role", *cols)
+    long = (series.select(*cols, F.size(train_folds).alias("_nt"),
+                          F.posexplode(F.concat(train_folds, val_folds)).alias("_pos", "fold0"))
+            .withColumn("role", F.when(F.col("_pos") < F.col("_nt"), "train").otherwise("validation"))
+            .select("fold0", "role", *cols))
     # guard: train rows strictly before train_end (the floor arithmetic already ensures it)
     long = long.filter((F.col("role") == "validation") | (pos_us < train_end(F.col("fold0"))))
     # folds with both sides non-empty, renumbered 1..m (tiny aggregate, joined back)
