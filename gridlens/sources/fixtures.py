@@ -117,8 +117,8 @@ def stored_documents(spark: SparkSession, sf_dir: str, tampered: bool = True) ->
         F.col("doc_id").alias("id"),
         "device_id",
         F.lit(FIXTURE_SOURCE).alias("message_source"),
-        power.cast("double").alias("payload_power"),
-        F.col("today_ch").cast("double").alias("payload_today"),
+        F.struct(F.struct(power.cast("double").alias("Power"),
+                          F.col("today_ch").cast("double").alias("Today")).alias("ENERGY")).alias("payload"),
         F.substring(F.col("processing_ts").cast("string"), 1, 19).alias("processing_timestamp"),
         F.lit("processed").alias("status"),
         "insert_ts",
@@ -126,3 +126,42 @@ def stored_documents(spark: SparkSession, sf_dir: str, tampered: bool = True) ->
         "reading_id",
         "processing_ts",
     )
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ledger of hashes of the untampered documents, minus ``reading_id % 101 == 0``."""
+    from ..operators.integrity import hash_documents
+    docs = hash_documents(stored_documents(spark, sf_dir, tampered=False))
+    types = F.array(*[F.lit(t) for t in DATA_TYPES])
+    return docs.filter(F.col("reading_id") % LEDGER_MISSING_MOD != 0).select(
+        "id", F.col("current_hash").alias("hash_value"), F.col("processing_ts").alias("ts"), "device_id",
+        F.element_at(types, (F.col("user_id") % 4 + 1).cast("int")).alias("data_type"),
+        F.col("insert_ts").alias("created_at"))
+
+
+# Fixed values of the append-batch fixture: which rows get which defect.
+BATCH_BLANK_ID_MOD, BATCH_SHORT_HASH_MOD, BATCH_BAD_TIME_MOD = 53, 59, 61
+BATCH_BAD_DEVICE_MOD, BATCH_BAD_TYPE_MOD, BATCH_DUP_MOD = 67, 71, 43
+
+
+def ledger_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash submissions for every document, with injected contract violations."""
+    from ..operators.integrity import hash_documents
+    d = hash_documents(stored_documents(spark, sf_dir, tampered=False))
+    rid = F.col("reading_id")
+    types = F.array(*[F.lit(t) for t in DATA_TYPES])
+    dtype = F.element_at(types, (F.col("user_id") % 4 + 1).cast("int"))
+    dtype = F.when(F.col("user_id") % 3 == 0, F.upper(dtype)).otherwise(dtype)
+    ts_text = F.concat(F.regexp_replace("processing_timestamp", " ", "T"), F.lit("Z"))
+    return d.select(
+        F.when(rid % BATCH_BLANK_ID_MOD == 0, F.lit(" "))
+         .when(rid % BATCH_DUP_MOD == 0, F.concat(F.col("device_id"), F.lit("-dup")))
+         .otherwise(F.col("id")).alias("id"),
+        F.when(rid % BATCH_SHORT_HASH_MOD == 0, F.substring("current_hash", 1, 63))
+         .otherwise(F.col("current_hash")).alias("hash_value"),
+        F.when(rid % BATCH_BAD_TIME_MOD == 0, F.col("processing_timestamp")).otherwise(ts_text).alias("timestamp"),
+        F.when(rid % BATCH_BAD_DEVICE_MOD == 0, F.concat(F.col("device_id"), F.lit("!")))
+         .otherwise(F.col("device_id")).alias("device_id"),
+        F.when(rid % BATCH_BAD_TYPE_MOD == 0, F.lit("energy_reading")).otherwise(dtype).alias("data_type"),
+        rid.alias("seq"),
+    )
