@@ -6,7 +6,7 @@ import importlib
 
 from .registry import REGISTRY, QuerySpec
 
-_MODULES = ["q_reports", "q_tariff", "q_dashboard", "q_series", "q_integrity", "q_dashboard", "q_series", "q_integrity", "q_ingest", "q_models", "q_streams"]
+_MODULES = ["q_reports", "q_tariff", "q_dashboard", "q_series", "q_integrity", "q_ingest", "q_dashboard", "q_series", "q_integrity", "q_ingest", "q_models", "q_streams"]
 
 
 def load() -> dict[str, QuerySpec]:

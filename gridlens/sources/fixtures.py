@@ -165,3 +165,47 @@ def ledger_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(rid % BATCH_BAD_TYPE_MOD == 0, F.lit("energy_reading")).otherwise(dtype).alias("data_type"),
         rid.alias("seq"),
     )
+
+
+# Fixed values of the raw-message fixture.
+RAW_OTHER_TOPIC_MOD, RAW_NO_ENERGY_MOD, RAW_DUPLICATE_MOD, RAW_METER_ENERGY_MOD = 50, 41, 43, 3
+
+
+def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Device messages ``(topic, body, enqueued_ts, seq)`` built as JSON text from the readings.
+
+    Meters (user_id % 5 == 0) publish power, every 3rd event energy totals;
+    user_id % 5 == 1 uses the old lower-case ``energy`` body; every 50th event
+    has an unknown topic, every 41st plug body has no energy, every 43rd is
+    delivered twice (one second apart).
+    """
+    b = reading_base(spark, sf_dir)
+    rid, uid = F.col("reading_id"), F.col("user_id")
+    t19 = F.substring(F.col("processing_ts").cast("string"), 1, 19)
+    meter = uid % METER_USER_MOD == 0
+    meter_energy = meter & (rid % RAW_METER_ENERGY_MOD == 0)
+    topic = (F.when(rid % RAW_OTHER_TOPIC_MOD == 0, F.lit("other/x"))
+             .when(meter_energy, F.concat(F.lit("shellypro3em-"), "device_id", F.lit("/status/emdata:0")))
+             .when(meter, F.concat(F.lit("shellypro3em-"), "device_id", F.lit("/status/em:0")))
+             .otherwise(F.concat(F.lit("tele/"), "device_id", F.lit("/SENSOR"))))
+    p, t, v = (F.col(c).cast("string") for c in ("power_dw", "today_ch", "voltage_i"))
+    energy_obj = F.concat(F.lit('{"Power":'), p, F.lit(',"Today":'), t, F.lit(',"Voltage":'), v, F.lit("}"))
+    sim = F.when(uid % 2 == 0, F.lit("true")).otherwise(F.lit("false"))
+    plug = (F.when(rid % RAW_NO_ENERGY_MOD == 0,
+                   F.concat(F.lit('{"Time":"'), t19, F.lit('","Wifi":{"RSSI":'), v, F.lit("}}")))
+            .when(uid % METER_USER_MOD == 1,
+                  F.concat(F.lit('{"timestamp":"'), t19, F.lit('","energy":'), energy_obj, F.lit("}")))
+            .otherwise(F.concat(F.lit('{"Time":"'), t19, F.lit('","ENERGY":'), energy_obj,
+                                F.lit(',"_meta":{"simulated":'), sim, F.lit("}}"))))
+    power_body = F.concat(F.lit('{"a_act_power":'), p, F.lit(',"b_act_power":0,"c_act_power":0,"a_voltage":'), v,
+                          F.lit(',"total_act_power":'), p, F.lit(',"total_current":0,"n_current":0,"total_aprt_power":'),
+                          p, F.lit("}"))
+    energy_body = F.concat(F.lit('{"a_total_act_energy":'), t, F.lit(',"total_act":'), t, F.lit(',"total_act_ret":0}'))
+    body = F.when(meter_energy, energy_body).when(meter, power_body).otherwise(plug)
+    msgs = b.withColumn("voltage_i", F.col("voltage_v").cast("bigint")) \
+        .withColumn("voltage_i", F.coalesce("voltage_i", F.lit(230))) \
+        .select(topic.alias("topic"), body.alias("body"), F.col("processing_ts").alias("enqueued_ts"),
+                rid.alias("seq"))
+    again = msgs.filter(F.col("seq") % RAW_DUPLICATE_MOD == 0) \
+        .withColumn("enqueued_ts", F.col("enqueued_ts") + F.expr("INTERVAL 1 SECOND"))
+    return msgs.unionByName(again)
