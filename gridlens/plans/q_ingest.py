@@ -33,7 +33,7 @@ rawm0 AS (
          processing_ts AS enqueued_ts, reading_id AS seq
   FROM rsrc2),
 rawm AS (SELECT * FROM rawm0 UNION ALL
-         SELECT topic, body, enqueued_ts + INTERVAL 1 SECOND, seq FROM rawm0 WHERE seq % 43 = 0),
+         SELECT topic, body, enqueued_ts, seq FROM rawm0 WHERE seq % 43 = 0),
 dt AS (SELECT *, CASE WHEN starts_with(topic, 'tele/') AND ends_with(topic, '/SENSOR') THEN 'tasmota'
                       WHEN contains(topic, 'shellypro3em') THEN
                         CASE WHEN contains(topic, 'emdata') THEN 'shelly_energy_totals' ELSE 'shelly_power' END
@@ -108,7 +108,7 @@ def q_phase_energy(spark, sf):
                     "total", F.col("totalReturned").alias("total_returned"))
 
 
-@register("normalize_messages", W("""
+_NORMALIZE_SQL = """
 SELECT seq AS reading_id, device_id || '-' || CAST(epoch_us(enqueued_ts) // 1000 AS VARCHAR) AS doc_id, device_id,
        CASE device_type WHEN 'tasmota' THEN 'tasmota' WHEN 'shelly_power' THEN 'shelly_pro_3em'
                         ELSE 'shelly_pro_3em_energy' END AS device_type,
@@ -124,7 +124,10 @@ FROM (
   SELECT seq, topic, enqueued_ts, device_id, device_type, false, NULL, NULL, NULL, NULL, NULL, total_power, NULL FROM mpow
   UNION ALL
   SELECT seq, topic, enqueued_ts, device_id, device_type, false, NULL, NULL, NULL, NULL, NULL, NULL, total FROM menergy) u
-""", _RAW), "ingest")
+"""
+
+
+@register("normalize_messages", W(_NORMALIZE_SQL, _RAW), "ingest")
 def q_normalize_messages(spark, sf):
     return I.normalize_messages(fx.raw_messages(spark, sf))
 
