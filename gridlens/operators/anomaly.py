@@ -255,3 +255,73 @@ def anomaly_type_counts(anoms: DataFrame) -> DataFrame:
     t = F.col("anomaly_type")
     return anoms.agg(F.count_if(t == "spike").alias("spikes"), F.count_if(t == "dip").alias("dips"),
                      F.count_if(t == "pattern_change").alias("patterns"))
+
+
+# ---------------------------------------------------------------- P5 (forest tuning)
+def tune_isolation_forest(features: DataFrame, grid: dict | None = None, seed: int = 42,
+                          key: str = "row_key") -> DataFrame:
+    """P5: mean decision score of every (n_estimators, contamination, max_features); highest wins.
+
+    Trees are grown once per ``max_features`` value for the largest
+    ``n_estimators`` (tree t draws the same sub-sample in every combination);
+    a smaller forest is the first n trees.  One Arrow pass scores every row
+    for every (max_features, n_estimators) pair; offsets are percentiles of
+    those training scores.
+    """
+    from .forecast import FOREST_GRID
+    g = grid or FOREST_GRID
+    n_max = max(g["n_estimators"])
+    mfs = sorted(set(float(m) for m in g["max_features"]))
+    n = features.agg(F.count(F.lit(1))).scalar()
+    want = float(OVERSAMPLE * MAX_SAMPLES)
+    q = F.least(F.lit(1.0), F.lit(n_max * want) / n)
+    p = F.least(F.lit(1.0), F.lit(want) / (q * n))
+    pre = features.filter(_unit_hash(F.lit(seed), F.lit(-1), F.col(key)) < q)
+    cand = (pre.select(F.col(key), F.array(*[F.col(c).cast("double") for c in FEATURES]).alias("f"),
+                       F.explode(F.sequence(F.lit(0), F.lit(n_max - 1))).alias("tree"))
+            .withColumn("_h", _unit_hash(F.lit(seed), F.col("tree"), F.col(key)))
+            .filter(F.col("_h") < p)
+            .withColumn("mf", F.explode(F.array(*[F.lit(m) for m in mfs]))))
+    nf = len(FEATURES)
+    schema = T.StructType([T.StructField("mf", T.DoubleType())] + NODE_SCHEMA.fields)
+
+    def build(pdf):
+        mf = float(pdf["mf"].iloc[0])
+        out = _build_tree(pdf, nf, mf, seed)
+        out.insert(0, "mf", mf)
+        return out
+
+    nodes = cand.groupBy("mf", "tree").applyInPandas(build, schema=schema)
+    pdf = nodes.orderBy("mf", "tree", "node").toPandas()       # bounded by the grid: 3 x 200 x <= 511 rows
+    forests = {}
+    for (mf, _), t in pdf.groupby(["mf", "tree"], sort=True):
+        forests.setdefault(mf, []).append({k: t[k].to_numpy() for k in
+                                           ("feature", "threshold", "left", "right", "leaf_size", "depth")})
+    pairs = [(mf, ne) for mf in mfs for ne in sorted(set(g["n_estimators"]))]
+    bc = features.sparkSession.sparkContext.broadcast({"forests": forests, "pairs": pairs})
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def all_scores(feats: pd.Series) -> pd.Series:
+        x = np.vstack(feats.to_numpy()).astype(float) if len(feats) else np.zeros((0, nf))
+        v = bc.value
+        out = []
+        for mf, ne in v["pairs"]:
+            out.append(score_samples_np(x, {"trees": v["forests"][mf][:ne]}))
+        return pd.Series(list(np.column_stack(out))) if len(x) else pd.Series([], dtype=object)
+
+    scored = features.select(all_scores(F.array(*[F.col(c).cast("double") for c in FEATURES])).alias("s"))
+    long = scored.select(F.posexplode("s").alias("pair", "raw"))
+    conts = sorted(set(float(c) for c in g["contamination"]))
+    stats = long.groupBy("pair").agg(F.avg("raw").alias("mean_raw"),
+                                     F.percentile("raw", F.array(*[F.lit(c) for c in conts])).alias("offs"))
+    pair_tbl = F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(mf).alias("max_features"), F.lit(ne).alias("n_estimators"))
+                         for i, (mf, ne) in enumerate(pairs)])
+    res = (stats.withColumn("c", F.explode(F.arrays_zip(F.array(*[F.lit(c) for c in conts]).alias("contamination"),
+                                                        F.col("offs").alias("offset"))))
+           .withColumn("pp", F.element_at(pair_tbl, F.col("pair") + 1))
+           .select(F.col("pp.n_estimators").alias("n_estimators"), F.col("c.contamination").alias("contamination"),
+                   F.col("pp.max_features").alias("max_features"),
+                   (F.col("mean_raw") - F.col("c.offset")).alias("score")))
+    best = res.agg(F.max_by(F.struct("n_estimators", "contamination", "max_features"), "score").alias("b")).select("b.*")
+    return res.join(best.withColumn("is_best", F.lit(True)), ["n_estimators", "contamination", "max_features"], "left") \
+        .withColumn("is_best", F.coalesce("is_best", F.lit(False)))

@@ -138,3 +138,77 @@ register("anomaly_type_counts", W("""
 SELECT count(*) FILTER (WHERE anomaly_type = 'spike') AS spikes, count(*) FILTER (WHERE anomaly_type = 'dip') AS dips,
        count(*) FILTER (WHERE anomaly_type = 'pattern_change') AS patterns FROM an""", _GS), "anomaly")(
     lambda spark, sf: M.anomaly_type_counts(_given_anoms(spark, sf)))
+
+
+# ------------------------------------------------------------------ P1-P5
+from ..operators import forecast as FC  # noqa: E402
+from ..operators import series as S  # noqa: E402
+
+FC_HOURS, FC_PAST = 24, 6
+VIEW_AS_OF = "2024-01-15 12:30:00"
+
+
+def _global_model(spark, sf):
+    hm = S.hourly_mean(fx.readings(spark, sf))
+    return hm, FC.fit_forecast(hm)
+
+
+register("fit_forecast", None, "forecast")(lambda spark, sf: _global_model(spark, sf)[1])
+register("fit_forecast_by_device", None, "forecast")(
+    lambda spark, sf: FC.fit_forecast(S.hourly_mean(fx.readings(spark, sf), by_device=True), keys=("device_id",)))
+
+
+@register("forecast", None, "forecast")
+def q_forecast(spark, sf):
+    hm, model = _global_model(spark, sf)
+    return FC.forecast(model.persist(), AS_OF, FC_HOURS, FC_PAST, history=hm)
+
+
+@register("forecast_by_device", None, "forecast")
+def q_forecast_by_device(spark, sf):
+    hm = S.hourly_mean(fx.readings(spark, sf), by_device=True)
+    model = FC.fit_forecast(hm, keys=("device_id",)).persist()
+    return FC.forecast(model, AS_OF, FC_HOURS, FC_PAST, keys=("device_id",), history=hm)
+
+
+@register("forecast_view", W(f"""
+SELECT timestamp, value, count, coalesce(timestamp <= s.split, false) AS is_past,
+       coalesce(timestamp >= s.split, true) AS is_future
+FROM hm, (SELECT min(timestamp) AS split FROM hm WHERE timestamp >= TIMESTAMP '2024-01-15 12:00:00') s""",
+          """hm AS (
+  SELECT CAST(date_trunc('hour', processing_ts) AS TIMESTAMP) AS timestamp,
+         """ + O.exact_avg("power_w") + """ AS value, count(*) AS count
+  FROM readings WHERE power_w IS NOT NULL GROUP BY 1)"""), "forecast")
+def q_forecast_view(spark, sf):
+    return FC.forecast_view(S.hourly_mean(fx.readings(spark, sf)), VIEW_AS_OF)
+
+
+register("tune_forecast", None, "forecast")(lambda spark, sf: FC.tune_forecast(S.hourly_mean(fx.readings(spark, sf))))
+
+_COMBOS = FC._grid_rows(FC.FORECAST_GRID)
+_GIVEN_MAE = ", ".join(
+    f"({i}, {c['changepoint_prior_scale']!r}e0, {c['seasonality_prior_scale']!r}e0, '{c['seasonality_mode']}')"
+    for i, c in enumerate(_COMBOS))
+
+
+@register("best_params", W(f"""
+SELECT w.combo, w.changepoint_prior_scale, w.seasonality_prior_scale, w.seasonality_mode, w.mae FROM (
+  SELECT min_by(struct_pack(combo := combo, changepoint_prior_scale := cps, seasonality_prior_scale := sps,
+                            seasonality_mode := mode, mae := mae), (mae, combo)) AS w
+  FROM (SELECT g.*, abs(a.mean_power - 50.0e0 * g.combo) AS mae
+        FROM (VALUES {_GIVEN_MAE}) g(combo, cps, sps, mode),
+             (SELECT {O.exact_avg('power_w')} AS mean_power FROM readings) a) t) x"""), "forecast")
+def q_best_params(spark, sf):
+    """P4 winner choice on given MAE values (|mean power - 50 * combo index|)."""
+    mean = fx.readings(spark, sf).agg(__import__("gridlens.functions.rounding", fromlist=["exact_avg"])
+                                      .exact_avg("power_w")).scalar()
+    combos = spark.createDataFrame(
+        [(i, float(c["changepoint_prior_scale"]), float(c["seasonality_prior_scale"]), c["seasonality_mode"])
+         for i, c in enumerate(_COMBOS)],
+        "combo int, changepoint_prior_scale double, seasonality_prior_scale double, seasonality_mode string")
+    hist = combos.withColumn("mae", F.abs(mean - F.lit(50.0) * F.col("combo")))
+    return FC.best_params(hist)
+
+
+register("tune_isolation_forest", None, "anomaly")(
+    lambda spark, sf: M.tune_isolation_forest(_train_features(spark, sf)))

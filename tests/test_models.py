@@ -39,3 +39,43 @@ def test_forest_is_deterministic_and_bounded(spark):
     for r in a:
         sizes[r.tree] = sizes.get(r.tree, 0) + r.leaf_size
     assert set(sizes.values()) == {256}
+
+
+def _hourly(spark, days=10, noise=True):
+    base = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(days * 24):
+        ts = base + dt.timedelta(hours=i)
+        v = 500 + 300 * math.sin(2 * math.pi * ts.hour / 24) + (80 if ts.weekday() >= 5 else 0)
+        if noise:
+            v += (i * 7919 % 13) - 6
+        rows.append((ts, float(v)))
+    return spark.createDataFrame(rows, "timestamp timestamp_ntz, value double")
+
+
+def test_forecast_invariants_and_skill(spark):
+    from gridlens.operators import forecast as FC
+    full = _hourly(spark, 10)
+    train = full.filter(F.col("timestamp") < dt.datetime(2024, 1, 9))
+    model = FC.fit_forecast(train).persist()
+    fc = FC.forecast(model, "2024-01-09 00:00:00", 24, 6, history=train).collect()
+    assert len(fc) == len({r.timestamp for r in fc}) == 24 + 6 + 1
+    assert all(r.lower_bound <= r.predicted_power for r in fc)
+    assert all(r.predicted_power >= 0 and r.lower_bound >= 0 for r in fc)
+    actual = {r.timestamp: r.value for r in full.collect()}
+    fut = [r for r in fc if r.timestamp >= dt.datetime(2024, 1, 9)]
+    mae = sum(abs(r.predicted_power - actual[r.timestamp]) for r in fut if r.timestamp in actual) / 24
+    naive = sum(abs(actual[r.timestamp - dt.timedelta(days=1)] - actual[r.timestamp])
+                for r in fut if r.timestamp in actual) / 24
+    assert mae < naive
+    again = FC.forecast(FC.fit_forecast(train), "2024-01-09 00:00:00", 24, 6, history=train).collect()
+    assert sorted(fc) == sorted(again)
+
+
+def test_forecast_request_limits():
+    from gridlens.operators import forecast as FC
+    assert FC.clip_request(24, 100) == (24, 8)
+    assert FC.clip_request(48, 40) == (48, 16)
+    import pytest
+    with pytest.raises(ValueError):
+        FC.clip_request(49)
