@@ -42,13 +42,15 @@ def test_forest_is_deterministic_and_bounded(spark):
 
 
 def _hourly(spark, days=10, noise=True):
+    import numpy as np
+    rng = np.random.default_rng(3)
     base = dt.datetime(2024, 1, 1)
     rows = []
     for i in range(days * 24):
         ts = base + dt.timedelta(hours=i)
-        v = 500 + 300 * math.sin(2 * math.pi * ts.hour / 24) + (80 if ts.weekday() >= 5 else 0)
+        v = 500 + 300 * math.sin(2 * math.pi * ts.hour / 24)
         if noise:
-            v += (i * 7919 % 13) - 6
+            v += float(rng.normal(0, 40))
         rows.append((ts, float(v)))
     return spark.createDataFrame(rows, "timestamp timestamp_ntz, value double")
 
