@@ -22,6 +22,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -182,8 +183,10 @@ def score_isolation_forest(df: DataFrame, forest: DataFrame, offset: F.Column |
     s = df.withColumn("raw_score", score(F.array(*[F.col(c).cast("double") for c in FEATURES])))
     off = offset if isinstance(offset, F.Column) else F.lit(float(offset))
     s = s.withColumn("decision", F.col("raw_score") - off).withColumn("is_outlier", F.col("decision") < 0)
-    dmin = s.agg(F.min("decision")).scalar()
-    dmax = s.agg(F.max("decision")).scalar()
+    # the Python scorer runs once: later passes (bounds, thresholds) read the persisted rows
+    s = s.persist(StorageLevel.MEMORY_AND_DISK)
+    bounds = s.agg(F.struct(F.min("decision").alias("lo"), F.max("decision").alias("hi"))).scalar()
+    dmin, dmax = bounds.getField("lo"), bounds.getField("hi")
     return s.withColumn("anomaly_score", F.when(dmax == dmin, F.lit(0.0))
                         .otherwise(F.lit(1.0) - (F.col("decision") - dmin) / (dmax - dmin)))
 
@@ -218,7 +221,7 @@ def detect_anomalies(df: DataFrame, forest: DataFrame, sensitivity: float = 0.8,
     """M5: features -> score -> threshold -> classification on a bounded recent frame."""
     feats = anomaly_features(df, order_cols=order_cols)
     scored = score_isolation_forest(feats, forest, offset)
-    scored = expected_value(scored, "value", order_cols)
+    scored = expected_value(scored, "value", order_cols).persist(StorageLevel.MEMORY_AND_DISK)
     thr = anomaly_threshold(scored, sensitivity).scalar()
     return classify_anomalies(scored, thr)
 

@@ -112,6 +112,12 @@ def dashboard_today(readings: DataFrame, as_of, by_device: bool = False, **filte
                      F.col("power_w").alias("power"), F.col("voltage_v").alias("voltage"),
                      F.col("today_kwh").alias("energy"))
     w = Window.partitionBy(*_k(by_device)).orderBy("processing_ts", "reading_id")
+    if not by_device:
+        # one household: top-k (TakeOrderedAndProject), numbered after the limit (<= 1440 rows)
+        rows = rows.orderBy("processing_ts", "reading_id").limit(TODAY_ROW_LIMIT)
+        return (rows.withColumn("seq", F.row_number().over(w))
+                .select("seq", "timestamp", "power", "voltage", "energy"))
+    # per device: row_number <= k is planned with a partial WindowGroupLimit before the shuffle
     return (rows.withColumn("seq", F.row_number().over(w)).filter(F.col("seq") <= TODAY_ROW_LIMIT)
             .select(*_k(by_device), "seq", "timestamp", "power", "voltage", "energy"))
 

@@ -16,6 +16,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # per-key top-k (row_number <= k) gets a partial limit before the shuffle for k up to this
+    "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
 }
 
 

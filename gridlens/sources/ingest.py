@@ -100,34 +100,35 @@ def _millis(ts):
 def normalize_messages(raw: DataFrame) -> DataFrame:
     """Dispatch by type, drop unknown and energy-less plug messages, add document fields.
 
-    ``_id`` is ``<device>-<epoch millis of processing>``; processing and insert
-    time are the message's enqueue time.  Output is typed like ``readings``
-    plus ``topic``, ``status``, ``message_source``, ``time_text`` and the meter
-    energy total.
+    One pass over the input: each body is parsed only by the schema of its
+    device type (``CASE WHEN`` short-circuits ``from_json``), so there is no
+    per-type branch and no union.  ``_id`` is ``<device>-<epoch millis of
+    processing>``; processing and insert time are the message's enqueue time.
+    Output is typed like ``readings`` plus ``topic``, ``status``,
+    ``message_source``, ``time_text`` and the meter energy total.
     """
-    typed = device_from_topic(raw)
-    common = ["seq", "topic", "enqueued_ts", "device_id", "device_type"]
-    plug = normalize_plug(typed.filter(F.col("device_type") == TYPE_PLUG).select(*common, "body"))
-    plug = plug.select(*common, F.lit(True).alias("has_energy"), "time_text",
-                       F.col("Power").alias("power_w"), F.col("Today").alias("today_kwh"),
-                       F.col("Voltage").alias("voltage_v"),
-                       F.coalesce(F.get_json_object("metadata", "$.simulated").cast("boolean"), F.lit(False))
-                       .alias("is_simulated"))
-    power = normalize_phase_power(typed.filter(F.col("device_type") == TYPE_METER_POWER).select(*common, "body"))
-    power = power.select(*common, F.lit(False).alias("has_energy"), F.col("totalPower").alias("meter_power_w"))
-    energy = normalize_phase_energy(typed.filter(F.col("device_type") == TYPE_METER_ENERGY).select(*common, "body"))
-    energy = energy.select(*common, F.lit(False).alias("has_energy"), F.col("total").alias("meter_energy_total"))
-    u = plug.unionByName(power, allowMissingColumns=True).unionByName(energy, allowMissingColumns=True)
+    d = device_from_topic(raw)
+    kind = F.col("device_type")
+    top = F.when(kind == TYPE_PLUG, F.from_json(F.col("body"), "map<string,string>"))
+    d = d.withColumn("_top", top)
+    e_text = F.coalesce(F.col("_top")["ENERGY"], F.col("_top")["energy"])
+    d = (d.withColumn("_e", F.when(kind == TYPE_PLUG, F.from_json(e_text, _ENERGY)))
+          .withColumn("_pw", F.when(kind == TYPE_METER_POWER, F.from_json(F.col("body"), METER_POWER_BODY)))
+          .withColumn("_en", F.when(kind == TYPE_METER_ENERGY, F.from_json(F.col("body"), METER_ENERGY_BODY)))
+          .filter((kind != TYPE_UNKNOWN) & ((kind != TYPE_PLUG) | e_text.isNotNull())))
     stored = F.create_map(*[x for k, v in STORED_TYPE.items() for x in (F.lit(k), F.lit(v))])
-    return u.select(
+    sim = F.get_json_object(F.col("_top")["_meta"], "$.simulated").cast("boolean")
+    return d.select(
         F.col("seq").alias("reading_id"),
         F.concat_ws("-", "device_id", _millis(F.col("enqueued_ts")).cast("string")).alias("doc_id"),
-        "device_id", F.element_at(stored, F.col("device_type")).alias("device_type"),
-        F.coalesce("is_simulated", F.lit(False)).alias("is_simulated"), "has_energy",
+        "device_id", F.element_at(stored, kind).alias("device_type"),
+        F.coalesce(sim, F.lit(False)).alias("is_simulated"), (kind == TYPE_PLUG).alias("has_energy"),
         F.lit(None).cast("timestamp_ntz").alias("payload_ts"),
         F.col("enqueued_ts").alias("processing_ts"), F.col("enqueued_ts").alias("insert_ts"),
         F.col("enqueued_ts").alias("event_ts"), F.to_date("enqueued_ts").alias("event_date"),
-        "power_w", "today_kwh", "voltage_v", "meter_power_w", "meter_energy_total", "time_text",
+        F.col("_e.Power").alias("power_w"), F.col("_e.Today").alias("today_kwh"), F.col("_e.Voltage").alias("voltage_v"),
+        F.col("_pw.total_act_power").alias("meter_power_w"), F.col("_en.total_act").alias("meter_energy_total"),
+        F.coalesce(F.col("_top")["Time"], F.col("_top")["timestamp"]).alias("time_text"),
         "topic", F.lit(DEFAULT_STATUS).alias("status"), F.lit(LOCAL_SOURCE).alias("message_source"))
 
 
