@@ -15,7 +15,7 @@ from .registry import register
 W = O.with_fixtures
 
 
-def _landed(spark, name, df, ts_col, files=4):
+def _landed(spark, name, df, ts_col, files=8):
     d = ST.work_dir(spark, name)
     src = ST.land_files(df, posixpath.join(d, "input"), ts_col, files)
     return d, spark.read.parquet(src).schema, src

@@ -38,12 +38,13 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return posixpath.join(ensure_checkpoint_dir(spark), "gridlens-streams", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def land_files(df: DataFrame, path: str, ts_col: str, files: int = 4) -> str:
+def land_files(df: DataFrame, path: str, ts_col: str, files: int = 8) -> str:
     """Land a batch frame as time-ordered Parquet files for a file-stream source.
 
-    Each time range is one append (later ranges get later file times), so the
-    source replays the data in time order, as devices would have sent it.
-    Only ``files - 1`` cut points reach the driver.
+    Each time range is one append of one sorted file (later ranges get later
+    file times), so the source replays the data in time order, as devices
+    would have sent it.  This is a test-harness helper (a real stream arrives
+    in order); only ``files - 1`` cut points reach the driver.
     """
     cuts = df.select(F.unix_micros(F.col(ts_col).cast("timestamp")).alias("_us")) \
         .approxQuantile("_us", [i / files for i in range(1, files)], 0.001)
@@ -55,7 +56,8 @@ def land_files(df: DataFrame, path: str, ts_col: str, files: int = 4) -> str:
             cond = cond & (us >= lo)
         if hi is not None:
             cond = cond & (us < hi)
-        df.filter(cond).write.mode("append").parquet(path)
+        # one time-sorted file per range: the source must not see a range's rows out of order
+        df.filter(cond).repartition(1).sortWithinPartitions(ts_col).write.mode("append").parquet(path)
     return path
 
 
