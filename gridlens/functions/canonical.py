@@ -29,10 +29,20 @@ def _utf16_key(k: str) -> bytes:
     return k.encode("utf-16-be", "surrogatepass")
 
 
+_NEEDS_ESCAPE = '["\\\\\\x00-\\x1f]'
+
+
 def json_string_text(col: Column) -> Column:
-    """JSON string literal of a string column (quotes and escapes), or ``null``."""
+    """JSON string literal of a string column (quotes and escapes), or ``null``.
+
+    Clean strings are simply quoted; only strings holding a quote, a backslash
+    or a control character go through the JSON writer.
+    """
     arr = F.to_json(F.array(col))          # '["..."]' or '[null]'
-    return F.substring(arr, F.lit(2), F.length(arr) - 2)
+    escaped = F.substring(arr, F.lit(2), F.length(arr) - 2)
+    return (F.when(col.isNull(), F.lit("null"))
+            .when(col.rlike(_NEEDS_ESCAPE), escaped)
+            .otherwise(F.concat(F.lit('"'), col, F.lit('"'))))
 
 
 def canonical_text(col: Column, dtype: T.DataType) -> Column:

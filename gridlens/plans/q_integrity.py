@@ -80,7 +80,8 @@ register("validate_ledger_rows", W("SELECT id, seq, reason FROM checked", _BATCH
 
 
 def _accepted(spark, sf):
-    return H.append_ledger(fx.ledger(spark, sf), fx.ledger_batch(spark, sf), BATCH_TIME)
+    hashed = fx.hashed_documents(spark, sf).persist()   # ledger and batch share one hashing pass
+    return H.append_ledger(fx.ledger(spark, sf, hashed), fx.ledger_batch(spark, sf, hashed), BATCH_TIME)
 
 
 register("append_ledger", W("SELECT * FROM accepted", _BATCH), "integrity")(_accepted)

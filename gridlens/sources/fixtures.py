@@ -128,10 +128,15 @@ def stored_documents(spark: SparkSession, sf_dir: str, tampered: bool = True) ->
     )
 
 
-def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ledger of hashes of the untampered documents, minus ``reading_id % 101 == 0``."""
+def hashed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Untampered documents with their canonical text and SHA-256 (``current_hash``)."""
     from ..operators.integrity import hash_documents
-    docs = hash_documents(stored_documents(spark, sf_dir, tampered=False))
+    return hash_documents(stored_documents(spark, sf_dir, tampered=False))
+
+
+def ledger(spark: SparkSession, sf_dir: str, hashed: DataFrame | None = None) -> DataFrame:
+    """Ledger of hashes of the untampered documents, minus ``reading_id % 101 == 0``."""
+    docs = hashed if hashed is not None else hashed_documents(spark, sf_dir)
     types = F.array(*[F.lit(t) for t in DATA_TYPES])
     return docs.filter(F.col("reading_id") % LEDGER_MISSING_MOD != 0).select(
         "id", F.col("current_hash").alias("hash_value"), F.col("processing_ts").alias("ts"), "device_id",
@@ -144,10 +149,9 @@ BATCH_BLANK_ID_MOD, BATCH_SHORT_HASH_MOD, BATCH_BAD_TIME_MOD = 53, 59, 61
 BATCH_BAD_DEVICE_MOD, BATCH_BAD_TYPE_MOD, BATCH_DUP_MOD = 67, 71, 43
 
 
-def ledger_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ledger_batch(spark: SparkSession, sf_dir: str, hashed: DataFrame | None = None) -> DataFrame:
     """Hash submissions for every document, with injected contract violations."""
-    from ..operators.integrity import hash_documents
-    d = hash_documents(stored_documents(spark, sf_dir, tampered=False))
+    d = hashed if hashed is not None else hashed_documents(spark, sf_dir)
     rid = F.col("reading_id")
     types = F.array(*[F.lit(t) for t in DATA_TYPES])
     dtype = F.element_at(types, (F.col("user_id") % 4 + 1).cast("int"))
