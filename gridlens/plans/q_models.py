@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.rounding import exact_sum_over, js_round
+from ..functions.rounding import js_round
 from ..operators import anomaly as M
 from ..operators import periods as P
+from ..operators import series as S
 from ..sources import fixtures as fx
 from . import oracle as O
 from .registry import AS_OF, register
@@ -87,13 +88,17 @@ def q_detect(spark, sf):
 
 
 # ------------------------------------------------------------------ M4-M7 on given scores (oracle)
-_GS = f"""gs AS (
-  SELECT reading_id, device_id, event_ts AS timestamp, power_w AS value,
-         CAST(sum(CAST(power_w AS DECIMAL(38,10))) OVER w AS DOUBLE) / CAST(count(power_w) OVER w AS DOUBLE) AS expected,
-         power_w / (SELECT max(power_w) FROM readings) AS anomaly_score,
-         power_w / (SELECT max(power_w) FROM readings) >= 0.5e0 AS is_outlier
-  FROM readings WHERE has_energy
-  WINDOW w AS (PARTITION BY device_id ORDER BY event_ts, reading_id ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING)),
+_GS = f"""hmd AS (
+  SELECT device_id, CAST(date_trunc('hour', processing_ts) AS TIMESTAMP) AS timestamp,
+         {O.exact_avg('power_w')} AS value
+  FROM readings WHERE power_w IS NOT NULL GROUP BY 1, 2),
+gs AS (
+  SELECT device_id, timestamp, value,
+         CAST(sum(CAST(value AS DECIMAL(38,10))) OVER w AS DOUBLE) / CAST(count(value) OVER w AS DOUBLE) AS expected,
+         value / (SELECT max(value) FROM hmd) AS anomaly_score,
+         value / (SELECT max(value) FROM hmd) >= 0.5e0 AS is_outlier
+  FROM hmd
+  WINDOW w AS (PARTITION BY device_id ORDER BY timestamp ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING)),
 thr AS (SELECT greatest(0.7e0, quantile_cont(anomaly_score, 0.904e0)) AS threshold FROM gs),
 an AS (
   SELECT timestamp, value AS actual_power, expected AS expected_power, anomaly_score,
@@ -103,14 +108,12 @@ an AS (
 
 
 def _given(spark, sf):
-    r = fx.readings(spark, sf).filter("has_energy")
-    w = __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("device_id") \
-        .orderBy("event_ts", "reading_id").rowsBetween(-12, 11)
-    mx = r.agg(F.max("power_w")).scalar()
-    return r.select("reading_id", "device_id", F.col("event_ts").alias("timestamp"), F.col("power_w").alias("value"),
-                    (exact_sum_over("power_w", w) / F.count("power_w").over(w).cast("double")).alias("expected"),
-                    (F.col("power_w") / mx).alias("anomaly_score"),
-                    ((F.col("power_w") / mx) >= 0.5).alias("is_outlier"))
+    """Deterministic scores on per-device hourly means: score = value / max value, outlier if >= 0.5."""
+    hm = S.hourly_mean(fx.readings(spark, sf), by_device=True)
+    hm = S.expected_value(hm, "value", ("timestamp",), ("device_id",))
+    mx = hm.agg(F.max("value")).scalar()
+    return hm.select("device_id", "timestamp", "value", "expected",
+                     (F.col("value") / mx).alias("anomaly_score"), ((F.col("value") / mx) >= 0.5).alias("is_outlier"))
 
 
 def _given_anoms(spark, sf):
@@ -142,7 +145,6 @@ SELECT count(*) FILTER (WHERE anomaly_type = 'spike') AS spikes, count(*) FILTER
 
 # ------------------------------------------------------------------ P1-P5
 from ..operators import forecast as FC  # noqa: E402
-from ..operators import series as S  # noqa: E402
 
 FC_HOURS, FC_PAST = 24, 6
 VIEW_AS_OF = "2024-01-15 12:30:00"

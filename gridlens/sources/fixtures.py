@@ -35,8 +35,9 @@ def reading_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.col("value") * 100).cast("bigint").alias("cents"),
         F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"),
     )
-    # Running daily counter per device: a window partitioned by device-day,
-    # so no task ever holds more than one device's day.
+    # Synthesise the device's own midnight-resetting counter (ENERGY.Today) as a
+    # running sum per device-day.  Real readings carry this counter from the
+    # device; only this test-data derivation needs the window.
     day = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     no_dev_time = (F.col("event_id") % NO_DEVICE_TIME_MOD) == 0
