@@ -27,6 +27,13 @@ def register(name: str, sql: str | None, group: str):
     def deco(fn):
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = QuerySpec(name, fn, sql, group)
+
+        def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from ..session import prepare_session
+            return fn(prepare_session(spark), sf_dir)
+
+        build.__name__ = getattr(fn, "__name__", name)
+        build.__doc__ = fn.__doc__
+        REGISTRY[name] = QuerySpec(name, build, sql, group)
         return fn
     return deco

@@ -59,3 +59,19 @@ def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint into the shared folder (never a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+# Settings results depend on (time zone of NTZ -> instant casts) or plans rely on.
+REQUIRED_CONF = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
+}
+
+
+def prepare_session(spark: SparkSession) -> SparkSession:
+    """Apply the settings gridlens relies on to a session created elsewhere."""
+    for k, v in REQUIRED_CONF.items():
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)
+    ensure_checkpoint_dir(spark)
+    return spark
