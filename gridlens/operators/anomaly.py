@@ -19,6 +19,7 @@ scorer.  Global min/max/percentiles are scalar subqueries, never collects.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.rounding import exact_avg
+from ..session import spread_for_python
 from .series import cyclic_time_features, expected_value, rolling_features
 
 FEATURES = ["value", "hour_sin", "hour_cos", "dow_sin", "dow_cos", "rolling_mean", "rolling_std", "diff_from_mean"]
@@ -79,38 +81,43 @@ def _unit_hash(*cols) -> F.Column:
     return (F.pmod(F.xxhash64(*cols), F.lit(2 ** 31 - 1)).cast("double") / float(2 ** 31 - 1))
 
 
-def _build_tree(pdf: pd.DataFrame, n_features: int, max_features: float, seed: int) -> pd.DataFrame:
-    tree = int(pdf["tree"].iloc[0])
-    pdf = pdf.sort_values("_h").head(MAX_SAMPLES)
-    x = np.vstack(pdf["f"].to_numpy()).astype(float)
-    rng = np.random.default_rng([seed, tree])
+def _grow_tree(x: np.ndarray, rng: np.random.Generator, max_features: float, tree: int) -> list:
+    """Random isolation tree over the rows of ``x``; returns node tuples in NODE_SCHEMA order."""
+    n_features = x.shape[1]
     k = max(1, int(max_features * n_features))
     feats = np.sort(rng.choice(n_features, size=k, replace=False))
     limit = int(math.ceil(math.log2(max(len(x), 2))))
     rows = []
-
-    def grow(idx, depth):
+    stack = [(np.arange(len(x)), 0, -1, False)]   # (rows, depth, parent, is_right)
+    while stack:
+        idx, depth, parent, is_right = stack.pop()
         node = len(rows)
-        rows.append(None)
-        sub = x[idx]
+        if parent >= 0:
+            p = rows[parent]
+            rows[parent] = p[:5] + (node,) + p[6:] if is_right else p[:4] + (node,) + p[5:]
         if depth >= limit or len(idx) <= 1:
-            rows[node] = (tree, node, -1, 0.0, -1, -1, len(idx), depth)
-            return node
-        lo, hi = sub[:, feats].min(axis=0), sub[:, feats].max(axis=0)
+            rows.append((tree, node, -1, 0.0, -1, -1, len(idx), depth))
+            continue
+        sub = x[idx][:, feats]
+        lo, hi = sub.min(axis=0), sub.max(axis=0)
         usable = np.nonzero(hi > lo)[0]
         if len(usable) == 0:
-            rows[node] = (tree, node, -1, 0.0, -1, -1, len(idx), depth)
-            return node
+            rows.append((tree, node, -1, 0.0, -1, -1, len(idx), depth))
+            continue
         j = usable[rng.integers(len(usable))]
-        f = int(feats[j])
         thr = float(rng.uniform(lo[j], hi[j]))
-        go_left = sub[:, f] < thr
-        left = grow(idx[go_left], depth + 1)
-        right = grow(idx[~go_left], depth + 1)
-        rows[node] = (tree, node, f, thr, left, right, 0, depth)
-        return node
+        go_left = sub[:, j] < thr
+        rows.append((tree, node, int(feats[j]), thr, -1, -1, 0, depth))
+        stack.append((idx[~go_left], depth + 1, node, True))
+        stack.append((idx[go_left], depth + 1, node, False))
+    return rows
+
 
-    grow(np.arange(len(x)), 0)
+def _build_tree(pdf: pd.DataFrame, n_features: int, max_features: float, seed: int) -> pd.DataFrame:
+    tree = int(pdf["tree"].iloc[0])
+    pdf = pdf.sort_values("_h").head(MAX_SAMPLES)
+    x = np.vstack(pdf["f"].to_numpy()).astype(float)
+    rows = _grow_tree(x, np.random.default_rng([seed, tree]), max_features, tree)
     return pd.DataFrame(rows, columns=[f.name for f in NODE_SCHEMA.fields])
 
 
@@ -131,35 +138,48 @@ def fit_isolation_forest(features: DataFrame, n_estimators: int = 100, max_featu
             .withColumn("_h", _unit_hash(F.lit(seed), F.col("tree"), F.col(key)))
             .filter(F.col("_h") < p))
     nf = len(FEATURES)
-    return cand.groupBy("tree").applyInPandas(
+    return spread_for_python(cand, "tree").groupBy("tree").applyInPandas(
         lambda pdf: _build_tree(pdf, nf, max_features, seed), schema=NODE_SCHEMA)
 
 
+def pack_forest(nodes: pd.DataFrame) -> dict:
+    """Flat node arrays of a forest (children as global indices) for vectorised scoring."""
+    nodes = nodes.sort_values(["tree", "node"]).reset_index(drop=True)
+    start = nodes.groupby("tree", sort=True)["node"].transform("size")
+    offsets = nodes.groupby("tree", sort=True).cumcount().to_numpy()
+    base = (np.arange(len(nodes)) - offsets).astype(np.int64)      # global index of each tree's root
+    left, right = nodes["left"].to_numpy(np.int64), nodes["right"].to_numpy(np.int64)
+    del start
+    return {
+        "feature": nodes["feature"].to_numpy(np.int64), "threshold": nodes["threshold"].to_numpy(float),
+        "left": np.where(left >= 0, base + left, -1), "right": np.where(right >= 0, base + right, -1),
+        "leaf_size": nodes["leaf_size"].to_numpy(float), "depth": nodes["depth"].to_numpy(float),
+        "roots": np.unique(base),
+    }
+
+
 def forest_arrays(forest: DataFrame) -> dict:
-    """Forest nodes as flat arrays (bounded: trees x <= 511 nodes) for broadcasting."""
-    pdf = forest.orderBy("tree", "node").toPandas()
-    trees = []
-    for _, g in pdf.groupby("tree", sort=True):
-        trees.append({k: g[k].to_numpy() for k in ("feature", "threshold", "left", "right", "leaf_size", "depth")})
-    return {"trees": trees}
+    """The whole forest packed (bounded: trees x <= 511 nodes) for broadcasting."""
+    return pack_forest(forest.toPandas())
 
 
 def score_samples_np(x: np.ndarray, model: dict) -> np.ndarray:
-    depths = np.zeros(len(x))
-    for t in model["trees"]:
-        node = np.zeros(len(x), dtype=np.int64)
-        for _ in range(64):
-            feat = t["feature"][node]
-            active = feat >= 0
-            if not active.any():
-                break
-            thr = t["threshold"][node]
-            go_left = x[np.arange(len(x)), np.where(active, feat, 0)] < thr
-            nxt = np.where(go_left, t["left"][node], t["right"][node])
-            node = np.where(active, nxt, node)
-        depths += t["depth"][node] + average_path_length(t["leaf_size"][node])
-    mean = depths / max(len(model["trees"]), 1)
-    return -np.power(2.0, -mean / average_path_length([MAX_SAMPLES])[0])
+    """``-2 ** (-mean path length / c(256))`` over all trees at once."""
+    roots = model["roots"]
+    if len(x) == 0 or len(roots) == 0:
+        return np.zeros(len(x))
+    feat, thr, left, right = model["feature"], model["threshold"], model["left"], model["right"]
+    node = np.broadcast_to(roots, (len(x), len(roots))).copy()          # rows x trees
+    rows = np.arange(len(x))[:, None]
+    while True:
+        f = feat[node]
+        active = f >= 0
+        if not active.any():
+            break
+        go_left = x[rows, np.where(active, f, 0)] < thr[node]
+        node = np.where(active, np.where(go_left, left[node], right[node]), node)
+    path = model["depth"][node] + average_path_length(model["leaf_size"][node])
+    return -np.power(2.0, -path.mean(axis=1) / average_path_length([MAX_SAMPLES])[0])
 
 
 def _scorer(spark, forest: DataFrame):
@@ -294,22 +314,19 @@ def tune_isolation_forest(features: DataFrame, grid: dict | None = None, seed: i
         out.insert(0, "mf", mf)
         return out
 
-    nodes = cand.groupBy("mf", "tree").applyInPandas(build, schema=schema)
+    nodes = spread_for_python(cand, "mf", "tree").groupBy("mf", "tree").applyInPandas(build, schema=schema)
     pdf = nodes.orderBy("mf", "tree", "node").toPandas()       # bounded by the grid: 3 x 200 x <= 511 rows
-    forests = {}
-    for (mf, _), t in pdf.groupby(["mf", "tree"], sort=True):
-        forests.setdefault(mf, []).append({k: t[k].to_numpy() for k in
-                                           ("feature", "threshold", "left", "right", "leaf_size", "depth")})
     pairs = [(mf, ne) for mf in mfs for ne in sorted(set(g["n_estimators"]))]
-    bc = features.sparkSession.sparkContext.broadcast({"forests": forests, "pairs": pairs})
+    packed = [pack_forest(pdf[(pdf["mf"] == mf) & (pdf["tree"] < ne)].drop(columns="mf")) for mf, ne in pairs]
+    bc = features.sparkSession.sparkContext.broadcast({"forests": packed, "pairs": pairs})
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def all_scores(feats: pd.Series) -> pd.Series:
         x = np.vstack(feats.to_numpy()).astype(float) if len(feats) else np.zeros((0, nf))
         v = bc.value
         out = []
-        for mf, ne in v["pairs"]:
-            out.append(score_samples_np(x, {"trees": v["forests"][mf][:ne]}))
+        for model in v["forests"]:
+            out.append(score_samples_np(x, model))
         return pd.Series(list(np.column_stack(out))) if len(x) else pd.Series([], dtype=object)
 
     scored = features.select(all_scores(F.array(*[F.col(c).cast("double") for c in FEATURES])).alias("s"))
@@ -328,3 +345,141 @@ def tune_isolation_forest(features: DataFrame, grid: dict | None = None, seed: i
     best = res.agg(F.max_by(F.struct("n_estimators", "contamination", "max_features"), "score").alias("b")).select("b.*")
     return res.join(best.withColumn("is_best", F.lit(True)), ["n_estimators", "contamination", "max_features"], "left") \
         .withColumn("is_best", F.coalesce("is_best", F.lit(False)))
+
+
+# ---------------------------------------------------------------- fleet mode (one forest per device)
+def _fit_forest_np(x: np.ndarray, n_estimators: int, max_features: float, seed: int, tag: int) -> pd.DataFrame:
+    """All trees of one small training set (rows already bounded), as a node table."""
+    rng = np.random.default_rng([seed, tag])
+    rows = []
+    for t in range(n_estimators):
+        take = rng.permutation(len(x))[:MAX_SAMPLES]
+        rows.extend(_grow_tree(x[take], rng, max_features, t))
+    return pd.DataFrame(rows, columns=[f.name for f in NODE_SCHEMA.fields])
+
+
+def fit_forests_by_key(features: DataFrame, keys=("device_id",), n_estimators: int = 100,
+                       max_features: float = 1.0, seed: int = 42) -> DataFrame:
+    """M2 per key: one forest per device, trained in one ``applyInPandas`` group.
+
+    Meant for per-device hourly series, so a group is bounded by the hours of
+    the training window (168 for 7 days) whatever the raw volume of a device.
+    Keys with fewer than 48 rows get no forest.
+    """
+    keys = list(keys)
+    key_fields = [f for f in features.schema.fields if f.name in keys]
+    schema = T.StructType(key_fields + NODE_SCHEMA.fields)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) < MIN_TRAINING_ROWS:
+            return pd.DataFrame(columns=[f.name for f in schema.fields])
+        x = pdf[FEATURES].to_numpy(dtype=float)
+        tag = zlib.crc32("|".join(str(pdf[k].iloc[0]) for k in keys).encode())   # stable across processes
+        nodes = _fit_forest_np(x, n_estimators, max_features, seed, tag)
+        for i, k in enumerate(keys):
+            nodes.insert(i, k, pdf[k].iloc[0])
+        return nodes[[f.name for f in schema.fields]]
+
+    return spread_for_python(features.select(*keys, *FEATURES), *keys).groupBy(*keys).applyInPandas(fit, schema=schema)
+
+
+def score_by_key(features: DataFrame, forests: DataFrame, keys=("device_id",), sensitivity: float = 0.8,
+                 contamination="auto", ts: str = "timestamp") -> DataFrame:
+    """M3-M4 per key: each device's rows scored with its own forest (``cogroup``).
+
+    Inside a group: score_samples, decision (offset -0.5 or the training-free
+    contamination quantile of these rows), outlier flag, min-max normalised
+    score and the sensitivity threshold -- all over the device's own rows.
+    """
+    keys = list(keys)
+    key_fields = [f for f in features.schema.fields if f.name in keys]
+    extra = [f for f in features.schema.fields if f.name not in keys and f.name not in FEATURES]
+    out_fields = key_fields + extra + [T.StructField(c, T.DoubleType()) for c in FEATURES if c != "value"] + [
+        T.StructField("value", T.DoubleType()), T.StructField("raw_score", T.DoubleType()),
+        T.StructField("decision", T.DoubleType()), T.StructField("is_outlier", T.BooleanType()),
+        T.StructField("anomaly_score", T.DoubleType()), T.StructField("threshold", T.DoubleType())]
+    schema = T.StructType(out_fields)
+    names = [f.name for f in schema.fields]
+    pct = 100.0 - (sensitivity ** 2) * 15.0
+
+    def score(rows: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or nodes.empty:
+            return pd.DataFrame(columns=names)
+        raw = score_samples_np(rows[FEATURES].to_numpy(dtype=float), pack_forest(nodes))
+        off = AUTO_OFFSET if contamination in (None, "auto") else float(np.percentile(raw, 100 * float(contamination)))
+        d = raw - off
+        lo, hi = d.min(), d.max()
+        norm = np.zeros_like(d) if hi == lo else 1.0 - (d - lo) / (hi - lo)
+        out = rows.copy()
+        out["raw_score"], out["decision"], out["is_outlier"] = raw, d, d < 0
+        out["anomaly_score"] = norm
+        out["threshold"] = max(MIN_THRESHOLD, float(np.percentile(norm, pct)))
+        return out[names]
+
+    return features.groupBy(*keys).cogroup(forests.groupBy(*keys)).applyInPandas(score, schema=schema)
+
+
+def fit_score_by_key(train: DataFrame, keys=("device_id",), score_from=None, sensitivity: float = 0.8,
+                     n_estimators: int = 100, max_features: float = 1.0, seed: int = 42,
+                     ts: str = "timestamp") -> DataFrame:
+    """M2+M3 per key in one grouped pass: fit on the key's rows, score those at/after ``score_from``.
+
+    The forest never leaves the Python worker (no node table shuffle); a group
+    is one device's hourly rows of the training window.
+    """
+    keys = list(keys)
+    cols = [c for c in train.columns]
+    src = train.withColumn("_score", F.lit(True) if score_from is None else F.col(ts) >= score_from)
+    out_fields = [f for f in train.schema.fields] + [
+        T.StructField("raw_score", T.DoubleType()), T.StructField("decision", T.DoubleType()),
+        T.StructField("is_outlier", T.BooleanType()), T.StructField("anomaly_score", T.DoubleType()),
+        T.StructField("threshold", T.DoubleType())]
+    schema = T.StructType(out_fields)
+    names = [f.name for f in schema.fields]
+    pct = 100.0 - (sensitivity ** 2) * 15.0
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) < MIN_TRAINING_ROWS or not pdf["_score"].any():
+            return pd.DataFrame(columns=names)
+        x = pdf[FEATURES].to_numpy(dtype=float)
+        tag = zlib.crc32("|".join(str(pdf[k].iloc[0]) for k in keys).encode())
+        model = pack_forest(_fit_forest_np(x, n_estimators, max_features, seed, tag))
+        rows = pdf[pdf["_score"]].copy()
+        raw = score_samples_np(rows[FEATURES].to_numpy(dtype=float), model)
+        d = raw - AUTO_OFFSET
+        lo, hi = d.min(), d.max()
+        norm = np.zeros_like(d) if hi == lo else 1.0 - (d - lo) / (hi - lo)
+        rows["raw_score"], rows["decision"], rows["is_outlier"], rows["anomaly_score"] = raw, d, d < 0, norm
+        rows["threshold"] = max(MIN_THRESHOLD, float(np.percentile(norm, pct)))
+        return rows[names]
+
+    return spread_for_python(src.select(*cols, "_score"), *keys).groupBy(*keys).applyInPandas(run, schema=schema)
+
+
+def detect_anomalies_by_device(hourly: DataFrame, as_of, train_hours: int = 168, detect_hours: int = 24,
+                               sensitivity: float = 0.8, n_estimators: int = 100, seed: int = 42) -> DataFrame:
+    """M5 for fleets: per-device hourly means, one forest per device, anomalous hours per device.
+
+    ``hourly``: ``(device_id, timestamp, value)`` (A16 by device).  Features
+    and the expected value are device-partitioned windows over hourly rows,
+    so every window and every Python group is bounded by hours, not by the
+    raw volume of a device.
+    """
+    from .periods import _ts
+    now = _ts(as_of)
+    h = hourly.filter((F.col("timestamp") >= now - F.make_dt_interval(hours=F.lit(train_hours)))
+                      & (F.col("timestamp") <= now))
+    feats = anomaly_features(h, partition_cols=("device_id",))
+    feats = expected_value(feats, "value", ("timestamp",), ("device_id",))
+    scored = fit_score_by_key(feats.select("device_id", "timestamp", "expected", *FEATURES), ("device_id",),
+                              now - F.make_dt_interval(hours=F.lit(detect_hours)), sensitivity, n_estimators,
+                              seed=seed)
+    return _classify_keyed(scored)
+
+
+def _classify_keyed(scored: DataFrame) -> DataFrame:
+    a, e = F.col("value"), F.col("expected")
+    keep = F.col("is_outlier") & (F.col("anomaly_score") > F.col("threshold")) & (F.abs(a - e) >= MIN_POWER_DIFF_W)
+    kind = F.when(a > e * SPIKE_FACTOR, "spike").when(a < e * DIP_FACTOR, "dip").otherwise("pattern_change")
+    return scored.filter(keep).select("device_id", "timestamp", a.alias("actual_power"), e.alias("expected_power"),
+                                      "anomaly_score", kind.alias("anomaly_type"))

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread_for_python
 from .series import expanding_splits
 
 # Fixed values of the model and of the tuning grids.
@@ -178,7 +179,7 @@ def fit_forecast(series: DataFrame, params: dict | None = None, keys=(), ts: str
         series = series.withColumn("_all", F.lit(0))
         keys = ("_all",)
         schema = T.StructType([T.StructField("_all", T.IntegerType(), False)] + MODEL_SCHEMA.fields)
-    grouped = series.groupBy(*keys)
+    grouped = spread_for_python(series, *keys).groupBy(*keys)
     return grouped.applyInPandas(fit, schema=schema)
 
 
@@ -289,7 +290,7 @@ def tune_forecast(series: DataFrame, grid: dict | None = None, n_splits: int = 4
         return pd.DataFrame([{"combo": int(head["combo"]), "cps": float(head["cps"]), "sps": float(head["sps"]),
                               "mode": head["mode"], "fold": int(head["fold"]), "mae": mae}])
 
-    per_fold = rep.groupBy("combo", "fold").applyInPandas(fit_fold, schema=out_schema)
+    per_fold = spread_for_python(rep, "combo", "fold").groupBy("combo", "fold").applyInPandas(fit_fold, schema=out_schema)
     hist = per_fold.groupBy("combo", "cps", "sps", "mode").agg(F.avg("mae").alias("mae"), F.count("fold").alias("folds"))
     best = hist.agg(F.min_by("combo", F.struct("mae", "combo"))).scalar()
     return hist.select("combo", F.col("cps").alias("changepoint_prior_scale"),

@@ -214,3 +214,14 @@ def q_best_params(spark, sf):
 
 register("tune_isolation_forest", None, "anomaly")(
     lambda spark, sf: M.tune_isolation_forest(_train_features(spark, sf)))
+
+
+FLEET_TRAIN_HOURS = 31 * 24
+
+
+@register("detect_anomalies_by_device", None, "anomaly")
+def q_detect_by_device(spark, sf):
+    """Fleet mode: anomalous hours of every device, one forest per device."""
+    hm = S.hourly_mean(fx.readings(spark, sf), by_device=True)
+    # every device's whole hourly history trains its forest (test devices have ~66 hours with data)
+    return M.detect_anomalies_by_device(hm, AS_OF, train_hours=FLEET_TRAIN_HOURS, sensitivity=SENSITIVITY)

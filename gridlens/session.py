@@ -75,3 +75,15 @@ def prepare_session(spark: SparkSession) -> SparkSession:
             spark.conf.set(k, v)
     ensure_checkpoint_dir(spark)
     return spark
+
+
+def spread_for_python(df, *keys):
+    """Hash-partition ``df`` on ``keys`` into 2 x default parallelism partitions.
+
+    For CPU-heavy ``applyInPandas`` groups on small inputs: AQE would coalesce
+    the tiny shuffle into a few partitions and run the model fits serially;
+    an explicit partition count is kept, and the following ``groupBy`` on the
+    same keys reuses this partitioning (no second shuffle).
+    """
+    n = max(2 * df.sparkSession.sparkContext.defaultParallelism, 2)
+    return df.repartition(n, *keys)

@@ -81,3 +81,21 @@ def test_forecast_request_limits():
     import pytest
     with pytest.raises(ValueError):
         FC.clip_request(49)
+
+
+def test_fleet_detection_finds_planted_spike_per_device(spark):
+    import numpy as np
+    rng = np.random.default_rng(11)
+    base = dt.datetime(2024, 1, 1)
+    rows = []
+    for dev in ("a", "b", "c"):
+        for i in range(7 * 24):
+            ts = base + dt.timedelta(hours=i)
+            v = 400 + 150 * math.sin(2 * math.pi * ts.hour / 24) + float(rng.normal(0, 15))
+            if dev == "b" and i == 7 * 24 - 5:
+                v = 5000.0
+            rows.append((dev, ts, float(v)))
+    hourly = spark.createDataFrame(rows, "device_id string, timestamp timestamp_ntz, value double")
+    out = M.detect_anomalies_by_device(hourly, base + dt.timedelta(hours=7 * 24), n_estimators=50).collect()
+    assert any(r.device_id == "b" and r.actual_power == 5000.0 and r.anomaly_type == "spike" for r in out)
+    assert all(r.device_id == "b" for r in out if r.actual_power >= 5000.0)
