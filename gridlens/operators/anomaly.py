@@ -182,7 +182,15 @@ def score_samples_np(x: np.ndarray, model: dict) -> np.ndarray:
     return -np.power(2.0, -path.mean(axis=1) / average_path_length([MAX_SAMPLES])[0])
 
 
+MAX_BROADCAST_NODES = 500 * (2 * MAX_SAMPLES - 1)    # 500 trees of at most 511 nodes (~20 MB packed)
+
+
 def _scorer(spark, forest: DataFrame):
+    # Size check before broadcasting: a forest is bounded by trees x 511 nodes,
+    # never by the data; anything larger is not one forest (use the keyed path).
+    n_nodes = forest.count()
+    if n_nodes > MAX_BROADCAST_NODES:
+        raise ValueError(f"forest has {n_nodes} nodes; score per key with fit_score_by_key instead")
     bc = spark.sparkContext.broadcast(forest_arrays(forest))
 
     @F.pandas_udf(T.DoubleType())
