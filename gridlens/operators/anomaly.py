@@ -322,8 +322,11 @@ def tune_isolation_forest(features: DataFrame, grid: dict | None = None, seed: i
         out.insert(0, "mf", mf)
         return out
 
-    nodes = spread_for_python(cand, "mf", "tree").groupBy("mf", "tree").applyInPandas(build, schema=schema)
-    pdf = nodes.orderBy("mf", "tree", "node").toPandas()       # bounded by the grid: 3 x 200 x <= 511 rows
+    nodes = spread_for_python(cand, "mf", "tree").groupBy("mf", "tree").applyInPandas(build, schema=schema).persist()
+    bound = len(mfs) * n_max * (2 * MAX_SAMPLES - 1)          # fixed by the grid, not by the data
+    if nodes.count() > bound:
+        raise ValueError("forest grid larger than its construction bound")
+    pdf = nodes.orderBy("mf", "tree", "node").toPandas()
     pairs = [(mf, ne) for mf in mfs for ne in sorted(set(g["n_estimators"]))]
     packed = [pack_forest(pdf[(pdf["mf"] == mf) & (pdf["tree"] < ne)].drop(columns="mf")) for mf, ne in pairs]
     bc = features.sparkSession.sparkContext.broadcast({"forests": packed, "pairs": pairs})
