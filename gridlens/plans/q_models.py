@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.rounding import js_round
+from ..functions.rounding import exact_avg, js_round
 from ..operators import anomaly as M
+from ..operators import forecast as FC
 from ..operators import periods as P
 from ..operators import series as S
 from ..sources import fixtures as fx
@@ -144,7 +145,6 @@ SELECT count(*) FILTER (WHERE anomaly_type = 'spike') AS spikes, count(*) FILTER
 
 
 # ------------------------------------------------------------------ P1-P5
-from ..operators import forecast as FC  # noqa: E402
 
 FC_HOURS, FC_PAST = 24, 6
 VIEW_AS_OF = "2024-01-15 12:30:00"
@@ -202,8 +202,7 @@ SELECT w.combo, w.changepoint_prior_scale, w.seasonality_prior_scale, w.seasonal
              (SELECT {O.exact_avg('power_w')} AS mean_power FROM readings) a) t) x"""), "forecast")
 def q_best_params(spark, sf):
     """P4 winner choice on given MAE values (|mean power - 50 * combo index|)."""
-    mean = fx.readings(spark, sf).agg(__import__("gridlens.functions.rounding", fromlist=["exact_avg"])
-                                      .exact_avg("power_w")).scalar()
+    mean = fx.readings(spark, sf).agg(exact_avg("power_w")).scalar()
     combos = spark.createDataFrame(
         [(i, float(c["changepoint_prior_scale"]), float(c["seasonality_prior_scale"]), c["seasonality_mode"])
          for i, c in enumerate(_COMBOS)],
