@@ -61,6 +61,8 @@ MODEL_SCHEMA = T.StructType([
     T.StructField("beta_sin", T.ArrayType(T.DoubleType())), T.StructField("beta_cos", T.ArrayType(T.DoubleType())),
     T.StructField("sigma", T.DoubleType()), T.StructField("n_points", T.LongType()),
     T.StructField("train_start", T.TimestampNTZType()), T.StructField("train_end", T.TimestampNTZType()),
+    # training timestamps (bounded by the training window): the history part of the prediction grid
+    T.StructField("history_ts", T.ArrayType(T.TimestampNTZType())),
 ])
 _SEASONS = [(1.0, DAILY_ORDER), (7.0, WEEKLY_ORDER)]     # (period in days, Fourier order)
 
@@ -140,6 +142,7 @@ def fit_series(ts: pd.Series, y: pd.Series, params: dict) -> dict:
         "beta_sin": [float(b) for b in beta[0::2]], "beta_cos": [float(b) for b in beta[1::2]],
         "sigma": sigma, "n_points": int(n),
         "train_start": pd.Timestamp(ts.min()).to_pydatetime(), "train_end": pd.Timestamp(ts.max()).to_pydatetime(),
+        "history_ts": [pd.Timestamp(t).to_pydatetime() for t in np.sort(ts.to_numpy())],
     }
 
 
@@ -208,29 +211,27 @@ def clip_request(hours: int, past_hours: int = 0) -> tuple:
     return hours, max(0, min(past_hours, min(hours // 3, MAX_PAST_CONTEXT_HOURS)))
 
 
-def forecast(models: DataFrame, as_of, hours: int = 24, past_hours: int = 0, keys=(), history: DataFrame | None = None,
-             ts: str = "timestamp") -> DataFrame:
+def forecast(models: DataFrame, as_of, hours: int = 24, past_hours: int = 0, keys=(), ts: str = "timestamp") -> DataFrame:
     """Hourly predictions in ``[as_of - past, as_of + hours]`` with an 80 % band.
 
-    The grid runs hourly from the end of training far enough to reach
-    ``as_of + hours``; history timestamps inside the window are included
-    (one row per hour, the first).  Predicted and lower values are clamped at 0.
+    Each model row expands to its own grid: its training timestamps inside
+    the window plus hourly steps from the end of training far enough to reach
+    ``as_of + hours``; one row per hour (the first) is kept.  Predicted and
+    lower values are clamped at 0.  No join: the grid is generated from the
+    model row itself.
     """
     hours, past = clip_request(hours, past_hours)
     now = F.lit(str(as_of)).cast("timestamp_ntz")
+    lo = now - F.make_dt_interval(hours=F.lit(past))
+    hi = now + F.make_dt_interval(hours=F.lit(hours))
     since_h = F.greatest(F.lit(0.0), (F.unix_micros(now.cast("timestamp")) -
                                       F.unix_micros(F.col("train_end").cast("timestamp"))).cast("double") / 3.6e9)
     periods = (F.floor(F.lit(float(hours)) + since_h) + 1).cast("int")
-    grid = models.withColumn("_i", F.explode(F.sequence(F.lit(1), periods))) \
-        .withColumn(ts, F.col("train_end") + F.make_dt_interval(hours=F.col("_i"))).drop("_i")
-    if history is not None:
-        # history timestamps inside the window are part of the grid as well
-        jk = list(keys) or ["_all"]
-        h = history if keys else history.withColumn("_all", F.lit(0))
-        grid = grid.unionByName(h.select(*jk, ts).join(models, jk, "inner"))
-    lo = now - F.make_dt_interval(hours=F.lit(past))
-    hi = now + F.make_dt_interval(hours=F.lit(hours))
-    grid = grid.filter((F.col(ts) >= lo) & (F.col(ts) <= hi))
+    future = F.transform(F.sequence(F.lit(1), periods),
+                         lambda i: F.col("train_end") + F.make_dt_interval(hours=i))
+    in_window = lambda t: (t >= lo) & (t <= hi)
+    grid_ts = F.filter(F.concat(F.col("history_ts"), future), in_window)
+    grid = models.withColumn(ts, F.explode(grid_ts))
     pred = grid.withColumn("yhat", model_value(F.col(ts)))
     band = F.lit(INTERVAL_Z) * F.col("sigma")
     hour = F.date_trunc("hour", F.col(ts)).cast("timestamp_ntz")

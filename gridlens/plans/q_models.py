@@ -162,15 +162,15 @@ register("fit_forecast_by_device", None, "forecast")(
 
 @register("forecast", None, "forecast")
 def q_forecast(spark, sf):
-    hm, model = _global_model(spark, sf)
-    return FC.forecast(model.persist(), AS_OF, FC_HOURS, FC_PAST, history=hm)
+    _, model = _global_model(spark, sf)
+    return FC.forecast(model.persist(), AS_OF, FC_HOURS, FC_PAST)
 
 
 @register("forecast_by_device", None, "forecast")
 def q_forecast_by_device(spark, sf):
     hm = S.hourly_mean(fx.readings(spark, sf), by_device=True)
     model = FC.fit_forecast(hm, keys=("device_id",)).persist()
-    return FC.forecast(model, AS_OF, FC_HOURS, FC_PAST, keys=("device_id",), history=hm)
+    return FC.forecast(model, AS_OF, FC_HOURS, FC_PAST, keys=("device_id",))
 
 
 @register("forecast_view", W(f"""

@@ -60,7 +60,7 @@ def test_forecast_invariants_and_skill(spark):
     full = _hourly(spark, 10)
     train = full.filter(F.col("timestamp") < dt.datetime(2024, 1, 9))
     model = FC.fit_forecast(train).persist()
-    fc = FC.forecast(model, "2024-01-09 00:00:00", 24, 6, history=train).collect()
+    fc = FC.forecast(model, "2024-01-09 00:00:00", 24, 6).collect()
     assert len(fc) == len({r.timestamp for r in fc}) == 24 + 6 + 1
     assert all(r.lower_bound <= r.predicted_power for r in fc)
     assert all(r.predicted_power >= 0 and r.lower_bound >= 0 for r in fc)
@@ -70,7 +70,7 @@ def test_forecast_invariants_and_skill(spark):
     naive = sum(abs(actual[r.timestamp - dt.timedelta(days=1)] - actual[r.timestamp])
                 for r in fut if r.timestamp in actual) / 24
     assert mae < naive
-    again = FC.forecast(FC.fit_forecast(train), "2024-01-09 00:00:00", 24, 6, history=train).collect()
+    again = FC.forecast(FC.fit_forecast(train), "2024-01-09 00:00:00", 24, 6).collect()
     assert sorted(fc) == sorted(again)
 
 
