@@ -150,3 +150,24 @@ SELECT id, seq, CASE WHEN m <> '' THEN 'missing: ' || m END AS reason FROM (
                                  CASE WHEN original_payload IS NULL OR original_payload = '' THEN 'originalPayload' END) AS m
   FROM env) t""", _RAW), "ingest")(
     lambda spark, sf: I.reject_invalid(I.wrap_messages(fx.raw_messages(spark, sf))).select("id", "seq", "reason"))
+
+
+@register("documents_to_readings", W("""
+SELECT CASE WHEN regexp_extract(_id, '-(\\d+)$', 1) <> '' THEN CAST(regexp_extract(_id, '-(\\d+)$', 1) AS BIGINT) END
+         AS reading_id,
+       _id AS doc_id, device_id, CAST(NULL AS VARCHAR) AS device_type, false AS is_simulated,
+       et IS NOT NULL AS has_energy, pts AS payload_ts, prc AS processing_ts, insert_ts,
+       coalesce(pts, prc) AS event_ts, CAST(coalesce(pts, prc) AS DATE) AS event_date,
+       CAST(json_extract(et, '$.Power') AS DOUBLE) AS power_w, CAST(json_extract(et, '$.Today') AS DOUBLE) AS today_kwh,
+       CAST(json_extract(et, '$.Voltage') AS DOUBLE) AS voltage_v,
+       CAST(json_extract(payload, '$.total_act_power') AS DOUBLE) AS meter_power_w
+FROM (
+  SELECT *, coalesce(json_extract(payload, '$.ENERGY'), json_extract(payload, '$.energy')) AS et,
+         CAST(timezone('UTC', TRY_CAST(payload->>'$.timestamp' AS TIMESTAMPTZ)) AS TIMESTAMP) AS pts,
+         CAST(timezone('UTC', TRY_CAST(processing_timestamp AS TIMESTAMPTZ)) AS TIMESTAMP) AS prc
+  FROM (SELECT coalesce(id, 'None') AS _id, device_id, original_payload AS payload, processing_timestamp,
+               enqueued_ts AS insert_ts
+        FROM env QUALIFY row_number() OVER (PARTITION BY coalesce(id, 'None') ORDER BY enqueued_ts, seq) = 1) s) t
+""", _RAW), "ingest")
+def q_documents_to_readings(spark, sf):
+    return I.documents_to_readings(I.store_messages(I.wrap_messages(fx.raw_messages(spark, sf))))

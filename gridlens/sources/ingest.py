@@ -170,3 +170,35 @@ def store_messages(envelopes: DataFrame, order_col: str = "enqueued_ts") -> Data
     return first.select("_id", "device_id", F.col("original_payload").alias("payload"),
                         "processing_timestamp", F.col("enqueued_ts").alias("insert_ts"),
                         F.coalesce("status", F.lit(DEFAULT_STATUS)).alias("status"))
+
+
+def _utc_ntz(text_col) -> F.Column:
+    """ISO-8601 text (with or without zone; 'T' or space) -> UTC TIMESTAMP_NTZ, NULL when unparsable."""
+    return F.to_utc_timestamp(F.try_to_timestamp(text_col), "UTC").cast("timestamp_ntz")
+
+
+def documents_to_readings(docs: DataFrame) -> DataFrame:
+    """Stored documents (S8: raw JSON payload) -> the typed ``readings`` table.
+
+    ``payload.timestamp`` (device time, optional) and the processing time are
+    ISO text; the energy object is ``ENERGY`` or the older ``energy``.  The
+    store's documents carry no device type, so it is left NULL (device lists
+    default it); three-phase payloads keep ``totalPower``.
+    """
+    top = F.from_json(F.col("payload"), "map<string,string>")
+    d = docs.withColumn("_top", top)
+    e_text = F.coalesce(F.col("_top")["ENERGY"], F.col("_top")["energy"])
+    d = d.withColumn("_e", F.from_json(e_text, _ENERGY))
+    processing = _utc_ntz(F.col("processing_timestamp"))
+    payload_ts = _utc_ntz(F.col("_top")["timestamp"])
+    event_ts = F.coalesce(payload_ts, processing)
+    seq = F.regexp_extract(F.col("_id"), r"-(\d+)$", 1)
+    return d.select(
+        F.when(seq != "", seq.cast("bigint")).alias("reading_id"),
+        F.col("_id").alias("doc_id"), "device_id", F.lit(None).cast("string").alias("device_type"),
+        F.lit(False).alias("is_simulated"), e_text.isNotNull().alias("has_energy"),
+        payload_ts.alias("payload_ts"), processing.alias("processing_ts"), F.col("insert_ts"),
+        event_ts.alias("event_ts"), F.to_date(event_ts).alias("event_date"),
+        F.col("_e.Power").alias("power_w"), F.col("_e.Today").alias("today_kwh"), F.col("_e.Voltage").alias("voltage_v"),
+        F.get_json_object(F.col("payload"), "$.total_act_power").cast("double").alias("meter_power_w"),
+    )

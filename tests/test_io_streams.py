@@ -58,3 +58,13 @@ def test_dual_sink_stream_matches_batch(spark):
     assert _same(ledger.select("id", "hash_value"), batch.select("id", F.col("current_hash").alias("hash_value")))
     q = spark.read.parquet(posixpath.join(base, "docs", "_quarantine"))
     assert q.count() > 0 and q.filter("reason IS NULL").count() == 0
+
+
+def test_cloud_path_documents_feed_reports(spark):
+    docs = I.store_messages(I.wrap_messages(fx.raw_messages(spark, SMALL)))
+    readings = I.documents_to_readings(docs)
+    assert readings.columns == READING_COLUMNS
+    rep = R.daily_report(readings).collect()
+    assert rep and all(r.energy >= 0 and r.tariff_type in ("low", "high") for r in rep)
+    # plug payloads without device time fall back to processing time
+    assert readings.filter("payload_ts IS NULL AND has_energy").filter("event_ts <> processing_ts").count() == 0
