@@ -135,3 +135,32 @@ def test_even_window_centre(spark):
     got = {r.t: r.expected for r in expected_value(df, "v", ["t"]).collect()}
     assert got[20] == pytest.approx(sum(range(8, 32)) / 24)   # rows -12 .. +11
     assert got[0] == pytest.approx(sum(range(0, 12)) / 12)
+
+
+def test_dashboard_cost_falls_back_to_estimate(spark):
+    # one reading only -> one hourly bucket -> no delta rows -> 60/40 estimate of energy today
+    rows = [("d", dt.datetime(2024, 1, 17, 9, 30), 10.0, 100.0)]
+    r = _readings(spark, rows)
+    as_of = "2024-01-17 10:00:00"
+    hourly = D.dashboard_hourly(r, as_of)
+    assert hourly.count() == 0
+    cost = D.dashboard_cost(hourly, D.dashboard_latest(r, as_of), as_of).first()
+    est = (10.0 * 0.6) * ((4.4376 + 5.5664) / 2) + (10.0 * 0.4) * 1.9765
+    assert cost.value == pytest.approx(math.floor(est * 100 + 0.5) / 100)
+    assert cost.confidence == "medium"                         # hour 10
+    assert cost.projected_daily == pytest.approx(math.floor(est / 10 * 24 * 100 + 0.5) / 100)
+
+
+def test_dashboard_cost_uses_hourly_deltas(spark):
+    day = dt.datetime(2024, 1, 17)                              # Wednesday
+    rows = [("d", day.replace(hour=8, minute=5), 1.0, 50.0), ("d", day.replace(hour=9, minute=5), 3.0, 60.0)]
+    r = _readings(spark, rows)
+    as_of = "2024-01-17 09:30:00"
+    cost = D.dashboard_cost(D.dashboard_hourly(r, as_of), D.dashboard_latest(r, as_of), as_of).first()
+    assert cost.value == pytest.approx(math.floor(2.0 * 4.4376 * 100 + 0.5) / 100)   # 2 kWh at 09:00, block 1
+    assert cost.projected_daily == pytest.approx(math.floor(cost.value / 9 * 24 * 100 + 0.5) / 100, abs=0.011)
+
+
+def test_summary_of_empty_report_is_empty(spark):
+    empty = spark.createDataFrame([], "period_start date, energy double, peak_power double, cost double")
+    assert R.report_summary(empty).count() == 0
