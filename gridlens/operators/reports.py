@@ -171,7 +171,7 @@ def period_comparison(summary: DataFrame, period: str, keys=()) -> DataFrame:
 
 # ---------------------------------------------------------------- A9 / A10
 def device_breakdown(readings: DataFrame, period: str = "monthly") -> DataFrame:
-    """Per period and device: sum of daily maxima, share %, max peak.
+    """Per period and device: sum of daily maxima, share %, max peak; largest consumer first.
 
     Periods with at most one device give no rows.  Period totals come from a
     separate aggregate joined back (tiny: one row per period), so no window
@@ -193,7 +193,9 @@ def device_breakdown(readings: DataFrame, period: str = "monthly") -> DataFrame:
                     F.coalesce("device_id", F.lit("unknown")).alias("device_id"),
                     js_round(F.coalesce("dev_energy", F.lit(0.0)), 2).alias("total_energy"),
                     share.cast("double").alias("percentage"),
-                    js_round(F.coalesce("dev_peak", F.lit(0.0)), 2).alias("peak_power"))
+                    js_round(F.coalesce("dev_peak", F.lit(0.0)), 2).alias("peak_power"),
+                    F.col("dev_energy").alias("_order")) \
+        .orderBy("period_start", F.col("_order").desc(), "device_id").drop("_order")
 
 
 def device_list(readings: DataFrame) -> DataFrame:
@@ -203,7 +205,7 @@ def device_list(readings: DataFrame) -> DataFrame:
         F.coalesce(F.min_by("device_type", first), F.lit("tasmota")).alias("device_type"),
         F.max("processing_ts").alias("last_seen"),
         F.coalesce(F.min_by("is_simulated", first), F.lit(False)).alias("is_simulated"),
-    ))
+    ).orderBy("device_id"))
 
 
 # ---------------------------------------------------------------- W8
