@@ -113,9 +113,11 @@ def _grow_tree(x: np.ndarray, rng: np.random.Generator, max_features: float, tre
     return rows
 
 
-def _build_tree(pdf: pd.DataFrame, n_features: int, max_features: float, seed: int) -> pd.DataFrame:
+def _build_tree(pdf: pd.DataFrame, n_features: int, max_features: float, seed: int, key: str = "row_key") -> pd.DataFrame:
     tree = int(pdf["tree"].iloc[0])
-    pdf = pdf.sort_values("_h").head(MAX_SAMPLES)
+    # stable order (hash, then row key): a recomputed task draws the same sample
+    order = ["_h", key] if key in pdf.columns else ["_h"]
+    pdf = pdf.sort_values(order, kind="mergesort").head(MAX_SAMPLES)
     x = np.vstack(pdf["f"].to_numpy()).astype(float)
     rows = _grow_tree(x, np.random.default_rng([seed, tree]), max_features, tree)
     return pd.DataFrame(rows, columns=[f.name for f in NODE_SCHEMA.fields])
@@ -139,7 +141,7 @@ def fit_isolation_forest(features: DataFrame, n_estimators: int = 100, max_featu
             .filter(F.col("_h") < p))
     nf = len(FEATURES)
     return spread_for_python(cand, "tree").groupBy("tree").applyInPandas(
-        lambda pdf: _build_tree(pdf, nf, max_features, seed), schema=NODE_SCHEMA)
+        lambda pdf: _build_tree(pdf, nf, max_features, seed, key), schema=NODE_SCHEMA)
 
 
 def pack_forest(nodes: pd.DataFrame) -> dict:
@@ -318,7 +320,7 @@ def tune_isolation_forest(features: DataFrame, grid: dict | None = None, seed: i
 
     def build(pdf):
         mf = float(pdf["mf"].iloc[0])
-        out = _build_tree(pdf, nf, mf, seed)
+        out = _build_tree(pdf, nf, mf, seed, key)
         out.insert(0, "mf", mf)
         return out
 
@@ -384,6 +386,7 @@ def fit_forests_by_key(features: DataFrame, keys=("device_id",), n_estimators: i
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) < MIN_TRAINING_ROWS:
             return pd.DataFrame(columns=[f.name for f in schema.fields])
+        pdf = pdf.sort_values(FEATURES, kind="mergesort")      # arrival order must not matter
         x = pdf[FEATURES].to_numpy(dtype=float)
         tag = zlib.crc32("|".join(str(pdf[k].iloc[0]) for k in keys).encode())   # stable across processes
         nodes = _fit_forest_np(x, n_estimators, max_features, seed, tag)
@@ -452,6 +455,7 @@ def fit_score_by_key(train: DataFrame, keys=("device_id",), score_from=None, sen
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) < MIN_TRAINING_ROWS or not pdf["_score"].any():
             return pd.DataFrame(columns=names)
+        pdf = pdf.sort_values(ts, kind="mergesort")           # arrival order must not matter
         x = pdf[FEATURES].to_numpy(dtype=float)
         tag = zlib.crc32("|".join(str(pdf[k].iloc[0]) for k in keys).encode())
         model = pack_forest(_fit_forest_np(x, n_estimators, max_features, seed, tag))

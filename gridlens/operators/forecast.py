@@ -280,7 +280,7 @@ def tune_forecast(series: DataFrame, grid: dict | None = None, n_splits: int = 4
     def fit_fold(pdf: pd.DataFrame) -> pd.DataFrame:
         head = pdf.iloc[0]
         train = pdf[pdf["role"] == "train"]
-        val = pdf[pdf["role"] == "validation"]
+        val = pdf[pdf["role"] == "validation"].sort_values(ts, kind="mergesort")
         try:
             m = fit_series(train[ts], train[value], {"changepoint_prior_scale": head["cps"],
                                                      "seasonality_prior_scale": head["sps"],
