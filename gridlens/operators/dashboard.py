@@ -138,8 +138,8 @@ def dashboard_cost(hourly: DataFrame, latest: DataFrame, as_of, tariff: Tariff =
     if by_device:
         j = base.join(tot, _k(by_device), "left")
     else:  # one household: both sides are single global aggregates -> scalar subqueries
-        j = base.select("energy_today", tot.select("total").scalar().alias("total"),
-                        tot.select("n_hours").scalar().alias("n_hours"))
+        t = tot.select(F.struct("total", "n_hours")).scalar()
+        j = base.select("energy_today", t.getField("total").alias("total"), t.getField("n_hours").alias("n_hours"))
     est = today_estimate(F.coalesce(F.col("energy_today"), F.lit(0.0)), hour, tariff)
     has = F.coalesce(F.col("n_hours"), F.lit(0)) > 0
     return j.select(

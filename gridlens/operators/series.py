@@ -86,8 +86,8 @@ def expanding_splits(series: DataFrame, n_splits: int = 4, min_train_days: int =
     belongs to with array arithmetic (no join); the span bounds are scalar
     subqueries.  Folds with an empty side are dropped and the rest renumbered.
     """
-    t0 = series.agg(F.min(ts)).scalar()
-    t1 = series.agg(F.max(ts)).scalar()
+    span = series.agg(F.struct(F.min(ts).alias("t0"), F.max(ts).alias("t1"))).scalar()
+    t0, t1 = span.getField("t0"), span.getField("t1")
     us_day = 86_400_000_000
     span_days = F.floor((F.unix_micros(t1.cast("timestamp")) - F.unix_micros(t0.cast("timestamp"))) / us_day)
     need = min_train_days + n_splits * validation_days
