@@ -71,8 +71,14 @@ def _wm(df: DataFrame, col: str, delay: str) -> DataFrame:
 
 
 def stream_ingest(raw_stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """S2-S6 on a stream plus first-write-wins on ``doc_id``."""
-    docs = I.normalize_messages(raw_stream)
+    """S2-S6 on a stream plus first-write-wins on ``doc_id``.
+
+    Per-batch input metrics (rows, newest processing time) are published as
+    observed metrics ``ingest_input``; rows dropped as late show up as
+    ``numRowsDroppedByWatermark`` in the query progress.
+    """
+    docs = I.normalize_messages(raw_stream).observe(
+        "ingest_input", F.count(F.lit(1)).alias("rows"), F.max("processing_ts").alias("max_processing_ts"))
     return _wm(docs, "processing_ts", delay).dropDuplicatesWithinWatermark(["doc_id"]).drop("_wm_ts")
 
 

@@ -68,3 +68,13 @@ def test_cloud_path_documents_feed_reports(spark):
     assert rep and all(r.energy >= 0 and r.tariff_type in ("low", "high") for r in rep)
     # plug payloads without device time fall back to processing time
     assert readings.filter("payload_ts IS NULL AND has_energy").filter("event_ts <> processing_ts").count() == 0
+
+
+def test_stream_ingest_publishes_input_metrics(spark):
+    base = ST.work_dir(spark, "t1")
+    src = ST.land_files(fx.raw_messages(spark, SMALL), posixpath.join(base, "in"), "enqueued_ts", files=2)
+    q = ST.run_to_table(ST.stream_ingest(ST.read_stream(spark, src, RAW_SCHEMA)), posixpath.join(base, "out"),
+                        posixpath.join(base, "chk"))
+    seen = [p["observedMetrics"]["ingest_input"]["rows"] for p in q.recentProgress
+            if "ingest_input" in p.get("observedMetrics", {})]
+    assert sum(seen) == I.normalize_messages(fx.raw_messages(spark, SMALL)).count()
