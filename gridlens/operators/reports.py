@@ -92,13 +92,35 @@ def _priced_days(readings: DataFrame, tariff: Tariff, by_device: bool) -> DataFr
              .withColumn("cost", reading_cost(F.col("energy"), noon_low, tariff=tariff)["cost"]))
 
 
-def weekly_report(readings: DataFrame, tariff: Tariff = DEFAULT_TARIFF, by_device: bool = False) -> DataFrame:
-    """A4: seven dense rows Mon..Sun for every ISO week with data; missing days NULL."""
+def _week_start(year: int, week: int):
+    import datetime as _dt
+    return _dt.date.fromisocalendar(int(year), int(week), 1)
+
+
+def _restrict(readings: DataFrame, start, end_exclusive) -> DataFrame:
+    """Rows of one requested period (F2, so the date bounds reach the scan)."""
+    return in_period(readings, F.lit(start).cast("timestamp_ntz"), F.lit(end_exclusive).cast("timestamp_ntz"))
+
+
+def weekly_report(readings: DataFrame, tariff: Tariff = DEFAULT_TARIFF, by_device: bool = False,
+                  year: int | None = None, week: int | None = None) -> DataFrame:
+    """A4: seven dense rows Mon..Sun per ISO week; missing days NULL.
+
+    Without ``year``/``week``: every week with data.  With them: that week
+    only, always seven rows (NULL when it has no data at all).
+    """
+    import datetime as _dt
+    if year is not None and week is not None:
+        ws = _week_start(year, week)
+        readings = _restrict(readings, ws, ws + _dt.timedelta(days=7))
     days = _priced_days(readings, tariff, by_device).withColumn("period_start", F.trunc("date", "week"))
     keys = [*_keys(by_device), "period_start"]
-    # Calendar: one row per (week, weekday), built from the distinct weeks only.
-    cal_rows = (days.select(*keys).distinct()
-                .withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(7))))
+    if year is not None and week is not None and not by_device:
+        weeks = days.sparkSession.range(1).select(F.lit(ws).cast("date").alias("period_start"))
+    else:
+        weeks = days.select(*keys).distinct()
+    # Calendar: one row per (week, weekday), built from the weeks only.
+    cal_rows = (weeks.withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(7))))
                 .withColumn("date", F.date_add("period_start", F.col("day") - 1)))
     names = F.array(*[F.lit(n) for n in cal.DAY_NAMES_MON_FIRST])
     return (cal_rows.join(days.select(*keys, "date", "energy", "peak_power", "cost"), [*keys, "date"], "left")
@@ -106,15 +128,25 @@ def weekly_report(readings: DataFrame, tariff: Tariff = DEFAULT_TARIFF, by_devic
                     "peak_power", "energy", "cost"))
 
 
-def monthly_report(readings: DataFrame, tariff: Tariff = DEFAULT_TARIFF, by_device: bool = False) -> DataFrame:
-    """A5: one row per day with data, grouped under its month."""
+def monthly_report(readings: DataFrame, tariff: Tariff = DEFAULT_TARIFF, by_device: bool = False,
+                   year: int | None = None, month: int | None = None) -> DataFrame:
+    """A5: one row per day with data, grouped under its month (or only ``year``-``month``)."""
+    import datetime as _dt
+    if year is not None and month is not None:
+        ms = _dt.date(int(year), int(month), 1)
+        nxt = _dt.date(ms.year + (ms.month == 12), ms.month % 12 + 1, 1)
+        readings = _restrict(readings, ms, nxt)
     days = _priced_days(readings, tariff, by_device)
     return days.select(*_keys(by_device), F.trunc("date", "month").alias("period_start"),
                        F.col("day_of_month").alias("day"), "date", "peak_power", "energy", "cost")
 
 
-def yearly_report(readings: DataFrame, tariff: Tariff = DEFAULT_TARIFF, by_device: bool = False) -> DataFrame:
-    """Months of every year: sum of unrounded daily energy, sum of daily costs, max peak."""
+def yearly_report(readings: DataFrame, tariff: Tariff = DEFAULT_TARIFF, by_device: bool = False,
+                  year: int | None = None) -> DataFrame:
+    """Months of every year (or of ``year``): sum of unrounded daily energy, sum of daily costs, max peak."""
+    import datetime as _dt
+    if year is not None:
+        readings = _restrict(readings, _dt.date(int(year), 1, 1), _dt.date(int(year) + 1, 1, 1))
     d = daily_max(readings, by_device)
     raw = F.coalesce("max_energy", F.lit(0.0))
     noon_low = is_low_tariff_parts(F.col("day_of_week"), F.lit(12))
@@ -225,3 +257,50 @@ def dense_series(report: DataFrame, period: str) -> DataFrame:
         vals = report.select("period_start", "date", "peak_power")
         out = slots.join(vals, ["period_start", "date"], "left")
     return out.select("period_start", "slot_ts", "peak_power")
+
+
+# ---------------------------------------------------------------- one-request form
+def generate_report(readings: DataFrame, report_type: str = "daily", date=None, year: int | None = None,
+                    week: int | None = None, month: int | None = None, tariff: Tariff = DEFAULT_TARIFF) -> dict:
+    """Report of one requested period with its summary, comparison and device breakdown.
+
+    Returns DataFrames ``data``, ``summary``, ``comparison`` (empty when the
+    previous period has no rows, except weekly) and ``device_breakdown``
+    (empty with at most one device), like one report request of the reference.
+    All four are lazy; the current and previous period come from one scan.
+    """
+    import datetime as _dt
+    kind = report_type.lower()
+    if kind == "daily":
+        d = _dt.date.fromisoformat(str(date)[:10])
+        start, prev = d, d - _dt.timedelta(days=1)
+        cur_rows = daily_report(readings, date=d, tariff=tariff)
+        prev_rows = daily_report(readings, date=prev, tariff=tariff)
+        end = d + _dt.timedelta(days=1)
+    elif kind == "weekly":
+        start = _week_start(year, week)
+        prev = start - _dt.timedelta(days=7)
+        end = start + _dt.timedelta(days=7)
+        cur_rows = weekly_report(readings, tariff, year=year, week=week)
+        p_iso = prev.isocalendar()
+        prev_rows = weekly_report(readings, tariff, year=p_iso[0], week=p_iso[1])
+    elif kind == "monthly":
+        start = _dt.date(int(year), int(month), 1)
+        prev = _dt.date(start.year - (start.month == 1), (start.month - 2) % 12 + 1, 1)
+        end = _dt.date(start.year + (start.month == 12), start.month % 12 + 1, 1)
+        cur_rows = monthly_report(readings, tariff, year=year, month=month)
+        prev_rows = monthly_report(readings, tariff, year=prev.year, month=prev.month)
+    elif kind == "yearly":
+        start, prev = _dt.date(int(year), 1, 1), _dt.date(int(year) - 1, 1, 1)
+        end = _dt.date(int(year) + 1, 1, 1)
+        cur_rows = yearly_report(readings, tariff, year=year)
+        prev_rows = yearly_report(readings, tariff, year=year - 1)
+    else:
+        raise ValueError(f"Invalid report type: {report_type}")
+    summary = report_summary(cur_rows, tariff)
+    both = summary.unionByName(report_summary(prev_rows, tariff))
+    comparison = period_comparison(both, kind).filter(F.col("period_start") == F.lit(start))
+    if kind != "weekly":
+        comparison = comparison.filter(F.col("label").isNotNull())
+    breakdown = device_breakdown(_restrict(readings, start, end), "yearly" if kind == "yearly" else kind)
+    return {"data": cur_rows, "summary": summary, "comparison": comparison, "device_breakdown": breakdown}

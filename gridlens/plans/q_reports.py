@@ -246,3 +246,34 @@ FROM (SELECT DISTINCT period_start FROM monthly) s,
 LEFT JOIN monthly m ON m.period_start = s.period_start AND m.date = CAST(g.d AS DATE)""", _MONTHLY), "reports")
 def q_dense_series_monthly(spark, sf):
     return R.dense_series(R.monthly_report(fx.meter_days(spark, sf)), "monthly")
+
+
+# ------------------------------------------------------------------ one requested period (reference request form)
+def _priced_sql(src: str, lo: str, hi: str) -> str:
+    dm = _DAILY.format(src=f"(SELECT * FROM {src} WHERE event_ts >= TIMESTAMP '{lo}' AND event_ts < TIMESTAMP '{hi}')")
+    return dm + f""",
+pd AS (
+  SELECT *, {O.reading_cost('energy', _NOON_LOW)['cost']} AS cost FROM (
+    SELECT *, {O.js_round('coalesce(max_energy, 0.0e0)', 2)} AS energy,
+           {O.js_round('coalesce(max_power, 0.0e0)', 2)} AS peak_power FROM dm) x)"""
+
+
+def _week_sql(week_start: str, week_end: str) -> str:
+    return W(f"""
+SELECT DATE '{week_start}' AS period_start, CAST(d AS INTEGER) AS day,
+       (['Mon','Tue','Wed','Thu','Fri','Sat','Sun'])[CAST(d AS INTEGER)] AS day_name,
+       DATE '{week_start}' + CAST(d AS INTEGER) - 1 AS date, p.peak_power, p.energy, p.cost
+FROM range(1, 8) t(d) LEFT JOIN pd p ON p.date = DATE '{week_start}' + CAST(d AS INTEGER) - 1""",
+             _priced_sql("readings", f"{week_start} 00:00:00", f"{week_end} 00:00:00"))
+
+
+register("weekly_report_for_week", _week_sql("2024-01-15", "2024-01-22"), "reports")(
+    lambda spark, sf: R.weekly_report(fx.readings(spark, sf), year=2024, week=3))
+register("weekly_report_empty_week", _week_sql("2024-03-04", "2024-03-11"), "reports")(
+    lambda spark, sf: R.weekly_report(fx.readings(spark, sf), year=2024, week=10))
+register("monthly_report_for_month", W("""
+SELECT CAST(date_trunc('month', date) AS DATE) AS period_start, day_of_month AS day, date, peak_power, energy, cost
+FROM pd""", _priced_sql("meter_days", "1998-12-01 00:00:00", "1999-01-01 00:00:00")), "reports")(
+    lambda spark, sf: R.monthly_report(fx.meter_days(spark, sf), year=1998, month=12))
+register("yearly_report_for_year", W("SELECT * FROM yearly WHERE period_start = DATE '1998-01-01'", _YEARLY), "reports")(
+    lambda spark, sf: R.yearly_report(fx.meter_days(spark, sf), year=1998))

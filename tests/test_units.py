@@ -164,3 +164,21 @@ def test_dashboard_cost_uses_hourly_deltas(spark):
 def test_summary_of_empty_report_is_empty(spark):
     empty = spark.createDataFrame([], "period_start date, energy double, peak_power double, cost double")
     assert R.report_summary(empty).count() == 0
+
+
+def test_generate_report_one_week(spark):
+    from conftest import SMALL
+    from gridlens.sources import fixtures as fx
+    r = fx.readings(spark, SMALL)
+    rep = R.generate_report(r, "weekly", year=2024, week=3)
+    assert rep["data"].count() == 7
+    s = rep["summary"].first()
+    assert s.currency == "MKD" and s.total_energy >= 0
+    c = rep["comparison"].first()
+    assert c.label == "vs last week" and str(c.prev_period_start) == "2024-01-08"
+    empty = R.generate_report(r, "weekly", year=2024, week=10)
+    assert empty["data"].filter("energy IS NOT NULL").count() == 0
+    e = empty["summary"].first()
+    assert (e.total_energy, e.peak_power, e.total_cost) == (0.0, 0.0, 0.0)
+    with pytest.raises(ValueError):
+        R.generate_report(r, "hourly")
