@@ -134,7 +134,8 @@ def fit_isolation_forest(features: DataFrame, n_estimators: int = 100, max_featu
     want = float(OVERSAMPLE * MAX_SAMPLES)
     q = F.least(F.lit(1.0), F.lit(n_estimators * want) / n)            # any-tree pre-filter rate
     p = F.least(F.lit(1.0), F.lit(want) / (q * n))                      # per-tree rate after it
-    pre = features.filter(_unit_hash(F.lit(seed), F.lit(-1), F.col(key)) < q)
+    # fewer than 48 training rows: no forest (every row then scores as normal)
+    pre = features.filter((n >= MIN_TRAINING_ROWS) & (_unit_hash(F.lit(seed), F.lit(-1), F.col(key)) < q))
     cand = (pre.select(F.col(key), F.array(*[F.col(c).cast("double") for c in FEATURES]).alias("f"),
                        F.explode(F.sequence(F.lit(0), F.lit(n_estimators - 1))).alias("tree"))
             .withColumn("_h", _unit_hash(F.lit(seed), F.col("tree"), F.col(key)))

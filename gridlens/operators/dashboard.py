@@ -150,3 +150,27 @@ def dashboard_cost(hourly: DataFrame, latest: DataFrame, as_of, tariff: Tariff =
         F.when(has, F.when(hour > 0, js_round(F.col("total") / hour * F.lit(24.0), 2)).otherwise(F.col("total")))
          .otherwise(est["projected_daily"]).alias("projected_daily"),
     )
+
+
+def generate_dashboard(readings: DataFrame, as_of, device_id: str | None = None, device_type: str | None = None,
+                       tariff: Tariff = DEFAULT_TARIFF, by_device: bool = False) -> dict:
+    """All dashboard answers of one request: ``latest``, ``hourly``, ``daily``, ``today``, ``cost``.
+
+    The 7-day frame is filtered once and persisted (the reference's single
+    faceted pipeline); the five small plans read it.  Call ``unpersist`` on
+    ``frame`` when done.
+    """
+    from pyspark import StorageLevel
+    frame = recent_frame(readings, as_of, device_id, device_type).persist(StorageLevel.MEMORY_AND_DISK)
+    # the frame is already filtered: pass it on with filters that keep every row
+    keep = {"device_type": device_type} if device_type else {}
+    latest = dashboard_latest(frame, as_of, by_device, **keep)
+    hourly = dashboard_hourly(frame, as_of, by_device, **keep)
+    return {
+        "frame": frame,
+        "latest": latest,
+        "hourly": hourly,
+        "daily": dashboard_daily(frame, as_of, by_device, **keep),
+        "today": dashboard_today(frame, as_of, by_device, **keep),
+        "cost": dashboard_cost(hourly, latest, as_of, tariff, by_device),
+    }

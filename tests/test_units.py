@@ -182,3 +182,24 @@ def test_generate_report_one_week(spark):
     assert (e.total_energy, e.peak_power, e.total_cost) == (0.0, 0.0, 0.0)
     with pytest.raises(ValueError):
         R.generate_report(r, "hourly")
+
+
+def test_generate_dashboard_matches_parts(spark):
+    from conftest import SMALL
+    from gridlens.sources import fixtures as fx
+    r = fx.readings(spark, SMALL)
+    as_of = "2024-01-30 18:00:00"
+    dash = D.generate_dashboard(r, as_of)
+    for name, part in (("latest", D.dashboard_latest(r, as_of)), ("hourly", D.dashboard_hourly(r, as_of)),
+                       ("daily", D.dashboard_daily(r, as_of)), ("today", D.dashboard_today(r, as_of))):
+        assert sorted(map(tuple, dash[name].collect())) == sorted(map(tuple, part.collect())), name
+    assert dash["cost"].count() == 1
+    dash["frame"].unpersist()
+
+
+def test_forest_needs_48_rows(spark):
+    from gridlens.operators import anomaly as M
+    rows = [(dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), float(i % 7), i) for i in range(30)]
+    df = spark.createDataFrame(rows, "timestamp timestamp_ntz, value double, reading_id long")
+    feats = M.anomaly_features(df).withColumnRenamed("reading_id", "row_key")
+    assert M.fit_isolation_forest(feats, n_estimators=5).count() == 0
