@@ -36,6 +36,7 @@ FEATURES = ["value", "hour_sin", "hour_cos", "dow_sin", "dow_cos", "rolling_mean
 
 # Fixed values of the detector.
 MAX_SAMPLES = 256
+DEFAULT_CONTAMINATION = 0.01   # default forest parameters: offset = 1st percentile of training scores
 OVERSAMPLE = 4                 # expected candidates per tree = OVERSAMPLE * MAX_SAMPLES
 AUTO_OFFSET = -0.5             # offset when contamination is "auto"
 MIN_TRAINING_ROWS = 48
@@ -248,8 +249,21 @@ def classify_anomalies(df: DataFrame, threshold: F.Column, actual: str = "value"
 
 
 def detect_anomalies(df: DataFrame, forest: DataFrame, sensitivity: float = 0.8,
-                     offset: F.Column | float = AUTO_OFFSET, order_cols=("timestamp",)) -> DataFrame:
-    """M5: features -> score -> threshold -> classification on a bounded recent frame."""
+                     offset: F.Column | float | None = None, order_cols=("timestamp",),
+                     train_features: DataFrame | None = None,
+                     contamination=DEFAULT_CONTAMINATION) -> DataFrame:
+    """M5: features -> score -> threshold -> classification on a bounded recent frame.
+
+    The decision offset is ``offset`` when given, else the ``contamination``
+    quantile of the training rows' scores (``train_features``), else -0.5.
+    """
+    if offset is None:
+        if train_features is not None and contamination not in (None, "auto"):
+            train_scored = train_features.withColumn(
+                "raw_score", _scorer(df.sparkSession, forest)(F.array(*[F.col(c).cast("double") for c in FEATURES])))
+            offset = training_offset(train_scored, contamination)
+        else:
+            offset = AUTO_OFFSET
     feats = anomaly_features(df, order_cols=order_cols)
     scored = score_isolation_forest(feats, forest, offset)
     scored = expected_value(scored, "value", order_cols).persist(StorageLevel.MEMORY_AND_DISK)
@@ -436,7 +450,7 @@ def score_by_key(features: DataFrame, forests: DataFrame, keys=("device_id",), s
 
 def fit_score_by_key(train: DataFrame, keys=("device_id",), score_from=None, sensitivity: float = 0.8,
                      n_estimators: int = 100, max_features: float = 1.0, seed: int = 42,
-                     ts: str = "timestamp") -> DataFrame:
+                     ts: str = "timestamp", contamination=DEFAULT_CONTAMINATION) -> DataFrame:
     """M2+M3 per key in one grouped pass: fit on the key's rows, score those at/after ``score_from``.
 
     The forest never leaves the Python worker (no node table shuffle); a group
@@ -460,9 +474,13 @@ def fit_score_by_key(train: DataFrame, keys=("device_id",), score_from=None, sen
         x = pdf[FEATURES].to_numpy(dtype=float)
         tag = zlib.crc32("|".join(str(pdf[k].iloc[0]) for k in keys).encode())
         model = pack_forest(_fit_forest_np(x, n_estimators, max_features, seed, tag))
-        rows = pdf[pdf["_score"]].copy()
-        raw = score_samples_np(rows[FEATURES].to_numpy(dtype=float), model)
-        d = raw - AUTO_OFFSET
+        raw_all = score_samples_np(x, model)
+        off = (AUTO_OFFSET if contamination in (None, "auto")
+               else float(np.percentile(raw_all, 100.0 * float(contamination))))
+        mask = pdf["_score"].to_numpy(dtype=bool)
+        rows = pdf[mask].copy()
+        raw = raw_all[mask]
+        d = raw - off
         lo, hi = d.min(), d.max()
         norm = np.zeros_like(d) if hi == lo else 1.0 - (d - lo) / (hi - lo)
         rows["raw_score"], rows["decision"], rows["is_outlier"], rows["anomaly_score"] = raw, d, d < 0, norm

@@ -85,7 +85,8 @@ def q_score_forest(spark, sf):
 def q_detect(spark, sf):
     train = _train_features(spark, sf)
     forest = M.fit_isolation_forest(train).persist()
-    return M.detect_anomalies(_recent(spark, sf, DETECT_HOURS, DETECT_LIMIT), forest, SENSITIVITY, order_cols=ORDER)
+    return M.detect_anomalies(_recent(spark, sf, DETECT_HOURS, DETECT_LIMIT), forest, SENSITIVITY, order_cols=ORDER,
+                              train_features=train)
 
 
 # ------------------------------------------------------------------ M4-M7 on given scores (oracle)

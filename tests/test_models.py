@@ -99,3 +99,10 @@ def test_fleet_detection_finds_planted_spike_per_device(spark):
     out = M.detect_anomalies_by_device(hourly, base + dt.timedelta(hours=7 * 24), n_estimators=50).collect()
     assert any(r.device_id == "b" and r.actual_power == 5000.0 and r.anomaly_type == "spike" for r in out)
     assert all(r.device_id == "b" for r in out if r.actual_power >= 5000.0)
+
+
+def test_planted_spike_found_with_default_contamination(spark):
+    train = M.anomaly_features(_series(spark)).withColumnRenamed("reading_id", "row_key")
+    forest = M.fit_isolation_forest(train, n_estimators=50).persist()
+    anoms = M.detect_anomalies(_series(spark, spike_at=500), forest, sensitivity=0.8, train_features=train).collect()
+    assert any(a.actual_power == 6000.0 and a.anomaly_type == "spike" for a in anoms)
