@@ -36,9 +36,18 @@ def reading_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"),
     )
     # Synthesise the device's own midnight-resetting counter (ENERGY.Today) as a
-    # running sum per device-day.  Real readings carry this counter from the
-    # device; only this test-data derivation needs the window.
-    day = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id") \
+    # running sum per device-day (real readings carry it from the device).  A
+    # hot device-day is split by hour: hour totals (partial aggregate), their
+    # prefix per device-day (<= 24 rows), plus a running sum inside each
+    # device-hour -- no task ever holds a whole device-day.
+    base = base.withColumn("_day", F.to_date("ts")).withColumn("_hour", F.hour("ts"))
+    hours = base.groupBy("user_id", "_day", "_hour").agg(F.sum("cents").alias("_hsum"))
+    before = Window.partitionBy("user_id", "_day").orderBy("_hour") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    offsets = hours.select("user_id", "_day", "_hour",
+                           F.coalesce(F.sum("_hsum").over(before), F.lit(0)).alias("_offset"))
+    base = base.join(offsets, ["user_id", "_day", "_hour"])
+    day = Window.partitionBy("user_id", "_day", "_hour").orderBy("ts", "event_id") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     no_dev_time = (F.col("event_id") % NO_DEVICE_TIME_MOD) == 0
     processing = F.col("ts") + F.expr(f"INTERVAL {PROCESSING_DELAY_S} SECOND")
@@ -56,7 +65,7 @@ def reading_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("ts") + F.expr(f"INTERVAL {INSERT_DELAY_S} SECOND")).alias("insert_ts"),
         event_ts.alias("event_ts"),
         F.col("cents").alias("power_dw"),
-        F.sum("cents").over(day).cast("bigint").alias("today_ch"),
+        (F.col("_offset") + F.sum("cents").over(day)).cast("bigint").alias("today_ch"),
         (F.lit(220) + F.col("k") % 20).alias("voltage"),
     )
     he = F.col("has_energy")
