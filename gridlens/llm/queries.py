@@ -10,6 +10,16 @@ def op7_compression_bands(spark, sf_dir):
     return compression_bands(table(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece(spark, sf_dir):
+    """Encode every document, decode what came out, and digest both."""
+    from pyspark.sql import functions as F
+    from . import pieces
+    encoded = pieces.encode(table(spark, sf_dir, "documents")).withColumn("ids_sha256", F.sha2(F.array_join("piece_ids", " "), 256))
+    decoded = pieces.decode(encoded, keep=("text_sha256", "ids_sha256"))
+    return decoded.select("doc_id", "n_pieces", "n_byte_pieces", "ids_sha256", F.length("text").cast("long").alias("n_chars"),
+                          (F.sha2("text", 256) == F.col("text_sha256")).alias("round_trip"))
+
+
 def queries() -> dict:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
