@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from .common import table
+from .common import shared_dir, table
+
+OP8 = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_compression_bands(spark, sf_dir):
@@ -10,6 +12,18 @@ def op7_compression_bands(spark, sf_dir):
     return compression_bands(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark, sf_dir):
+    """Write every page as a WARC record below the shared folder, then read the archives back."""
+    from pyspark.sql import functions as F
+    from . import warc
+    folder = shared_dir(spark, "warc")
+    rows = warc.with_revisits(table(spark, sf_dir, "pages"))
+    warc.write_archives(rows, folder).agg(F.sum("records")).collect()  # one number: writing is over
+    back = warc.read_archives(spark, folder).filter("record_type in ('response', 'revisit')")
+    number = lambda c: F.nullif(F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1), F.lit("")).cast("long")
+    return back.withColumn("page_id", number("record_id")).withColumn("refers_to", number("refers_to")).select(*OP8)
+
+
 def op10_sentencepiece(spark, sf_dir):
     """Encode every document, decode what came out, and digest both."""
     from pyspark.sql import functions as F
