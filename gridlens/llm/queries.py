@@ -7,6 +7,15 @@ from .common import shared_dir, table
 OP8 = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_chat_formatting(spark, sf_dir):
+    """Every conversation and conversation -1, whose texts look like the template's own marks."""
+    from . import chat
+    marks = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digests(chat.format_chats(rows))
+
+
 def op7_compression_bands(spark, sf_dir):
     from .compression import compression_bands
     return compression_bands(table(spark, sf_dir, "documents"))
