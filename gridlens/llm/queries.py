@@ -7,6 +7,15 @@ from .common import shared_dir, table
 OP8 = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: Rules of the op1 query, as (verdict, host/path).
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op1_url_filters(spark, sf_dir):
+    from . import urls
+    return urls.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), RULES)
+
+
 def op2_chat_formatting(spark, sf_dir):
     """Every conversation and conversation -1, whose texts look like the template's own marks."""
     from . import chat
