@@ -42,6 +42,11 @@ def op8_warc(spark, sf_dir):
     return back.withColumn("page_id", number("record_id")).withColumn("refers_to", number("refers_to")).select(*OP8)
 
 
+def op9_html_extraction(spark, sf_dir):
+    from . import wrapper
+    return wrapper.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_sentencepiece(spark, sf_dir):
     """Encode every document, decode what came out, and digest both."""
     from pyspark.sql import functions as F
