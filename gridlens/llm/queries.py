@@ -25,6 +25,24 @@ def op2_chat_formatting(spark, sf_dir):
     return chat.digests(chat.format_chats(rows))
 
 
+def op4_language_id(spark, sf_dir):
+    """Every document; its metadata declares a language, its source stands for the host."""
+    from pyspark.sql import functions as F
+    from . import langid
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs), declared=F.col("lang"), host=F.col("source"))
+
+
+def language_id_pages(spark, sf_dir):
+    """Every page: markup language, address suffix and host beside the text."""
+    from pyspark.sql import functions as F
+    from . import langid, urls
+    pages = table(spark, sf_dir, "pages")
+    host = urls.parse(F.col("url"))[0]
+    return langid.identify(pages, langid.fit(table(spark, sf_dir, "documents")), "page_id", langid.page_text(F.col("html")),
+                           langid.declared_in(F.col("html")), host, F.substring_index(host, ".", -1)).withColumnRenamed("doc_id", "page_id")
+
+
 def op7_compression_bands(spark, sf_dir):
     from .compression import compression_bands
     return compression_bands(table(spark, sf_dir, "documents"))
@@ -59,7 +77,8 @@ def op10_sentencepiece(spark, sf_dir):
 
 def queries() -> dict:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
-    return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
+    found = dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
+    return found | {"language_id_pages": language_id_pages}
 
 
 def oracle_sql() -> dict:
