@@ -43,6 +43,11 @@ def language_id_pages(spark, sf_dir):
                            langid.declared_in(F.col("html")), host, F.substring_index(host, ".", -1)).withColumnRenamed("doc_id", "page_id")
 
 
+def op5_minhash(spark, sf_dir):
+    from . import minhash
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_compression_bands(spark, sf_dir):
     from .compression import compression_bands
     return compression_bands(table(spark, sf_dir, "documents"))
