@@ -48,6 +48,13 @@ def op5_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from . import suffix
+    out = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("rest", 256).alias("kept_sha256"))
+
+
 def op7_compression_bands(spark, sf_dir):
     from .compression import compression_bands
     return compression_bands(table(spark, sf_dir, "documents"))
