@@ -9,13 +9,13 @@ at the limit of 0.85 with r = 4, m = 14.
 1. Documents with equal sets are one node (128-bit set hash and size).
 2. A node that shares no A_i with any other meets nobody in the tables (i, j), so B_j is joined on
    only where A_i collides.
-3. In each bucket, nodes are verified against a pivot, never all pairs; verified links make
-   components.  ``PIVOT_ROUNDS`` rounds with other pivots look only at buckets that still hold
-   several components; a last round verifies every pair of nodes of different components that
-   still share a bucket, so no candidate is left out.  Pairs whose sizes exclude a link, or that
-   were rejected before, aren't verified.
-4. Verification is exact, on full sets: a pivot's set meets its members' sets one by one, in
-   chunks of a bounded number of members.
+3. Each bucket has a pivot (its node of least hash); its nodes are verified against the pivot, never
+   all pairs.  Verification is exact, on full sets: a pivot's set meets its members' sets one by one.
+4. Nodes X and Y that met pivot P without both being linked to it may still be linked with each
+   other.  With D(X) the symmetric difference of X and P, |X n Y| follows from |D(X) n D(Y)|, and a
+   node that isn't linked with P must share an element of D with any partner.  So D(X) is looked up
+   in an inverted index of the members' differences: exact overlaps without expanding pairs, in
+   blocks of bounded size.  Only links between different components come back.
 
 Cases: null texts count as empty; empty sets are linked with nothing; rows without an id are kept,
 linked with nothing, and have a null component; rows that share an id are judged by their own
@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from .common import U, as_text, mix, shingle_sets, stored, text_slices
 from .graph import components
 
-PIVOT_ROUNDS, CHUNK = 2, 512
+#: Members that meet one copy of a pivot's set, and bytes of differences in a block.
+CHUNK, BLOCK_BYTES = 512, 8 << 20
 #: Bytes of candidate ids up to which they are sent to all executors; beyond, texts are joined by shuffle.
 BROADCAST_BYTES, ID_BYTES = 64 << 20, 32
 
@@ -91,15 +92,15 @@ def signatures(docs: DataFrame, p: Near) -> DataFrame:
 
 
 def buckets(nodes: DataFrame, p: Near) -> DataFrame:
-    """(bucket, node, n): the table keys that at least two nodes share."""
-    a = nodes.select("node", "n", "keys", F.explode(F.slice("keys", 1, p.m)).alias("a"))  # a key holds its own number
-    thin = a.select("a")
-    shared = thin.groupBy("a").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("a").alias("a_shared"))
-    alive = a.join(shared, F.col("a") == F.col("a_shared"), "left_semi")
-    keys = alive.select("node", "n", "a", F.explode(F.slice("keys", p.m + 1, p.m)).alias("b")).select(F.xxhash64("a", "b").alias("bucket"), "node", "n")
+    """(bucket, node): the table keys that at least two nodes share."""
+    a = nodes.select(F.explode(F.slice("keys", 1, p.m)).alias("a"), "node")  # a key holds its own number
+    shared = a.groupBy(F.col("a").alias("a_shared")).agg(F.count("*").alias("k")).filter("k > 1").select("a_shared")
+    alive = a.join(shared, F.col("a") == F.col("a_shared"), "left_semi").groupBy(F.col("node").alias("a_node")).agg(F.collect_list("a").alias("own"))
+    both = nodes.select("node", F.slice("keys", p.m + 1, p.m).alias("b")).join(alive, F.col("node") == F.col("a_node"))
+    keys = both.select("node", "b", F.explode("own").alias("a")).select("node", "a", F.explode("b").alias("b")).select(F.xxhash64("a", "b").alias("bucket"), "node")
     keys = stored(keys, "buckets")
     twice = keys.groupBy(F.col("bucket").alias("b_shared")).agg(F.count("*").alias("k")).filter("k > 1").select("b_shared")
-    return stored(keys.join(twice, F.col("bucket") == F.col("b_shared"), "left_semi"), "buckets")
+    return keys.join(twice, F.col("bucket") == F.col("b_shared"), "left_semi")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, p: Near) -> DataFrame:
@@ -121,71 +122,124 @@ def sets_of(docs: DataFrame, wanted: DataFrame, p: Near) -> DataFrame:
     return stored(rows.mapInArrow(run, "node long, members binary").dropDuplicates(["node"]), "sets")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, p: Near) -> DataFrame:
-    """(node, pivot, linked) of (node, pivot) pairs, by exact intersection of full sets."""
+def verify(pairs: DataFrame, sets: DataFrame, p: Near, differences: bool = False) -> DataFrame:
+    """(node, pivot, n, p_n, linked) of (node, pivot) pairs, by exact intersection of full sets.
+
+    With ``differences``, also ``diff``: the symmetric difference of both sets.
+    """
     sizes = pairs.groupBy(F.col("pivot").alias("c_pivot")).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     dealt = pairs.join(sizes, F.col("pivot") == F.col("c_pivot")).select("node", "pivot", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"))
     own = sets.select(F.col("node").alias("s_node"), "members")
     members = dealt.join(own, F.col("node") == F.col("s_node")).select("pivot", "chunk", "node", "members")
     heads = dealt.select("pivot", "chunk").distinct().join(own, F.col("pivot") == F.col("s_node")).select("pivot", "chunk", F.lit(None).cast("long").alias("node"), "members")
     rows = members.union(heads).repartition("pivot", "chunk").sortWithinPartitions("pivot", "chunk", F.col("node").asc_nulls_first())
+    names = ["node", "pivot", "n", "p_n", "linked"] + ["diff"] * differences
 
     def run(batches):
         head, of = np.zeros(0, U), None
         for batch in batches:
-            out = ([], [], [])
+            out, diffs = ([], [], [], [], []), []
             for pivot, node, members in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
                 values = np.frombuffer(members.as_buffer(), U)
                 if node is None:
                     head, of = values, pivot
                     continue
                 assert of == pivot, "a pivot's set comes first"
-                small, large = (values, head) if len(values) < len(head) else (head, values)
-                at = np.searchsorted(large, small)
-                both = int(np.count_nonzero(large[np.minimum(at, len(large) - 1)] == small)) if len(large) else 0
-                out[0].append(node)
-                out[1].append(pivot)
-                out[2].append(p.den * both >= p.num * (len(values) + len(head) - both))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], names=["node", "pivot", "linked"])
+                hit = np.zeros(len(values), bool)
+                if len(head):
+                    at = np.searchsorted(head, values)
+                    hit = head[np.minimum(at, len(head) - 1)] == values
+                both = int(np.count_nonzero(hit))
+                for c, x in zip(out, (node, pivot, len(values), len(head), p.den * both >= p.num * (len(values) + len(head) - both))):
+                    c.append(x)
+                if differences:
+                    left = np.ones(len(head), bool)
+                    left[at[hit]] = False
+                    diffs.append(np.concatenate([values[~hit], head[left]]).tobytes())
+            columns = [pa.array(c, pa.int64()) for c in out[:4]] + [pa.array(out[4], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(diffs, pa.binary())] * differences, names=names)
+
+    return rows.mapInArrow(run, "node long, pivot long, n long, p_n long, linked boolean" + ", diff binary" * differences)
+
+
+def partners(rows: list[tuple], first: int, second: int, p: Near) -> list[tuple[int, int]]:
+    """Links between different components of one pivot's members, of blocks ``first`` and ``second``.
+
+    Rows are (block, node, component, n, linked with the pivot, differences from the pivot).
+    """
+    diffs = [np.frombuffer(r[5], U) for r in rows]
+    block, comp, n = (np.array([r[i] for r in rows], np.int64) for i in (0, 2, 3))
+    d = np.array([len(x) for x in diffs], np.int64)
+    owner = np.repeat(np.arange(len(rows)), d)
+    values = np.concatenate(diffs) if len(owner) else np.zeros(0, U)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    out = []
+    for x in np.flatnonzero(~np.array([r[4] for r in rows], bool)):
+        a, b = np.searchsorted(values, diffs[x], "left"), np.searchsorted(values, diffs[x], "right")
+        many = np.flatnonzero(b - a > 1)  # elements of others, too
+        if not len(many):
+            continue
+        shared = np.bincount(np.concatenate([owner[i:j] for i, j in zip(a[many], b[many])]), minlength=len(rows))
+        apart = d[x] + d - 2 * shared
+        total = n[x] + n
+        ok = (p.den * (total - apart) >= p.num * (total + apart)) & (comp != comp[x]) & (shared > 0)
+        if first != second:
+            ok &= block != block[x]
+        ys = np.flatnonzero(ok)
+        if len(ys):
+            _, one = np.unique(comp[ys], return_index=True)  # one link to each component is enough
+            out += [(int(rows[x][1]), int(rows[y][1])) for y in ys[one]]
+    return out
+
+
+def other_links(judged: DataFrame, found: DataFrame, sets: DataFrame, p: Near) -> DataFrame:
+    """(u, v): links between members of one pivot that are still in different components."""
+    label = found.select(F.col("node").alias("f_node"), "component")
+    named = judged.join(label, F.col("node") == F.col("f_node"), "left").select("node", "pivot", "linked", F.coalesce("component", "node").alias("component"))
+    mixed = (named.groupBy(F.col("pivot").alias("m_pivot")).agg(F.count("*").alias("k"), F.min("linked").alias("all_linked"),
+                                                               F.min("component").alias("least"), F.max("component").alias("most"))
+             .filter("k > 1 and not all_linked and least <> most").select("m_pivot"))
+    left = stored(named.join(mixed, F.col("pivot") == F.col("m_pivot"), "left_semi"), "left")
+    rows = verify(left.select("node", "pivot"), sets, p, differences=True).withColumnRenamed("node", "v_node").withColumnRenamed("pivot", "v_pivot")
+    rows = stored(rows, "differences")
+    blocks = rows.groupBy(F.col("v_pivot").alias("b_pivot")).agg(F.ceil(F.sum(F.octet_length("diff") + 64) / BLOCK_BYTES).cast("int").alias("blocks"))
+    rows = rows.join(left.select("node", "pivot", "component"), (F.col("node") == F.col("v_node")) & (F.col("pivot") == F.col("v_pivot"))).join(blocks, F.col("pivot") == F.col("b_pivot"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = rows.select("pivot", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "node", "component", "n", "linked", "diff")
+    units = units.repartition("pivot", "first", "second").sortWithinPartitions("pivot", "first", "second", "node")
+
+    def run(batches):
+        held, now = [], None
+        pack = lambda e: pa.RecordBatch.from_arrays([pa.array([x[i] for x in e], pa.int64()) for i in (0, 1)], names=["u", "v"])
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:3] != now:
+                    if len(held) > 1:
+                        yield pack(partners(held, now[1], now[2], p))
+                    held, now = [], row[:3]
+                held.append(row[3:])
+        if len(held) > 1:
+            yield pack(partners(held, now[1], now[2], p))
 
-    return rows.mapInArrow(run, "node long, pivot long, linked boolean")
+    return units.mapInArrow(run, "u long, v long")
 
 
 def links(nodes: DataFrame, docs: DataFrame, p: Near) -> DataFrame:
     """(node, component) of the nodes linked with another; ``nodes`` has (node, rep, n, s1, keys)."""
-    spark = nodes.sparkSession
-    table = buckets(nodes, p)
-    wanted = table.select("node").distinct().join(nodes.select(F.col("node").alias("w_node"), "rep", "s1"), F.col("node") == F.col("w_node")).select("node", "rep", "s1")
+    table = stored(buckets(nodes, p), "buckets")
+    order = F.xxhash64("node", F.lit(p.seed))
+    pivots = table.groupBy(F.col("bucket").alias("p_bucket")).agg(F.min(F.struct(order.alias("o"), F.col("node").alias("pivot"))).alias("p"))
+    pairs = table.join(pivots.select("p_bucket", "p.pivot"), F.col("bucket") == F.col("p_bucket")).filter("node <> pivot").select("node", "pivot").distinct()
+    size = nodes.select(F.col("node").alias("z_node"), "n", "rep", "s1")
+    pairs = stored(pairs, "pairs")
+    wanted = pairs.select("node").union(pairs.select("pivot")).distinct().join(size, F.col("node") == F.col("z_node")).select("node", "rep", "s1")
     sets = sets_of(docs, wanted, p)
-    judged, found = None, None
-    for turn in range(PIVOT_ROUNDS + 1):
-        rows = table
-        if found is not None:
-            rows = rows.join(found.withColumnRenamed("node", "f_node"), F.col("node") == F.col("f_node"), "left").drop("f_node")
-            rows = rows.withColumn("component", F.coalesce("component", "node"))
-        else:
-            rows = rows.withColumn("component", F.col("node"))
-        order = F.xxhash64("node", F.lit(turn + 100 * p.seed))
-        first = rows.groupBy(F.col("bucket").alias("p_bucket")).agg(
-            F.min(F.struct(order.alias("o"), F.col("node").alias("pivot"), F.col("n").alias("p_n"), F.col("component").alias("p_component"))).alias("p"),
-            F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most")
-        if turn < PIVOT_ROUNDS:
-            near = rows.join(first.select("p_bucket", "p.*"), F.col("bucket") == F.col("p_bucket"))
-        else:  # what is left: nodes of different components in one bucket
-            mixed = stored(rows.join(first.select("p_bucket"), F.col("bucket") == F.col("p_bucket"), "left_semi").withColumn("o", order), "mixed")
-            other = mixed.select(F.col("bucket").alias("p_bucket"), F.col("node").alias("pivot"), F.col("n").alias("p_n"), F.col("component").alias("p_component"), F.col("o").alias("p_o"))
-            near = mixed.join(other, (F.col("bucket") == F.col("p_bucket")) & (F.col("p_o") < F.col("o")))
-        fits = p.den * F.least("n", "p_n") >= p.num * F.greatest("n", "p_n")
-        pairs = near.filter((F.col("component") != F.col("p_component")) & fits).select(F.least("node", "pivot").alias("node"), F.greatest("node", "pivot").alias("pivot")).distinct()
-        if judged is not None:
-            seen = judged.select(F.col("node").alias("j_node"), F.col("pivot").alias("j_pivot"))
-            pairs = pairs.join(seen, (F.col("node") == F.col("j_node")) & (F.col("pivot") == F.col("j_pivot")), "left_anti")
-        now = stored(verify(stored(pairs, "pairs"), sets, p), "judged")
-        if judged is not None and now.isEmpty():
-            break
-        judged = now if judged is None else judged.union(now)
-        found = stored(components(judged.filter("linked").select(F.col("node").alias("u"), F.col("pivot").alias("v"))), "components")
-    return found
+    judged = stored(verify(pairs, sets, p), "judged")
+    edges = judged.filter("linked").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
+    found = stored(components(edges), "components")
+    more = stored(other_links(judged, found, sets, p), "links")
+    return components(edges.union(more)) if not more.isEmpty() else found
 
 
 def near_duplicates(docs: DataFrame, p: Near = Near(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
