@@ -138,9 +138,12 @@ def lower_ascii(raw: np.ndarray) -> np.ndarray:
     return _LOWER[raw]
 
 
-def word_spans(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, first word of each row) of the words ``[^\\x20\\x09-\\x0D]+``; words end with their row."""
-    inside = ~_SPACE[raw]
+def word_spans(raw: np.ndarray, offs: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first word of each row) of the words ``[^\\x20\\x09-\\x0D]+``; words end with their row.
+
+    ``space`` says which bytes stand between words.
+    """
+    inside = ~space[raw]
     start, end = inside.copy(), inside.copy()
     start[1:] &= ~inside[:-1]
     end[:-1] &= ~inside[1:]

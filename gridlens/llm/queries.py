@@ -25,6 +25,11 @@ def op2_chat_formatting(spark, sf_dir):
     return chat.digests(chat.format_chats(rows))
 
 
+def op3_decontamination(spark, sf_dir):
+    from . import decontaminate
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_language_id(spark, sf_dir):
     """Every document; its metadata declares a language, its source stands for the host."""
     from pyspark.sql import functions as F
