@@ -30,8 +30,9 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import as_text, slices, flat
+from .common import flat, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -245,9 +246,12 @@ def ragged(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return values[np.arange(total) + np.repeat(starts - (stop - n), n)], stop
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL) -> DataFrame:
-    """(doc_id, piece_ids array<int>, text_sha256 of the text that was encoded)."""
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, the ``keep`` columns, piece_ids array<int>, text_sha256 of the text that was encoded)."""
     import hashlib
+    extra = [f"kept_{i}" for i in range(len(keep))]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+                       *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)))
     shared = docs.sparkSession.sparkContext.broadcast(load_model(model_path))
 
     def run(batches):
@@ -257,12 +261,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 texts = batch.column(1).slice(a, b - a).to_pylist()
                 ids, offs = encoder.encode(texts)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(a, b - a),
+                    batch.column(0).slice(a, b - a), *(batch.column(2 + i).slice(a, b - a) for i in range(len(extra))),
                     pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids, pa.int32())),
                     pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()),
-                ], names=["doc_id", "piece_ids", "text_sha256"])
+                ], names=["doc_id", *extra, "piece_ids", "text_sha256"])
 
-    return as_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, piece_ids array<int>, text_sha256 string")
+    schema = ", ".join(["doc_id long", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in extra), "piece_ids array<int>, text_sha256 string"])
+    return rows.mapInArrow(run, schema).withColumnsRenamed(dict(zip(extra, keep)))
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -315,28 +315,38 @@ def merge_spans(spans, length: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_rest: bool = True, **limits) -> DataFrame:
-    """(doc_id, key, n_bytes, n_removed, n_spans, spans, rest) per row; ``rest`` holds the remaining bytes."""
-    texts = as_text(docs, id_col, text_col)
-    texts = texts.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
-    found = stored(repeated_windows(texts, length, **limits), "repeats")
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (),
+                   as_string: bool = False, **limits) -> DataFrame:
+    """(doc_id, the ``keep`` columns, n_bytes, n_removed, n_spans, spans, rest) per row.
+
+    ``rest`` holds the remaining bytes, or with ``as_string`` their text without characters cut in two.
+    """
+    own = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    wide = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), own).alias("key"), own.alias("text"),
+                       *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)))
+    found = stored(repeated_windows(wide.select("doc_id", "key", "text"), length, **limits), "repeats")
     merged = stored(_spans_by_text(found, "lo", "hi"), "repeats")
+    extra = [f"kept_{i}" for i in range(len(keep))]
 
     def cut(batches):
         for batch in batches:
-            ids, keys = batch.column(0), batch.column(1)
-            lists, rest = [], []
-            for spans, text in zip(batch.column(3).to_pylist(), batch.column(2)):
-                data = text.as_buffer().to_pybytes() if text.as_buffer() is not None else b""
+            column = len(extra) + 1
+            lists, rest, sizes = [], [], []
+            for text, spans in zip(batch.column(column), batch.column(column + 1).to_pylist()):
+                data = text.as_buffer().to_pybytes()
                 gone = merge_spans([(s["lo"], s["hi"]) for s in spans], length) if spans else []
                 edges = [0, *(x for s in gone for x in s), len(data)]
-                rest.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])) if gone else data)
+                left = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])) if gone else data
+                rest.append(left.decode("utf-8", "ignore") if as_string else left)
                 lists.append([{"start": a, "stop": b} for a, b in gone])
-            n = [len(text.as_buffer()) if text.as_buffer() is not None else 0 for text in batch.column(2)]
+                sizes.append(len(data))
             yield pa.RecordBatch.from_arrays([
-                ids, keys, pa.array(n, pa.int64()), pa.array([sum(s["stop"] - s["start"] for s in x) for x in lists], pa.int64()), pa.array(map(len, lists), pa.int64()),
-                pa.array(lists, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(rest, pa.binary())],
-                names=["doc_id", "key", "n_bytes", "n_removed", "n_spans", "spans", "rest"])
-
-    return _joined(texts, merged, "left").select("doc_id", "key", "text", "spans").mapInArrow(
-        cut, "doc_id long, key long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>, rest binary")
+                *(batch.column(i) for i in range(column)), pa.array(sizes, pa.int64()), pa.array([sum(s["stop"] - s["start"] for s in x) for x in lists], pa.int64()),
+                pa.array(map(len, lists), pa.int64()), pa.array(lists, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
+                pa.array(rest, pa.string() if as_string else pa.binary())],
+                names=["doc_id", *extra, "n_bytes", "n_removed", "n_spans", "spans", "rest"])
+
+    rows = _joined(wide, merged, "left").select("doc_id", *extra, "text", "spans")
+    schema = ", ".join(["doc_id long", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in extra), "n_bytes long, n_removed long, n_spans long",
+                        "spans array<struct<start:long,stop:long>>, rest " + ("string" if as_string else "binary")])
+    return rows.mapInArrow(cut, schema).withColumnsRenamed(dict(zip(extra, keep)))
