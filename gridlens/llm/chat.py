@@ -106,7 +106,7 @@ def _added(template: Callable, before: list[Turn], turns: list[Turn]) -> Iterato
 def locate(template: Callable[[list[Turn]], str], turns: list[Turn], run: int = RUN):
     """(formatted, [(span start, span end, text start, text end)] per turn, turns that rewrite history).
 
-    A text span of -1 says that the template doesn't show the turn's text as it stands.
+    A text span holds the text as the template shows it; -1 says that probing didn't find it.
     """
     whole = template(turns)
 
