@@ -121,9 +121,11 @@ def canonical_value(v) -> str:
 
 
 def canonical_json_text(text: str | None) -> str | None:
-    if text is None:
+    """Canonical text; NULL for a missing text and for one that isn't JSON."""
+    try:
+        return None if text is None else canonical_value(json.loads(text))
+    except (ValueError, RecursionError):
         return None
-    return canonical_value(json.loads(text))
 
 
 @F.pandas_udf(T.StringType())

@@ -1,8 +1,10 @@
-"""Number-to-text the way JavaScript ``String(x)`` prints it (common range).
+"""Number-to-text the way JavaScript ``String(x)`` prints it.
 
-Integral doubles print without ``.0``; other values in ``[1e-3, 1e7)`` print
-as Spark's shortest decimal text, which is the same spelling.  Values outside
-that range fall back to Spark's text (exponent style differs from JS).
+Spark's text of a double holds the shortest digits that read back as the same
+number, either plain (``0.05``) or with an exponent (``5.0E-4``).  JavaScript
+prints the same digits plainly from 1e-6 up to 1e21 and with an exponent
+(``1e-7``, ``1.5e+21``) beyond.  (Java before version 19 writes a digit too
+many for a few doubles, the smallest ones among them; those differ.)
 """
 
 from __future__ import annotations
@@ -12,7 +14,24 @@ from pyspark.sql import functions as F
 
 
 def js_number_text(col: Column) -> Column:
-    integral = (col == F.floor(col)) & (F.abs(col) < F.lit(1e15))
-    return F.when(col.isNull(), F.lit(None)) \
-        .when(integral, col.cast("bigint").cast("string")) \
-        .otherwise(col.cast("string"))
+    """JS text of a double column; NULL, NaN and infinities give NULL."""
+    x = col.cast("double")
+    text = F.abs(x).cast("string")
+    pattern = r"^(\d+)\.(\d+)(?:E(-?\d+))?$"
+    whole, part = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
+    power = F.coalesce(F.regexp_extract(text, pattern, 3).try_cast("int"), F.lit(0))
+    frac = F.regexp_replace(part, "0+$", "")
+    digits = F.concat(whole, frac)
+    at = F.length(whole) + power                      # places before the decimal point
+    zeros = lambda n: F.repeat(F.lit("0"), F.greatest(n, F.lit(0)))
+    small = F.concat(F.lit("0."), zeros(-at), F.regexp_replace(digits, "^0+", ""))
+    large = F.concat(digits, zeros(at - F.length(digits)))
+    middle = F.concat(F.substring(digits, F.lit(1), at), F.lit("."), F.substring(digits, at + 1, F.length(digits)))
+    plain = (F.when(power == 0, F.when(frac == "", whole).otherwise(F.concat(whole, F.lit("."), frac)))
+             .when(at <= 0, small).when(F.length(digits) <= at, large).otherwise(middle))
+    scientific = F.concat(whole, F.when(frac == "", "").otherwise(F.concat(F.lit("."), frac)), F.lit("e"),
+                          F.when(power > 0, "+").otherwise(""), power.cast("string"))
+    size = F.abs(x)
+    out = F.when(size == 0, "0").when((size >= 1e-6) & (size < 1e21), plain).otherwise(scientific)
+    out = F.when(x < 0, F.concat(F.lit("-"), out)).otherwise(out)
+    return F.when(x.isNull() | F.isnan(x) | (size == float("inf")), F.lit(None)).otherwise(out)

@@ -58,10 +58,10 @@ NODE_SCHEMA = T.StructType([
 
 # ---------------------------------------------------------------- M1
 def anomaly_features(df: DataFrame, ts: str = "timestamp", value: str = "value", order_cols=None,
-                     partition_cols=()) -> DataFrame:
+                     partition_cols=(), block_rows: int | None = None) -> DataFrame:
     """M1: the 8 features (raw value, cyclic hour/weekday, 5-row rolling stats)."""
     order_cols = order_cols or (ts,)
-    d = rolling_features(df, value, order_cols, partition_cols)
+    d = rolling_features(df, value, order_cols, partition_cols, block_rows=block_rows)
     d = cyclic_time_features(d, ts)
     return d.withColumnRenamed(value, "value") if value != "value" else d
 
@@ -251,8 +251,8 @@ def classify_anomalies(df: DataFrame, threshold: F.Column, actual: str = "value"
 def detect_anomalies(df: DataFrame, forest: DataFrame, sensitivity: float = 0.8,
                      offset: F.Column | float | None = None, order_cols=("timestamp",),
                      train_features: DataFrame | None = None,
-                     contamination=DEFAULT_CONTAMINATION) -> DataFrame:
-    """M5: features -> score -> threshold -> classification on a bounded recent frame.
+                     contamination=DEFAULT_CONTAMINATION, partition_cols=(), block_rows: int | None = None) -> DataFrame:
+    """M5: features -> score -> threshold -> classification of a recent frame.
 
     The decision offset is ``offset`` when given, else the ``contamination``
     quantile of the training rows' scores (``train_features``), else -0.5.
@@ -264,9 +264,9 @@ def detect_anomalies(df: DataFrame, forest: DataFrame, sensitivity: float = 0.8,
             offset = training_offset(train_scored, contamination)
         else:
             offset = AUTO_OFFSET
-    feats = anomaly_features(df, order_cols=order_cols)
+    feats = anomaly_features(df, order_cols=order_cols, partition_cols=partition_cols, block_rows=block_rows)
     scored = score_isolation_forest(feats, forest, offset)
-    scored = expected_value(scored, "value", order_cols).persist(StorageLevel.MEMORY_AND_DISK)
+    scored = expected_value(scored, "value", order_cols, partition_cols, block_rows=block_rows).persist(StorageLevel.MEMORY_AND_DISK)
     thr = anomaly_threshold(scored, sensitivity).scalar()
     return classify_anomalies(scored, thr)
 

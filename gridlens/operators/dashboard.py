@@ -21,7 +21,6 @@ from .periods import _ts, filter_devices
 # Look-back windows of the dashboard.
 RECENT_DAYS = 7
 HOURLY_LOOKBACK_H = 25   # one extra hour as the baseline of the first delta
-TODAY_ROW_LIMIT = 1440
 
 # Metric name -> readings column (absent columns read as NULL).
 LATEST_METRICS = [
@@ -102,24 +101,35 @@ def dashboard_daily(readings: DataFrame, as_of, by_device: bool = False, **filte
         F.count(F.lit(1)).alias("reading_count"))
 
 
-def dashboard_today(readings: DataFrame, as_of, by_device: bool = False, **filters) -> DataFrame:
-    """Readings since the start of ``as_of``'s day, ascending, the first 1440 (per device)."""
+def dashboard_today(readings: DataFrame, as_of, by_device: bool = False, limit: int | None = None, **filters) -> DataFrame:
+    """Readings since the start of ``as_of``'s day, ascending and numbered.
+
+    ``seq`` (per device with ``by_device``) is a row's place in its hour plus
+    the rows of the hours before, so no window spans the day's raw rows.  ``limit`` keeps the first so many; the
+    display that this feeds asks for 1440.
+    """
     t = _ts(as_of)
     df = recent_frame(readings, as_of, **filters).filter(F.col("processing_ts") >= F.date_trunc("day", t))
     utc = F.col("time_utc").cast("timestamp_ntz") if "time_utc" in df.columns else F.lit(None).cast("timestamp_ntz")
     ts = F.coalesce(utc, F.col("payload_ts"), F.col("processing_ts"))
     rows = df.select(*_k(by_device), "processing_ts", "reading_id", ts.alias("timestamp"),
                      F.col("power_w").alias("power"), F.col("voltage_v").alias("voltage"),
-                     F.col("today_kwh").alias("energy"))
-    w = Window.partitionBy(*_k(by_device)).orderBy("processing_ts", "reading_id")
-    if not by_device:
-        # one household: top-k (TakeOrderedAndProject), numbered after the limit (<= 1440 rows)
-        rows = rows.orderBy("processing_ts", "reading_id").limit(TODAY_ROW_LIMIT)
-        return (rows.withColumn("seq", F.row_number().over(w))
-                .select("seq", "timestamp", "power", "voltage", "energy"))
-    # per device: row_number <= k is planned with a partial WindowGroupLimit before the shuffle
-    return (rows.withColumn("seq", F.row_number().over(w)).filter(F.col("seq") <= TODAY_ROW_LIMIT)
-            .select(*_k(by_device), "seq", "timestamp", "power", "voltage", "energy"))
+                     F.col("today_kwh").alias("energy"), F.date_trunc("hour", "processing_ts").alias("_hour"))
+    keys = _k(by_device)
+    if limit is not None and not by_device:
+        rows = rows.orderBy("processing_ts", "reading_id").limit(limit)
+    hours = rows.groupBy(*keys, "_hour").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    starts = hours.select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.col("_hour").alias("_s_hour"),
+                          F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    same = F.col("_hour") == F.col("_s_hour")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_s_{k}"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_hour").orderBy("processing_ts", "reading_id"))
+    out = rows.withColumn("_place", place).join(starts, same).withColumn("seq", (F.col("_place") + F.col("_start")).cast("int"))
+    if limit is not None:
+        out = out.filter(F.col("seq") <= limit)
+    return out.select(*keys, "seq", "timestamp", "power", "voltage", "energy")
 
 
 def dashboard_cost(hourly: DataFrame, latest: DataFrame, as_of, tariff: Tariff = DEFAULT_TARIFF,

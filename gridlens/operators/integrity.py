@@ -58,14 +58,28 @@ def hash_documents(docs: DataFrame, payload: str = "payload", message_source: st
 
 
 # ---------------------------------------------------------------- H2
+def _rfc3339_to_ts(col):
+    """RFC 3339 text -> UTC TIMESTAMP_NTZ, NULL if it isn't one: pattern, calendar date, offset below 24:00.
+
+    A fraction may have any number of digits; those beyond microseconds are cut.
+    """
+    second = F.try_to_timestamp(F.substring(col, 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+    micros = F.rpad(F.substring(F.regexp_extract(col, r"\.(\d+)", 1), 1, 6), 6, "0").try_cast("bigint")
+    sign = F.when(F.regexp_extract(col, r"([+-])\d{2}:\d{2}$", 1) == "-", -1).otherwise(1)
+    hours = F.coalesce(F.regexp_extract(col, r"[+-](\d{2}):\d{2}$", 1).try_cast("int"), F.lit(0))
+    minutes = F.coalesce(F.regexp_extract(col, r"[+-]\d{2}:(\d{2})$", 1).try_cast("int"), F.lit(0))
+    utc = F.unix_micros(second) + F.coalesce(micros, F.lit(0)) - sign * (hours * 60 + minutes).cast("bigint") * 60_000_000
+    ok = col.rlike(RFC3339_PATTERN) & second.isNotNull() & (hours < 24) & (minutes < 60)
+    return F.when(ok, F.timestamp_micros(utc).cast("timestamp_ntz"))
+
+
 def validate_ledger_rows(rows: DataFrame) -> DataFrame:
     """H2: ``reason`` of the first failing contract rule (NULL when valid).
 
     ``rows``: ``id, hash_value, timestamp (text), device_id, data_type``.
     """
     ts = F.col("timestamp")
-    ts_ok = (ts.rlike(RFC3339_PATTERN)
-             & F.try_to_timestamp(F.substring(ts, 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss")).isNotNull())
+    ts_ok = _rfc3339_to_ts(ts).isNotNull()
     reason = (
         F.when(F.col("id").isNull() | F.col("hash_value").isNull() | ts.isNull() | F.col("device_id").isNull()
                | F.col("data_type").isNull(), F.lit("missing required fields"))
@@ -83,12 +97,6 @@ def validate_ledger_rows(rows: DataFrame) -> DataFrame:
     return rows.withColumn("reason", reason)
 
 
-def _rfc3339_to_ts(col):
-    """RFC 3339 text -> UTC TIMESTAMP_NTZ (offset applied)."""
-    return F.to_utc_timestamp(F.to_timestamp(F.regexp_replace(col, "Z$", "+00:00"), "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX"),
-                              "UTC").cast("timestamp_ntz")
-
-
 # ---------------------------------------------------------------- H3
 def append_ledger(ledger: DataFrame, batch: DataFrame, created_at, order_col: str = "seq",
                   legacy: bool = False) -> DataFrame:
@@ -175,9 +183,9 @@ def audit_full(docs: DataFrame, ledger: DataFrame, payload: str = "payload",
 
 def audit_incremental(docs: DataFrame, ledger: DataFrame, since, payload: str = "payload",
                       message_source: str = AUDIT_SOURCE) -> DataFrame:
-    """H8: audit of documents inserted after ``since`` plus the new high-water mark."""
+    """H8: audit of documents inserted after ``since``, oldest first, plus the new high-water mark."""
     s = F.lit(since).cast("timestamp_ntz")
     new = docs.filter(F.col("insert_ts") > s)
     a = audit_full(new, ledger, payload, message_source)
     mark = new.agg(F.max("insert_ts")).scalar()
-    return a.withColumn("high_water_mark", F.greatest(F.coalesce(mark, s), s))
+    return a.withColumn("high_water_mark", F.greatest(F.coalesce(mark, s), s)).orderBy("insert_ts", "id")

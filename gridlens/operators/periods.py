@@ -75,17 +75,19 @@ def filter_devices(df: DataFrame, device_id: str | None = None, device_type: str
     return df
 
 
-def recent_readings(df: DataFrame, as_of, hours: int = 24, limit: int = 10_000) -> DataFrame:
-    """the newest ``limit`` Power readings since ``as_of - hours``, ascending.
+def recent_readings(df: DataFrame, as_of, hours: int = 24, limit: int | None = None) -> DataFrame:
+    """the Power readings since ``as_of - hours``; with ``limit`` the newest so many, ascending.
 
-    Sort+limit plans as TakeOrderedAndProject (per-partition top-k, then a
-    bounded merge); the limit is the operator's contract.
+    Without a limit this is a filter and a projection.  A limit is the
+    caller's choice; sort+limit plans as TakeOrderedAndProject (per-partition
+    top-k, then a bounded merge).
     """
     since = _ts(as_of) - F.make_dt_interval(hours=F.lit(hours))
-    newest = (df.filter(F.col("power_w").isNotNull() & (F.col("processing_ts") >= since))
-                .select(F.col("processing_ts").alias("timestamp"), F.col("power_w").alias("value"), "reading_id")
-                .orderBy(F.col("timestamp").desc(), F.col("reading_id").desc())
-                .limit(limit))
+    rows = (df.filter(F.col("power_w").isNotNull() & (F.col("processing_ts") >= since))
+              .select(F.col("processing_ts").alias("timestamp"), F.col("power_w").alias("value"), "reading_id", "device_id"))
+    if limit is None:
+        return rows
+    newest = rows.orderBy(F.col("timestamp").desc(), F.col("reading_id").desc()).limit(limit)
     return newest.orderBy("timestamp", "reading_id")
 
 
@@ -105,9 +107,3 @@ def data_sufficiency(df: DataFrame, as_of, days_required: float = 0) -> DataFram
         (age >= req).alias("is_sufficient"),
         js_round(progress, 1).alias("progress_percent"),
     )
-
-
-def latest_per_key(df: DataFrame, keys, order_cols) -> DataFrame:
-    """Keep the newest row per key (``row_number`` over a key-partitioned window)."""
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order_cols])
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")

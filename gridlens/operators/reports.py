@@ -167,11 +167,16 @@ def yearly_report(readings: DataFrame, tariff: Tariff = DEFAULT_TARIFF, by_devic
 
 # ---------------------------------------------------------------- A7 / A8
 def report_summary(report: DataFrame, tariff: Tariff = DEFAULT_TARIFF, keys=("period_start",)) -> DataFrame:
-    """Totals per period (NULL counts as 0), rounded; currency."""
+    """Totals per period (NULL counts as 0), rounded; currency.
+
+    With no ``keys`` (one requested period) an empty report gives its one row:
+    energy 0, peak 0, no cost.
+    """
+    zero = F.lit(0.0)
     return (report.groupBy(*keys).agg(
-        js_round(exact_sum(F.coalesce("energy", F.lit(0.0))), 2).alias("total_energy"),
-        js_round(F.max(F.coalesce("peak_power", F.lit(0.0))), 2).alias("peak_power"),
-        js_round(exact_sum(F.coalesce("cost", F.lit(0.0))), 2).alias("total_cost"),
+        F.coalesce(js_round(exact_sum(F.coalesce("energy", zero)), 2), zero).alias("total_energy"),
+        F.coalesce(js_round(F.max(F.coalesce("peak_power", zero)), 2), zero).alias("peak_power"),
+        js_round(exact_sum(F.coalesce("cost", zero)), 2).alias("total_cost"),
     ).withColumn("currency", F.lit(tariff.currency)))
 
 

@@ -1,9 +1,9 @@
 """Training series and time-series features.
 
-Row-window features follow the reference (rows, not time).  With
-``by_device=True`` windows are partitioned per device (the scalable form);
-without it they run over the interleaved series in processing order, which
-is only meant for the bounded frames of F6 (<= 50 000 rows).
+Row-window features follow the reference (rows, not time), per series.  Over
+raw readings a window has ``block_rows``: each series is cut into blocks of so
+many rows, and the few rows next to a block that its windows reach come along,
+so a device with a large share of all rows doesn't fill one task.
 """
 
 from __future__ import annotations
@@ -37,13 +37,45 @@ def _window(order_cols, partition_cols=()):
     return Window.partitionBy(*partition_cols).orderBy(*order_cols)
 
 
+#: Rows of a block of one series when raw readings are windowed.
+BLOCK_ROWS = 100_000
+
+
+def over_blocks(df: DataFrame, add, order_cols, partition_cols, before: int, after: int, block_rows: int = BLOCK_ROWS,
+                ts: str = "timestamp") -> DataFrame:
+    """``add(rows, partition, order)`` (columns over ROWS BETWEEN before PRECEDING AND after FOLLOWING) by blocks of a series.
+
+    A row's place in its series is its place within the day plus the rows of
+    the days before, so no window spans a whole series.  The block of a row and
+    the blocks of rows that look at it get a copy; only the own one's result stays.
+    """
+    keys = list(partition_cols)
+    days = df.withColumn("_day", F.to_date(ts))
+    counts = days.groupBy(*keys, "_day").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.col("_day").alias("_s_day"),
+                           F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
+    same = F.col("_day").eqNullSafe(F.col("_s_day"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_s_{k}"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_day").orderBy(*order_cols)) - 1
+    rows = days.withColumn("_place", place).join(starts, same).withColumn("_place", F.col("_place") + F.col("_start"))
+    block = lambda p: F.floor(F.greatest(p, F.lit(0)) / block_rows)
+    rows = (rows.withColumn("_home", block(F.col("_place")))
+                .withColumn("_block", F.explode(F.sequence(block(F.col("_place") - after), block(F.col("_place") + before)))))
+    out = add(rows, (*keys, "_block"), ("_place",)).filter(F.col("_block") == F.col("_home"))
+    return out.drop("_day", "_place", "_start", "_home", "_block", "_s_day", *[f"_s_{k}" for k in keys])
+
+
 def rolling_features(df: DataFrame, value: str = "value", order_cols=("timestamp",), partition_cols=(),
-                     n: int = ROLLING_ROWS) -> DataFrame:
+                     n: int = ROLLING_ROWS, block_rows: int | None = None) -> DataFrame:
     """Trailing mean, sample std (0 for a single row) and value - mean over ``n`` rows.
 
     Sums are exact (decimal) so the mean and the variance
     ``(sum(x^2) - sum(x)^2 / k) / (k - 1)`` do not depend on evaluation order.
     """
+    if block_rows:
+        return over_blocks(df, lambda d, p, o: rolling_features(d, value, o, p, n), order_cols, partition_cols, n - 1, 0, block_rows)
     w = _window(order_cols, partition_cols).rowsBetween(-(n - 1), 0)
     x = F.col(value)
     k = F.count(x).over(w).cast("double")
@@ -57,10 +89,12 @@ def rolling_features(df: DataFrame, value: str = "value", order_cols=("timestamp
 
 
 def expected_value(df: DataFrame, value: str = "value", order_cols=("timestamp",), partition_cols=(),
-                   n: int = EXPECTED_WINDOW, out: str = "expected") -> DataFrame:
+                   n: int = EXPECTED_WINDOW, out: str = "expected", block_rows: int | None = None) -> DataFrame:
     """Centred row mean, partial at the edges (an even window spans -n/2 .. n/2-1)."""
     before = n // 2
     after = n - before - 1
+    if block_rows:
+        return over_blocks(df, lambda d, p, o: expected_value(d, value, o, p, n, out), order_cols, partition_cols, before, after, block_rows)
     w = _window(order_cols, partition_cols).rowsBetween(-before, after)
     return df.withColumn(out, exact_sum_over(value, w) / F.count(value).over(w).cast("double"))
 

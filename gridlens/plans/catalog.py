@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-import importlib
-
+from . import q_dashboard, q_ingest, q_integrity, q_models, q_reports, q_series, q_streams, q_tariff  # noqa: F401
 from .registry import REGISTRY, QuerySpec
 
-_MODULES = ["q_reports", "q_tariff", "q_dashboard", "q_series", "q_integrity", "q_ingest", "q_dashboard", "q_series", "q_integrity", "q_ingest", "q_models", "q_streams"]
-
 
 def load() -> dict[str, QuerySpec]:
-    for m in _MODULES:
-        try:
-            importlib.import_module(f"{__package__}.{m}")
-        except ModuleNotFoundError as e:  # module not written yet
-            if e.name != f"{__package__}.{m}":
-                raise
     return REGISTRY
 
 

@@ -78,7 +78,7 @@ def _today_sql(by_device: bool) -> str:
 SELECT * FROM (
   SELECT {k}row_number() OVER ({part}ORDER BY processing_ts, reading_id) AS seq,
          coalesce(payload_ts, processing_ts) AS timestamp, power_w AS power, voltage_v AS voltage, today_kwh AS energy
-  FROM rf WHERE processing_ts >= date_trunc('day', {T})) t WHERE seq <= 1440""", _rf())
+  FROM rf WHERE processing_ts >= date_trunc('day', {T})) t""", _rf())
 
 
 register("dashboard_today", _today_sql(False), "dashboard")(

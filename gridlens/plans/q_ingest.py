@@ -69,9 +69,9 @@ menergy AS (
          CAST(json_extract(body, '$.total_act_ret') AS DOUBLE) AS total_returned
   FROM typed WHERE device_type = 'shelly_energy_totals'),
 env AS (
-  SELECT CASE WHEN device_id = 'unknown' THEN NULL ELSE device_id || '-' || CAST(seq AS VARCHAR) END AS id,
+  SELECT CASE WHEN device_id = 'unknown' THEN 'None' ELSE device_id END || '-' || CAST(seq AS VARCHAR) AS id,
          CASE WHEN device_id = 'unknown' THEN NULL ELSE device_id END AS device_id,
-         CASE WHEN starts_with(body, '{') THEN body END AS original_payload,
+         CASE WHEN starts_with(body, '{') AND json_valid(body) THEN body END AS original_payload,
          strftime(enqueued_ts, '%Y-%m-%dT%H:%M:%S')
            || CASE WHEN epoch_us(enqueued_ts) % 1000000 = 0 THEN ''
                    ELSE '.' || lpad(CAST(epoch_us(enqueued_ts) % 1000000 AS VARCHAR), 6, '0') END || '+00:00'
@@ -137,9 +137,9 @@ register("wrap_messages", W("SELECT id, device_id, original_payload, processing_
     lambda spark, sf: I.wrap_messages(fx.raw_messages(spark, sf)).drop("enqueued_ts"))
 
 register("store_messages", W("""
-SELECT coalesce(id, 'None') AS _id, device_id, original_payload AS payload, processing_timestamp,
+SELECT id AS _id, device_id, original_payload AS payload, processing_timestamp,
        enqueued_ts AS insert_ts, coalesce(status, 'processed') AS status
-FROM env QUALIFY row_number() OVER (PARTITION BY coalesce(id, 'None') ORDER BY enqueued_ts, seq) = 1""", _RAW), "ingest")(
+FROM env QUALIFY row_number() OVER (PARTITION BY id ORDER BY enqueued_ts, seq) = 1""", _RAW), "ingest")(
     lambda spark, sf: I.store_messages(I.wrap_messages(fx.raw_messages(spark, sf))))
 
 register("reject_invalid", W("""
@@ -165,9 +165,9 @@ FROM (
   SELECT *, coalesce(json_extract(payload, '$.ENERGY'), json_extract(payload, '$.energy')) AS et,
          CAST(timezone('UTC', TRY_CAST(payload->>'$.timestamp' AS TIMESTAMPTZ)) AS TIMESTAMP) AS pts,
          CAST(timezone('UTC', TRY_CAST(processing_timestamp AS TIMESTAMPTZ)) AS TIMESTAMP) AS prc
-  FROM (SELECT coalesce(id, 'None') AS _id, device_id, original_payload AS payload, processing_timestamp,
+  FROM (SELECT id AS _id, device_id, original_payload AS payload, processing_timestamp,
                enqueued_ts AS insert_ts
-        FROM env QUALIFY row_number() OVER (PARTITION BY coalesce(id, 'None') ORDER BY enqueued_ts, seq) = 1) s) t
+        FROM env QUALIFY row_number() OVER (PARTITION BY id ORDER BY enqueued_ts, seq) = 1) s) t
 """, _RAW), "ingest")
 def q_documents_to_readings(spark, sf):
     return I.documents_to_readings(I.store_messages(I.wrap_messages(fx.raw_messages(spark, sf))))

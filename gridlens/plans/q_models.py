@@ -14,32 +14,33 @@ from . import oracle as O
 from .registry import AS_OF, register
 
 W = O.with_fixtures
-TRAIN_HOURS, TRAIN_LIMIT = 168, 50_000
-DETECT_HOURS, DETECT_LIMIT = 24, 10_000
+TRAIN_HOURS, DETECT_HOURS = 168, 24
 SENSITIVITY = 0.8
 ORDER = ("timestamp", "reading_id")
 
 
-def _recent(spark, sf, hours, limit):
-    return P.recent_readings(fx.readings(spark, sf), AS_OF, hours, limit)
+#: Features are per device, over all readings of the period.
+SERIES = dict(order_cols=ORDER, partition_cols=("device_id",), block_rows=S.BLOCK_ROWS)
+
+
+def _recent(spark, sf, hours):
+    return P.recent_readings(fx.readings(spark, sf), AS_OF, hours)
 
 
 def _train_features(spark, sf):
-    return M.anomaly_features(_recent(spark, sf, TRAIN_HOURS, TRAIN_LIMIT), order_cols=ORDER) \
+    return M.anomaly_features(_recent(spark, sf, TRAIN_HOURS), **SERIES) \
         .withColumnRenamed("reading_id", "row_key")
 
 
 # ------------------------------------------------------------------ M1 (oracle, 6-decimal rounding)
 _RR = f"""rr AS (
-  SELECT * FROM (
-    SELECT processing_ts AS timestamp, power_w AS value, reading_id FROM readings
-    WHERE power_w IS NOT NULL AND processing_ts >= {O.ts(AS_OF)} - INTERVAL {TRAIN_HOURS} HOUR
-    ORDER BY processing_ts DESC, reading_id DESC LIMIT {TRAIN_LIMIT}) t),
+  SELECT processing_ts AS timestamp, power_w AS value, reading_id, device_id FROM readings
+  WHERE power_w IS NOT NULL AND processing_ts >= {O.ts(AS_OF)} - INTERVAL {TRAIN_HOURS} HOUR),
 fw AS (
   SELECT *, CAST(sum(CAST(value AS DECIMAL(38,10))) OVER w AS DOUBLE) AS s1,
          CAST(sum(CAST(value * value AS DECIMAL(38,10))) OVER w AS DOUBLE) AS s2,
          CAST(count(value) OVER w AS DOUBLE) AS k
-  FROM rr WINDOW w AS (ORDER BY timestamp, reading_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))"""
+  FROM rr WINDOW w AS (PARTITION BY device_id ORDER BY timestamp, reading_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))"""
 
 
 def _r6(e):
@@ -56,7 +57,7 @@ SELECT reading_id, timestamp, value, s1 / k AS rolling_mean,
        {_r6('cos(6.283185307179586e0 * CAST(isodow(timestamp) - 1 AS DOUBLE) / 7)')} AS dow_cos
 FROM fw""", _RR), "anomaly")
 def q_anomaly_features(spark, sf):
-    f = M.anomaly_features(_recent(spark, sf, TRAIN_HOURS, TRAIN_LIMIT), order_cols=ORDER)
+    f = M.anomaly_features(_recent(spark, sf, TRAIN_HOURS), **SERIES)
     r6 = ("rolling_std", "hour_sin", "hour_cos", "dow_sin", "dow_cos")
     return f.select("reading_id", "timestamp", "value", "rolling_mean", "diff_from_mean",
                     *[js_round(F.col(c), 6).alias(c) for c in r6])
@@ -71,7 +72,7 @@ def q_fit_forest(spark, sf):
 def _scored(spark, sf):
     train = _train_features(spark, sf)
     forest = M.fit_isolation_forest(train).persist()
-    feats = M.anomaly_features(_recent(spark, sf, DETECT_HOURS, DETECT_LIMIT), order_cols=ORDER)
+    feats = M.anomaly_features(_recent(spark, sf, DETECT_HOURS), **SERIES)
     return forest, M.score_isolation_forest(feats, forest)
 
 
@@ -85,8 +86,7 @@ def q_score_forest(spark, sf):
 def q_detect(spark, sf):
     train = _train_features(spark, sf)
     forest = M.fit_isolation_forest(train).persist()
-    return M.detect_anomalies(_recent(spark, sf, DETECT_HOURS, DETECT_LIMIT), forest, SENSITIVITY, order_cols=ORDER,
-                              train_features=train)
+    return M.detect_anomalies(_recent(spark, sf, DETECT_HOURS), forest, SENSITIVITY, train_features=train, **SERIES)
 
 
 # ------------------------------------------------------------------ M4-M7 on given scores (oracle)

@@ -25,9 +25,12 @@ _HMD = f"""hmd AS (
   FROM readings WHERE power_w IS NOT NULL GROUP BY 1, 2)"""
 _RECENT = f"""rr AS (
   SELECT * FROM (
-    SELECT processing_ts AS timestamp, power_w AS value, reading_id FROM readings
+    SELECT processing_ts AS timestamp, power_w AS value, reading_id, device_id FROM readings
     WHERE power_w IS NOT NULL AND processing_ts >= {T} - INTERVAL {RECENT_HOURS} HOUR
     ORDER BY processing_ts DESC, reading_id DESC LIMIT {RECENT_LIMIT}) t)"""
+_ALL_RECENT = f"""ra AS (
+  SELECT processing_ts AS timestamp, power_w AS value, reading_id, device_id FROM readings
+  WHERE power_w IS NOT NULL AND processing_ts >= {T} - INTERVAL {RECENT_HOURS} HOUR)"""
 
 register("hourly_mean", W("SELECT * FROM hm", _HM), "series")(
     lambda spark, sf: S.hourly_mean(fx.readings(spark, sf)))
@@ -70,9 +73,11 @@ def _roll_cols():
     return ["timestamp", "value", "rolling_mean", js_round(F.col("rolling_std"), 6).alias("rolling_std"),
             "diff_from_mean"]
 
-register("rolling_features", W(_rolling_sql("rr", "", "timestamp, reading_id", ""), _RECENT), "series")(
-    lambda spark, sf: S.rolling_features(P.recent_readings(fx.readings(spark, sf), AS_OF, RECENT_HOURS, RECENT_LIMIT),
-                                         order_cols=("timestamp", "reading_id")).select(*_roll_cols()))
+_SERIES = dict(order_cols=("timestamp", "reading_id"), partition_cols=("device_id",), block_rows=S.BLOCK_ROWS)
+
+register("rolling_features", W(_rolling_sql("ra", "PARTITION BY device_id ", "timestamp, reading_id", "device_id, reading_id, "), _ALL_RECENT), "series")(
+    lambda spark, sf: S.rolling_features(P.recent_readings(fx.readings(spark, sf), AS_OF, RECENT_HOURS),
+                                         **_SERIES).select("device_id", "reading_id", *_roll_cols()))
 register("rolling_features_by_device",
          W(_rolling_sql("hmd", "PARTITION BY device_id ", "timestamp", "device_id, "), _HMD), "series")(
     lambda spark, sf: S.rolling_features(S.hourly_mean(fx.readings(spark, sf), by_device=True),
@@ -86,9 +91,9 @@ SELECT {keys}timestamp, value, CAST(sum(CAST(value AS DECIMAL(38,10))) OVER {w}
        / CAST(count(value) OVER {w} AS DOUBLE) AS expected FROM {src}"""
 
 
-register("expected_value", W(_expected_sql("rr", "", "timestamp, reading_id", ""), _RECENT), "series")(
-    lambda spark, sf: S.expected_value(P.recent_readings(fx.readings(spark, sf), AS_OF, RECENT_HOURS, RECENT_LIMIT),
-                                       order_cols=("timestamp", "reading_id")).select("timestamp", "value", "expected"))
+register("expected_value", W(_expected_sql("ra", "PARTITION BY device_id ", "timestamp, reading_id", "device_id, reading_id, "), _ALL_RECENT), "series")(
+    lambda spark, sf: S.expected_value(P.recent_readings(fx.readings(spark, sf), AS_OF, RECENT_HOURS),
+                                       **_SERIES).select("device_id", "reading_id", "timestamp", "value", "expected"))
 register("expected_value_by_device",
          W(_expected_sql("hmd", "PARTITION BY device_id ", "timestamp", "device_id, "), _HMD), "series")(
     lambda spark, sf: S.expected_value(S.hourly_mean(fx.readings(spark, sf), by_device=True),

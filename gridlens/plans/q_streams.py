@@ -48,18 +48,36 @@ def q_stream_hourly_mean(spark, sf):
 def q_stream_audit(spark, sf):
     docs = fx.stored_documents(spark, sf)
     d, schema, src = _landed(spark, "audit", docs, "insert_ts")
-    ST.stream_audit(ST.read_stream(spark, src, schema), fx.ledger(spark, sf), posixpath.join(d, "out"),
+    ST.stream_audit(ST.read_stream(spark, src, schema), lambda now: fx.ledger(now, sf), posixpath.join(d, "out"),
                     posixpath.join(d, "chk"), message_source="fixture", available_now=True)
     return spark.read.parquet(posixpath.join(d, "out")).select("id", "current_hash", "ledger_hash", "status")
 
 
-@register("ingest_stream", W("""
-SELECT coalesce(id, 'None') AS _id, device_id, original_payload AS payload, processing_timestamp,
-       enqueued_ts AS insert_ts, coalesce(status, 'processed') AS status
-FROM env WHERE id IS NOT NULL AND device_id IS NOT NULL
-QUALIFY row_number() OVER (PARTITION BY id ORDER BY enqueued_ts, seq) = 1""", _RAW), "streams")
-def q_ingest_stream(spark, sf):
+_VALID = "device_id IS NOT NULL AND device_id <> '' AND original_payload IS NOT NULL"
+
+
+def _ingested(spark, sf, sink):
     d, _, src = _landed(spark, "s10", fx.raw_messages(spark, sf), "enqueued_ts")
     ST.ingest_stream(ST.read_stream(spark, src, RAW_SCHEMA), posixpath.join(d, "docs"), posixpath.join(d, "ledger"),
-                     posixpath.join(d, "chk"), available_now=True)
-    return spark.read.parquet(posixpath.join(d, "docs")).drop("batch_id")
+                     posixpath.join(d, "chk"), available_now=True, quarantine_sink=posixpath.join(d, "quarantine"))
+    return spark.read.parquet(posixpath.join(d, sink)).drop("batch_id")
+
+
+register("ingest_stream", W(f"""
+SELECT id AS _id, device_id, original_payload AS payload, processing_timestamp,
+       enqueued_ts AS insert_ts, coalesce(status, 'processed') AS status
+FROM env WHERE {_VALID}
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY enqueued_ts, seq) = 1""", _RAW), "streams")(
+    lambda spark, sf: _ingested(spark, sf, "docs"))
+
+register("ingest_stream_ledger", W(f"""
+SELECT id, strftime(enqueued_ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(enqueued_ts) % 1000000 = 0 THEN ''
+         ELSE '.' || lpad(CAST(epoch_us(enqueued_ts) % 1000000 AS VARCHAR), 6, '0') END || 'Z' AS timestamp,
+       device_id, 'consumption' AS data_type, length(id) > 0 AS hashed
+FROM env WHERE {_VALID}
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY enqueued_ts, seq) = 1""", _RAW), "streams")(
+    lambda spark, sf: _ingested(spark, sf, "ledger").selectExpr("id", "timestamp", "device_id", "data_type", "length(hash_value) = 64 AS hashed"))
+
+register("ingest_stream_quarantine", W(f"""
+SELECT id, seq, device_id, original_payload IS NULL AS no_payload FROM env WHERE NOT ({_VALID})""", _RAW), "streams")(
+    lambda spark, sf: _ingested(spark, sf, "quarantine").selectExpr("id", "seq", "device_id", "original_payload IS NULL AS no_payload"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -41,24 +42,21 @@ def get_spark(master: str | None = None, app_name: str = "gridlens",
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    On a cluster the folder is configured by the operator and is only read
-    here.  A fallback is set only when nothing is configured, as in local tests.
+    On a cluster the folder is configured by its host (setting or
+    ``setCheckpointDir``) and is only read here; without one this raises.  A
+    temporary folder is set only for a session in one local process, as in tests.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(current)
-        return current
-    path = fallback or os.environ.get("GRIDLENS_TEST_CHECKPOINT_DIR") or "/tmp/gridlens-checkpoints"
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def cut_lineage(df, eager: bool = True):
-    """Reliable checkpoint into the shared folder (never a local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    context = spark.sparkContext
+    current = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not current:
+        master = context.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        current = fallback or os.environ.get("GRIDLENS_TEST_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="gridlens-checkpoints-")
+        spark.conf.set("spark.checkpoint.dir", current)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(current)
+    return current
 
 
 # Settings results depend on (time zone of NTZ -> instant casts) or plans rely on.
@@ -78,12 +76,13 @@ def prepare_session(spark: SparkSession) -> SparkSession:
 
 
 def spread_for_python(df, *keys):
-    """Hash-partition ``df`` on ``keys`` into 2 x default parallelism partitions.
+    """Hash-partition ``df`` on ``keys`` into 2 x default parallelism (or shuffle) partitions.
 
     For CPU-heavy ``applyInPandas`` groups on small inputs: AQE would coalesce
     the tiny shuffle into a few partitions and run the model fits serially;
     an explicit partition count is kept, and the following ``groupBy`` on the
     same keys reuses this partitioning (no second shuffle).
     """
-    n = max(2 * df.sparkSession.sparkContext.defaultParallelism, 2)
+    spark = df.sparkSession
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return df.repartition(n, *keys)

@@ -117,7 +117,7 @@ def normalize_messages(raw: DataFrame) -> DataFrame:
           .withColumn("_en", F.when(kind == TYPE_METER_ENERGY, F.from_json(F.col("body"), METER_ENERGY_BODY)))
           .filter((kind != TYPE_UNKNOWN) & ((kind != TYPE_PLUG) | e_text.isNotNull())))
     stored = F.create_map(*[x for k, v in STORED_TYPE.items() for x in (F.lit(k), F.lit(v))])
-    sim = F.get_json_object(F.col("_top")["_meta"], "$.simulated").cast("boolean")
+    sim = F.get_json_object(F.col("_top")["_meta"], "$.simulated").try_cast("boolean")
     return d.select(
         F.col("seq").alias("reading_id"),
         F.concat_ws("-", "device_id", _millis(F.col("enqueued_ts")).cast("string")).alias("doc_id"),
@@ -140,13 +140,22 @@ def iso_text(ts) -> F.Column:
 
 
 def wrap_messages(raw: DataFrame) -> DataFrame:
-    """Hub envelope ``(id = device-seq, deviceId, originalPayload, processingTimestamp, status, messageSource)``."""
+    """Hub envelope ``(id = device-seq, deviceId, originalPayload, processingTimestamp, status, messageSource)``.
+
+    The device comes from the transport (column ``transport_device_id``) where
+    the input has it, else from the topic.  The id is always built, with
+    ``None`` for a missing device, so no two messages share one.  A body that
+    isn't a JSON object gives no payload.
+    """
     d = device_from_topic(raw)
     dev = F.when(F.col("device_id") == "unknown", F.lit(None)).otherwise(F.col("device_id"))
+    if "transport_device_id" in raw.columns:
+        dev = F.col("transport_device_id")
+    json_object = F.col("body").startswith("{") & F.expr("try_parse_json(body)").isNotNull()
     return d.select(
-        F.when(dev.isNotNull(), F.concat_ws("-", dev, F.col("seq").cast("string"))).alias("id"),
+        F.concat_ws("-", F.coalesce(dev, F.lit("None")), F.col("seq").cast("string")).alias("id"),
         dev.alias("device_id"),
-        F.when(F.col("body").isNotNull() & F.col("body").startswith("{"), F.col("body")).alias("original_payload"),
+        F.when(json_object, F.col("body")).alias("original_payload"),
         iso_text(F.col("enqueued_ts")).alias("processing_timestamp"),
         F.lit(DEFAULT_STATUS).alias("status"), F.lit(HUB_SOURCE).alias("message_source"),
         "enqueued_ts", "seq")
@@ -163,8 +172,7 @@ def reject_invalid(envelopes: DataFrame) -> DataFrame:
 
 def store_messages(envelopes: DataFrame, order_col: str = "enqueued_ts") -> DataFrame:
     """Envelope -> stored document; a duplicate ``_id`` is rejected (first write wins)."""
-    # The store writer does not validate; a missing id is written as the text "None".
-    docs = envelopes.withColumn("_id", F.coalesce(F.col("id"), F.lit("None")))
+    docs = envelopes.withColumn("_id", F.col("id"))
     w = Window.partitionBy("_id").orderBy(order_col, "seq")
     first = docs.withColumn("_n", F.row_number().over(w)).filter("_n = 1")
     return first.select("_id", "device_id", F.col("original_payload").alias("payload"),
@@ -200,5 +208,5 @@ def documents_to_readings(docs: DataFrame) -> DataFrame:
         payload_ts.alias("payload_ts"), processing.alias("processing_ts"), F.col("insert_ts"),
         event_ts.alias("event_ts"), F.to_date(event_ts).alias("event_date"),
         F.col("_e.Power").alias("power_w"), F.col("_e.Today").alias("today_kwh"), F.col("_e.Voltage").alias("voltage_v"),
-        F.get_json_object(F.col("payload"), "$.total_act_power").cast("double").alias("meter_power_w"),
+        F.get_json_object(F.col("payload"), "$.total_act_power").try_cast("double").alias("meter_power_w"),
     )

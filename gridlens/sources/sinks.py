@@ -47,17 +47,24 @@ def report_csv_frame(report: DataFrame, keep=("period_start",)) -> DataFrame:
 
 
 def export_report_csv(report: DataFrame, path: str, partition_col: str = "period_start") -> None:
-    """Write one CSV (header + rows) per period; minimal RFC-4180 quoting, doubled quotes."""
-    frame = report_csv_frame(report)
-    (frame.repartition(partition_col).write.mode("overwrite")
+    """Write one CSV (header + rows, in order) per period; minimal RFC-4180 quoting, doubled quotes."""
+    order = [partition_col] + [c for c in ("device_id", "hour", "day", "month") if c in report.columns]
+    frame = report_csv_frame(report.repartition(partition_col).sortWithinPartitions(*order))
+    (frame.write.mode("overwrite")
      .partitionBy(partition_col)
      .option("header", True).option("quote", '"').option("escape", '"')
      .option("emptyValue", "").option("nullValue", "")
      .csv(path))
 
 
-def write_table(df: DataFrame, path: str, partition_by=("event_date",), sort_within=("device_id", "event_ts")) -> None:
+def write_table(df: DataFrame, path: str, partition_by=("event_date",), sort_within=("device_id", "event_ts"),
+                spread_by: str = "device_id", files_per_partition: int = 8) -> None:
     """Readings layout: partitioned by date, sorted by device and time inside files
-    so that row-group min/max statistics prune device and time ranges."""
-    (df.repartition(*partition_by).sortWithinPartitions(*sort_within)
+    so that row-group min/max statistics prune device and time ranges.
+
+    A partition is written by ``files_per_partition`` tasks, dealt by a hash of
+    ``spread_by``; rows of one device and day stay in one file.
+    """
+    part = F.pmod(F.xxhash64(spread_by), F.lit(files_per_partition))
+    (df.repartition(*partition_by, part).sortWithinPartitions(*partition_by, *sort_within)
      .write.mode("overwrite").partitionBy(*partition_by).parquet(path))

@@ -103,19 +103,30 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     return q
 
 
-def stream_audit(docs_stream: DataFrame, ledger: DataFrame, sink: str, checkpoint: str,
+def _run(frame: DataFrame, write, checkpoint: str, available_now: bool, processing_time: str):
+    """One foreachBatch query; ``write(batch, batch_id)`` must be idempotent per batch."""
+    w = frame.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
+    return w.start()
+
+
+def stream_audit(docs_stream: DataFrame, ledger, sink: str, checkpoint: str,
                  message_source: str = H.AUDIT_SOURCE, available_now: bool = False,
                  processing_time: str = DEFAULT_AUDIT_TRIGGER):
-    """Audit each micro-batch of new documents against the ledger snapshot."""
+    """Audit each micro-batch of new documents against the ledger as it is then.
+
+    ``ledger`` is a table path, or a function of the session that reads the
+    ledger; it is read anew in every batch.
+    """
 
     def audit_batch(batch: DataFrame, batch_id: int) -> None:
-        out = H.audit_full(batch, ledger, message_source=message_source) \
+        spark = batch.sparkSession
+        now = spark.read.parquet(ledger) if isinstance(ledger, str) else ledger(spark)
+        out = H.audit_full(batch, now, message_source=message_source) \
             .withColumn("batch_id", F.lit(batch_id))
         out.write.mode("overwrite").parquet(posixpath.join(sink, f"batch_id={batch_id}"))
 
-    w = docs_stream.writeStream.foreachBatch(audit_batch).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
-    q = w.start()
+    q = _run(docs_stream, audit_batch, checkpoint, available_now, processing_time)
     if available_now:
         q.awaitTermination()
     return q
@@ -124,33 +135,41 @@ def stream_audit(docs_stream: DataFrame, ledger: DataFrame, sink: str, checkpoin
 def ingest_stream(raw_stream: DataFrame, docs_sink: str, ledger_sink: str, checkpoint: str,
                   delay: str = "10 minutes", available_now: bool = False, processing_time: str = "1 minute",
                   quarantine_sink: str | None = None):
-    """Envelopes of one stream feed the document store and the ledger, independently.
-
-    Envelopes failing S9 go to the quarantine sink (dead letters).
-    Documents: S8 (first write per id wins, via watermark dedup).  Ledger:
-    SHA-256 of each valid envelope's canonical text (free-form path), the
-    ledger's own validation (H2) applied in the same batch.
+    """Envelopes of one stream feed document store, ledger and quarantine by three queries of their own.
+
+    Each query has its own checkpoint, so a sink that fails doesn't hold up
+    the others.  Envelopes failing S9 go to the quarantine before any
+    de-duplication, all of them.  Documents: first write per id within
+    ``delay`` (the watermark); later redeliveries are left to the store's key.
+    Ledger: SHA-256 of each envelope's canonical text; rows that fail the
+    ledger's own validation (H2) go to its ``_rejected`` folder with a reason.
+    Returns the three queries.
     """
-    env = I.wrap_messages(raw_stream)
-    env = _wm(env, "enqueued_ts", delay).dropDuplicatesWithinWatermark(["id"]).drop("_wm_ts")
-
-    def write_both(batch: DataFrame, batch_id: int) -> None:
-        checked = I.reject_invalid(batch).persist()
-        checked.filter(F.col("reason").isNotNull()).write.mode("overwrite") \
-            .parquet(posixpath.join(quarantine_sink or posixpath.join(docs_sink, "_quarantine"), f"batch_id={batch_id}"))
-        good = checked.filter(F.col("reason").isNull()).drop("reason")
-        I.store_messages(good).write.mode("overwrite").parquet(posixpath.join(docs_sink, f"batch_id={batch_id}"))
-        hashed = H.hash_documents(good.withColumnRenamed("original_payload", "payload"), payload="payload")
-        rows = hashed.select("id", F.col("current_hash").alias("hash_value"),
-                             F.regexp_replace("processing_timestamp", r"\+00:00$", "Z").alias("timestamp"),
-                             "device_id", F.lit(H.LEGACY_DATA_TYPE).alias("data_type"))
-        H.validate_ledger_rows(rows).filter(F.col("reason").isNull()).drop("reason") \
-            .write.mode("overwrite").parquet(posixpath.join(ledger_sink, f"batch_id={batch_id}"))
-        checked.unpersist()
-
-    w = env.writeStream.foreachBatch(write_both).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
-    q = w.start()
+    checked = I.reject_invalid(I.wrap_messages(raw_stream))
+    good = _wm(checked.filter(F.col("reason").isNull()).drop("reason"), "enqueued_ts", delay) \
+        .dropDuplicatesWithinWatermark(["id"]).drop("_wm_ts")
+    to = lambda sink, batch_id: posixpath.join(sink, f"batch_id={batch_id}")
+
+    def write_documents(batch: DataFrame, batch_id: int) -> None:
+        I.store_messages(batch).write.mode("overwrite").parquet(to(docs_sink, batch_id))
+
+    def write_ledger(batch: DataFrame, batch_id: int) -> None:
+        hashed = H.hash_documents(batch.withColumnRenamed("original_payload", "payload"), payload="payload")
+        rows = H.validate_ledger_rows(hashed.select(
+            "id", F.col("current_hash").alias("hash_value"),
+            F.regexp_replace("processing_timestamp", r"\+00:00$", "Z").alias("timestamp"),
+            "device_id", F.lit(H.LEGACY_DATA_TYPE).alias("data_type"))).persist()
+        rows.filter(F.col("reason").isNull()).drop("reason").write.mode("overwrite").parquet(to(ledger_sink, batch_id))
+        rows.filter(F.col("reason").isNotNull()).write.mode("overwrite").parquet(to(posixpath.join(ledger_sink, "_rejected"), batch_id))
+        rows.unpersist()
+
+    def write_quarantine(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(to(quarantine_sink or posixpath.join(docs_sink, "_quarantine"), batch_id))
+
+    feeds = (("documents", good, write_documents), ("ledger", good, write_ledger),
+             ("quarantine", checked.filter(F.col("reason").isNotNull()), write_quarantine))
+    queries = [_run(frame, write, posixpath.join(checkpoint, name), available_now, processing_time) for name, frame, write in feeds]
     if available_now:
-        q.awaitTermination()
-    return q
+        for q in queries:
+            q.awaitTermination()
+    return queries

@@ -57,7 +57,12 @@ def test_dual_sink_stream_matches_batch(spark):
     batch = H.hash_documents(env.withColumnRenamed("original_payload", "payload"))
     assert _same(ledger.select("id", "hash_value"), batch.select("id", F.col("current_hash").alias("hash_value")))
     q = spark.read.parquet(posixpath.join(base, "docs", "_quarantine"))
-    assert q.count() > 0 and q.filter("reason IS NULL").count() == 0
+    checked = I.reject_invalid(I.wrap_messages(raw))
+    assert q.count() == checked.filter("reason IS NOT NULL").count() > 0 and q.filter("reason IS NULL").count() == 0
+    # every message is stored, a redelivery of a stored one, or quarantined
+    docs = spark.read.parquet(posixpath.join(base, "docs"))
+    valid = checked.filter("reason IS NULL")
+    assert docs.count() == valid.select("id").distinct().count() and raw.count() == q.count() + valid.count()
 
 
 def test_cloud_path_documents_feed_reports(spark):

@@ -40,8 +40,7 @@ def test_dashboard_pushes_processing_time(stored):
 
 def test_newest_readings_is_top_k(spark, stored):
     assert "TakeOrderedAndProject" in _plan(P.recent_readings(stored, "2024-01-31 00:00:00", 48, 10_000))
-    assert "TakeOrderedAndProject" in _plan(D.dashboard_today(stored, "2024-01-30 18:00:00"))
-    assert "WindowGroupLimit" in _plan(D.dashboard_today(stored, "2024-01-30 18:00:00", by_device=True))
+    assert "TakeOrderedAndProject" in _plan(D.dashboard_today(stored, "2024-01-30 18:00:00", limit=1440))
 
 
 @pytest.mark.parametrize("name", ["daily_report", "device_breakdown", "weekly_report", "audit_full", "append_ledger",

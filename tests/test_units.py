@@ -43,31 +43,23 @@ def test_low_tariff_hours(spark, ts, low):
     assert df.select(is_low_tariff(F.col("ts"))).first()[0] is low
 
 
-def _loop_block_cost(kwh, cum=0.0):
-    remaining, position, total = kwh, cum, 0.0
-    for b in DEFAULT_TARIFF.blocks:
-        if remaining <= 0:
-            break
-        if position >= b.max_kwh:
-            continue
-        start = max(position, b.min_kwh)
-        end = min(position + remaining, b.max_kwh)
-        e = end - start
-        if e > 0:
-            total += e * b.rate
-            remaining -= e
-            position += e
-    return math.floor(total * 100 + 0.5) / 100
-
-
-@settings(max_examples=1, deadline=None)
+def _cumulative_cost(x):
+    """C(x): price of the first x kWh, the sum over blocks of rate times the part of [0, x] in the block."""
+    return sum(b.rate * max(0.0, min(x, b.max_kwh) - b.min_kwh) for b in DEFAULT_TARIFF.blocks)
+
+
+def _block_cost(kwh, cum=0.0):
+    return math.floor((_cumulative_cost(cum + kwh) - _cumulative_cost(cum)) * 100 + 0.5) / 100
+
+
+@settings(max_examples=5, deadline=None)
 @given(st.lists(st.tuples(st.floats(0, 3000, allow_nan=False), st.floats(0, 2000, allow_nan=False)),
                 min_size=200, max_size=200))
-def test_block_cost_matches_loop_and_is_monotone(spark, pairs):
+def test_block_cost_is_a_difference_of_cumulative_costs_and_monotone(spark, pairs):
     df = spark.createDataFrame(pairs, "kwh double, cum double")
     got = df.select("kwh", "cum", block_cost(F.col("kwh"), F.col("cum")).alias("c")).collect()
     for r in got:
-        assert r.c == pytest.approx(_loop_block_cost(r.kwh, r.cum), abs=0.011)
+        assert r.c == pytest.approx(_block_cost(r.kwh, r.cum), abs=0.011)
     xs = sorted(p[0] for p in pairs)
     mono = spark.createDataFrame([(x,) for x in xs], "kwh double").select(block_cost(F.col("kwh")).alias("c"))
     cs = [r.c for r in mono.collect()]
@@ -161,9 +153,51 @@ def test_dashboard_cost_uses_hourly_deltas(spark):
     assert cost.projected_daily == pytest.approx(math.floor(cost.value / 9 * 24 * 100 + 0.5) / 100, abs=0.011)
 
 
-def test_summary_of_empty_report_is_empty(spark):
+def test_summary_of_empty_report(spark):
     empty = spark.createDataFrame([], "period_start date, energy double, peak_power double, cost double")
-    assert R.report_summary(empty).count() == 0
+    assert R.report_summary(empty).count() == 0                      # no period, no row
+    one = R.report_summary(empty, keys=()).collect()                 # one requested period
+    assert [(r.total_energy, r.peak_power, r.total_cost) for r in one] == [(0.0, 0.0, None)]
+
+
+def test_js_number_text_equals_the_free_form_path(spark):
+    from gridlens.functions.canonical import js_number
+    from gridlens.functions.formatting import js_number_text
+    xs = [0.0, -0.0, 1e-7, 1.5e-7, 1e-6, 0.0005, -0.00012345, 0.001, 0.5, 1.0, 100.0, 1234567.5, 9999999.0, 1e7, 12345678.5, 123456789012.25,
+          1e15, 1e20, 123456789012345680000.0, 1e21, -1.5e300, 0.1 + 0.2, 1 / 3]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", js_number_text(F.col("x")).alias("t")).collect()
+    assert [(r.x, r.t) for r in got] == [(x, js_number(x)) for x in xs]
+
+
+def test_windows_in_blocks_equal_whole_windows(spark):
+    from gridlens.operators import series as S
+    start = dt.datetime(2024, 1, 1)
+    rows = [(f"d{i % 2}", start + dt.timedelta(hours=7 * i if i < 40 else 300 + i / 60), i, float(i * i % 17)) for i in range(160)]
+    df = spark.createDataFrame(rows, "device_id string, timestamp timestamp_ntz, reading_id int, value double")
+    how = dict(order_cols=("timestamp", "reading_id"), partition_cols=("device_id",))
+    for f in (S.rolling_features, S.expected_value):
+        assert sorted(map(tuple, f(df, block_rows=7, **how).collect())) == sorted(map(tuple, f(df, **how).collect()))
+
+
+def test_rfc3339(spark):
+    from gridlens.operators.integrity import _rfc3339_to_ts
+    want = {"2024-01-15T10:30:00Z": "2024-01-15 10:30:00", "2024-01-15T10:30:00.123456789+02:30": "2024-01-15 08:00:00.123456",
+            "2024-01-15T10:30:00.5-01:00": "2024-01-15 11:30:00.500000", "2024-01-15T10:30:00+25:00": None, "2024-01-15T10:30:00+01:75": None,
+            "2024-13-15T10:30:00Z": None, "2024-01-15 10:30:00Z": None}
+    rows = spark.createDataFrame([(k,) for k in want], "t string").select("t", _rfc3339_to_ts(F.col("t")).alias("ts")).collect()
+    assert {r.t: None if r.ts is None else str(r.ts) for r in rows} == want
+
+
+def test_broken_messages_do_not_stop_the_job(spark):
+    from gridlens.functions.canonical import canonical_json
+    from gridlens.sources import ingest as I
+    rows = [("tele/a/SENSOR", '{"Time":', 1), ("tele/a/SENSOR", '{"ENERGY":{"Power":1},"_meta":{"simulated":"maybe"}}', 2), ("nowhere", '{"a":1}', 3), ("nowhere", '{"a":2}', 4)]
+    raw = spark.createDataFrame([(t, b, dt.datetime(2024, 1, 1), n) for t, b, n in rows], "topic string, body string, enqueued_ts timestamp_ntz, seq long")
+    env = I.reject_invalid(I.wrap_messages(raw)).collect()
+    assert len({r.id for r in env}) == 4 and env[0].original_payload is None
+    assert I.store_messages(I.wrap_messages(raw)).count() == 4
+    assert I.normalize_messages(raw).count() >= 0
+    assert raw.select(canonical_json("body").alias("c")).first().c is None
 
 
 def test_generate_report_one_week(spark):
