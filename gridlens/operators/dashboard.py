@@ -110,8 +110,7 @@ def dashboard_today(readings: DataFrame, as_of, by_device: bool = False, limit:
     """
     t = _ts(as_of)
     df = recent_frame(readings, as_of, **filters).filter(F.col("processing_ts") >= F.date_trunc("day", t))
-    utc = F.col("time_utc").cast("timestamp_ntz") if "time_utc" in df.columns else F.lit(None).cast("timestamp_ntz")
-    ts = F.coalesce(utc, F.col("payload_ts"), F.col("processing_ts"))
+    ts = F.coalesce("time_utc", "payload_ts", "processing_ts") if "time_utc" in df.columns else F.coalesce("payload_ts", "processing_ts")
     rows = df.select(*_k(by_device), "processing_ts", "reading_id", ts.alias("timestamp"),
                      F.col("power_w").alias("power"), F.col("voltage_v").alias("voltage"),
                      F.col("today_kwh").alias("energy"), F.date_trunc("hour", "processing_ts").alias("_hour"))

@@ -39,11 +39,22 @@ rbase AS (
          CASE WHEN has_energy THEN CAST(today_ch AS DOUBLE) / 100 END AS today_kwh,
          CASE WHEN has_energy THEN CAST(voltage AS DOUBLE) END AS voltage_v,
          CASE WHEN has_energy THEN NULL ELSE CAST(power_dw AS DOUBLE) / 10 END AS meter_power_w,
+         CASE WHEN has_energy THEN CAST(power_dw % 1000 AS DOUBLE) / 100 END AS current_a,
+         CASE WHEN has_energy THEN CAST(50 + reading_id % 50 AS DOUBLE) / 100 END AS power_factor,
+         CASE WHEN has_energy THEN CAST(power_dw + 50 AS DOUBLE) / 10 END AS apparent_power_va,
+         CASE WHEN has_energy THEN CAST(power_dw % 700 AS DOUBLE) / 10 END AS reactive_power_var,
+         CASE WHEN has_energy THEN CAST(today_ch + 100000 AS DOUBLE) / 100 END AS total_kwh,
+         CASE WHEN has_energy THEN CAST(reading_id % 900 AS DOUBLE) / 100 END AS yesterday_kwh,
+         CASE WHEN has_energy THEN CAST(reading_id % 60 AS DOUBLE) END AS period_wh,
+         CASE WHEN has_energy THEN '2023-01-01T00:00:00' END AS total_start_time,
+         CASE WHEN reading_id % 11 = 0 THEN processing_ts - INTERVAL 1 SECOND END AS time_utc,
+         CASE WHEN is_simulated THEN '{"simulated":true}' END AS metadata,
          power_dw, today_ch
   FROM fx),
 readings AS (
   SELECT reading_id, doc_id, device_id, device_type, is_simulated, has_energy, payload_ts, processing_ts,
-         insert_ts, event_ts, event_date, power_w, today_kwh, voltage_v, meter_power_w
+         insert_ts, event_ts, event_date, power_w, today_kwh, voltage_v, meter_power_w, current_a, power_factor, apparent_power_va,
+         reactive_power_var, total_kwh, yesterday_kwh, period_wh, total_start_time, time_utc, metadata
   FROM rbase),
 meter_days AS (
   SELECT o_orderkey AS reading_id,
@@ -54,7 +65,10 @@ meter_days AS (
          o_orderdate AS event_ts, CAST(o_orderdate AS DATE) AS event_date,
          CAST(CAST(floor(o_totalprice / 100) AS BIGINT) AS DOUBLE) / 10 AS power_w,
          CAST(CAST(floor(o_totalprice / 500) AS BIGINT) * 100 AS DOUBLE) / 100 AS today_kwh,
-         CAST(NULL AS DOUBLE) AS voltage_v, CAST(NULL AS DOUBLE) AS meter_power_w
+         CAST(NULL AS DOUBLE) AS voltage_v, CAST(NULL AS DOUBLE) AS meter_power_w,
+         CAST(NULL AS DOUBLE) AS current_a, CAST(NULL AS DOUBLE) AS power_factor, CAST(NULL AS DOUBLE) AS apparent_power_va,
+         CAST(NULL AS DOUBLE) AS reactive_power_var, CAST(NULL AS DOUBLE) AS total_kwh, CAST(NULL AS DOUBLE) AS yesterday_kwh,
+         CAST(NULL AS DOUBLE) AS period_wh, CAST(NULL AS VARCHAR) AS total_start_time, CAST(NULL AS TIMESTAMP) AS time_utc, CAST(NULL AS VARCHAR) AS metadata
   FROM orders)"""
 
 

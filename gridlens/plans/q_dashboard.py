@@ -11,7 +11,8 @@ W = O.with_fixtures
 AS_OF_DASH = "2024-01-30 18:00:00"
 T = O.ts(AS_OF_DASH)
 METRICS = [m for m, _ in D.LATEST_METRICS]
-PRESENT = {"power": "power_w", "voltage": "voltage_v", "energy_today": "today_kwh"}
+PRESENT = {"power": "power_w", "voltage": "voltage_v", "energy_today": "today_kwh", "current": "current_a", "power_factor": "power_factor",
+           "apparent_power": "apparent_power_va", "reactive_power": "reactive_power_var", "energy_total": "total_kwh"}
 
 
 def _rf(keys: str = "") -> str:
@@ -77,7 +78,7 @@ def _today_sql(by_device: bool) -> str:
     return W(f"""
 SELECT * FROM (
   SELECT {k}row_number() OVER ({part}ORDER BY processing_ts, reading_id) AS seq,
-         coalesce(payload_ts, processing_ts) AS timestamp, power_w AS power, voltage_v AS voltage, today_kwh AS energy
+         coalesce(time_utc, payload_ts, processing_ts) AS timestamp, power_w AS power, voltage_v AS voltage, today_kwh AS energy
   FROM rf WHERE processing_ts >= date_trunc('day', {T})) t""", _rf())
 
 

@@ -15,7 +15,9 @@ _RAW = """
 rsrc AS (SELECT *, substr(CAST(processing_ts AS VARCHAR), 1, 19) AS t19,
                 CAST(coalesce(CAST(voltage_v AS BIGINT), 230) AS VARCHAR) AS v,
                 CAST(power_dw AS VARCHAR) AS p, CAST(today_ch AS VARCHAR) AS t FROM rbase),
-rsrc2 AS (SELECT *, '{"Power":' || p || ',"Today":' || t || ',"Voltage":' || v || '}' AS eobj,
+rsrc2 AS (SELECT *, '{"Power":' || p || ',"Today":' || t || ',"Voltage":' || v || ',"Total":' || t
+                      || ',"Current":1,"Factor":0.5,"ApparentPower":' || p
+                      || ',"ReactivePower":2,"Yesterday":3,"Period":4,"TotalStartTime":"2023-01-01T00:00:00"}' AS eobj,
                  CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END AS sim FROM rsrc),
 rawm0 AS (
   SELECT CASE WHEN reading_id % 50 = 0 THEN 'other/x'
@@ -47,6 +49,10 @@ plug AS (
          coalesce(body->>'$.Time', body->>'$.timestamp') AS time_text,
          CAST(json_extract(et, '$.Power') AS DOUBLE) AS Power, CAST(json_extract(et, '$.Today') AS DOUBLE) AS Today,
          CAST(json_extract(et, '$.Voltage') AS DOUBLE) AS Voltage, CAST(json_extract(et, '$.Total') AS DOUBLE) AS Total,
+         CAST(json_extract(et, '$.Current') AS DOUBLE) AS Current, CAST(json_extract(et, '$.Factor') AS DOUBLE) AS Factor,
+         CAST(json_extract(et, '$.ApparentPower') AS DOUBLE) AS ApparentPower, CAST(json_extract(et, '$.ReactivePower') AS DOUBLE) AS ReactivePower,
+         CAST(json_extract(et, '$.Yesterday') AS DOUBLE) AS Yesterday, CAST(json_extract(et, '$.Period') AS DOUBLE) AS Period,
+         et->>'$.TotalStartTime' AS TotalStartTime,
          CAST(json_extract(body, '$._meta') AS VARCHAR) AS metadata
   FROM (SELECT *, coalesce(json_extract(body, '$.ENERGY'), json_extract(body, '$.energy')) AS et
         FROM typed WHERE device_type = 'tasmota') x
@@ -82,10 +88,11 @@ env AS (
 register("device_from_topic", W("SELECT seq, topic, device_type, device_id FROM typed", _RAW), "ingest")(
     lambda spark, sf: I.device_from_topic(fx.raw_messages(spark, sf)).select("seq", "topic", "device_type", "device_id"))
 
-register("normalize_plug", W("SELECT seq, device_id, time_text, Power, Today, Voltage, Total, metadata FROM plug", _RAW),
+register("normalize_plug", W("""SELECT seq, device_id, time_text, Power, Today, Voltage, Total, "Current", Factor, ApparentPower, ReactivePower,
+                                   Yesterday, Period, TotalStartTime, metadata FROM plug""", _RAW),
          "ingest")(
     lambda spark, sf: I.normalize_plug(I.device_from_topic(fx.raw_messages(spark, sf)).filter("device_type = 'tasmota'"))
-    .select("seq", "device_id", "time_text", "Power", "Today", "Voltage", "Total", "metadata"))
+    .select("seq", "device_id", "time_text", *I.ENERGY_FIELDS, "metadata"))
 
 
 @register("normalize_phase_power", W("""
@@ -115,21 +122,36 @@ SELECT seq AS reading_id, device_id || '-' || CAST(epoch_us(enqueued_ts) // 1000
        coalesce(is_simulated, false) AS is_simulated, has_energy, CAST(NULL AS TIMESTAMP) AS payload_ts,
        enqueued_ts AS processing_ts, enqueued_ts AS insert_ts, enqueued_ts AS event_ts,
        CAST(enqueued_ts AS DATE) AS event_date, power_w, today_kwh, voltage_v, meter_power_w, meter_energy_total,
-       time_text, topic, 'processed' AS status, 'LocalMQTTProcessor' AS message_source
+       current_a, power_factor, apparent_power_va, reactive_power_var, total_kwh, yesterday_kwh, period_wh, total_start_time,
+       CAST(NULL AS TIMESTAMP) AS time_utc, metadata, a_power, a_voltage, b_power, a_total, total_returned, time_text, topic, 'processed' AS status, 'LocalMQTTProcessor' AS message_source
 FROM (
   SELECT seq, topic, enqueued_ts, device_id, device_type, true AS has_energy, time_text, Power AS power_w,
          Today AS today_kwh, Voltage AS voltage_v, coalesce(CAST(json_extract(metadata, '$.simulated') AS BOOLEAN), false)
-         AS is_simulated, CAST(NULL AS DOUBLE) AS meter_power_w, CAST(NULL AS DOUBLE) AS meter_energy_total FROM plug
+         AS is_simulated, CAST(NULL AS DOUBLE) AS meter_power_w, CAST(NULL AS DOUBLE) AS meter_energy_total,
+         "Current" AS current_a, Factor AS power_factor, ApparentPower AS apparent_power_va, ReactivePower AS reactive_power_var, Total AS total_kwh,
+         Yesterday AS yesterday_kwh, Period AS period_wh, TotalStartTime AS total_start_time, metadata,
+         CAST(NULL AS DOUBLE) AS a_power, CAST(NULL AS DOUBLE) AS a_voltage, CAST(NULL AS DOUBLE) AS b_power, CAST(NULL AS DOUBLE) AS a_total,
+         CAST(NULL AS DOUBLE) AS total_returned FROM plug
   UNION ALL
-  SELECT seq, topic, enqueued_ts, device_id, device_type, false, NULL, NULL, NULL, NULL, NULL, total_power, NULL FROM mpow
+  SELECT seq, topic, enqueued_ts, device_id, device_type, false, NULL, NULL, NULL, NULL, NULL, total_power, NULL,
+         NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, a_power, a_voltage, b_power, NULL, NULL FROM mpow
   UNION ALL
-  SELECT seq, topic, enqueued_ts, device_id, device_type, false, NULL, NULL, NULL, NULL, NULL, NULL, total FROM menergy) u
+  SELECT seq, topic, enqueued_ts, device_id, device_type, false, NULL, NULL, NULL, NULL, NULL, NULL, total,
+         NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, a_total, total_returned FROM menergy) u
 """
 
 
 @register("normalize_messages", W(_NORMALIZE_SQL, _RAW), "ingest")
 def q_normalize_messages(spark, sf):
-    return I.normalize_messages(fx.raw_messages(spark, sf))
+    return flat_phases(I.normalize_messages(fx.raw_messages(spark, sf)))
+
+
+def flat_phases(df):
+    """The nested phases as the columns that the oracle compares."""
+    p = "phases"
+    return df.select(*[c for c in df.columns if c not in (p, "meter_energy_returned")], F.col("meter_energy_returned").alias("total_returned"),
+                     F.col(f"{p}.a.power").alias("a_power"), F.col(f"{p}.a.voltage").alias("a_voltage"), F.col(f"{p}.b.power").alias("b_power"),
+                     F.col(f"{p}.a.total").alias("a_total"))
 
 
 register("wrap_messages", W("SELECT id, device_id, original_payload, processing_timestamp, status, message_source, seq FROM env",
@@ -160,7 +182,12 @@ SELECT CASE WHEN regexp_extract(_id, '-(\\d+)$', 1) <> '' THEN CAST(regexp_extra
        coalesce(pts, prc) AS event_ts, CAST(coalesce(pts, prc) AS DATE) AS event_date,
        CAST(json_extract(et, '$.Power') AS DOUBLE) AS power_w, CAST(json_extract(et, '$.Today') AS DOUBLE) AS today_kwh,
        CAST(json_extract(et, '$.Voltage') AS DOUBLE) AS voltage_v,
-       CAST(json_extract(payload, '$.total_act_power') AS DOUBLE) AS meter_power_w
+       CAST(json_extract(payload, '$.total_act_power') AS DOUBLE) AS meter_power_w,
+       CAST(json_extract(et, '$.Current') AS DOUBLE) AS current_a, CAST(json_extract(et, '$.Factor') AS DOUBLE) AS power_factor,
+       CAST(json_extract(et, '$.ApparentPower') AS DOUBLE) AS apparent_power_va, CAST(json_extract(et, '$.ReactivePower') AS DOUBLE) AS reactive_power_var,
+       CAST(json_extract(et, '$.Total') AS DOUBLE) AS total_kwh, CAST(json_extract(et, '$.Yesterday') AS DOUBLE) AS yesterday_kwh,
+       CAST(json_extract(et, '$.Period') AS DOUBLE) AS period_wh, et->>'$.TotalStartTime' AS total_start_time,
+       CAST(NULL AS TIMESTAMP) AS time_utc, CAST(json_extract(payload, '$._meta') AS VARCHAR) AS metadata
 FROM (
   SELECT *, coalesce(json_extract(payload, '$.ENERGY'), json_extract(payload, '$.energy')) AS et,
          CAST(timezone('UTC', TRY_CAST(payload->>'$.timestamp' AS TIMESTAMPTZ)) AS TIMESTAMP) AS pts,

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import posixpath
+
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..operators import periods as P
 from ..operators import reports as R
 from ..sources import fixtures as fx
+from ..sources.ingest import read_readings
+from ..sources.sinks import write_table
+from ..streaming.streams import work_dir
 from . import oracle as O
 from .registry import register
 
@@ -17,7 +22,10 @@ W = O.with_fixtures
 # ------------------------------------------------------------------ S1 / F1-F5
 @register("read_readings", W("SELECT * FROM readings"), "reports")
 def q_read_readings(spark, sf):
-    return fx.readings(spark, sf)
+    """Readings written in the stored layout and scanned by the reader."""
+    path = posixpath.join(work_dir(spark, "readings"), "table")
+    write_table(fx.readings(spark, sf), path)
+    return read_readings(spark, path)
 
 
 @register("event_time", W("""

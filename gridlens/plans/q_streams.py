@@ -8,7 +8,7 @@ from ..sources import fixtures as fx
 from ..sources.ingest import RAW_SCHEMA
 from ..streaming import streams as ST
 from . import oracle as O
-from .q_ingest import _NORMALIZE_SQL, _RAW
+from .q_ingest import _NORMALIZE_SQL, _RAW, flat_phases
 from .q_integrity import _AUDIT, _LEDGER
 from .registry import register
 
@@ -27,7 +27,7 @@ def q_stream_ingest(spark, sf):
     d, _, src = _landed(spark, "ingest", fx.raw_messages(spark, sf), "enqueued_ts")
     out = ST.stream_ingest(ST.read_stream(spark, src, RAW_SCHEMA))
     ST.run_to_table(out, posixpath.join(d, "out"), posixpath.join(d, "chk"))
-    return spark.read.parquet(posixpath.join(d, "out"))
+    return flat_phases(spark.read.parquet(posixpath.join(d, "out")))
 
 
 @register("stream_hourly_mean", W("""

@@ -25,15 +25,21 @@ READINGS_SCHEMA = T.StructType([
     T.StructField("today_kwh", T.DoubleType()),           # ENERGY.Today (resets at midnight)
     T.StructField("voltage_v", T.DoubleType()),           # ENERGY.Voltage
     T.StructField("meter_power_w", T.DoubleType()),       # three-phase totalPower
+    T.StructField("current_a", T.DoubleType()),           # ENERGY.Current
+    T.StructField("power_factor", T.DoubleType()),        # ENERGY.Factor
+    T.StructField("apparent_power_va", T.DoubleType()),   # ENERGY.ApparentPower
+    T.StructField("reactive_power_var", T.DoubleType()),  # ENERGY.ReactivePower
+    T.StructField("total_kwh", T.DoubleType()),           # ENERGY.Total
+    T.StructField("yesterday_kwh", T.DoubleType()),       # ENERGY.Yesterday
+    T.StructField("period_wh", T.DoubleType()),           # ENERGY.Period
+    T.StructField("total_start_time", T.StringType()),    # ENERGY.TotalStartTime
+    T.StructField("time_utc", T.TimestampNTZType()),      # TIME.UTC, may be NULL
+    T.StructField("metadata", T.StringType()),            # _meta as JSON text
 ])
 
-READING_COLUMNS = [f.name for f in READINGS_SCHEMA.fields]
+#: Columns of the plug's ENERGY object and the field each is read from.
+ENERGY_COLUMNS = {"power_w": "Power", "today_kwh": "Today", "voltage_v": "Voltage", "current_a": "Current", "power_factor": "Factor",
+                  "apparent_power_va": "ApparentPower", "reactive_power_var": "ReactivePower", "total_kwh": "Total",
+                  "yesterday_kwh": "Yesterday", "period_wh": "Period", "total_start_time": "TotalStartTime"}
 
-LEDGER_SCHEMA = T.StructType([
-    T.StructField("id", T.StringType()),
-    T.StructField("hash_value", T.StringType()),
-    T.StructField("ts", T.TimestampNTZType()),
-    T.StructField("device_id", T.StringType()),
-    T.StructField("data_type", T.StringType()),
-    T.StructField("created_at", T.TimestampNTZType()),
-])
+READING_COLUMNS = [f.name for f in READINGS_SCHEMA.fields]

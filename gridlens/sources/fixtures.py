@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schema import READING_COLUMNS
+from ..schema import READING_COLUMNS, READINGS_SCHEMA
 from .tables import read_table
 
 # Fixed values of the fixture rules.
@@ -27,6 +27,19 @@ DATA_TYPES = ["consumption", "production", "storage", "transmission"]
 FIXTURE_SOURCE = "fixture"
 
 
+TIME_UTC_MOD = 11           # reading_id % 11 == 0 -> payload with its own UTC time
+TOTAL_START = "2023-01-01T00:00:00"
+
+
+def _other_energy() -> dict:
+    """The plug's further ENERGY fields, with few digits so that their text is the same in every engine."""
+    p, t, r = F.col("power_dw"), F.col("today_ch"), F.col("reading_id")
+    part = lambda x, n: x.cast("double") / n
+    return {"current_a": part(p % 1000, 100), "power_factor": part(50 + r % 50, 100), "apparent_power_va": part(p + 50, 10),
+            "reactive_power_var": part(p % 700, 10), "total_kwh": part(t + 100000, 100), "yesterday_kwh": part(r % 900, 100),
+            "period_wh": (r % 60).cast("double"), "total_start_time": F.lit(TOTAL_START)}
+
+
 def reading_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings with the integer units ``power_dw`` (0.1 W) and ``today_ch`` (0.01 kWh)."""
     ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value", "props")
@@ -79,6 +92,9 @@ def reading_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(he, F.col("today_ch").cast("double") / 100).alias("today_kwh"),
         F.when(he, F.col("voltage").cast("double")).alias("voltage_v"),
         F.when(~he, F.col("power_dw").cast("double") / 10).alias("meter_power_w"),
+        *[F.when(he, v).alias(c) for c, v in _other_energy().items()],
+        F.when(F.col("reading_id") % TIME_UTC_MOD == 0, F.col("processing_ts") - F.expr("INTERVAL 1 SECOND")).alias("time_utc"),
+        F.when(F.col("is_simulated"), F.lit('{"simulated":true}')).alias("metadata"),
         "power_dw", "today_ch",
     )
 
@@ -108,8 +124,7 @@ def meter_days(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_date("o_orderdate").alias("event_date"),
         (power_dw.cast("double") / 10).alias("power_w"),
         (today_ch.cast("double") / 100).alias("today_kwh"),
-        F.lit(None).cast("double").alias("voltage_v"),
-        F.lit(None).cast("double").alias("meter_power_w"),
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in READINGS_SCHEMA.fields[READING_COLUMNS.index("voltage_v"):]],
     )
 
 
@@ -203,7 +218,9 @@ def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(meter, F.concat(F.lit("shellypro3em-"), "device_id", F.lit("/status/em:0")))
              .otherwise(F.concat(F.lit("tele/"), "device_id", F.lit("/SENSOR"))))
     p, t, v = (F.col(c).cast("string") for c in ("power_dw", "today_ch", "voltage_i"))
-    energy_obj = F.concat(F.lit('{"Power":'), p, F.lit(',"Today":'), t, F.lit(',"Voltage":'), v, F.lit("}"))
+    energy_obj = F.concat(F.lit('{"Power":'), p, F.lit(',"Today":'), t, F.lit(',"Voltage":'), v, F.lit(',"Total":'), t,
+                          F.lit(',"Current":1,"Factor":0.5,"ApparentPower":'), p, F.lit(',"ReactivePower":2,"Yesterday":3,"Period":4,"TotalStartTime":"'),
+                          F.lit(TOTAL_START), F.lit('"}'))
     sim = F.when(uid % 2 == 0, F.lit("true")).otherwise(F.lit("false"))
     plug = (F.when(rid % RAW_NO_ENERGY_MOD == 0,
                    F.concat(F.lit('{"Time":"'), t19, F.lit('","Wifi":{"RSSI":'), v, F.lit("}}")))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import READINGS_SCHEMA
+from ..schema import ENERGY_COLUMNS, READING_COLUMNS, READINGS_SCHEMA
 
 # Topic patterns, device types and source names.
 PLUG_TOPIC_PREFIX, PLUG_TOPIC_SUFFIX = "tele/", "/SENSOR"
@@ -97,6 +97,13 @@ def _millis(ts):
     return F.unix_millis(ts.cast("timestamp"))
 
 
+def _phases() -> F.Column:
+    """Per phase the six power fields and both energy counters, NULL where the message has none."""
+    power = lambda p: [F.col(f"_pw.{p}_{src}").alias(k) for k, src in _PHASE_POWER.items()]
+    energy = lambda p: [F.col(f"_en.{p}_total_act_energy").alias("total"), F.col(f"_en.{p}_total_act_ret_energy").alias("returned")]
+    return F.struct(*[F.struct(*power(p), *energy(p)).alias(p) for p in "abc"])
+
+
 def normalize_messages(raw: DataFrame) -> DataFrame:
     """Dispatch by type, drop unknown and energy-less plug messages, add document fields.
 
@@ -105,7 +112,7 @@ def normalize_messages(raw: DataFrame) -> DataFrame:
     per-type branch and no union.  ``_id`` is ``<device>-<epoch millis of
     processing>``; processing and insert time are the message's enqueue time.
     Output is typed like ``readings`` plus ``topic``, ``status``,
-    ``message_source``, ``time_text`` and the meter energy total.
+    ``message_source``, ``time_text``, the meter's energy totals and its phases.
     """
     d = device_from_topic(raw)
     kind = F.col("device_type")
@@ -126,8 +133,10 @@ def normalize_messages(raw: DataFrame) -> DataFrame:
         F.lit(None).cast("timestamp_ntz").alias("payload_ts"),
         F.col("enqueued_ts").alias("processing_ts"), F.col("enqueued_ts").alias("insert_ts"),
         F.col("enqueued_ts").alias("event_ts"), F.to_date("enqueued_ts").alias("event_date"),
-        F.col("_e.Power").alias("power_w"), F.col("_e.Today").alias("today_kwh"), F.col("_e.Voltage").alias("voltage_v"),
+        *[F.col(f"_e.{f}").alias(c) for c, f in ENERGY_COLUMNS.items()],
         F.col("_pw.total_act_power").alias("meter_power_w"), F.col("_en.total_act").alias("meter_energy_total"),
+        F.col("_en.total_act_ret").alias("meter_energy_returned"), _phases().alias("phases"),
+        _utc_ntz(F.get_json_object(F.col("_top")["TIME"], "$.UTC")).alias("time_utc"), F.col("_top")["_meta"].alias("metadata"),
         F.coalesce(F.col("_top")["Time"], F.col("_top")["timestamp"]).alias("time_text"),
         "topic", F.lit(DEFAULT_STATUS).alias("status"), F.lit(LOCAL_SOURCE).alias("message_source"))
 
@@ -207,6 +216,7 @@ def documents_to_readings(docs: DataFrame) -> DataFrame:
         F.lit(False).alias("is_simulated"), e_text.isNotNull().alias("has_energy"),
         payload_ts.alias("payload_ts"), processing.alias("processing_ts"), F.col("insert_ts"),
         event_ts.alias("event_ts"), F.to_date(event_ts).alias("event_date"),
-        F.col("_e.Power").alias("power_w"), F.col("_e.Today").alias("today_kwh"), F.col("_e.Voltage").alias("voltage_v"),
+        *[F.col(f"_e.{f}").alias(c) for c, f in ENERGY_COLUMNS.items()],
         F.get_json_object(F.col("payload"), "$.total_act_power").try_cast("double").alias("meter_power_w"),
-    )
+        _utc_ntz(F.get_json_object(F.col("_top")["TIME"], "$.UTC")).alias("time_utc"), F.col("_top")["_meta"].alias("metadata"),
+    ).select(*READING_COLUMNS)
