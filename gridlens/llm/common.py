@@ -17,11 +17,11 @@ from ..sources.tables import read_table
 
 #: Rows and bytes of an Arrow batch handed to a Python worker; texts may be long.
 BATCH_CONF = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4194304",
 }
 #: Bytes of text that the array helpers look at together (a longer text is one slice).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 
 def prepare(spark: SparkSession) -> SparkSession:

@@ -34,11 +34,12 @@ from pyspark.sql import functions as F
 from .common import U, as_text, mix, prefix_hash, span_hash, stored, text_slices
 
 LENGTH, K, V = 400, 40, 32
-BLOCK, HOT = 2 << 20, 20_000
+BLOCK, HOT = 1 << 20, 4000
 #: Bytes of ids and spans up to which they are sent to all executors; beyond, texts are joined by shuffle.
 BROADCAST_BYTES = 64 << 20
-_POS_BITS = 22
-CHUNK = (1 << _POS_BITS) - 1
+#: Bytes of one text that are looked at together, and the bits that hold a place in them.
+CHUNK = 1 << 20
+PLACE = (1 << 21) - 1
 
 
 def difference_cover(v: int) -> list[int]:
@@ -70,14 +71,14 @@ def runs_of(raw: np.ndarray, offs: np.ndarray, length: int, k: int):
     prefix = prefix_hash(raw)
     at = np.arange(n - k + 1)
     h = span_hash(prefix, at, at + k)
-    key = (h & ~U(CHUNK)) | at.astype(U)
+    key = (h & ~U(PLACE)) | at.astype(U)
     least, size, span = key, 1, length - k + 1
     while size * 2 <= span:  # minima over windows of 2, 4, 8, ... places
         least = np.minimum(least[:-size], least[size:])
         size *= 2
     if size < span:
         least = np.minimum(least[:len(least) - (span - size)], least[span - size:])
-    place = (least & U(CHUNK)).astype(np.int64)  # of window p, for p in [0, n - length]
+    place = (least & U(PLACE)).astype(np.int64)  # of window p, for p in [0, n - length]
     lengths = np.diff(offs)
     long_rows = np.flatnonzero(lengths >= length)
     valid = np.zeros(len(place) + 1, np.int8)
