@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -36,8 +37,8 @@ from .common import flat, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Largest model file that is broadcast, and distinct words a worker remembers between slices.
-MODEL_BYTES, REMEMBERED = 64 << 20, 500_000
+#: Largest model file that is broadcast, and distinct words (and pairs of pieces) a worker remembers between slices.
+MODEL_BYTES, REMEMBERED = 64 << 20, 250_000
 _UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 
@@ -127,8 +128,7 @@ class Encoder:
         finder.make_automaton()
         self.matches = finder.iter
         self.code: dict[str, int] = {}
-        self.flat: list[int] = []
-        self.offs = [0]
+        self.flat, self.offs = array("i"), array("q", [0])
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether merging ``a`` + ``b`` leaves both: no pair of their edge pieces merges while it exists.
@@ -157,7 +157,7 @@ class Encoder:
                     i -= 1
                 else:
                     j -= 1
-            if len(self.follows) > 1_000_000:
+            if len(self.follows) > REMEMBERED:
                 self.follows.clear()
             self.follows[a, b] = known
         return known
@@ -222,17 +222,17 @@ class Encoder:
 
     def keep(self, word: str, ids: list[int]) -> None:
         self.code[word] = len(self.offs) - 1
-        self.flat += ids
+        self.flat.extend(ids)
         self.offs.append(len(self.flat))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, row offsets) of a slice of texts."""
         if len(self.code) > REMEMBERED:
-            self.code, self.flat, self.offs = {}, [], [0]
+            self.code, self.flat, self.offs = {}, array("i"), array("q", [0])
         units = [_UNITS.findall((MARK if self.m.prefix else "") + t.replace(" ", MARK)) if t else [] for t in texts]
         self.add({w for u in units for w in u})
         codes = np.fromiter((self.code[w] for u in units for w in u), np.int64)
-        offs, ids = np.array(self.offs), np.array(self.flat, np.int32)
+        offs, ids = np.frombuffer(self.offs, np.int64), np.frombuffer(self.flat, np.int32)
         out, ends = ragged(ids, offs[codes], offs[codes + 1])
         rows = np.cumsum([0, *map(len, units)])
         return out, np.concatenate([[0], ends])[rows]
