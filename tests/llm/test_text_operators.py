@@ -205,6 +205,14 @@ def test_suffix_dedup_overlaps_and_odd_rows(spark, odd_docs):
     assert suffix.remove_repeats(odd_docs.limit(0)).count() == 0
 
 
+def test_suffix_dedup_texts_longer_than_a_chunk(spark):
+    rng = random.Random(12)
+    body = "".join(rng.choices("abcdefgh \n", k=suffix.CHUNK + 5000))
+    docs = [(1, body), (2, "x" + body[:3000]), (3, body[suffix.CHUNK - 700:suffix.CHUNK + 600] + "y" * 10)]
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found == {1: (len(body), 4300, 2), 2: (3001, 3000, 1), 3: (1310, 1300, 1)}
+
+
 # ------------------------------------------------------------------ operator 3
 def test_leaks(spark):
     items = spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()
