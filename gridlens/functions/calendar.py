@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PERIOD_TYPES = ("daily", "weekly", "monthly", "yearly")
-
 # Fixed display values.
 DAY_NAMES_MON_FIRST = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
 MONTH_NAMES = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
@@ -59,11 +57,6 @@ def previous_period_start(start: Column, period: str) -> Column:
     raise ValueError(f"unknown period type {period!r}")
 
 
-def iso_week_start(iso_year: Column, week: Column) -> Column:
-    """Monday of ISO week ``week`` of ``iso_year`` (week 1 holds January 4th)."""
-    return F.date_add(F.trunc(F.make_date(iso_year, F.lit(1), F.lit(4)), "week"), (week - 1) * 7)
-
-
 def iso_year(date_col: Column) -> Column:
     return F.extract(F.lit("YEAROFWEEK"), date_col).cast("int")
 

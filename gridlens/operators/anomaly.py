@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.quantiles import exact_percentile
 from ..functions.rounding import exact_avg
 from ..session import spread_for_python
 from .series import cyclic_time_features, expected_value, rolling_features
@@ -149,11 +150,9 @@ def fit_isolation_forest(features: DataFrame, n_estimators: int = 100, max_featu
 def pack_forest(nodes: pd.DataFrame) -> dict:
     """Flat node arrays of a forest (children as global indices) for vectorised scoring."""
     nodes = nodes.sort_values(["tree", "node"]).reset_index(drop=True)
-    start = nodes.groupby("tree", sort=True)["node"].transform("size")
     offsets = nodes.groupby("tree", sort=True).cumcount().to_numpy()
     base = (np.arange(len(nodes)) - offsets).astype(np.int64)      # global index of each tree's root
     left, right = nodes["left"].to_numpy(np.int64), nodes["right"].to_numpy(np.int64)
-    del start
     return {
         "feature": nodes["feature"].to_numpy(np.int64), "threshold": nodes["threshold"].to_numpy(float),
         "left": np.where(left >= 0, base + left, -1), "right": np.where(right >= 0, base + right, -1),
@@ -227,14 +226,14 @@ def training_offset(train_scored: DataFrame, contamination) -> F.Column:
     """Offset: -0.5 for "auto", else the ``contamination`` quantile of training score_samples."""
     if contamination in (None, "auto"):
         return F.lit(AUTO_OFFSET)
-    return train_scored.agg(F.percentile("raw_score", float(contamination))).scalar()
+    return exact_percentile(train_scored, "raw_score", float(contamination)).scalar()
 
 
 # ---------------------------------------------------------------- M4 / M5
 def anomaly_threshold(scores: DataFrame, sensitivity: float = 0.8, score: str = "anomaly_score") -> DataFrame:
     """M4: ``max(0.7, percentile(score, 100 - 15 * s^2))`` with linear interpolation (one row)."""
     pct = (100.0 - (sensitivity ** 2) * 15.0) / 100.0
-    return scores.agg(F.greatest(F.lit(MIN_THRESHOLD), F.percentile(score, pct)).alias("threshold"))
+    return exact_percentile(scores, score, pct).select(F.greatest(F.lit(MIN_THRESHOLD), F.col("value")).alias("threshold"))
 
 
 def classify_anomalies(df: DataFrame, threshold: F.Column, actual: str = "value", expected: str = "expected",
@@ -386,68 +385,6 @@ def _fit_forest_np(x: np.ndarray, n_estimators: int, max_features: float, seed:
     return pd.DataFrame(rows, columns=[f.name for f in NODE_SCHEMA.fields])
 
 
-def fit_forests_by_key(features: DataFrame, keys=("device_id",), n_estimators: int = 100,
-                       max_features: float = 1.0, seed: int = 42) -> DataFrame:
-    """M2 per key: one forest per device, trained in one ``applyInPandas`` group.
-
-    Meant for per-device hourly series, so a group is bounded by the hours of
-    the training window (168 for 7 days) whatever the raw volume of a device.
-    Keys with fewer than 48 rows get no forest.
-    """
-    keys = list(keys)
-    key_fields = [f for f in features.schema.fields if f.name in keys]
-    schema = T.StructType(key_fields + NODE_SCHEMA.fields)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < MIN_TRAINING_ROWS:
-            return pd.DataFrame(columns=[f.name for f in schema.fields])
-        pdf = pdf.sort_values(FEATURES, kind="mergesort")      # arrival order must not matter
-        x = pdf[FEATURES].to_numpy(dtype=float)
-        tag = zlib.crc32("|".join(str(pdf[k].iloc[0]) for k in keys).encode())   # stable across processes
-        nodes = _fit_forest_np(x, n_estimators, max_features, seed, tag)
-        for i, k in enumerate(keys):
-            nodes.insert(i, k, pdf[k].iloc[0])
-        return nodes[[f.name for f in schema.fields]]
-
-    return spread_for_python(features.select(*keys, *FEATURES), *keys).groupBy(*keys).applyInPandas(fit, schema=schema)
-
-
-def score_by_key(features: DataFrame, forests: DataFrame, keys=("device_id",), sensitivity: float = 0.8,
-                 contamination="auto", ts: str = "timestamp") -> DataFrame:
-    """M3-M4 per key: each device's rows scored with its own forest (``cogroup``).
-
-    Inside a group: score_samples, decision (offset -0.5 or the training-free
-    contamination quantile of these rows), outlier flag, min-max normalised
-    score and the sensitivity threshold -- all over the device's own rows.
-    """
-    keys = list(keys)
-    key_fields = [f for f in features.schema.fields if f.name in keys]
-    extra = [f for f in features.schema.fields if f.name not in keys and f.name not in FEATURES]
-    out_fields = key_fields + extra + [T.StructField(c, T.DoubleType()) for c in FEATURES if c != "value"] + [
-        T.StructField("value", T.DoubleType()), T.StructField("raw_score", T.DoubleType()),
-        T.StructField("decision", T.DoubleType()), T.StructField("is_outlier", T.BooleanType()),
-        T.StructField("anomaly_score", T.DoubleType()), T.StructField("threshold", T.DoubleType())]
-    schema = T.StructType(out_fields)
-    names = [f.name for f in schema.fields]
-    pct = 100.0 - (sensitivity ** 2) * 15.0
-
-    def score(rows: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or nodes.empty:
-            return pd.DataFrame(columns=names)
-        raw = score_samples_np(rows[FEATURES].to_numpy(dtype=float), pack_forest(nodes))
-        off = AUTO_OFFSET if contamination in (None, "auto") else float(np.percentile(raw, 100 * float(contamination)))
-        d = raw - off
-        lo, hi = d.min(), d.max()
-        norm = np.zeros_like(d) if hi == lo else 1.0 - (d - lo) / (hi - lo)
-        out = rows.copy()
-        out["raw_score"], out["decision"], out["is_outlier"] = raw, d, d < 0
-        out["anomaly_score"] = norm
-        out["threshold"] = max(MIN_THRESHOLD, float(np.percentile(norm, pct)))
-        return out[names]
-
-    return features.groupBy(*keys).cogroup(forests.groupBy(*keys)).applyInPandas(score, schema=schema)
-
-
 def fit_score_by_key(train: DataFrame, keys=("device_id",), score_from=None, sensitivity: float = 0.8,
                      n_estimators: int = 100, max_features: float = 1.0, seed: int = 42,
                      ts: str = "timestamp", contamination=DEFAULT_CONTAMINATION) -> DataFrame:

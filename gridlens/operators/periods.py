@@ -21,16 +21,6 @@ def _ts(value) -> F.Column:
     return F.lit(value).cast("timestamp_ntz")
 
 
-def _date(value) -> F.Column:
-    if isinstance(value, F.Column):
-        return value
-    if isinstance(value, str):
-        value = dt.date.fromisoformat(value[:10])
-    if isinstance(value, dt.datetime):
-        value = value.date()
-    return F.lit(value).cast("date")
-
-
 def event_time(df: DataFrame) -> DataFrame:
     """``event_ts = coalesce(payload_ts, processing_ts)`` and its date."""
     ts = F.coalesce("payload_ts", "processing_ts")

@@ -120,8 +120,11 @@ def expanding_splits(series: DataFrame, n_splits: int = 4, min_train_days: int =
     belongs to with array arithmetic (no join); the span bounds are scalar
     subqueries.  Folds with an empty side are dropped and the rest renumbered.
     """
+    cols = series.columns
+    # the bounds in one column, so that the subquery stands in the plan once
     span = series.agg(F.struct(F.min(ts).alias("t0"), F.max(ts).alias("t1"))).scalar()
-    t0, t1 = span.getField("t0"), span.getField("t1")
+    series = series.withColumn("_span", span)
+    t0, t1 = F.col("_span.t0"), F.col("_span.t1")
     us_day = 86_400_000_000
     span_days = F.floor((F.unix_micros(t1.cast("timestamp")) - F.unix_micros(t0.cast("timestamp"))) / us_day)
     need = min_train_days + n_splits * validation_days
@@ -136,13 +139,13 @@ def expanding_splits(series: DataFrame, n_splits: int = 4, min_train_days: int =
     empty = F.array().cast("array<int>")
     train_folds = F.when(first_i <= k - 1, F.sequence(first_i.cast("int"), (k - 1).cast("int"))).otherwise(empty)
     val_folds = F.when((val_i >= 0) & (val_i <= k - 1), F.array(val_i.cast("int"))).otherwise(empty)
-    cols = series.columns
-    long = (series.select(*cols, F.size(train_folds).alias("_nt"),
-                          F.posexplode(F.concat(train_folds, val_folds)).alias("_pos", "fold0"))
+    series = series.withColumns({"_train": train_folds, "_val": val_folds, "_us": pos_us})
+    long = (series.select(*cols, "_us", F.size("_train").alias("_nt"),
+                          F.posexplode(F.concat("_train", "_val")).alias("_pos", "fold0"))
             .withColumn("role", F.when(F.col("_pos") < F.col("_nt"), "train").otherwise("validation"))
             .select("fold0", "role", *cols))
     # guard: train rows strictly before train_end (the floor arithmetic already ensures it)
-    long = long.filter((F.col("role") == "validation") | (pos_us < train_end(F.col("fold0"))))
+    long = long.filter((F.col("role") == "validation") | (F.col("_us") < train_end(F.col("fold0"))))
     # folds with both sides non-empty, renumbered 1..m (tiny aggregate, joined back)
     sides = long.groupBy("fold0").agg(F.count_if(F.col("role") == "train").alias("nt"),
                                       F.count_if(F.col("role") == "validation").alias("nv"))

@@ -89,6 +89,60 @@ def q_detect(spark, sf):
     return M.detect_anomalies(_recent(spark, sf, DETECT_HOURS), forest, SENSITIVITY, train_features=train, **SERIES)
 
 
+# ------------------------------------------------------------------ M3 / M5 on a fixed forest (oracle)
+#: (tree, node, feature, threshold, left, right, leaf size, depth); features by place in M.FEATURES.
+FIXED_FOREST = [
+    (0, 0, 0, 400.0, 1, 2, 0, 0), (0, 1, -1, 0.0, -1, -1, 3, 1), (0, 2, 7, 25.5, 3, 4, 0, 1), (0, 3, -1, 0.0, -1, -1, 5, 2), (0, 4, -1, 0.0, -1, -1, 1, 2),
+    (1, 0, 7, 0.0, 1, 2, 0, 0), (1, 1, -1, 0.0, -1, -1, 10, 1), (1, 2, 0, 250.0, 3, 4, 0, 1), (1, 3, -1, 0.0, -1, -1, 2, 2), (1, 4, -1, 0.0, -1, -1, 60, 2),
+]
+
+
+def _path_sql(tree: int, node: int = 0) -> str:
+    """Path length of one tree as nested CASE expressions over the feature columns."""
+    _, _, feature, threshold, left, right, size, depth = next(n for n in FIXED_FOREST if n[:2] == (tree, node))
+    if feature < 0:
+        return O.lit(depth + float(M.average_path_length([size])[0]))
+    return f"CASE WHEN {M.FEATURES[feature]} < {O.lit(threshold)} THEN {_path_sql(tree, left)} ELSE {_path_sql(tree, right)} END"
+
+
+_FIXED = f"""hmd AS (
+  SELECT device_id, CAST(date_trunc('hour', processing_ts) AS TIMESTAMP) AS timestamp, {O.exact_avg('power_w')} AS value
+  FROM readings WHERE power_w IS NOT NULL GROUP BY 1, 2),
+ft AS (
+  SELECT *, value - CAST(sum(CAST(value AS DECIMAL(38,10))) OVER w AS DOUBLE) / CAST(count(value) OVER w AS DOUBLE) AS diff_from_mean,
+         CAST(sum(CAST(value AS DECIMAL(38,10))) OVER e AS DOUBLE) / CAST(count(value) OVER e AS DOUBLE) AS expected
+  FROM hmd WINDOW w AS (PARTITION BY device_id ORDER BY timestamp ROWS BETWEEN 4 PRECEDING AND CURRENT ROW),
+                  e AS (PARTITION BY device_id ORDER BY timestamp ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING)),
+sc AS (SELECT *, -pow(2.0e0, -(({_path_sql(0)}) + ({_path_sql(1)})) / 2.0e0 / {O.lit(float(M.average_path_length([M.MAX_SAMPLES])[0]))}) AS raw_score FROM ft),
+an0 AS (SELECT *, 1.0e0 - (raw_score - (SELECT min(raw_score) FROM sc)) / (SELECT max(raw_score) - min(raw_score) FROM sc) AS anomaly_score,
+               raw_score + 0.5e0 < 0 AS is_outlier FROM sc)"""
+
+
+def _fixed_input(spark, sf):
+    hourly = S.hourly_mean(fx.readings(spark, sf), by_device=True).select("device_id", "timestamp", "value")
+    return hourly, spark.createDataFrame(FIXED_FOREST, M.NODE_SCHEMA)
+
+
+@register("score_fixed_forest", W(f"""
+SELECT device_id, timestamp, value, {_r6('raw_score')} AS raw_score, {_r6('anomaly_score')} AS anomaly_score, is_outlier FROM an0""", _FIXED), "anomaly")
+def q_score_fixed(spark, sf):
+    hourly, forest = _fixed_input(spark, sf)
+    out = M.score_isolation_forest(M.anomaly_features(hourly, partition_cols=("device_id",)), forest)
+    return out.select("device_id", "timestamp", "value", js_round(F.col("raw_score"), 6).alias("raw_score"),
+                      js_round(F.col("anomaly_score"), 6).alias("anomaly_score"), "is_outlier")
+
+
+@register("detect_fixed_forest", W(f"""
+SELECT timestamp, value AS actual_power, expected AS expected_power, {_r6('anomaly_score')} AS anomaly_score,
+       CASE WHEN value > expected * 1.5e0 THEN 'spike' WHEN value < expected * 0.5e0 THEN 'dip' ELSE 'pattern_change' END AS anomaly_type
+FROM an0 WHERE is_outlier AND abs(value - expected) >= 150.0e0
+  AND anomaly_score > (SELECT greatest(0.7e0, quantile_cont(anomaly_score, 0.904e0)) FROM an0)""", _FIXED), "anomaly")
+def q_detect_fixed(spark, sf):
+    hourly, forest = _fixed_input(spark, sf)
+    out = M.detect_anomalies(hourly, forest, SENSITIVITY, offset=M.AUTO_OFFSET, partition_cols=("device_id",))
+    return out.withColumn("anomaly_score", js_round(F.col("anomaly_score"), 6))
+
+
 # ------------------------------------------------------------------ M4-M7 on given scores (oracle)
 _GS = f"""hmd AS (
   SELECT device_id, CAST(date_trunc('hour', processing_ts) AS TIMESTAMP) AS timestamp,
