@@ -299,7 +299,25 @@ def tune_forecast(series: DataFrame, grid: dict | None = None, n_splits: int = 4
 
 
 def best_params(history: DataFrame) -> DataFrame:
-    """P4 winner over given scores: least MAE (ties: first in grid order), merged over the defaults."""
-    win = history.agg(F.min_by(F.struct("combo", "changepoint_prior_scale", "seasonality_prior_scale",
-                                        "seasonality_mode", "mae"), F.struct("mae", "combo")).alias("w"))
+    """P4 winner over given scores: least MAE (ties: first in grid order), merged over the defaults.
+
+    A parameter that the grid didn't vary (no such column, or NULL) has its
+    default value.
+    """
+    known = [F.coalesce(F.col(n), F.lit(d)).alias(n) if n in history.columns else F.lit(d).alias(n) for n, d in DEFAULT_PARAMS.items()]
+    win = history.select("combo", *known, "mae").agg(
+        F.min_by(F.struct("combo", *DEFAULT_PARAMS, "mae"), F.struct("mae", "combo")).alias("w"))
     return win.select("w.*")
+
+
+def tuning_record(history: DataFrame, tuned_at) -> DataFrame:
+    """The saved result of a tuning run: winner's parameters, its MAE, combinations tried, ``tuned_at`` (one row)."""
+    tried = history.agg(F.count("combo")).scalar()
+    at = tuned_at if isinstance(tuned_at, F.Column) else F.lit(tuned_at).cast("timestamp_ntz")
+    return best_params(history).select(*DEFAULT_PARAMS, F.col("mae").alias("best_mae"), tried.alias("n_combos"), at.alias("tuned_at"))
+
+
+def saved_params(record: DataFrame | None) -> dict:
+    """Parameters of a saved tuning record (its newest row), or the defaults; one row reaches the driver."""
+    row = None if record is None else record.orderBy(F.col("tuned_at").desc()).select(*DEFAULT_PARAMS).first()
+    return dict(DEFAULT_PARAMS) if row is None else {**DEFAULT_PARAMS, **{k: v for k, v in row.asDict().items() if v is not None}}

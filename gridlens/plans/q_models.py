@@ -205,14 +205,18 @@ FC_HOURS, FC_PAST = 24, 6
 VIEW_AS_OF = "2024-01-15 12:30:00"
 
 
+#: Models are trained on the hourly means of the last seven days.
+WEEK_START = "2024-01-24 00:00:00"
+
+
 def _global_model(spark, sf):
-    hm = S.hourly_mean(fx.readings(spark, sf))
+    hm = S.hourly_mean(fx.readings(spark, sf), start=WEEK_START)
     return hm, FC.fit_forecast(hm)
 
 
 register("fit_forecast", None, "forecast")(lambda spark, sf: _global_model(spark, sf)[1])
 register("fit_forecast_by_device", None, "forecast")(
-    lambda spark, sf: FC.fit_forecast(S.hourly_mean(fx.readings(spark, sf), by_device=True), keys=("device_id",)))
+    lambda spark, sf: FC.fit_forecast(S.hourly_mean(fx.readings(spark, sf), start=WEEK_START, by_device=True), keys=("device_id",)))
 
 
 @register("forecast", None, "forecast")
@@ -223,7 +227,7 @@ def q_forecast(spark, sf):
 
 @register("forecast_by_device", None, "forecast")
 def q_forecast_by_device(spark, sf):
-    hm = S.hourly_mean(fx.readings(spark, sf), by_device=True)
+    hm = S.hourly_mean(fx.readings(spark, sf), start=WEEK_START, by_device=True)
     model = FC.fit_forecast(hm, keys=("device_id",)).persist()
     return FC.forecast(model, AS_OF, FC_HOURS, FC_PAST, keys=("device_id",))
 

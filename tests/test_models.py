@@ -106,3 +106,16 @@ def test_planted_spike_found_with_default_contamination(spark):
     forest = M.fit_isolation_forest(train, n_estimators=50).persist()
     anoms = M.detect_anomalies(_series(spark, spike_at=500), forest, sensitivity=0.8, train_features=train).collect()
     assert any(a.actual_power == 6000.0 and a.anomaly_type == "spike" for a in anoms)
+
+
+def test_tuned_parameters_are_merged_saved_and_read(spark):
+    from gridlens.operators import forecast as FC
+    hist = spark.createDataFrame([(0, 0.1, 10.0, 5.0), (1, 0.5, 0.1, 4.0), (2, 0.01, 1.0, 4.0)],
+                                 "combo int, changepoint_prior_scale double, seasonality_prior_scale double, mae double")
+    best = FC.best_params(hist).first()
+    assert (best.combo, best.changepoint_prior_scale, best.seasonality_mode) == (1, 0.5, "additive")
+    record = FC.tuning_record(hist, "2024-01-31 00:00:00")
+    row = record.first()
+    assert (row.best_mae, row.n_combos, str(row.tuned_at)) == (4.0, 3, "2024-01-31 00:00:00")
+    assert FC.saved_params(record) == {"changepoint_prior_scale": 0.5, "seasonality_prior_scale": 0.1, "seasonality_mode": "additive"}
+    assert FC.saved_params(record.limit(0)) == FC.saved_params(None) == FC.DEFAULT_PARAMS
