@@ -9,7 +9,7 @@ at the limit of 0.85 with r = 4, m = 14.
 1. Documents with equal sets are one node (128-bit set hash and size).
 2. A node that shares no A_i with any other meets nobody in the tables (i, j), so B_j is joined on
    only where A_i collides.
-3. Each bucket has a pivot (its node of least hash); its nodes are verified against the pivot, never
+3. Each bucket has a pivot (the node that meets most others in all tables); its nodes are verified against the pivot, never
    all pairs.  Verification is exact, on full sets: a pivot's set meets its members' sets one by one.
 4. Nodes X and Y that met pivot P without both being linked to it may still be linked with each
    other.  With D(X) the symmetric difference of X and P, |X n Y| follows from |D(X) n D(Y)|, and a
@@ -92,15 +92,15 @@ def signatures(docs: DataFrame, p: Near) -> DataFrame:
 
 
 def buckets(nodes: DataFrame, p: Near) -> DataFrame:
-    """(bucket, node): the table keys that at least two nodes share."""
+    """(bucket, node, size): the table keys that at least two nodes share, with the number of nodes."""
     a = nodes.select(F.explode(F.slice("keys", 1, p.m)).alias("a"), "node")  # a key holds its own number
     shared = a.groupBy(F.col("a").alias("a_shared")).agg(F.count("*").alias("k")).filter("k > 1").select("a_shared")
     alive = a.join(shared, F.col("a") == F.col("a_shared"), "left_semi").groupBy(F.col("node").alias("a_node")).agg(F.collect_list("a").alias("own"))
     both = nodes.select("node", F.slice("keys", p.m + 1, p.m).alias("b")).join(alive, F.col("node") == F.col("a_node"))
     keys = both.select("node", "b", F.explode("own").alias("a")).select("node", "a", F.explode("b").alias("b")).select(F.xxhash64("a", "b").alias("bucket"), "node")
     keys = stored(keys, "buckets")
-    twice = keys.groupBy(F.col("bucket").alias("b_shared")).agg(F.count("*").alias("k")).filter("k > 1").select("b_shared")
-    return keys.join(twice, F.col("bucket") == F.col("b_shared"), "left_semi")
+    twice = keys.groupBy(F.col("bucket").alias("b_shared")).agg(F.count("*").alias("size")).filter("size > 1")
+    return keys.join(twice, F.col("bucket") == F.col("b_shared")).drop("b_shared")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, p: Near) -> DataFrame:
@@ -228,8 +228,10 @@ def other_links(judged: DataFrame, found: DataFrame, sets: DataFrame, p: Near) -
 def links(nodes: DataFrame, docs: DataFrame, p: Near) -> DataFrame:
     """(node, component) of the nodes linked with another; ``nodes`` has (node, rep, n, s1, keys)."""
     table = stored(buckets(nodes, p), "buckets")
-    order = F.xxhash64("node", F.lit(p.seed))
-    pivots = table.groupBy(F.col("bucket").alias("p_bucket")).agg(F.min(F.struct(order.alias("o"), F.col("node").alias("pivot"))).alias("p"))
+    # the node that meets most others leads its buckets, so near copies of one text share few pivots
+    weight = table.groupBy(F.col("node").alias("w_node")).agg((-F.sum("size")).alias("w"))
+    order = F.struct("w", F.xxhash64("node", F.lit(p.seed)).alias("o"), F.col("node").alias("pivot"))
+    pivots = (table.join(weight, F.col("node") == F.col("w_node")).groupBy(F.col("bucket").alias("p_bucket")).agg(F.min(order).alias("p")))
     pairs = table.join(pivots.select("p_bucket", "p.pivot"), F.col("bucket") == F.col("p_bucket")).filter("node <> pivot").select("node", "pivot").distinct()
     size = nodes.select(F.col("node").alias("z_node"), "n", "rep", "s1")
     pairs = stored(pairs, "pairs")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import U, as_text, mix, prefix_hash, span_hash, stored, text_slices
 
-LENGTH, K, V = 400, 40, 32
+LENGTH, V = 400, 32
 BLOCK, HOT = 1 << 20, 4000
 #: Bytes of ids and spans up to which they are sent to all executors; beyond, texts are joined by shuffle.
 BROADCAST_BYTES = 64 << 20
@@ -236,8 +236,13 @@ def _spans_by_text(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.groupBy(F.col("doc_id").alias("f_doc_id"), F.col("key").alias("f_key")).agg(F.collect_list(F.struct(*columns)).alias("spans"))
 
 
-def repeated_windows(texts: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT, block: int = BLOCK) -> DataFrame:
-    """(doc_id, key, lo, hi): runs of starts of repeated strings of (doc_id, key, text) rows."""
+def repeated_windows(texts: DataFrame, length: int = LENGTH, k: int | None = None, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+    """(doc_id, key, lo, hi): runs of starts of repeated strings of (doc_id, key, text) rows.
+
+    ``k`` is the bytes of a minimizer, a third of ``length`` by default: so long
+    that it seldom repeats by chance, or more and more would as the corpus grows.
+    """
+    k = k or max(1, length // 3)
     runs = stored(find_runs(texts, length, k), "runs")
     # minimizers found more than once, and their classes of equal regions
     again = runs.groupBy(F.col("f").alias("a_f")).agg(F.count("*").alias("n")).filter("n > 1").select("a_f")
