@@ -322,6 +322,17 @@ def merge_spans(spans, length: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+def merged_runs(facts: DataFrame, length: int) -> DataFrame:
+    """(f_doc_id, f_key, spans) with touching runs of each text joined: few, where whole texts are repeated."""
+    def run(batches):
+        kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+        for batch in batches:
+            lists = [[{"lo": a, "hi": b - length} for a, b in merge_spans([(s["lo"], s["hi"]) for s in spans], length)] for spans in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, kind)], names=["f_doc_id", "f_key", "spans"])
+
+    return facts.mapInArrow(run, "f_doc_id long, f_key long, spans array<struct<lo:long,hi:long>>")
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (),
                    as_string: bool = False, **limits) -> DataFrame:
     """(doc_id, the ``keep`` columns, n_bytes, n_removed, n_spans, spans, rest) per row.
@@ -332,7 +343,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     wide = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), own).alias("key"), own.alias("text"),
                        *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)))
     found = stored(repeated_windows(wide.select("doc_id", "key", "text"), length, **limits), "repeats")
-    merged = stored(_spans_by_text(found, "lo", "hi"), "repeats")
+    merged = stored(merged_runs(_spans_by_text(found, "lo", "hi"), length), "repeats")
     extra = [f"kept_{i}" for i in range(len(keep))]
 
     def cut(batches):
