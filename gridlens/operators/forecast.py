@@ -62,7 +62,9 @@ MODEL_SCHEMA = T.StructType([
     T.StructField("train_start", T.TimestampNTZType()), T.StructField("train_end", T.TimestampNTZType()),
     # training timestamps (bounded by the training window): the history part of the prediction grid
     T.StructField("history_ts", T.ArrayType(T.TimestampNTZType())),
+    T.StructField("status", T.StringType()),  # OK, or SHORT for a series of too few points, which has no parameters
 ])
+OK, SHORT = "ok", "short"
 _SEASONS = [(1.0, DAILY_ORDER), (7.0, WEEKLY_ORDER)]     # (period in days, Fourier order)
 
 
@@ -163,18 +165,24 @@ def predict_np(model: dict, ts: pd.Series) -> np.ndarray:
 # ---------------------------------------------------------------- P1
 def fit_forecast(series: DataFrame, params: dict | None = None, keys=(), ts: str = "timestamp",
                  value: str = "value") -> DataFrame:
-    """One model row per series (needs >= 48 points; shorter series give no model)."""
+    """One model row per series; a series under 48 points gives a row with status ``short`` and no parameters.
+
+    Rows without a value are no points, so a series may be announced by one.
+    """
     p = {**DEFAULT_PARAMS, **(params or {})}
     key_fields = [f for f in series.schema.fields if f.name in keys]
     schema = T.StructType(key_fields + MODEL_SCHEMA.fields)
     keys = tuple(keys)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < MIN_TRAINING_POINTS:
-            return pd.DataFrame(columns=[f.name for f in schema.fields])
-        m = fit_series(pdf[ts], pdf[value], p)
         row = {k: pdf[k].iloc[0] for k in keys}
-        row.update(m)
+        pdf = pdf[pdf[value].notna()]
+        if len(pdf) < MIN_TRAINING_POINTS:
+            row.update({f.name: None for f in MODEL_SCHEMA.fields}, n_points=len(pdf), status=SHORT)
+            if len(pdf):
+                row.update(train_start=pd.Timestamp(pdf[ts].min()).to_pydatetime(), train_end=pd.Timestamp(pdf[ts].max()).to_pydatetime())
+        else:
+            row.update(fit_series(pdf[ts], pdf[value], p), status=OK)
         return pd.DataFrame([row], columns=[f.name for f in schema.fields])
 
     if not keys:  # one series: a constant key keeps the model joinable
@@ -217,7 +225,8 @@ def forecast(models: DataFrame, as_of, hours: int = 24, past_hours: int = 0, key
     the window plus hourly steps from the end of training far enough to reach
     ``as_of + hours``; one row per hour (the first) is kept.  Predicted and
     lower values are clamped at 0.  No join: the grid is generated from the
-    model row itself.
+    model row itself.  A series without a model keeps one row, with its
+    ``status`` and no timestamp or prediction.
     """
     hours, past = clip_request(hours, past_hours)
     now = F.lit(str(as_of)).cast("timestamp_ntz")
@@ -230,17 +239,18 @@ def forecast(models: DataFrame, as_of, hours: int = 24, past_hours: int = 0, key
                          lambda i: F.col("train_end") + F.make_dt_interval(hours=i))
     in_window = lambda t: (t >= lo) & (t <= hi)
     grid_ts = F.filter(F.concat(F.col("history_ts"), future), in_window)
-    grid = models.withColumn(ts, F.explode(grid_ts))
+    no_grid = F.array(F.lit(None).cast("timestamp_ntz"))
+    grid = models.withColumn(ts, F.explode(F.when(F.col("status") == OK, grid_ts).otherwise(no_grid)))
     pred = grid.withColumn("yhat", model_value(F.col(ts)))
     band = F.lit(INTERVAL_Z) * F.col("sigma")
     hour = F.date_trunc("hour", F.col(ts)).cast("timestamp_ntz")
-    out = pred.select(*keys, hour.alias("hour"), F.col(ts).alias("_t"),
-                      F.greatest(F.lit(0.0), F.col("yhat")).alias("predicted_power"),
-                      F.greatest(F.lit(0.0), F.col("yhat") - band).alias("lower_bound"),
+    out = pred.select(*keys, "status", hour.alias("hour"), F.col(ts).alias("_t"),
+                      F.when(F.col("yhat").isNotNull(), F.greatest(F.lit(0.0), F.col("yhat"))).alias("predicted_power"),
+                      F.when(F.col("yhat").isNotNull(), F.greatest(F.lit(0.0), F.col("yhat") - band)).alias("lower_bound"),
                       (F.col("yhat") + band).alias("upper_bound"))
-    first = out.groupBy(*keys, "hour").agg(F.min_by(F.struct("predicted_power", "lower_bound", "upper_bound"),
+    first = out.groupBy(*keys, "status", "hour").agg(F.min_by(F.struct("predicted_power", "lower_bound", "upper_bound"),
                                                     F.col("_t")).alias("r"))
-    return first.select(*keys, F.col("hour").alias("timestamp"), "r.predicted_power", "r.lower_bound", "r.upper_bound")
+    return first.select(*keys, F.col("hour").alias("timestamp"), "r.predicted_power", "r.lower_bound", "r.upper_bound", "status")
 
 
 # ---------------------------------------------------------------- P3

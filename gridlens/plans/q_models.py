@@ -205,7 +205,7 @@ FC_HOURS, FC_PAST = 24, 6
 VIEW_AS_OF = "2024-01-15 12:30:00"
 
 
-#: Models are trained on the hourly means of the last seven days.
+#: The model of all devices together is trained on the hourly means of the last seven days.
 WEEK_START = "2024-01-24 00:00:00"
 
 
@@ -215,8 +215,18 @@ def _global_model(spark, sf):
 
 
 register("fit_forecast", None, "forecast")(lambda spark, sf: _global_model(spark, sf)[1])
-register("fit_forecast_by_device", None, "forecast")(
-    lambda spark, sf: FC.fit_forecast(S.hourly_mean(fx.readings(spark, sf), start=WEEK_START, by_device=True), keys=("device_id",)))
+
+
+def _device_models(spark, sf):
+    """One row per device, trained on its whole hourly history (no test device has 48 hours with data in a week)."""
+    readings = fx.readings(spark, sf)
+    hm = S.hourly_mean(readings, by_device=True)
+    # a row without a value for every device: those without any mean get a row, too
+    devices = readings.select("device_id").distinct()
+    return FC.fit_forecast(hm.unionByName(devices, allowMissingColumns=True), keys=("device_id",))
+
+
+register("fit_forecast_by_device", None, "forecast")(_device_models)
 
 
 @register("forecast", None, "forecast")
@@ -227,9 +237,7 @@ def q_forecast(spark, sf):
 
 @register("forecast_by_device", None, "forecast")
 def q_forecast_by_device(spark, sf):
-    hm = S.hourly_mean(fx.readings(spark, sf), start=WEEK_START, by_device=True)
-    model = FC.fit_forecast(hm, keys=("device_id",)).persist()
-    return FC.forecast(model, AS_OF, FC_HOURS, FC_PAST, keys=("device_id",))
+    return FC.forecast(_device_models(spark, sf).persist(), AS_OF, FC_HOURS, FC_PAST, keys=("device_id",))
 
 
 @register("forecast_view", W(f"""

@@ -119,3 +119,33 @@ def test_tuned_parameters_are_merged_saved_and_read(spark):
     assert (row.best_mae, row.n_combos, str(row.tuned_at)) == (4.0, 3, "2024-01-31 00:00:00")
     assert FC.saved_params(record) == {"changepoint_prior_scale": 0.5, "seasonality_prior_scale": 0.1, "seasonality_mode": "additive"}
     assert FC.saved_params(record.limit(0)) == FC.saved_params(None) == FC.DEFAULT_PARAMS
+
+
+def test_short_series_have_a_status_row(spark):
+    from gridlens.operators import forecast as FC
+    base = dt.datetime(2024, 1, 1)
+    rows = [(d, base + dt.timedelta(hours=i), 100.0 + i % 24) for d, n in (("long", 48), ("short", 47)) for i in range(n)]
+    series = spark.createDataFrame([*rows, ("none", None, None)], "device_id string, timestamp timestamp_ntz, value double")
+    model = FC.fit_forecast(series, keys=("device_id",)).persist()
+    assert {r.device_id: (r.status, r.n_points, r.k is None) for r in model.collect()} == {
+        "long": ("ok", 48, False), "short": ("short", 47, True), "none": ("short", 0, True)}
+    out = FC.forecast(model, "2024-01-03 00:00:00", 24, keys=("device_id",)).collect()
+    assert sum(r.device_id == "long" and r.predicted_power is not None for r in out) == 25
+    short = [r for r in out if r.status == "short"]
+    assert sorted(r.device_id for r in short) == ["none", "short"]
+    assert all((r.timestamp, r.predicted_power, r.lower_bound, r.upper_bound) == (None,) * 4 for r in short)
+
+
+def test_every_device_has_a_model_or_a_status(spark):
+    from conftest import SMALL
+    from gridlens.plans.catalog import queries
+    from gridlens.sources import fixtures as fx
+    devices = fx.readings(spark, SMALL).select("device_id").distinct().count()
+    models = queries()["fit_forecast_by_device"](spark, SMALL).collect()
+    assert len(models) == len({r.device_id for r in models}) == devices
+    # on this table a device reaches 48 hours or has no power reading at all
+    assert {(r.status, r.n_points >= 48, r.n_points == 0) for r in models} <= {("ok", True, False), ("short", False, True)}
+    fitted = {r.device_id for r in models if r.status == "ok"}
+    out = queries()["forecast_by_device"](spark, SMALL).collect()
+    assert fitted and len({r.device_id for r in out}) == devices
+    assert {r.device_id for r in out if r.predicted_power is not None} == fitted
