@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns the
 columns of ``documents``; the last returns token ids.  A stage that changes texts sets ``n_chars``
-anew.  Rows that share a ``doc_id``, or have none, are decided together, by id.
+anew.  Decisions are joined on a key of the row's content, never on ``doc_id``: ids may be missing
+or stand on several texts.  Only rows with equal content share a key, and an operator decides them
+alike, so the key needs no place in the stage tables.
 """
 
 from __future__ import annotations
@@ -18,34 +20,49 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 NEAR = minhash.Near(words=5, num=80, den=100, r=4, m=18)
 #: Bytes of a repeated passage that goes: under the length of 50 short words.
 REPEATED_BYTES = 200
-#: Bytes of decided ids up to which they are sent to all executors; beyond, documents are joined by shuffle.
+#: Bytes of decided keys up to which they are sent to all executors; beyond, documents are joined by shuffle.
 BROADCAST_BYTES, ROW_BYTES = 64 << 20, 32
 
 
-def _by_id(docs: DataFrame, decided: DataFrame, how: str) -> DataFrame:
-    """``docs`` joined with stored (f_id, ..) rows of distinct ids; a null id is an id."""
+def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """``docs`` with ``row_key``: 64 bits of ``doc_id``, ``text`` and the other columns that an operator looks at; nulls count."""
+    cells = [x for c in ("doc_id", "text", *columns) for x in (F.col(c), F.col(c).isNull())]
+    return docs.select(*COLUMNS, F.xxhash64(*cells).alias("row_key"))
+
+
+def _by_key(docs: DataFrame, decided: DataFrame, how: str) -> DataFrame:
+    """``docs`` with keys joined with stored (f_key, ..) rows of distinct keys."""
     small = decided.count() * ROW_BYTES <= BROADCAST_BYTES
-    return docs.join(F.broadcast(decided) if small else decided, docs.doc_id.eqNullSafe(decided.f_id), how)
+    return docs.join(F.broadcast(decided) if small else decided, docs.row_key == decided.f_key, how)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; ``lang`` becomes the identified one. Rejected documents go."""
     prepare(spark)
-    found = langid.identify(docs, langid.fit(docs), declared=F.col("lang"), host=F.col("source"))
-    decided = stored(found.filter("kept").groupBy(F.col("doc_id").alias("f_id")).agg(F.min("language").alias("language")), "decided")
-    return _by_id(docs, decided, "inner").select("doc_id", "text", F.col("language").alias("lang"), "source", "n_chars")
+    docs = _keyed(docs, "lang", "source")
+    found = langid.identify(docs, langid.fit(docs, "row_key"), "row_key", declared=F.col("lang"), host=F.col("source"))
+    decided = stored(found.filter("kept").groupBy(F.col("doc_id").alias("f_key")).agg(F.min("language").alias("language")), "decided")
+    return _by_key(docs, decided, "inner").select("doc_id", "text", F.col("language").alias("lang"), "source", "n_chars")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id; rows without an id stay."""
+    """One document of each group of near duplicates, the one with the smallest id (rows without an id come last).
+
+    Rows equal in id and text are one document.
+    """
     prepare(spark)
-    found = stored(minhash.near_duplicates(docs, NEAR), "near")
-    gone = stored(found.filter("not kept").select(F.col("doc_id").alias("f_id")).distinct(), "decided")
-    left = _by_id(docs, gone, "left_anti").select(*COLUMNS)
-    again = stored(found.filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias("f_id")).agg(F.count("*").alias("n")).filter("n > 1").select("f_id"), "decided")
+    docs = _keyed(docs)
+    found = minhash.near_duplicates(docs, NEAR, "row_key").groupBy(F.col("doc_id").alias("f_key")).agg(F.min("component_id").alias("component"), F.count("*").alias("n"))
+    ids = docs.groupBy("row_key").agg(F.min("doc_id").alias("doc_id"))
+    found = stored(found.join(ids, F.col("f_key") == F.col("row_key")).select("f_key", "component", "n", "doc_id"), "near")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "f_key")).alias("first"))
+    gone = stored(found.select("f_key").join(first.select(F.col("first.f_key").alias("k_key")), F.col("f_key") == F.col("k_key"), "left_anti"), "decided")
+    left = _by_key(docs, gone, "left_anti")
+    again = stored(found.filter("n > 1").select("f_key"), "decided")
     if again.isEmpty():
-        return left
-    return _by_id(left, again, "left_anti").union(_by_id(left, again, "left_semi").dropDuplicates(["doc_id"]))
+        return left.select(*COLUMNS)
+    one = _by_key(left, again, "left_semi").groupBy("row_key").agg(F.min(F.struct(*COLUMNS)).alias("one")).select("one.*")
+    return _by_key(left, again, "left_anti").select(*COLUMNS).union(one)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,9 +75,10 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    gone = stored(leaks.select(F.col("doc_id").alias("f_id")).distinct(), "decided")
-    return _by_id(docs, gone, "left_anti").select(*COLUMNS)
+    docs = _keyed(docs)
+    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), "row_key")
+    gone = stored(leaks.select(F.col("doc_id").alias("f_key")).distinct(), "decided")
+    return _by_key(docs, gone, "left_anti").select(*COLUMNS)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

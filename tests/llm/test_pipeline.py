@@ -55,6 +55,34 @@ def test_odd_rows_pass_all_stages(spark, odd_docs):  # noqa: F811
             assert rows.filter("doc_id = 6").count() == 1  # one of two repeated rows
 
 
+def _docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+
+
+def test_rows_without_an_id_or_with_a_shared_one_are_decided_each_by_its_own_text(spark):
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").orderBy("item_id").first().text
+    clean = [f"clean text number {w} stands for itself" for w in ("one", "two", "three")]
+    rows = [(None, clean[0]), (None, f"before {item} after"), (None, clean[1]), (7, clean[2]), (7, item)]
+    kept = P.decontamination(spark, _docs(spark, rows), SMALL).collect()
+    assert sorted(r.text for r in kept) == sorted(clean)
+    # rejected rows have no letters
+    kept = P.language_id(spark, _docs(spark, [(None, clean[0]), (None, "12 34"), (None, "!!"), (7, clean[1]), (7, "56")]), SMALL).collect()
+    assert sorted(r.text for r in kept) == sorted(clean[:2])
+
+
+def test_near_duplicates_without_an_id_or_with_a_shared_one(spark):
+    text = lambda w: " ".join(f"{w}{i}" for i in range(60))
+    rows = [(None, text("a")), (None, text("a")), (None, text("b")), (5, text("b")), (3, text("b") + " more"),
+            (7, text("c")), (7, text("d")), (8, text("e")), (8, text("e")), (9, ""), (9, ""), (10, ""), (1, None)]
+    kept = P.near_duplicates(spark, _docs(spark, rows), SMALL).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted((str(i), t) for i, t in [
+        (None, text("a")), (3, text("b") + " more"), (7, text("c")), (7, text("d")), (8, text("e")), (9, ""), (10, ""), (1, "")])
+    docs = _docs(spark, [(None, text("a")), (None, text("a"))])
+    for name, stage in P.STAGES[:4]:
+        docs = P.stored(stage(spark, docs, SMALL), name)
+    assert [r.text for r in docs.collect()] == [text("a")]  # the last copy stays
+
+
 def test_entry_lists_pipeline_and_operators():
     import __spark_entry__ as E
     assert {"pipeline", *(f"op{n}" for n in range(1, 11))} <= {k.split("_")[0] if k.startswith("op") else k for k in E.queries()}
