@@ -9,6 +9,10 @@
    content unless they hang below a part that isn't article by its meaning: menus, headers,
    footers, sidebars, notices, adverts, forms, scripts, comments.  If the page has an ``article``
    or ``main`` part, only what lies in it is content.
+4. Words of class and id are hints only (``has-sidebar``, ``comments-open``).  They never count for
+   ``html``, ``body``, ``main``, ``article`` and what holds the main part, nor for the part that has
+   the body of the text by its place: at least half of the text that pages of the host don't share,
+   and at least twice what comes before it.  Of an article's own header, headings are kept.
 
 Headings, paragraphs and list items inside the article are content even if all pages of a host
 share them (copies of one page), so only other constant nodes (share bars, bylines in ``div``) go.
@@ -54,6 +58,8 @@ NOT_ARTICLE_WORDS = frozenset("""ad ads advert adverts advertisement advertising
 notices alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead topbar toolbar comment comments
 commentlist disqus respond reply replies share sharing social related recommended newsletter subscribe signup login pagination pager skip widget""".split())
 CONTENT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd pre blockquote td th figcaption b i em strong a span code".split())
+#: Parts that class and id say nothing about, headings, and words of a header.
+STRUCTURE, HEADINGS, HEADER = frozenset("#page html body main article".split()), frozenset("h1 h2 h3 h4 h5 h6".split()), frozenset({"header"})
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""")
 _ATTR = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -68,7 +74,19 @@ class Node:
         self.label = tag + "".join("." + n for n in sorted(names))
 
     def not_article(self) -> bool:
-        return self.tag in NOT_ARTICLE_TAGS or self.role in NOT_ARTICLE_ROLES or not self.names.isdisjoint(NOT_ARTICLE_WORDS)
+        """By tag and role."""
+        return self.tag in NOT_ARTICLE_TAGS or self.role in NOT_ARTICLE_ROLES
+
+    def is_main(self) -> bool:
+        return self.tag in ("article", "main") or self.role in ("article", "main")
+
+    def words(self) -> frozenset:
+        """Words of class and id that hint at other parts than the article."""
+        found = self.names & NOT_ARTICLE_WORDS
+        return found - HEADER if self.tag in HEADINGS else found
+
+    def own_header(self) -> bool:
+        return self.role not in NOT_ARTICLE_ROLES and self.words() <= HEADER and (self.tag == "header" or (self.tag not in NOT_ARTICLE_TAGS and bool(self.words())))
 
 
 def parse(page: str) -> Node:
@@ -225,14 +243,52 @@ def prune(tree: list) -> list:
 
 
 # ------------------------------------------------------------------ extraction
+def weigh(page: Node, common: set[int]) -> tuple[dict[int, int], set[int]]:
+    """Characters of each node outside of menus, forms and the like and of ``common`` nodes' own text; nodes that hold the main part.
+
+    The main part is every ``main`` and the largest ``article``.
+    """
+    weight: dict[int, int] = {}
+    mains: list[tuple[Node, list[int]]] = []
+    above: list[int] = []
+
+    def of(node: Node) -> int:
+        total = 0
+        if not node.not_article():
+            if node.is_main():
+                mains.append((node, list(above)))
+            above.append(id(node))
+            own = 0 if id(node) in common else 1
+            total = sum(own * len("".join(k.split())) if isinstance(k, str) else of(k) for k in node.kids)
+            above.pop()
+        weight[id(node)] = total
+        return total
+
+    of(page)
+    articles = [m for m in mains if m[0].tag == "article" or m[0].role == "article"]
+    largest = max(articles, key=lambda m: weight[id(m[0])], default=None)
+    return weight, {i for m in mains if m not in articles or m is largest for i in m[1]}
+
+
+def _headings(node: Node) -> list[Node]:
+    out: list[Node] = []
+    for kid in node.kids:
+        if isinstance(kid, Node) and not kid.not_article() and kid.words() <= HEADER:
+            out += [kid] if kid.tag in HEADINGS else _headings(kid)
+    return out
+
+
 def blocks(page: Node, template: list | None, min_pages: int = 3, share: float = 0.5) -> list[str]:
     """The article's blocks of a page, given its host's template."""
-    constant: set[int] = set()  # nodes of this page whose own text is template
+    common: set[int] = set()    # nodes of this page whose own text its host's pages share
+    constant: set[int] = set()  # those of them that are template
 
     def mark(nodes: list[Node], slot: list) -> None:
         total = template[1]
-        if slot[2] and slot[1] >= min_pages and slot[1] >= share * total and nodes[0].tag not in CONTENT_TAGS:
-            constant.update(map(id, nodes))
+        if slot[2] and slot[1] >= min_pages and slot[1] >= share * total:
+            common.update(map(id, nodes))
+            if nodes[0].tag not in CONTENT_TAGS:
+                constant.update(map(id, nodes))
         groups: dict[str, list[Node]] = {}
         for node in nodes:
             for kid in node.kids:
@@ -244,12 +300,16 @@ def blocks(page: Node, template: list | None, min_pages: int = 3, share: float =
 
     if template is not None and template[1] >= min_pages:
         mark([page], template)
+    weight, holders = weigh(page, common)
+    hinted = lambda node: node.tag not in STRUCTURE and not node.is_main() and id(node) not in holders and bool(node.words())
+    # by its place, a part has the body of the text
+    body = lambda node, root, seen: weight[id(node)] >= max(weight[id(root)] / 2, 2 * seen, 1)
     roots, stack = [], [page]
     while stack:  # the outermost article or main parts, in page order
         node = stack.pop()
-        if node.not_article():
+        if node.not_article() or (hinted(node) and not body(node, page, 0)):
             continue
-        if node.tag in ("article", "main") or node.role in ("article", "main"):
+        if node.is_main():
             roots.append(node)
         else:
             stack.extend(k for k in reversed(node.kids) if isinstance(k, Node))
@@ -262,26 +322,33 @@ def blocks(page: Node, template: list | None, min_pages: int = 3, share: float =
             out.append(text)
         line.clear()
 
-    todo: list = list(reversed(roots or [page]))
-    while todo:
-        x = todo.pop()
-        if x is None:
-            flush()
-        elif isinstance(x, str):
-            line.append(x)
-        elif x.not_article():
-            if x.tag in BLOCK:
-                flush()
-        elif x.tag == "br":
-            line.append("\n")
-        else:
-            block = x.tag in BLOCK
-            if block:
+    for root in roots or [page]:
+        seen, todo = 0, [root]
+        while todo:
+            x = todo.pop()
+            if x is None:
                 flush()
-                todo.append(None)
-            drop = id(x) in constant
-            todo.extend(k for k in reversed(x.kids) if not (drop and isinstance(k, str)))
-    flush()
+            elif isinstance(x, str):
+                line.append(x)
+                continue
+            elif x.not_article() or (hinted(x) and not body(x, root, seen)):
+                if x.tag in BLOCK:
+                    flush()
+                if root.is_main() and x.own_header():
+                    todo.extend(reversed(_headings(x)))
+            elif x.tag == "br":
+                line.append("\n")
+            else:
+                block = x.tag in BLOCK
+                if block:
+                    flush()
+                    todo.append(None)
+                drop = id(x) in constant
+                own = [k for k in x.kids if isinstance(k, str)]
+                todo.extend(k for k in reversed(x.kids) if not (drop and isinstance(k, str)))
+                if id(x) not in common:
+                    seen += sum(len("".join(k.split())) for k in own)
+        flush()
     return out
 
 

@@ -184,6 +184,22 @@ def test_blocks_of_odd_pages():
     assert text("<p>cut <a href='x") == ["cut"]
 
 
+def test_words_of_class_and_id_are_hints_only():
+    def text(page):
+        return wrapper.blocks(wrapper.parse(page), None)
+
+    long = "a long story " * 9
+    want = [" ".join(long.split())]
+    assert text(f"<html class='no-widget'><body class='single has-sidebar'><p>{long}</p><div class=sidebar>s</div></body></html>") == want
+    assert text(f"<body><article class='post comments-open'><p>{long}</p><div id=comments>c</div></article></body>") == want
+    assert text(f"<div class='wrap has-sidebar'><div class='share-enabled'><p>{long}</p></div><div class=related><p>r</div></div>") == want
+    assert text(f"<div id=page class=social><main class=header><p>{long}</p></main></div><p>{'outside ' * 99}</p>") == want
+    assert text(f"<div class='widget-area'><article><p>short</p></article></div><div>{long}</div>") == ["short"]
+    assert text(f"<article><p>{long}</p><div class=comments><p>{long} one</p></div></article>") == want  # after the text
+    assert text(f"<article><header class=entry-header><nav>n</nav><h1>Title</h1><p>by me</p></header><p>{long}</p></article>") == ["Title", *want]
+    assert text(f"<article><div class=post-header><h2 class=header>Title</h2><span>1 May</span></div><p>{long}</p></article>") == ["Title", *want]
+
+
 def test_wrapper_finds_constant_nodes(spark):
     rows = [(i, f"http://h.example/{i}", f"<body><div class=kicker>Daily news of h</div><div class=body><p>Story {i}</p><p>{'text ' * i}</p></div><div class=tail>Printed by us</div></body>") for i in range(1, 9)]
     rows += [(100, "http://other.example/", "<body><div class=kicker>Only page</div></body>"), (101, None, None), (None, "http://h.example/x", "<p>x")]
