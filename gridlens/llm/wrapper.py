@@ -1,11 +1,11 @@
 """Main text of web pages by wrapper induction (operator 9).
 
 1. Each page's DOM is reduced to a small tree: siblings with the same label (tag and class names)
-   become one repeated node; a node keeps a hash of its own text and the text's length.
-2. Trees of same-host pages are aligned by simple tree matching (a dynamic programme over the
-   children of equally labelled nodes) and merged, first inside a task, then across tasks, into one
-   template per host; a node knows how many pages have it and whether its text ever varies.
-3. Each page is aligned with its host's template.  Constant nodes are template.  Varying slots are
+   become one repeated node, so the labels from the root down name a node.
+2. Nodes of all pages are counted as grouped rows (host, path of labels, text).  A node that enough
+   pages of a host have, always with the same own text, is constant; the share is applied once, to
+   the counts of all pages, so nothing depends on partitions or order.
+3. A page's nodes are found in its host's template by path.  Constant nodes are template.  Varying slots are
    content unless they hang below a part that isn't article by its meaning: menus, headers,
    footers, sidebars, notices, adverts, forms, scripts, comments.  If the page has an ``article``
    or ``main`` part, only what lies in it is content.
@@ -29,9 +29,9 @@ columns are not looked at.
 from __future__ import annotations
 
 import html as htmllib
-import json
+import itertools
 import re
-import zlib
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -158,26 +158,33 @@ def parse(page: str) -> Node:
     return root
 
 
-# ------------------------------------------------------------------ trees for alignment
-# A slot is [label, pages, text hash or None if it varies, characters, kids]; page trees count 1 page.
-def reduce_tree(node: Node, depth: int = 0) -> list:
-    """The small tree of a page: same-label siblings as one node, own texts hashed together."""
-    return _slot([node], depth)
+# ------------------------------------------------------------------ nodes by path
+def key(text: str) -> int:
+    """64 bits of a text, 0 for an empty one."""
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) if text else 0
 
 
-def _slot(nodes: list[Node], depth: int) -> list:
-    text, groups = [], {}
-    for node in nodes:
-        for kid in node.kids:
-            if isinstance(kid, str):
-                text.append(kid)
-            else:
-                groups.setdefault(kid.label, []).append(kid)
-    own = " ".join("".join(text).split())
-    kids = [_slot(g, depth + 1) for g in groups.values()] if depth < DEEPEST else []
-    return [nodes[0].label, 1, zlib.crc32(own.encode("utf-8", "surrogatepass")) if own else 0, len(own), kids]
+def slots(page: Node) -> list[tuple[int, int, list[Node]]]:
+    """(path, own text, nodes) of a page's repeated nodes: same-label siblings are one, with their own texts together."""
+    out, todo = [], [([page], key(page.label), 0)]
+    while todo:
+        nodes, path, depth = todo.pop()
+        text, groups = [], {}
+        for node in nodes:
+            for kid in node.kids:
+                if isinstance(kid, str):
+                    text.append(kid)
+                else:
+                    groups.setdefault(kid.label, []).append(kid)
+        out.append((path, key(" ".join("".join(text).split())), nodes))
+        if depth < DEEPEST:
+            todo.extend((g, key(f"{path} {label}"), depth + 1) for label, g in groups.items())
+    return out
 
 
+# ------------------------------------------------------------------ simple tree matching
+# Where labels of siblings differ, as in reduced trees, nodes matched here have equal paths.
+# A tree is [label, pages, text hash or None if it varies, characters, kids].
 def align(a: list[list], b: list[list]) -> list[tuple[int, int]]:
     """Pairs of children matched by simple tree matching: the ordered matching with the most matched nodes."""
     if not a or not b:
@@ -228,20 +235,6 @@ def combine(a: list, b: list) -> list:
     return [a[0], a[1] + b[1], a[2] if a[2] == b[2] else None, a[3] + b[3], kids]
 
 
-#: A template with more nodes loses those that too few pages have; such nodes are content anyway.
-TEMPLATE_NODES, RARE = 400, 0.05
-
-
-def prune(tree: list) -> list:
-    def count(t):
-        return 1 + sum(map(count, t[4]))
-
-    def cut(t, least):
-        return [*t[:4], [cut(k, least) for k in t[4] if k[1] >= least]]
-
-    return cut(tree, max(2, RARE * tree[1])) if count(tree) > TEMPLATE_NODES else tree
-
-
 # ------------------------------------------------------------------ extraction
 def weigh(page: Node, common: set[int]) -> tuple[dict[int, int], set[int]]:
     """Characters of each node outside of menus, forms and the like and of ``common`` nodes' own text; nodes that hold the main part.
@@ -278,28 +271,15 @@ def _headings(node: Node) -> list[Node]:
     return out
 
 
-def blocks(page: Node, template: list | None, min_pages: int = 3, share: float = 0.5) -> list[str]:
-    """The article's blocks of a page, given its host's template."""
+def blocks(page: Node, template: set[int] | None) -> list[str]:
+    """The article's blocks of a page, given the paths of its host's constant nodes."""
     common: set[int] = set()    # nodes of this page whose own text its host's pages share
     constant: set[int] = set()  # those of them that are template
-
-    def mark(nodes: list[Node], slot: list) -> None:
-        total = template[1]
-        if slot[2] and slot[1] >= min_pages and slot[1] >= share * total:
+    for path, _, nodes in slots(page) if template else ():
+        if path in template:
             common.update(map(id, nodes))
             if nodes[0].tag not in CONTENT_TAGS:
                 constant.update(map(id, nodes))
-        groups: dict[str, list[Node]] = {}
-        for node in nodes:
-            for kid in node.kids:
-                if isinstance(kid, Node):
-                    groups.setdefault(kid.label, []).append(kid)
-        own = list(groups.values())
-        for i, j in align([_slot(g, 0) for g in own], slot[4]):
-            mark(own[i], slot[4][j])
-
-    if template is not None and template[1] >= min_pages:
-        mark([page], template)
     weight, holders = weigh(page, common)
     hinted = lambda node: node.tag not in STRUCTURE and not node.is_main() and id(node) not in holders and bool(node.words())
     # by its place, a part has the body of the text
@@ -352,44 +332,24 @@ def blocks(page: Node, template: list | None, min_pages: int = 3, share: float =
     return out
 
 
-def induce(pages: DataFrame, held_hosts: int = 2000) -> DataFrame:
-    """(host, n_pages, tree as JSON): one template per host of (host, html) rows."""
-    def pack(found: dict):
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([t[1] for t in found.values()], pa.int64()),
-                                           pa.array([json.dumps(prune(t)) for t in found.values()], pa.string())], names=["host", "n_pages", "tree"])
-
-    def of_pages(batches):
-        found: dict[str, list] = {}
-        for batch in batches:
-            for host, text in zip(*(c.to_pylist() for c in batch.columns)):
-                tree = reduce_tree(parse(text))
-                found[host] = prune(combine(found[host], tree)) if host in found else tree
-                if len(found) >= held_hosts:
-                    yield pack(found)
-                    found = {}
-        if found:
-            yield pack(found)
-
-    def of_parts(batches):
-        now, tree = None, None
+def induce(pages: DataFrame, min_pages: int = 3, share: float = 0.5) -> DataFrame:
+    """(host, paths): the constant nodes of each host with some, of (host, html) rows."""
+    def run(batches):
         for batch in batches:
-            for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                other = json.loads(text)
-                if host == now and tree is not None:
-                    tree = prune(combine(tree, other))
-                    continue
-                if tree is not None:
-                    yield pack({now: tree})
-                now, tree = host, other
-        if tree is not None:
-            yield pack({now: tree})
-
-    schema = "host string, n_pages long, tree string"
-    parts = pages.select("host", "html").mapInArrow(of_pages, schema)
-    # partial templates of one host meet in two steps, so that a host on every task is not merged by one alone
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("tree"), F.lit(32))).repartition("host", "salt").sortWithinPartitions("host", "salt", "tree")
-    once = salted.select("host", "tree").mapInArrow(of_parts, schema)
-    return once.repartition("host").sortWithinPartitions("host", "tree").select("host", "tree").mapInArrow(of_parts, schema)
+            found = [slots(parse(html)) for html in batch.column(1).to_pylist()]
+            ends = pa.array([0, *itertools.accumulate(map(len, found))], pa.int32())
+            columns = [pa.ListArray.from_arrays(ends, pa.array([x[i] for f in found for x in f], pa.int64())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["host", "paths", "texts"])
+
+    rows = stored(pages.select("host", "html").mapInArrow(run, "host string, paths array<long>, texts array<long>"), "nodes")
+    totals = rows.groupBy(F.col("host").alias("t_host")).agg(F.count("*").alias("total"))
+    nodes = rows.select("host", F.explode(F.arrays_zip("paths", "texts")).alias("x")).select("host", "x.paths", "x.texts")
+    # by text first: a path that all pages of a large host have is counted in many tasks
+    nodes = nodes.groupBy("host", "paths", "texts").agg(F.count("*").alias("n")).groupBy("host", "paths").agg(
+        F.sum("n").alias("pages"), F.count("*").alias("n_texts"), F.max("texts").alias("text"))
+    nodes = nodes.filter((F.col("n_texts") == 1) & (F.col("text") != 0) & (F.col("pages") >= min_pages))
+    nodes = nodes.join(totals, F.col("host") == F.col("t_host")).filter(F.col("pages") >= share * F.col("total"))
+    return nodes.groupBy("host").agg(F.collect_list("paths").alias("paths"))
 
 
 #: Bytes of templates up to which they are sent to all executors; beyond, pages are joined with them by host.
@@ -400,21 +360,21 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(page_id, url, text, n_chars) for every row of ``pages``."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                         parse_url(F.col(url_col))[0].alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    templates = stored(induce(rows), "templates").select(F.col("host").alias("t_host"), "tree")
-    size = templates.agg(F.sum(F.octet_length("tree") + F.octet_length("t_host"))).first()[0] or 0
+    templates = stored(induce(rows), "templates").select(F.col("host").alias("t_host"), "paths")
+    size = templates.agg(F.sum(8 * F.size("paths") + F.octet_length("t_host"))).first()[0] or 0
     joined = rows.join(F.broadcast(templates) if size <= BROADCAST_BYTES else templates, rows.host == templates.t_host, "left")
 
     def run(batches):
-        known: dict[str, list] = {}
+        known: dict[str, set] = {}
         for batch in batches:
             texts = []
-            for html, host, tree in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+            for i, (html, host) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 if host not in known:
                     if len(known) > 500:
                         known.clear()
-                    known[host] = json.loads(tree) if tree else None
+                    known[host] = set(batch.column(4)[i].as_py() or ())
                 texts.append("\n\n".join(blocks(parse(html), known[host])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                                              names=["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "host", "tree").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "host", "paths").mapInArrow(run, "page_id long, url string, text string, n_chars long")

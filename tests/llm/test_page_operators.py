@@ -209,6 +209,20 @@ def test_wrapper_finds_constant_nodes(spark):
     assert wrapper.extract(df.limit(0)).count() == 0
 
 
+def test_template_of_pages_with_many_nodes(spark):
+    """Over 400 nodes that one page has, and a constant node that stands on 60 % of pages."""
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:04d}")
+    def page(i):
+        own = "".join(f"<p class={word(1000 * i + j)}>story {i} {j}</p>" for j in range(450))
+        return f"<body><div class=kicker>Daily news of h</div>{own}" + "<div class=tail>Printed by us</div>" * (i % 5 > 1) + "</body>"
+
+    rows = [(i, "http://h.example/", page(i)) for i in range(10)]
+    want = {i: "\n\n".join(f"story {i} {j}" for j in range(450)) for i in range(10)}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for n in (10, 2):
+        assert {r.page_id: r.text for r in wrapper.extract(df.repartition(n)).collect()} == want
+
+
 def test_simple_tree_matching():
     tree = lambda label, *kids: [label, 1, 0, 0, list(kids)]
     a = tree("r", tree("x", tree("p")), tree("y"), tree("z"))
