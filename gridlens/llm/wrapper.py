@@ -4,7 +4,8 @@
    become one repeated node, so the labels from the root down name a node.
 2. Nodes of all pages are counted as grouped rows (host, path of labels, text).  A node that enough
    pages of a host have, always with the same own text, is constant; the share is applied once, to
-   the counts of all pages, so nothing depends on partitions or order.
+   the counts of all pages, so nothing depends on partitions or order.  Pages with the same article
+   (its text before template goes) count as one page together, so copies don't make a template.
 3. A page's nodes are found in its host's template by path.  Constant nodes are template.  Varying slots are
    content unless they hang below a part that isn't article by its meaning: menus, headers,
    footers, sidebars, notices, adverts, forms, scripts, comments.  If the page has an ``article``
@@ -15,14 +16,14 @@
    and at least twice what comes before it.  Of an article's own header, headings are kept.
 
 Headings, paragraphs and list items inside the article are content even if all pages of a host
-share them (copies of one page), so only other constant nodes (share bars, bylines in ``div``) go.
+share them, so only other constant nodes (share bars, bylines in ``div``) go.
 
 Text: character references decoded, white space inside a block turned into one space, blocks
 trimmed and joined by an empty line in page order.
 
 Cases: null html counts as empty and gives an empty text; a null url is the host ""; unclosed and
 misnested tags close as browsers do for paragraphs, lists and tables; copies of a page count as one
-page each; a host with one page has no constant nodes; empty tables give empty results; other
+page; a host with one page has no constant nodes; empty tables give empty results; other
 columns are not looked at.
 """
 
@@ -332,30 +333,36 @@ def blocks(page: Node, template: set[int] | None) -> list[str]:
     return out
 
 
+#: Bytes of templates, and of articles with copies, up to which they are sent to all executors; beyond, pages are joined with them by shuffle.
+BROADCAST_BYTES = 16 << 20
+
+
 def induce(pages: DataFrame, min_pages: int = 3, share: float = 0.5) -> DataFrame:
     """(host, paths): the constant nodes of each host with some, of (host, html) rows."""
     def run(batches):
         for batch in batches:
-            found = [slots(parse(html)) for html in batch.column(1).to_pylist()]
+            parsed = [parse(html) for html in batch.column(1).to_pylist()]
+            found = [slots(page) for page in parsed]
+            articles = pa.array([key("\n\n".join(blocks(page, None))) for page in parsed], pa.int64())
             ends = pa.array([0, *itertools.accumulate(map(len, found))], pa.int32())
             columns = [pa.ListArray.from_arrays(ends, pa.array([x[i] for f in found for x in f], pa.int64())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["host", "paths", "texts"])
-
-    rows = stored(pages.select("host", "html").mapInArrow(run, "host string, paths array<long>, texts array<long>"), "nodes")
-    totals = rows.groupBy(F.col("host").alias("t_host")).agg(F.count("*").alias("total"))
-    nodes = rows.select("host", F.explode(F.arrays_zip("paths", "texts")).alias("x")).select("host", "x.paths", "x.texts")
+            yield pa.RecordBatch.from_arrays([batch.column(0), articles, *columns], names=["host", "article", "paths", "texts"])
+
+    rows = stored(pages.select("host", "html").mapInArrow(run, "host string, article long, paths array<long>, texts array<long>"), "nodes")
+    articles = stored(rows.groupBy(F.col("host").alias("a_host"), F.col("article").alias("a_article")).agg(F.count("*").alias("copies")), "articles")
+    totals = articles.groupBy(F.col("a_host").alias("t_host")).agg(F.count("*").alias("total"))
+    copies = articles.filter("copies > 1")
+    size = copies.agg(F.sum(F.octet_length("a_host") + 32)).first()[0] or 0
+    rows = rows.join(F.broadcast(copies) if size <= BROADCAST_BYTES else copies, (F.col("host") == F.col("a_host")) & (F.col("article") == F.col("a_article")), "left")
+    nodes = rows.select("host", (1 / F.coalesce("copies", F.lit(1))).alias("part"), F.explode(F.arrays_zip("paths", "texts")).alias("x")).select("host", "part", "x.paths", "x.texts")
     # by text first: a path that all pages of a large host have is counted in many tasks
-    nodes = nodes.groupBy("host", "paths", "texts").agg(F.count("*").alias("n")).groupBy("host", "paths").agg(
-        F.sum("n").alias("pages"), F.count("*").alias("n_texts"), F.max("texts").alias("text"))
+    nodes = nodes.groupBy("host", "paths", "texts").agg(F.sum("part").alias("n")).groupBy("host", "paths").agg(
+        F.round(F.sum("n"), 6).alias("pages"), F.count("*").alias("n_texts"), F.max("texts").alias("text"))
     nodes = nodes.filter((F.col("n_texts") == 1) & (F.col("text") != 0) & (F.col("pages") >= min_pages))
     nodes = nodes.join(totals, F.col("host") == F.col("t_host")).filter(F.col("pages") >= share * F.col("total"))
     return nodes.groupBy("host").agg(F.collect_list("paths").alias("paths"))
 
 
-#: Bytes of templates up to which they are sent to all executors; beyond, pages are joined with them by host.
-BROADCAST_BYTES = 16 << 20
-
-
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages``."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),

@@ -223,6 +223,15 @@ def test_template_of_pages_with_many_nodes(spark):
         assert {r.page_id: r.text for r in wrapper.extract(df.repartition(n)).collect()} == want
 
 
+def test_copies_of_a_page_make_no_template(spark):
+    page = "<body><div class=kicker>Daily</div><article>Directly here<div>Main text in a div</div><font>and here</font></article></body>"
+    rows = [(i, "http://copies.example/", page.replace("Daily", f"Daily {i}" if i % 2 else "Daily")) for i in range(9)]
+    rows += [(10 + i, "http://mixed.example/", f"<body><div class=kicker>Daily</div><div class=text>Story {max(i, 6)}</div></body>") for i in range(10)]
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(9)} == {"Directly here\n\nMain text in a div\n\nand here"}
+    assert got[10] == "Story 6" and got[19] == "Story 9"  # four articles share the kicker
+
+
 def test_simple_tree_matching():
     tree = lambda label, *kids: [label, 1, 0, 0, list(kids)]
     a = tree("r", tree("x", tree("p")), tree("y"), tree("z"))
