@@ -13,7 +13,8 @@ which is smoothed towards that of all pages; templates below the limit are block
 rules go before the tree.
 
 Cases: a null url or one without ``://`` has an empty host and path and is judged like any other;
-an empty path is the template of the host itself; paths of more than ``MAX_DEPTH`` segments end in
+an empty path is the template of the host itself; paths may have any number of segments, but from
+``split_depth`` segments on a node of fewer than ``min_urls`` urls is not split any more and ends in
 ``**``, which stands for all that follows; repeated urls count as often as they occur; pages without
 a label, null ids and an empty label table leave the priors; ties can't arise (every limit is one
 of counts); an empty table gives an empty result; other columns are not looked at.
@@ -22,6 +23,7 @@ of counts); an empty table gives an empty result; other columns are not looked a
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +41,7 @@ class TreeParams:
     z: float = 2.0              # and the z up to which its bad share does
     prior: float = 20.0         # labelled pages that a parent's rate counts for
     min_purity: float = 0.5     # smoothed share of good pages of an allowed template
-    max_depth: int = 8
+    split_depth: int = 8        # segments up to which nodes of fewer than min_urls urls are split, too
 
 
 def parse(url: Column) -> tuple[Column, Column]:
@@ -72,8 +74,6 @@ def shape(segment: Column) -> Column:
 def grow(rows: DataFrame, depth: int, p: TreeParams) -> DataFrame:
     """One level of the tree: rows (.., node, segs, lab, bad) with ``node`` a segment longer where the path has one."""
     rows = rows.withColumn("child", F.get("segs", F.lit(depth)))
-    if depth == p.max_depth:
-        return rows.withColumn("node", F.when(F.col("child").isNotNull(), F.concat("node", F.lit("/**"))).otherwise(F.col("node"))).drop("child")
     open_rows = rows.filter("child is not null")
     kids = open_rows.groupBy("node", "child").agg(F.count("*").alias("n"))
     totals = kids.groupBy(F.col("node").alias("t_node")).agg(F.sum("n").alias("total"))
@@ -110,13 +110,45 @@ def grow(rows: DataFrame, depth: int, p: TreeParams) -> DataFrame:
     return rows.withColumn("node", F.coalesce(name, F.col("node"))).drop("branch", "s_node", "s_branch", "similar")
 
 
+def deeper(rows: DataFrame, p: TreeParams) -> DataFrame:
+    """Rows whose ``segs`` are what is left of long paths with their last ``node``: levels go on while nodes have enough urls.
+
+    Segments that all urls of a node have in common are one step, as each is its node's only branch.
+    """
+    columns, done = rows.columns, []
+    left = lambda n: F.slice("segs", n + 1, F.size("segs"))
+    while True:
+        same = F.transform(F.arrays_zip("lo", "hi"), lambda x: x["lo"].eqNullSafe(x["hi"]))
+        nodes = rows.groupBy(F.col("node").alias("k_node")).agg(F.count("*").alias("k_n"), F.min("segs").alias("lo"), F.max("segs").alias("hi"))
+        nodes = nodes.select("k_node", "k_n", F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size("lo")).cast("int").alias("k"))
+        rows = stored(rows.join(nodes, F.col("node") == F.col("k_node")), "urls")
+        done.append(rows.filter(F.col("k_n") < p.min_urls).withColumn("node", F.concat("node", F.lit("/**"))).select(columns))
+        rows = rows.filter(F.col("k_n") >= p.min_urls)
+        name = F.when(F.col("k") > 0, F.concat("node", F.lit("/"), F.array_join(F.slice("segs", 1, F.col("k")), "/"))).otherwise(F.col("node"))
+        rows = rows.withColumns({"node": name, "segs": left(F.col("k"))}).select(columns)
+        done.append(rows.filter(F.size("segs") == 0))
+        rows = rows.filter(F.size("segs") > 0)
+        if rows.isEmpty():
+            break
+        rows = stored(grow(rows, 0, p).withColumn("segs", left(F.lit(1))).select(columns), "urls")
+        done.append(rows.filter(F.size("segs") == 0))
+        rows = rows.filter(F.size("segs") > 0)
+        if rows.isEmpty():
+            break
+    return reduce(DataFrame.union, done)
+
+
 def templates(rows: DataFrame, p: TreeParams = TreeParams()) -> DataFrame:
     """Rows (.., host, path, lab, bad) with their ``template``."""
     segs = F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace("path", "^/", ""), "/", -1))
     rows = stored(rows.withColumn("segs", segs).withColumn("node", F.col("host")), "urls")
     deepest = rows.agg(F.max(F.size("segs"))).first()[0] or 0
-    for depth in range(min(deepest, p.max_depth + 1)):
+    for depth in range(min(deepest, p.split_depth)):
         rows = stored(grow(rows, depth, p), "urls")
+    if deepest > p.split_depth:
+        columns, size = rows.columns, F.size("segs")
+        rest = rows.filter(size > p.split_depth).withColumn("segs", F.slice("segs", p.split_depth + 1, size))
+        rows = rows.filter(size <= p.split_depth).union(deeper(rest, p).select(columns))
     return rows.withColumnRenamed("node", "template").drop("segs")
 
 

@@ -72,6 +72,23 @@ def test_url_templates(spark):
     assert rest == {("h.example/~/{9}", "allow")} or all(t.endswith("/{9}") and v == "allow" for t, v in rest)
 
 
+def test_urls_of_deep_sections(spark):
+    """Sections below the eighth segment have templates of their own, also far below."""
+    rows, labels = [], []
+    for prefix in ("/a/b/c/d/e/f/g/h", "/x" * 40):
+        for section, bad in (("good", 0), ("spam", 1), ("fine", 0), ("more", 0)):
+            for i in range(60):
+                rows.append((len(rows), f"http://deep.example{prefix}/{section}/{i * 7919}"))
+                labels.append((len(labels), 1 - bad, bad))
+    rows += [(len(rows) + i, "http://deep.example/a/b/c/d/e/f/g/h/rare/1/2") for i in range(3)]
+    out = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert len(out) == len(rows) == len({r.page_id for r in out})
+    for r in out:
+        assert r.verdict == ("block" if "/spam/" in r.path else "allow")
+        assert r.template.endswith("/**" if "/rare/" in r.path else "/{9}")
+    assert {r.template for r in out if "/spam/" in r.path} == {"deep.example" + "/~" * 8 + "/spam/{9}", "deep.example" + "/~" * 8 + "/x" * 32 + "/spam/{9}"}
+
+
 # ------------------------------------------------------------------ operator 2
 def test_chats(spark):
     rows = sorted(tuple(r) for r in spark.read.parquet(f"{SMALL}/conversations.parquet").select("conv_id", "turn", "role", "text").collect())
