@@ -6,9 +6,11 @@ turn adds to the previous output is its span, and an output that doesn't begin w
 one shows a template that rewrites history.  Inside a turn's span its text is found by rendering
 the same prefix with a marker in place of the text.
 
-Prefixes grow with the conversation, so turns are rendered in runs of ``RUN`` turns behind the
-turns that open the conversation and the run; the spans found must spell the rendering of the whole
-conversation exactly, else all its prefixes are rendered in full.  The result is the same.
+Prefixes grow with the conversation, so turns of the registered template, which adds each turn by
+itself, are rendered in runs of ``RUN`` turns behind the turns that open the conversation and the
+run; the spans found must spell the rendering of the whole conversation exactly, else all its
+prefixes are rendered in full.  The result is the same.  For other templates every prefix is
+rendered, as one may rewrite history at any of them; a ``run`` can be given for those that don't.
 
 The registered template marks turns and escapes control strings reversibly: a backslash after each
 backslash and after the first character of each control string, so no control string is left in a
@@ -103,7 +105,12 @@ def _added(template: Callable, before: list[Turn], turns: list[Turn]) -> Iterato
         output = longer
 
 
-def locate(template: Callable[[list[Turn]], str], turns: list[Turn], run: int = RUN):
+def run_of(template: Callable, run: int | None) -> int | None:
+    """Turns rendered together: what is given, ``RUN`` for the registered template, else None for all true prefixes."""
+    return RUN if run is None and template is render else run
+
+
+def locate(template: Callable[[list[Turn]], str], turns: list[Turn], run: int | None = None):
     """(formatted, [(span start, span end, text start, text end)] per turn, turns that rewrite history).
 
     A text span holds the text as the template shows it; -1 says that probing didn't find it.
@@ -121,7 +128,8 @@ def locate(template: Callable[[list[Turn]], str], turns: list[Turn], run: int =
                 at += len(added)
         return out, rewriting, "".join(pieces)
 
-    if len(turns) > run:
+    run = run_of(template, run)
+    if run is not None and len(turns) > run:
         groups = [([], turns[:run])] + [([*turns[:2], *turns[i - 2:i]], turns[i:i + run]) for i in range(run, len(turns), run)]
         out, rewriting, spelled = spans(groups)
         if not rewriting and spelled == whole:
@@ -152,8 +160,10 @@ _SPAN = pa.list_(pa.struct([("role", pa.string()), ("start", pa.int64()), ("stop
 
 
 def format_chats(rows: DataFrame, template: Callable[[list[Turn]], str] = render, id_col: str = "conv_id", turn_col: str = "turn",
-                 role_col: str = "role", text_col: str = "text", run: int = RUN) -> DataFrame:
+                 role_col: str = "role", text_col: str = "text", run: int | None = None) -> DataFrame:
     """One row per conversation: the formatted text, each turn's span and text span, and rewriting turns."""
+    run = run_of(template, run)
+
     def work(batches):
         rows, held = [], 0
         types = (pa.int64(), pa.int64(), pa.string(), _SPAN, pa.list_(pa.int64()))

@@ -125,6 +125,17 @@ def test_templates_that_rewrite_history():
     assert rewriting == [] and spans[0][2:] == (3, 4) and spans[1][2:] == (7, 8)  # the text as it is shown
 
 
+def test_templates_that_rewrite_history_at_a_longer_prefix(spark):
+    def at_fifty(turns):
+        return ("<long>" if len(turns) == 50 else "") + "".join(f"[{r}]{t}" for r, t in turns)
+
+    turns = [("u" if i % 2 else "a", f"turn {i}") for i in range(80)]
+    whole, _, rewriting = chat.locate(at_fifty, turns)
+    assert whole == at_fifty(turns) and rewriting == [49, 50]
+    rows = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    assert chat.format_chats(rows, at_fifty).first().rewrites == [49, 50]
+
+
 def test_chat_odd_rows(spark):
     rows = [(None, 1, "user", "a"), (1, None, "user", None), (1, 2, None, "b"), (1, 2, "assistant", ""), (1, 2, "assistant", ""), (2, 0, "assistant", "z" * 100_000)]
     df = spark.createDataFrame([(*r, "c") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
