@@ -92,6 +92,99 @@ def op10_sentencepiece(spark, sf_dir):
                           (F.sha2("text", 256) == F.col("text_sha256")).alias("round_trip"))
 
 
+def op11_fill_in_middle(spark, sf_dir):
+    """Rearrange every document, rebuild each text from its output and form, and digest both."""
+    from pyspark.sql import functions as F
+    from . import fim
+    out = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"),
+                      sha(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op12_tokenizer_alignment(spark, sf_dir):
+    from . import align
+    return align.align_corpus(table(spark, sf_dir, "documents"))
+
+
+def op13_source_mixture(spark, sf_dir):
+    from . import mixture
+    return mixture.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: Units by the same pattern; cuts from the same digest groups, parts joined from the unit list.
+OP11_SQL = """
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+drawn AS (
+  SELECT doc_id, t, u, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+         CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM units),
+cut AS (
+  SELECT doc_id, t, u, n, least(h1 % (n + 1), h2 % (n + 1)) AS i, greatest(h1 % (n + 1), h2 % (n + 1)) AS j,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (
+  SELECT doc_id, t, n, form, array_to_string(u[1:i], '') AS p, array_to_string(u[i + 1:j], '') AS m, array_to_string(u[j + 1:], '') AS s FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM parts
+"""
+
+
+#: The same mix in plain steps: all quotients of all seats are ranked, all blocks listed, and documents held against
+#: the chosen ones by their ranges of words.
+OP13_SQL = """
+WITH docs AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+         md5('13:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS digest FROM documents),
+summed AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(ceil(sqrt(count(*))) AS BIGINT) AS shards,
+         row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM docs GROUP BY source),
+weighed AS (
+  SELECT *, CASE rank % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, CAST(sum(source_size) OVER () AS BIGINT) AS words,
+         count(*) OVER () AS sources FROM summed),
+levels AS (
+  SELECT a.*, a.words - coalesce((SELECT sum(3 * b.source_size) FROM weighed b WHERE (b.source_size / b.weight, b.rank) < (a.source_size / a.weight, a.rank)), 0) AS rest,
+         (SELECT sum(b.weight) FROM weighed b WHERE (b.source_size / b.weight, b.rank) >= (a.source_size / a.weight, a.rank)) AS heavy FROM weighed a),
+stopped AS (SELECT *, CAST(3 * source_size AS DOUBLE) * heavy <= CAST(rest AS DOUBLE) * weight AS stops FROM levels),
+sources AS (
+  SELECT source, rank, source_size, shards, stops, CAST(CASE WHEN stops THEN 3 * source_size ELSE
+           (SELECT arg_min(rest, (source_size / weight, rank)) FROM stopped WHERE NOT stops) * weight /
+           (SELECT arg_min(heavy, (source_size / weight, rank)) FROM stopped WHERE NOT stops) END AS DOUBLE) AS target,
+         CAST(ceil(source_size / greatest(1.0::DOUBLE, words / (sources * 100000))) AS BIGINT) AS n FROM stopped),
+votes AS (SELECT rank, n, target * n / source_size AS votes FROM sources WHERE NOT stops AND source_size > 0),
+seats AS (SELECT rank, row_number() OVER (ORDER BY votes / (2 * s - 1) DESC, rank) AS place FROM (SELECT *, unnest(generate_series(1, 3 * n)) AS s FROM votes)),
+won AS (SELECT rank, count(*) AS won FROM seats WHERE place <= (SELECT round(sum(votes)) FROM votes) GROUP BY rank),
+quotas AS (
+  SELECT s.*, CASE WHEN n = 0 THEN 0 ELSE quota // n END AS passes, CASE WHEN n = 0 THEN 0 ELSE quota % n END AS left_over, CASE WHEN n = 0 THEN 0 ELSE source_size // n END AS width,
+         CASE WHEN n = 0 THEN 0 ELSE source_size % n END AS longer
+  FROM (SELECT sources.*, CASE WHEN stops THEN 3 * n ELSE least(coalesce(won, 0), 3 * n) END AS quota FROM sources LEFT JOIN won USING (rank)) s),
+placed AS (
+  SELECT d.doc_id, d.size, q.rank, CAST('0x' || d.digest[1:7] AS BIGINT) % q.shards AS shard, d.digest FROM docs d JOIN quotas q ON d.source IS NOT DISTINCT FROM q.source),
+line AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY rank ORDER BY shard, digest, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM placed),
+shards AS (SELECT rank, shard, min(start) AS a, sum(size) AS length FROM line GROUP BY rank, shard),
+blocks AS (
+  SELECT rank, block, block * width + least(block, longer) AS a, (block + 1) * width + least(block + 1, longer) AS z, left_over
+  FROM (SELECT *, unnest(generate_series(0, n - 1)) AS block FROM quotas WHERE n > 0 AND left_over > 0)),
+dealt AS (SELECT b.*, s.shard, count(*) OVER (PARTITION BY b.rank, s.shard) AS own FROM blocks b JOIN shards s ON b.rank = s.rank AND b.a >= s.a AND b.a < s.a + s.length),
+shard_seats AS (
+  SELECT rank, shard, left_over, row_number() OVER (PARTITION BY rank ORDER BY own / (2 * s - 1) DESC, shard) AS place
+  FROM (SELECT *, unnest(generate_series(1, own)) AS s FROM (SELECT DISTINCT rank, shard, own, left_over FROM dealt))),
+shard_won AS (SELECT rank, shard, count(*) AS won FROM shard_seats WHERE place <= left_over GROUP BY rank, shard),
+chosen AS (
+  SELECT rank, a, z FROM (SELECT d.*, w.won, row_number() OVER (PARTITION BY d.rank, d.shard ORDER BY md5('13:' || d.rank || ':' || d.block), d.block) AS place
+                          FROM dealt d JOIN shard_won w USING (rank, shard)) WHERE place <= won),
+spans AS (
+  SELECT l.rank, l.start, sum(least(l.start + l.size, c.z) - greatest(l.start, c.a)) AS more
+  FROM line l JOIN chosen c ON l.rank = c.rank AND c.a < l.start + l.size AND c.z > l.start WHERE l.size > 0 GROUP BY l.rank, l.start)
+SELECT l.doc_id, l.size, q.source_size, q.target, CAST(l.size * q.passes + CASE WHEN l.size > 0 THEN coalesce(s.more, 0) ELSE 0 END AS BIGINT) AS taken
+FROM line l JOIN quotas q USING (rank) LEFT JOIN spans s ON l.rank = s.rank AND l.start = s.start
+"""
+
+
 def queries() -> dict:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     found = dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -99,4 +192,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op11_fill_in_middle": OP11_SQL, "op13_source_mixture": OP13_SQL}
