@@ -1,6 +1,6 @@
 """Alignment of two tokenizers over the same texts (operator 12).
 
-Tokenizer A is a byte-level BPE file (``tokenizers``), B a sentencepiece model; A reads a space and the text, B adds that
+Tokenizer A is a byte-level BPE file (``tokenizers`` or, with the same vocabulary, ``tiktoken``), B a sentencepiece model; A reads a space and the text, B adds that
 space itself, so the tokens of both cover the same bytes.  Per batch, the tokens of both sides are tables of
 (document, start, token); ``pandas.merge_asof`` keyed by the document finds for each token start the token of the other
 side that covers it.  The union of both directions holds every pair of tokens whose byte ranges overlap (of two overlapping
@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, flat, row_of, slices, stored
+from .common import as_text, flat, lean, row_of, slices, stored
 from .pieces import ragged
 
 TOKENIZERS = "/opt/tokenizers"
@@ -78,22 +79,77 @@ class Side:
         return raw, ends, np.concatenate([[0], ends])[first]
 
 
-def encoders(file_a: bytes, file_b: bytes):
-    """(texts -> list of id lists) of both tokenizers, each in the calling thread only."""
+#: Words that byte-level BPE files of this kind never merge across (a fixed value of the format).
+WORDS_A = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def encoder_a(file: bytes):
+    """texts -> id lists of a byte-level BPE file; special tokens are ordinary text.
+
+    Where ids are the places of their merges, ids are all that merging needs, and
+    tiktoken does it from the file's own vocabulary; else tokenizers does.
+    """
+    content = json.loads(file)
+    model, letters = content["model"], byte_level()
+    split = (content.get("pre_tokenizer") or {})
+    vocab = {t: i for t, i in model["vocab"].items() if all(c in letters for c in t)}
+    merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    in_order = [vocab.get(m) for m in merges] == list(range(256, 256 + len(merges))) and len(vocab) >= 256 + len(merges)
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not content.get("normalizer")
+    if in_order and plain:
+        import tiktoken
+        ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if i < 256 + len(merges)}
+        encoding = tiktoken.Encoding("a", pat_str=WORDS_A, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: [encoding.encode_ordinary(" " + t) for t in texts]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import sentencepiece
     from tokenizers import Tokenizer
-    a, b = Tokenizer.from_str(file_a.decode()), sentencepiece.SentencePieceProcessor(model_proto=file_b)
+    a = Tokenizer.from_str(file.decode())
     a.encode_special_tokens = True
     a.no_truncation()
     a.no_padding()
-    return (lambda texts: [e.ids for e in a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)],
-            lambda texts: b.encode(texts, num_threads=1))
+    return lambda texts: [e.ids for e in a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+
+
+def encoder_b(file: bytes):
+    """texts -> id lists of a sentencepiece model."""
+    import sentencepiece
+    model = sentencepiece.SentencePieceProcessor(model_proto=file)
+    return lambda texts: model.encode(texts, num_threads=1)
+
+
+class Pair:
+    """Both tokenizers with their tables of token bytes."""
+
+    def __init__(self, file_a: bytes, file_b: bytes):
+        self.encode_a, self.encode_b = encoder_a(file_a), encoder_b(file_b)
+        strings_a, strings_b = bytes_of_a(file_a), bytes_of_b(file_b)
+        self.a, self.b = Side(strings_a), Side(strings_b)
+        self.decimal = Decimal(max(len(strings_a), len(strings_b)))
+
+
+_pairs: dict[bytes, Pair] = {}
+
+
+def loaded(file_a: bytes, file_b: bytes) -> Pair:
+    """The pair of these files; a worker keeps the last one, as its next task will want it."""
+    key = hashlib.sha256(file_a).digest() + hashlib.sha256(file_b).digest()
+    if key not in _pairs:
+        _pairs.clear()
+        _pairs[key] = Pair(file_a, file_b)
+    return _pairs[key]
 
 
 def joined_rows(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     first = np.cumsum([0, *map(len, lists)])
-    return np.fromiter((x for ids in lists for x in ids), np.int64, int(first[-1])), first
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(first[-1])), first
+
+
+def only_rows(ids: np.ndarray, first: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same rows, those not kept without ids."""
+    if keep.all():
+        return ids, first
+    n = np.diff(first)
+    return ids[np.repeat(keep, n)], np.concatenate([[0], np.cumsum(np.where(keep, n, 0))])
 
 
 def same_bytes(raw: np.ndarray, at: np.ndarray, want: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -109,12 +165,14 @@ def same_bytes(raw: np.ndarray, at: np.ndarray, want: np.ndarray, offs: np.ndarr
 # ------------------------------------------------------------------ alignment of a batch
 def overlaps(doc_a: np.ndarray, start_a: np.ndarray, doc_b: np.ndarray, start_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(A token, B token) rows of every overlapping pair; tokens are rows in order of their starts."""
-    a = pd.DataFrame({"doc": doc_a, "at": start_a, "a": np.arange(len(doc_a)), "a_at": start_a})
-    b = pd.DataFrame({"doc": doc_b, "at": start_b, "b": np.arange(len(doc_b)), "b_at": start_b})
+    a = pd.DataFrame({"doc": doc_a, "at": start_a, "a": np.arange(len(doc_a))})
+    b = pd.DataFrame({"doc": doc_b, "at": start_b, "b": np.arange(len(doc_b))})
     covered = pd.merge_asof(a, b, on="at", by="doc")
-    covers = pd.merge_asof(b, a, on="at", by="doc")
-    later = covers["a_at"].to_numpy() != covers["b_at"].to_numpy()  # equal starts are in the other direction
-    return tuple(np.concatenate([covered[side].to_numpy(np.int64), covers[side].to_numpy(np.int64)[later]]) for side in ("a", "b"))
+    # tokens that start where one of A starts are found in the other direction
+    place = np.minimum(np.searchsorted(start_a, start_b), max(len(start_a) - 1, 0))
+    later = b[start_a[place] != start_b] if len(start_a) else b
+    covers = pd.merge_asof(later, a, on="at", by="doc")
+    return tuple(np.concatenate([covered[side].to_numpy(np.int64), covers[side].to_numpy(np.int64)]) for side in ("a", "b"))
 
 
 class Decimal:
@@ -169,33 +227,29 @@ def align(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE, id_col: s
     kind = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int32())])
 
     def run(batches):
-        file_a, file_b = shared.value
-        encode_a, encode_b = encoders(file_a, file_b)
-        strings_a, strings_b = bytes_of_a(file_a), bytes_of_b(file_b)
-        side_a, side_b, decimal = Side(strings_a), Side(strings_b), Decimal(max(len(strings_a), len(strings_b)))
+        pair = loaded(*shared.value)
+        size_a, size_b = len(pair.a.ends) - 1, len(pair.b.ends) - 1
         for batch in batches:
             for x, y in slices(flat(batch.column(1))[1], SLICE):
                 texts = batch.column(1).slice(x, y - x).to_pylist()
-                lists_a, lists_b = encode_a(texts), encode_b(texts)
+                both = [joined_rows(pair.encode_a(texts)), joined_rows(pair.encode_b(texts))]
                 want = [b" " + t.encode() if t else b"" for t in texts]
                 offs, want = np.cumsum([0, *map(len, want)]), np.frombuffer(b"".join(want), np.uint8)
                 ok = np.array([bool(t) for t in texts], bool)
-                for lists, side in ((lists_a, side_a), (lists_b, side_b)):
-                    ids, first = joined_rows(lists)
+                for (ids, first), side in zip(both, (pair.a, pair.b)):
                     raw, _, at = side.spell(ids, first)
                     ok &= same_bytes(raw, at, want, offs)
-                (ids_a, first_a), (ids_b, first_b) = (joined_rows([ids if good else [] for ids, good in zip(lists, ok)]) for lists in (lists_a, lists_b))
-                _, end_a, _ = side_a.spell(ids_a, first_a)
-                _, end_b, _ = side_b.spell(ids_b, first_b)
+                (ids_a, first_a), (ids_b, first_b) = (only_rows(ids, first, ok) for ids, first in both)
+                _, end_a, _ = pair.a.spell(ids_a, first_a)
+                _, end_b, _ = pair.b.spell(ids_b, first_b)
                 doc_a, doc_b = row_of(first_a), row_of(first_b)
                 start_a, start_b = np.concatenate([[0], end_a])[:-1], np.concatenate([[0], end_b])[:-1]
                 a, b = overlaps(doc_a, start_a, doc_b, start_b)
                 n_links = np.bincount(doc_a[a], minlength=y - x)
-                n_groups, digests = groups(first_a, end_a, ids_a, first_b, end_b, ids_b, decimal)
+                n_groups, digests = groups(first_a, end_a, ids_a, first_b, end_b, ids_b, pair.decimal)
                 # each id pair of a document once
-                size_a, size_b = len(strings_a), len(strings_b)
-                pair, times = np.unique((doc_a[a] * size_a + ids_a[a]) * size_b + ids_b[b], return_counts=True)
-                rest, pair_b = np.divmod(pair, size_b)
+                cells, times = np.unique((doc_a[a] * size_a + ids_a[a]) * size_b + ids_b[b], return_counts=True)
+                rest, pair_b = np.divmod(cells, size_b)
                 doc, pair_a = np.divmod(rest, size_a)
                 edges = np.searchsorted(doc, np.arange(y - x + 1))
                 links = pa.StructArray.from_arrays([pa.array(v.astype(np.int32)) for v in (pair_a, pair_b, times)], fields=list(kind))
@@ -205,7 +259,7 @@ def align(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE, id_col: s
                     names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links"])
 
     return as_text(docs, id_col, text_col).mapInArrow(
-        run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links array<struct<a:int,b:int,n:int>>")
+        lean(run), "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links array<struct<a:int,b:int,n:int>>")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:

@@ -7,6 +7,10 @@ array operations and no Python string is made for a document.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +52,40 @@ def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lean(run):
+    """A ``mapInArrow`` function that gives its memory back to the system at its end.
+
+    Python workers are reused by later tasks and stages; what a task freed would otherwise stay with its worker.
+    """
+    def wrapped(batches):
+        libc = _libc()
+        if libc:
+            libc.mallopt(_MMAP_THRESHOLD, 1 << 20)  # large arrays get pages of their own, also after the first one was freed
+        try:
+            yield from run(batches)
+        finally:
+            _powers.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if libc:
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
+_MMAP_THRESHOLD = -3
+
+
+def _libc():
+    """The C library, if it is one with malloc_trim."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.malloc_trim, libc.mallopt
+        return libc
+    except (AttributeError, OSError):
+        return None
+
+
 def as_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text) only, null texts as empty: other columns can't clash with an operator's own."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"),
@@ -122,11 +160,39 @@ def prefix_hash(raw: np.ndarray) -> np.ndarray:
 
 
 def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of raw[starts:ends] from its prefix sums; equal strings give equal hashes."""
+    """64-bit hash of raw[starts:ends] from its prefix sums; equal strings give equal hashes.
+
+    A polynomial modulo 2**64 in time independent of the span: some different strings (Thue-Morse words) share a
+    value, so it may only choose or deal places, never tell that strings are equal; ``string_hash`` does that.
+    """
     inverse = powers(_INVERSE, len(prefix))
     return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
 
 
+#: Bytes up to which strings are hashed together, eight bytes a round; longer ones one by one.
+TOGETHER = 128
+
+
+def string_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of raw[starts:ends]: all bytes go through a mixer (long strings through BLAKE2b)."""
+    n = ends - starts
+    h = mix(n.astype(U) + U(0x2545F4914F6CDD1D))
+    eight = np.ndarray(len(raw), "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,)) if len(raw) else np.zeros(0, U)
+    at = np.flatnonzero((n > 0) & (n <= TOGETHER))
+    done = 0
+    while len(at):
+        left = n[at] - done
+        chunk = eight[starts[at] + done]
+        short = left < 8
+        chunk[short] &= (U(1) << (U(8) * left[short].astype(U))) - U(1)
+        h[at] = mix((h[at] ^ chunk) * U(0x9FB21C651E98DF25) + U(done))
+        done += 8
+        at = at[left > 8]
+    for i in np.flatnonzero(n > TOGETHER):
+        h[i] = int.from_bytes(hashlib.blake2b(raw[starts[i]:ends[i]], digest_size=8).digest(), "little")
+    return h
+
+
 # ------------------------------------------------------------------ words
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -194,6 +260,6 @@ def shingle_sets(raw: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray,
     """Distinct n-word shingle hashes of each lower-cased (A-Z) text: (hashes, row offsets)."""
     low = lower_ascii(raw)
     starts, ends, first = word_spans(low, offs)
-    words = span_hash(prefix_hash(low), starts, ends)
+    words = string_hash(low, starts, ends)
     rows, values = shingles(words, first, n)
     return distinct_per_row(rows, values, len(offs) - 1)

@@ -18,7 +18,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import U, as_text, mix, prefix_hash, row_of, span_hash, text_slices, word_spans
+from .common import U, as_text, lean, mix, row_of, string_hash, text_slices, word_spans
 
 SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
           "base_failed boolean, kept boolean, n_bytes long, doc_ratio double, max_chunk_ratio double, "
@@ -42,7 +42,6 @@ def base_counts(raw: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     """The exact base counts of each text of a slice."""
     n = len(offs) - 1
     starts, ends, first = word_spans(raw, offs)
-    prefix = prefix_hash(raw)
     n_words = np.diff(first)
     inside = np.zeros(len(raw) + 1, np.int8)
     inside[starts] = 1
@@ -56,12 +55,12 @@ def base_counts(raw: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     rows = np.searchsorted(offs, cuts, "right") - 1
     has_word = np.concatenate([[0], np.cumsum(inside, dtype=np.int64)])
     keep = has_word[body_end] > has_word[cuts]
-    rows, lines = rows[keep], span_hash(prefix, cuts[keep], body_end[keep])
+    rows, lines = rows[keep], string_hash(raw, cuts[keep], body_end[keep])
     order = np.lexsort((lines, rows))
     same = (rows[order][1:] == rows[order][:-1]) & (lines[order][1:] == lines[order][:-1])
     dup_lines = np.bincount(rows[order][1:][same], minlength=n)
     # words inside a window found twice or more in the text
-    words = span_hash(prefix, starts, ends)
+    words = string_hash(raw, starts, ends)
     of = row_of(first)
     at = np.flatnonzero(first[1:][of] - np.arange(len(words)) >= WINDOW) if len(words) else np.zeros(0, np.int64)
     h = np.zeros(len(at), U)
@@ -138,4 +137,4 @@ def compression_bands(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     pa.array([v[3] for v in judged], pa.float64()), pa.array([v[0] for v in judged], pa.string()),
                 ], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-    return as_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    return as_text(docs, id_col, text_col).mapInArrow(lean(run), SCHEMA)

@@ -9,7 +9,8 @@ found in a document if some passage of it is within ``floor(0.2 * words)`` word
 - Tables: each of ``WALKS`` independent walks feeds ``TABLES`` tables, a key joining the first
   output and ``BITS`` outputs at sampled steps.  Items are indexed by windows from ``STARTS`` of
   their words on (rare ones in the first half), so one edit at a start doesn't lose an item.  Steps
-  are sampled within the window's size class, so windows are item-sized.
+  are sampled within the window's size (2, 3, 4, 6, 8, 12, .. words, the largest within what is left of the item), so
+  windows are item-sized, however long the item.
 - Document windows start at every word.  As a key holds the walk's first word, only windows that
   start with an indexed word can meet an item; the others needn't be walked.
 - Windows that meet an item in a table are verified by exact edit distance against the whole item.
@@ -31,14 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, as_text, lower_ascii, mix, prefix_hash, span_hash, text_slices, word_spans
+from .common import U, as_text, lean, lower_ascii, mix, string_hash, text_slices, word_spans
 
 WALKS, TABLES, BITS, STARTS = 4, 4, 2, 5
 #: Edits allowed per word, and words below which an item must occur exactly.
 EDITS, EXACT = 0.2, 8
 BLOCK_BYTES = 2 << 20
-#: Sizes of windows (words), and steps of a walk per word of the window.
-CLASSES = np.array([2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128])
+#: Steps of a walk per word of the window.
 PACE = 1.6
 _GAP = np.ones(256, bool)
 _GAP[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = False
@@ -48,7 +48,13 @@ def words_of(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """(word hashes, first word of each row, starts, ends) of a slice of texts."""
     low = lower_ascii(raw)
     starts, ends, first = word_spans(low, offs, _GAP)
-    return span_hash(prefix_hash(low), starts, ends), first, starts, ends
+    return string_hash(low, starts, ends), first, starts, ends
+
+
+def window_size(words: int) -> int:
+    """The largest of 2, 3, 4, 6, 8, 12, 16, .. words that is no longer than ``words`` (2 at least)."""
+    two = 1 << max(1, words.bit_length() - 1)
+    return two * 3 // 2 if two * 3 <= words * 2 else two
 
 
 def _samples(steps: int) -> np.ndarray:
@@ -108,7 +114,7 @@ def build(ids: list, texts: list[str]) -> Index:
         for s in sorted(rare):
             items.append(i)
             places.append(s)
-            classes.append(CLASSES[max(0, np.searchsorted(CLASSES, b - s, "right") - 1)])
+            classes.append(window_size(int(b - s)))
     items, places, classes = np.array(items, np.int64), np.array(places, np.int64), np.array(classes, np.int64)
     found, where = [], []
     for size in np.unique(classes):
@@ -233,7 +239,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     for block in range(blocks):
         rows = numbered.filter(F.col("block") == block).sort("item_id", "text").collect()  # about block_bytes
         shared = spark.sparkContext.broadcast(build([r[0] for r in rows], [r[1] for r in rows]))
-        found = texts.mapInArrow(_searcher(shared), FOUND)
+        found = texts.mapInArrow(lean(_searcher(shared)), FOUND)
         out = found if out is None else out.union(found)
     return out
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, text_slices
+from .common import as_text, lean, text_slices
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Largest error of a segment's prediction in bytes (a residual is one signed byte), and bytes scanned together.
@@ -176,7 +176,7 @@ def fill_in_middle(docs: DataFrame, draw: Draw = Draw(), id_col: str = "doc_id",
                     ids, pa.array(n, pa.int64()), pa.array(forms, pa.string()), pa.array(parts[0], pa.int64()), pa.array(parts[1], pa.int64()),
                     pa.array(texts, pa.binary()).view(pa.string())], names=["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"])
 
-    return as_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n long, form string, prefix_chars long, middle_chars long, output string")
+    return as_text(docs, id_col, text_col).mapInArrow(lean(run), "doc_id long, n long, form string, prefix_chars long, middle_chars long, output string")
 
 
 def restored(output: Column, form: Column) -> Column:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_of, stored, text_slices
+from .common import lean, row_of, stored, text_slices
 
 PER_LANGUAGE, BUCKETS, SATURATION, SMOOTHING = 1000, 1 << 16, 200.0, 0.5
 #: Pseudo-counts of the address hierarchy and of declarations, and the prior of ``und``.
@@ -89,7 +89,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
         lang, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[lang, bucket])], names=["l", "g", "n"])
 
-    cells = sample.select("text", "label").mapInArrow(count, "l int, g int, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
+    cells = sample.select("text", "label").mapInArrow(lean(count), "l int, g int, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
     found = cells.toPandas()  # at most languages x buckets cells
     n = np.zeros((BUCKETS, len(languages)))
     n[found.g.to_numpy(), found.l.to_numpy()] = found.n.to_numpy()
@@ -125,7 +125,7 @@ def text_scores(rows: DataFrame, model) -> DataFrame:
                                                  names=["doc_id", "host", "suffix", "declared", "n_grams", "n_letters", "scores"])
 
     return rows.select("doc_id", "host", "suffix", "declared", "text").mapInArrow(
-        run, "doc_id long, host string, suffix string, declared string, n_grams long, n_letters long, scores array<double>")
+        lean(run), "doc_id long, host string, suffix string, declared string, n_grams long, n_letters long, scores array<double>")
 
 
 def _best(scores: Column) -> Column:

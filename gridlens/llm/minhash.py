@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, as_text, mix, shingle_sets, stored, text_slices
+from .common import U, as_text, lean, mix, shingle_sets, stored, text_slices
 from .graph import components
 
 #: Members that meet one copy of a pivot's set, and bytes of differences in a block.
@@ -88,7 +88,7 @@ def signatures(docs: DataFrame, p: Near) -> DataFrame:
                                                   pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel()))],
                                                  names=["doc_id", "n", "s1", "s2", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, keys array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, n long, s1 long, s2 long, keys array<long>")
 
 
 def buckets(nodes: DataFrame, p: Near) -> DataFrame:
@@ -119,7 +119,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, p: Near) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(right)),
                                                   pa.array([data[8 * first[i]:8 * first[i + 1]] for i in right], pa.binary())], names=["node", "members"])
 
-    return stored(rows.mapInArrow(run, "node long, members binary").dropDuplicates(["node"]), "sets")
+    return stored(rows.mapInArrow(lean(run), "node long, members binary").dropDuplicates(["node"]), "sets")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, p: Near, differences: bool = False) -> DataFrame:
@@ -159,7 +159,7 @@ def verify(pairs: DataFrame, sets: DataFrame, p: Near, differences: bool = False
             columns = [pa.array(c, pa.int64()) for c in out[:4]] + [pa.array(out[4], pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(diffs, pa.binary())] * differences, names=names)
 
-    return rows.mapInArrow(run, "node long, pivot long, n long, p_n long, linked boolean" + ", diff binary" * differences)
+    return rows.mapInArrow(lean(run), "node long, pivot long, n long, p_n long, linked boolean" + ", diff binary" * differences)
 
 
 def partners(rows: list[tuple], first: int, second: int, p: Near) -> list[tuple[int, int]]:
@@ -222,7 +222,7 @@ def other_links(judged: DataFrame, found: DataFrame, sets: DataFrame, p: Near) -
         if len(held) > 1:
             yield pack(partners(held, now[1], now[2], p))
 
-    return units.mapInArrow(run, "u long, v long")
+    return units.mapInArrow(lean(run), "u long, v long")
 
 
 def links(nodes: DataFrame, docs: DataFrame, p: Near) -> DataFrame:

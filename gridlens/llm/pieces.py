@@ -33,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, slices
+from .common import flat, lean, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Largest model file that is broadcast, and distinct words (and pairs of pieces) a worker remembers between slices.
-MODEL_BYTES, REMEMBERED = 64 << 20, 250_000
+MODEL_BYTES, REMEMBERED = 64 << 20, 100_000
 _UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 
@@ -246,61 +246,85 @@ def ragged(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return values[np.arange(total) + np.repeat(starts - (stop - n), n)], stop
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, the ``keep`` columns, piece_ids array<int>, text_sha256 of the text that was encoded)."""
-    import hashlib
-    extra = [f"kept_{i}" for i in range(len(keep))]
+class Decoder:
+    """Texts of id rows, from flat piece strings."""
+
+    def __init__(self, model: Model):
+        strings = [p.replace(MARK, " ").encode() if k in (_NORMAL, _USER) else bytes([int(p[3:5], 16)]) if k == _BYTE
+                   else " ⁇ ".encode() if k == _UNKNOWN else b"" for p, k in zip(model.pieces, model.kinds)]
+        self.data, self.ends = np.frombuffer(b"".join(strings), np.uint8), np.cumsum([0, *map(len, strings)])
+        self.is_byte, self.prefix = np.array([k == _BYTE for k in model.kinds]), model.prefix
+
+    def decode(self, ids: np.ndarray, offs: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """(texts, number of byte pieces) of id rows."""
+        raw, stop = ragged(self.data, self.ends[ids], self.ends[ids + 1])
+        at = np.concatenate([[0], stop])[offs]
+        raw = raw.tobytes()
+        bytes_before = np.concatenate([[0], np.cumsum(self.is_byte[ids])])
+        texts = [raw[x:y].decode("utf-8", "replace") for x, y in zip(at[:-1], at[1:])]
+        return [t[1:] if self.prefix and t.startswith(" ") else t for t in texts], bytes_before[offs[1:]] - bytes_before[offs[:-1]]
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+    """(doc_id, text, kept_0, ..) rows, and the schema of the kept columns."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                        *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)))
+    return rows, [f"kept_{i} {rows.schema[f'kept_{i}'].dataType.simpleString()}" for i in range(len(keep))]
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, the ``keep`` columns, piece_ids array<int>) of every row of ``docs``."""
+    return _encoded(docs, id_col, text_col, model_path, keep, False)
+
+
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``encode`` with what decoding the ids gives: n_byte_pieces, n_chars (of the decoded text), round_trip (it equals the input).
+
+    Both run in one Python worker, so ids don't travel and a task has one worker, not two.
+    """
+    return _encoded(docs, id_col, text_col, model_path, keep, True)
+
+
+def _encoded(docs: DataFrame, id_col: str, text_col: str, model_path: str, keep: tuple[str, ...], back: bool) -> DataFrame:
+    rows, extra = _rows(docs, id_col, text_col, keep)
     shared = docs.sparkSession.sparkContext.broadcast(load_model(model_path))
+    fields = ["doc_id long", *extra, "piece_ids array<int>"] + ["n_byte_pieces long", "n_chars long", "round_trip boolean"] * back
+    names = [f.split()[0] for f in fields]
 
     def run(batches):
-        encoder = Encoder(shared.value)
+        encoder, decoder = Encoder(shared.value), Decoder(shared.value)
         for batch in batches:
             for a, b in slices(flat(batch.column(1))[1]):
                 texts = batch.column(1).slice(a, b - a).to_pylist()
                 ids, offs = encoder.encode(texts)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(a, b - a), *(batch.column(2 + i).slice(a, b - a) for i in range(len(extra))),
-                    pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids, pa.int32())),
-                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string()),
-                ], names=["doc_id", *extra, "piece_ids", "text_sha256"])
+                columns = [batch.column(0).slice(a, b - a), *(batch.column(2 + i).slice(a, b - a) for i in range(len(extra))),
+                           pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids, pa.int32()))]
+                if back:
+                    decoded, n_bytes = decoder.decode(ids, offs)
+                    columns += [pa.array(n_bytes, pa.int64()), pa.array(map(len, decoded), pa.int64()), pa.array([x == y for x, y in zip(decoded, texts)], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = ", ".join(["doc_id long", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in extra), "piece_ids array<int>, text_sha256 string"])
-    return rows.mapInArrow(run, schema).withColumnsRenamed(dict(zip(extra, keep)))
+    return rows.mapInArrow(lean(run), ", ".join(fields)).withColumnsRenamed({f"kept_{i}": c for i, c in enumerate(keep)})
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, the ``keep`` columns, n_pieces, n_byte_pieces, text) read back from ``piece_ids``."""
-    model = load_model(model_path)
-    strings = [p.replace(MARK, " ").encode() if k in (_NORMAL, _USER) else bytes([int(p[3:5], 16)]) if k == _BYTE
-               else " ⁇ ".encode() if k == _UNKNOWN else b"" for p, k in zip(model.pieces, model.kinds)]
-    data, ends = np.frombuffer(b"".join(strings), np.uint8), np.cumsum([0, *map(len, strings)])
-    is_byte = np.array([k == _BYTE for k in model.kinds])
-    shared = encoded.sparkSession.sparkContext.broadcast((data, ends, is_byte, model.prefix))
+    shared = encoded.sparkSession.sparkContext.broadcast(load_model(model_path))
     schema = ", ".join(["doc_id long", *(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in keep),
                         "n_pieces long", "n_byte_pieces long", "text string"])
 
     def run(batches):
-        data, ends, is_byte, prefix = shared.value
+        decoder = Decoder(shared.value)
         for batch in batches:
             column = batch.column(1 + len(keep))
             all_offs = column.offsets.to_numpy().astype(np.int64)
             values = column.values.to_numpy()
             for a, b in slices(all_offs - all_offs[0], 1 << 20):
-                ids = values[all_offs[a]:all_offs[b]]
                 offs = all_offs[a:b + 1] - all_offs[a]
-                raw, stop = ragged(data, ends[ids], ends[ids + 1])
-                at = np.concatenate([[0], stop])[offs]
-                raw = raw.tobytes()
-                bytes_before = np.concatenate([[0], np.cumsum(is_byte[ids])])
-                texts = []
-                for x, y in zip(at[:-1], at[1:]):
-                    t = raw[x:y].decode("utf-8", "replace")
-                    texts.append(t[1:] if prefix and t.startswith(" ") else t)
+                texts, n_bytes = decoder.decode(values[all_offs[a]:all_offs[b]], offs)
                 yield pa.RecordBatch.from_arrays([
                     *(batch.column(i).slice(a, b - a) for i in range(1 + len(keep))),
-                    pa.array(np.diff(offs)), pa.array(bytes_before[offs[1:]] - bytes_before[offs[:-1]]), pa.array(texts, pa.string()),
+                    pa.array(np.diff(offs)), pa.array(n_bytes, pa.int64()), pa.array(texts, pa.string()),
                 ], names=["doc_id", *keep, "n_pieces", "n_byte_pieces", "text"])
 
-    return encoded.select("doc_id", *keep, "piece_ids").mapInArrow(run, schema)
+    return encoded.select("doc_id", *keep, "piece_ids").mapInArrow(lean(run), schema)

@@ -5,7 +5,8 @@ the minimizer of their window (the k-byte string with the least hash in it), whi
 share, and buckets are sorted one block at a time:
 
 1. Consecutive windows of a text with one minimizer are a run; its region is the text they cover.
-   Regions of equal content are one class.  Minimizers found once can't have equal windows.
+   Regions of equal content (128 bits
+   of BLAKE2b over all their bytes) are one class.  Minimizers found once can't have equal windows.
 2. A class with two members is repeated as a whole.  Only minimizers with several classes need
    sorting: one region of each class goes to the minimizer's bucket.
 3. A block of buckets is sorted by the first ``V`` bytes of its suffixes; ties are resolved by
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, as_text, mix, prefix_hash, span_hash, stored, text_slices
+from .common import U, as_text, lean, mix, prefix_hash, span_hash, stored, text_slices
 
 LENGTH, V = 400, 32
 BLOCK, HOT = 1 << 20, 4000
@@ -64,10 +65,10 @@ SHIFT = shifts(V, COVER)
 
 # ------------------------------------------------------------------ runs of windows with one minimizer
 def runs_of(raw: np.ndarray, offs: np.ndarray, length: int, k: int):
-    """(row, first window, last window, minimizer place, minimizer hash, region hash) of each run of a slice."""
+    """(row, first window, last window, minimizer place, minimizer hash) of each run of a slice."""
     n = len(raw)
     if n < length:
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, U),) * 2
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, U),)
     prefix = prefix_hash(raw)
     at = np.arange(n - k + 1)
     h = span_hash(prefix, at, at + k)
@@ -91,11 +92,11 @@ def runs_of(raw: np.ndarray, offs: np.ndarray, length: int, k: int):
     lo = np.flatnonzero(starts)
     row = np.searchsorted(offs, lo, "right") - 1
     hi = np.minimum(np.append(lo[1:], len(place)) - 1, offs[1:][row] - length)
-    return row, lo, hi, place[lo], h[place[lo]], span_hash(prefix, lo, hi + length)
+    return row, lo, hi, place[lo], h[place[lo]]
 
 
 def find_runs(texts: DataFrame, length: int, k: int) -> DataFrame:
-    """(doc_id, key, lo, hi, t, f, c): runs of (doc_id, key, text) rows; t is the minimizer's distance from lo."""
+    """(doc_id, key, lo, hi, t, f, c): runs of (doc_id, key, text) rows; t is the minimizer's distance from lo, c the region's BLAKE2b."""
     def run(batches):
         for batch in batches:
             for a, b, raw, offs in text_slices(batch.column(2)):
@@ -105,17 +106,19 @@ def find_runs(texts: DataFrame, length: int, k: int) -> DataFrame:
                     else:
                         part = raw[x:x + CHUNK]
                         part_offs = np.array([0, len(part)])
-                    row, lo, hi, place, f, c = runs_of(part, part_offs, length, k)
+                    row, lo, hi, place, f = runs_of(part, part_offs, length, k)
+                    data = memoryview(part)
+                    c = [hashlib.blake2b(data[x:y], digest_size=16).digest() for x, y in zip(lo.tolist(), (hi + length).tolist())]
                     start = part_offs[:-1][row] - (x if len(raw) > CHUNK else 0)
                     at = pa.array(row)
                     yield pa.RecordBatch.from_arrays([
                         batch.column(0).slice(a, b - a).take(at), batch.column(1).slice(a, b - a).take(at), pa.array(lo - start), pa.array(hi - start),
-                        pa.array((place - lo).astype(np.int32)), pa.array(f.view(np.int64)), pa.array(c.view(np.int64))],
+                        pa.array((place - lo).astype(np.int32)), pa.array(f.view(np.int64)), pa.array(c, pa.binary())],
                         names=["doc_id", "key", "lo", "hi", "t", "f", "c"])
                     if len(raw) <= CHUNK:
                         break
 
-    return texts.mapInArrow(run, "doc_id long, key long, lo long, hi long, t int, f long, c long")
+    return texts.mapInArrow(lean(run), "doc_id long, key long, lo long, hi long, t int, f long, c binary")
 
 
 # ------------------------------------------------------------------ sorting a block
@@ -276,7 +279,7 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, k: int | None = Non
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds)], names=["doc_id", "key", "lo", "f", "t", "big", "region"])
 
-    regions = stored(rows.mapInArrow(cut, "doc_id long, key long, lo long, f long, t int, big boolean, region binary"), "regions")
+    regions = stored(rows.mapInArrow(lean(cut), "doc_id long, key long, lo long, f long, t int, big boolean, region binary"), "regions")
 
     def sort(batches):
         held, size, done = [], 0, lambda found: pa.RecordBatch.from_arrays(
@@ -292,7 +295,7 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, k: int | None = Non
             yield done(sort_block(held, length))
 
     buckets = regions.filter("not big").select("doc_id", "key", "lo", "f", "region").repartition("f").sortWithinPartitions("f", "doc_id", "key", "lo")
-    out = out.union(buckets.mapInArrow(sort, "doc_id long, key long, lo long, hi long"))
+    out = out.union(buckets.mapInArrow(lean(sort), "doc_id long, key long, lo long, hi long"))
     return out.union(hot_windows(regions.filter("big"), length))
 
 
@@ -306,7 +309,7 @@ def hot_windows(regions: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([doc_id] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array(range(lo, lo + n), pa.int64()),
                                                   pa.array(sums, pa.binary())], names=["doc_id", "key", "lo", "h"])
 
-    rows = regions.select("doc_id", "key", "lo", "f", "t", "big", "region").mapInArrow(explode, "doc_id long, key long, lo long, h binary")
+    rows = regions.select("doc_id", "key", "lo", "f", "t", "big", "region").mapInArrow(lean(explode), "doc_id long, key long, lo long, h binary")
     twice = rows.groupBy(F.col("h").alias("t_h")).agg(F.count("*").alias("n")).filter("n > 1").select("t_h")
     return rows.join(twice, F.col("h") == F.col("t_h"), "left_semi").select("doc_id", "key", "lo", F.col("lo").alias("hi"))
 
@@ -330,7 +333,7 @@ def merged_runs(facts: DataFrame, length: int) -> DataFrame:
             lists = [[{"lo": a, "hi": b - length} for a, b in merge_spans([(s["lo"], s["hi"]) for s in spans], length)] for spans in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, kind)], names=["f_doc_id", "f_key", "spans"])
 
-    return facts.mapInArrow(run, "f_doc_id long, f_key long, spans array<struct<lo:long,hi:long>>")
+    return facts.mapInArrow(lean(run), "f_doc_id long, f_key long, spans array<struct<lo:long,hi:long>>")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (),
@@ -367,4 +370,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     rows = _joined(wide, merged, "left").select("doc_id", *extra, "text", "spans")
     schema = ", ".join(["doc_id long", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in extra), "n_bytes long, n_removed long, n_spans long",
                         "spans array<struct<start:long,stop:long>>, rest " + ("string" if as_string else "binary")])
-    return rows.mapInArrow(cut, schema).withColumnsRenamed(dict(zip(extra, keep)))
+    return rows.mapInArrow(lean(cut), schema).withColumnsRenamed(dict(zip(extra, keep)))

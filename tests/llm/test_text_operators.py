@@ -27,8 +27,43 @@ def test_words_and_hashes_follow_row_borders():
     starts, ends, first = common.word_spans(raw, offs)
     got = [[raw[a:b].tobytes().decode() for a, b in zip(starts[x:y], ends[x:y])] for x, y in zip(first, first[1:])]
     assert got == [WORD.findall(r) for r in rows]
-    h = common.span_hash(common.prefix_hash(raw), starts, ends)
-    assert len({*h.tolist()}) == len({w for r in got for w in r})
+    for h in (common.span_hash(common.prefix_hash(raw), starts, ends), common.string_hash(raw, starts, ends)):
+        assert len({*h.tolist()}) == len({w for r in got for w in r})
+
+
+def _thue_morse(bits):
+    """A word of 2**bits letters a/b and its complement, which polynomials modulo 2**64 can't tell apart."""
+    w = "a"
+    for _ in range(bits):
+        w += w.translate({97: 98, 98: 97})
+    return w, w.translate({97: 98, 98: 97})
+
+
+def test_string_hash_sees_every_byte():
+    rng = random.Random(12)
+    strings = [*{bytes(rng.randrange(4) for _ in range(rng.randint(0, 300))) for _ in range(4000)}]
+    strings += [x.encode() for x in _thue_morse(10)] + [b"a" * n for n in range(5, 300)] + [b"\0" * n for n in range(301, 400)]
+    for _ in range(2):
+        raw = np.frombuffer(b"".join(strings), np.uint8)
+        ends = np.cumsum([len(x) for x in strings])
+        h = common.string_hash(raw, ends - [len(x) for x in strings], ends)
+        assert len(set(h.tolist())) == len(strings)
+        known = dict(zip(strings, h.tolist())) if _ == 0 else known
+        assert all(known[x] == y for x, y in zip(strings, h.tolist()))  # the place doesn't matter
+        rng.shuffle(strings)
+
+
+def test_different_words_with_one_polynomial_stay_apart(spark):
+    """The Thue-Morse words as words of shingles, as lines, and inside windows."""
+    w, v = _thue_morse(10)
+    near = minhash.near_duplicates(spark.createDataFrame([(1, f"{w} x y"), (2, f"{v} x y"), (3, f"{w} x y")], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in near} == {1: 1, 2: 2, 3: 1}
+    rules = compression.compression_bands(spark.createDataFrame([(1, f"{w}\n{v}\n{w}"), (2, f"{w} b c d e f g h {v} b c d e f g h")], "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_dup_lines, r.n_repeat_words) for r in rules} == {1: (1, 0), 2: (0, 0)}
+    filler = "".join(random.Random(1).choice("xyz") for _ in range(900))
+    docs = [(1, filler + w + "1"), (2, "2" + filler[::-1] + v), (3, w[:500] + "3")]
+    got = {r.doc_id: r.rest.decode() for r in suffix.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == dict(zip((1, 2, 3), _kept([t for _, t in docs], 400)))
 
 
 def test_components(spark):
