@@ -84,9 +84,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether decoding them gives the text back."""
     prepare(spark)
-    encoded = pieces.encode(docs, keep=("lang", "source"))
-    decoded = pieces.decode(encoded, keep=("lang", "source", "text_sha256", "piece_ids"))
-    return decoded.select("doc_id", "lang", "source", "piece_ids", "n_pieces", (F.sha2("text", 256) == F.col("text_sha256")).alias("round_trip"))
+    out = pieces.round_trip(docs, keep=("lang", "source"))
+    return out.select("doc_id", "lang", "source", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), "round_trip")
 
 
 STAGES = [
