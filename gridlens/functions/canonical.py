@@ -1,12 +1,11 @@
 """Canonical JSON text (keys sorted recursively, no whitespace) for hashing.
 
-Two paths:
+Two paths, both of built-in expressions:
 
-* typed: a struct column is turned into its canonical text with built-in
-  string expressions (stays in codegen);
-* free-form: a JSON string column of arbitrary shape goes through an
-  Arrow-batched pandas UDF that re-serialises each value with JavaScript's
-  number and string rules.
+* typed: a struct column is turned into its canonical text with string expressions;
+* free-form: a JSON string column of arbitrary shape is parsed to a VARIANT,
+  whose objects hold their keys in order; of its text, numbers and the few
+  escapes that JavaScript writes otherwise are rewritten token by token.
 
 Keys are written as they are (not escaped) and sorted by UTF-16 code units,
 like ``Object.keys(o).sort()``.
@@ -14,10 +13,6 @@ like ``Object.keys(o).sort()``.
 
 from __future__ import annotations
 
-import decimal
-import json
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,57 +73,32 @@ def canonical_struct(df, fields: dict) -> Column:
 
 
 # ---------------------------------------------------------------- free-form path
-def js_number(x) -> str:
-    """``String(x)`` of a JavaScript number."""
-    if isinstance(x, bool):
-        return "true" if x else "false"
-    if isinstance(x, int):
-        x = float(x) if abs(x) >= 2 ** 53 else x
-        if isinstance(x, int):
-            return str(x)
-    if x != x or x in (float("inf"), float("-inf")):
-        return "null"                      # JSON.stringify(NaN / Infinity)
-    if x == 0:
-        return "0"
-    r = repr(float(x))
-    ax = abs(x)
-    if 1e-6 <= ax < 1e21:
-        d = decimal.Decimal(r)
-        s = format(d, "f")
-        if "." in s:
-            s = s.rstrip("0").rstrip(".")
-        return s
-    mant, _, exp = r.partition("e")
-    if "." in mant:
-        mant = mant.rstrip("0").rstrip(".")
-    e = int(exp)
-    return f"{mant}e{'+' if e > 0 else '-'}{abs(e)}"
-
-
-def canonical_value(v) -> str:
-    if v is None:
-        return "null"
-    if isinstance(v, dict):
-        keys = sorted(v.keys(), key=_utf16_key)
-        return "{" + ",".join(f'"{k}":{canonical_value(v[k])}' for k in keys) + "}"
-    if isinstance(v, list):
-        return "[" + ",".join(canonical_value(x) for x in v) + "]"
-    if isinstance(v, str):
-        return json.dumps(v, ensure_ascii=False)
-    if isinstance(v, (bool, int, float)):
-        return js_number(v)
-    raise TypeError(type(v))
-
-
-def canonical_json_text(text: str | None) -> str | None:
-    """Canonical text; NULL for a missing text and for one that isn't JSON."""
-    try:
-        return None if text is None else canonical_value(json.loads(text))
-    except (ValueError, RecursionError):
-        return None
-
-
-@F.pandas_udf(T.StringType())
-def canonical_json(texts: pd.Series) -> pd.Series:
-    """Arrow-batched canonicaliser for free-form JSON text."""
-    return texts.map(canonical_json_text)
+#: A token of compact JSON text: a string, a number, a literal, or one character of punctuation.
+_TOKEN = r'"(?:[^"\\]|\\.)*+"|-?[0-9][0-9.eE+-]*|[a-z]+|[\[\]{},:]'
+
+
+def canonical_json(text: Column) -> Column:
+    """Canonical text of JSON text; NULL for a missing text and for one that isn't JSON.
+
+    Of equal keys in an object the last one counts (session setting
+    ``spark.sql.variant.allowDuplicateKeys``).  A number beyond the doubles reads
+    as the string ``Infinity``.
+    """
+    tokens = F.regexp_extract_all(F.to_json(F.try_parse_json(text)), F.lit(_TOKEN), 0)
+    return F.array_join(F.transform(tokens, lambda t, i: _canonical_token(t, F.get(tokens, i + 1))), "")
+
+
+def _canonical_token(t: Column, following: Column) -> Column:
+    number = F.coalesce(js_number_text(t.try_cast("double")), F.lit("null"))
+    key = F.concat(F.lit('"'), F.get_json_object(F.concat(F.lit("["), t, F.lit("]")), "$[0]"), F.lit('"'))
+    return (F.when(t.rlike("^-?[0-9]"), number)
+            .when(~t.startswith('"') | ~t.contains("\\"), t)
+            .when(following == ":", key)
+            .when(t.contains("\\u00"), _lower_escapes(t)).otherwise(t))
+
+
+def _lower_escapes(t: Column) -> Column:
+    """Control characters' escapes with lower-case digits; a backslash before them is not an escape of its own."""
+    for digit in "ABCDEF":
+        t = F.regexp_replace(t, r"(?<=(?<!\\)(?:\\\\){0,99}\\u00[01])" + digit, digit.lower())
+    return t

@@ -42,3 +42,34 @@ def exact_percentile(df: DataFrame, col: str, q: float) -> DataFrame:
     low, high = F.floor("at"), F.ceil("at")
     value = F.when(F.col("a") == F.col("z"), F.col("a")).otherwise((high - F.col("at")) * F.col("a") + (F.col("at") - low) * F.col("z"))
     return ends.select(value.alias("value"))
+
+
+def exact_percentiles(df: DataFrame, col: str, qs: list, keys: list) -> DataFrame:
+    """(keys, q, value): the ``qs`` quantiles of every key's values, as :func:`exact_percentile` gives them.
+
+    Ranks of all keys and quantiles are selected together: buckets are counted by
+    (key, bucket), and of each key only the buckets that hold a wanted rank are
+    counted by value.  Keys of NULL are left out.
+    """
+    rows = df.select(*keys, F.col(col).cast("double").alias("x")).filter("x is not null")
+    facts = rows.groupBy(*keys).agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    share = F.when(F.col("hi") > F.col("lo"), (F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.lit(0.0))
+    rows = rows.join(facts, keys).withColumn("b", F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)))
+    at = (F.col("n") - 1) * F.col("q")
+    holds = lambda rank: (F.col("first") <= rank) & (rank < F.col("stop"))
+    wanted = holds(F.floor("at")) | holds(F.ceil("at"))
+
+    def ranked(counts: DataFrame, part: list, order: str, before) -> DataFrame:
+        upto = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return counts.withColumn("stop", before + F.sum("c").over(upto)).withColumn("first", F.col("stop") - F.col("c"))
+
+    buckets = ranked(rows.groupBy(*keys, "b").agg(F.count("x").alias("c"), F.first("n").alias("n")), keys, "b", F.lit(0))
+    targets = buckets.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs]))).withColumn("at", at).filter(wanted)
+    targets = targets.select(*keys, "b", "q", "at", F.col("first").alias("before"))
+    values = rows.select(*keys, "b", "x").join(targets.select(*keys, "b", "before").distinct(), [*keys, "b"])
+    values = values.groupBy(*keys, "b", "x").agg(F.count("x").alias("c"), F.first("before").alias("before"))
+    values = ranked(values, [*keys, "b"], "x", F.col("before")).select(*keys, "b", "x", "first", "stop")
+    ends = values.join(targets.select(*keys, "b", "q", "at"), [*keys, "b"]).filter(wanted).groupBy(*keys, "q").agg(
+        F.max(F.when(holds(F.floor("at")), F.col("x"))).alias("a"), F.max(F.when(holds(F.ceil("at")), F.col("x"))).alias("z"), F.max("at").alias("at"))
+    value = F.when(F.col("a") == F.col("z"), F.col("a")).otherwise((F.ceil("at") - F.col("at")) * F.col("a") + (F.col("at") - F.floor("at")) * F.col("z"))
+    return ends.select(*keys, "q", value.alias("value"))

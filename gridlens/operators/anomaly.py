@@ -1,234 +1,80 @@
-"""Anomaly detection with a distributed isolation forest (M1-M7).
-
-Model after Liu, Ting & Zhou (2008), "Isolation Forest":
-* each tree isolates a random sub-sample of <= 256 rows with random
-  axis-parallel splits, depth limit ceil(log2(256)) = 8;
-* a row's score is ``2 ** (-E[h(x)] / c(256))`` where ``h`` is the path
-  length (plus ``c(leaf size)`` for unfinished leaves); ``score_samples`` is
-  its negative, ``decision = score_samples - offset`` and rows with a
-  negative decision are outliers.
-
-Spark layout: sub-samples are drawn by hashing ``(seed, tree, row key)`` --
-a pre-filter keeps only rows that can land in any tree, so training reads the
-data once and shuffles about ``trees x 1024`` rows; each tree is built in its
-own ``applyInPandas`` group (<= ~1.5k rows).  The forest (<= trees x 511
-nodes, a bound independent of the data) is broadcast to an Arrow-batched
-scorer.  Global min/max/percentiles are scalar subqueries, never collects.
+"""Anomaly detection with isolation forests (M1, M4-M7, P5); the forests themselves are in ``forest``.
+
+A row's features are windows of its own series.  Rows are scored once, and the
+scored rows, a few columns wide, are exchanged once; offsets, bounds, thresholds
+and the classification all read that exchange.  Global figures are scalar
+subqueries, so building a query starts no job.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.quantiles import exact_percentile
-from ..functions.rounding import exact_avg
-from ..session import spread_for_python
-from .series import cyclic_time_features, expected_value, rolling_features
-
-FEATURES = ["value", "hour_sin", "hour_cos", "dow_sin", "dow_cos", "rolling_mean", "rolling_std", "diff_from_mean"]
+from ..functions.quantiles import exact_percentile, exact_percentiles
+from ..functions.rounding import exact_avg, exact_sum
+from ..session import saved, spread_for_python
+from . import forest  # noqa: F401
+from .forest import (AUTO_OFFSET, FEATURES, MIN_TRAINING_ROWS, fit_isolation_forest, fit_score_np, forest_offset, grow, raw_scores,  # noqa: F401
+                     score_rows, sub_samples, with_raw_score)
+from .series import EXPECTED_WINDOW, ROLLING_ROWS, cyclic_time_features, expected_value, over_blocks, rolling_features
 
 # Fixed values of the detector.
-MAX_SAMPLES = 256
 DEFAULT_CONTAMINATION = 0.01   # default forest parameters: offset = 1st percentile of training scores
-OVERSAMPLE = 4                 # expected candidates per tree = OVERSAMPLE * MAX_SAMPLES
-AUTO_OFFSET = -0.5             # offset when contamination is "auto"
-MIN_TRAINING_ROWS = 48
 MIN_THRESHOLD = 0.7
 MIN_POWER_DIFF_W = 150.0
 SPIKE_FACTOR, DIP_FACTOR = 1.5, 0.5
 SEVERITY_HIGH_COUNT, SEVERITY_MEDIUM_COUNT = 20, 10
 SEVERITY_HIGH_SCORE, SEVERITY_MEDIUM_SCORE = 0.8, 0.6
 BAND_HIGH, BAND_MEDIUM = 0.9, 0.7
-EULER_GAMMA = 0.5772156649015329
-
-NODE_SCHEMA = T.StructType([
-    T.StructField("tree", T.IntegerType()), T.StructField("node", T.IntegerType()),
-    T.StructField("feature", T.IntegerType()), T.StructField("threshold", T.DoubleType()),
-    T.StructField("left", T.IntegerType()), T.StructField("right", T.IntegerType()),
-    T.StructField("leaf_size", T.IntegerType()), T.StructField("depth", T.IntegerType()),
-])
+OK, SHORT = "ok", "short"
 
 
 # ---------------------------------------------------------------- M1
 def anomaly_features(df: DataFrame, ts: str = "timestamp", value: str = "value", order_cols=None,
-                     partition_cols=(), block_rows: int | None = None) -> DataFrame:
-    """M1: the 8 features (raw value, cyclic hour/weekday, 5-row rolling stats)."""
+                     partition_cols=(), block_rows: int | None = None, expected: bool = False) -> DataFrame:
+    """M1: the 8 features (raw value, cyclic hour/weekday, 5-row rolling stats).
+
+    With ``expected`` also W4's expected value, from the same pass over the blocks.
+    """
     order_cols = order_cols or (ts,)
-    d = rolling_features(df, value, order_cols, partition_cols, block_rows=block_rows)
-    d = cyclic_time_features(d, ts)
-    return d.withColumnRenamed(value, "value") if value != "value" else d
 
+    def windows(d, partition, order):
+        d = rolling_features(d, value, order, partition)
+        return expected_value(d, value, order, partition) if expected else d
 
-# ---------------------------------------------------------------- helpers
-def average_path_length(n) -> np.ndarray:
-    """c(n): mean path length of an unsuccessful BST search over n points."""
-    n = np.asarray(n, dtype=float)
-    out = np.zeros_like(n)
-    out[n == 2] = 1.0
-    big = n > 2
-    out[big] = 2.0 * (np.log(n[big] - 1.0) + EULER_GAMMA) - 2.0 * (n[big] - 1.0) / n[big]
-    return out
-
-
-def _unit_hash(*cols) -> F.Column:
-    """Deterministic uniform value in [0, 1) from the given columns."""
-    return (F.pmod(F.xxhash64(*cols), F.lit(2 ** 31 - 1)).cast("double") / float(2 ** 31 - 1))
-
-
-def _grow_tree(x: np.ndarray, rng: np.random.Generator, max_features: float, tree: int) -> list:
-    """Random isolation tree over the rows of ``x``; returns node tuples in NODE_SCHEMA order."""
-    n_features = x.shape[1]
-    k = max(1, int(max_features * n_features))
-    feats = np.sort(rng.choice(n_features, size=k, replace=False))
-    limit = int(math.ceil(math.log2(max(len(x), 2))))
-    rows = []
-    stack = [(np.arange(len(x)), 0, -1, False)]   # (rows, depth, parent, is_right)
-    while stack:
-        idx, depth, parent, is_right = stack.pop()
-        node = len(rows)
-        if parent >= 0:
-            p = rows[parent]
-            rows[parent] = p[:5] + (node,) + p[6:] if is_right else p[:4] + (node,) + p[5:]
-        if depth >= limit or len(idx) <= 1:
-            rows.append((tree, node, -1, 0.0, -1, -1, len(idx), depth))
-            continue
-        sub = x[idx][:, feats]
-        lo, hi = sub.min(axis=0), sub.max(axis=0)
-        usable = np.nonzero(hi > lo)[0]
-        if len(usable) == 0:
-            rows.append((tree, node, -1, 0.0, -1, -1, len(idx), depth))
-            continue
-        j = usable[rng.integers(len(usable))]
-        thr = float(rng.uniform(lo[j], hi[j]))
-        go_left = sub[:, j] < thr
-        rows.append((tree, node, int(feats[j]), thr, -1, -1, 0, depth))
-        stack.append((idx[~go_left], depth + 1, node, True))
-        stack.append((idx[go_left], depth + 1, node, False))
-    return rows
-
-
-def _build_tree(pdf: pd.DataFrame, n_features: int, max_features: float, seed: int, key: str = "row_key") -> pd.DataFrame:
-    tree = int(pdf["tree"].iloc[0])
-    # stable order (hash, then row key): a recomputed task draws the same sample
-    order = ["_h", key] if key in pdf.columns else ["_h"]
-    pdf = pdf.sort_values(order, kind="mergesort").head(MAX_SAMPLES)
-    x = np.vstack(pdf["f"].to_numpy()).astype(float)
-    rows = _grow_tree(x, np.random.default_rng([seed, tree]), max_features, tree)
-    return pd.DataFrame(rows, columns=[f.name for f in NODE_SCHEMA.fields])
-
-
-# ---------------------------------------------------------------- M2
-def fit_isolation_forest(features: DataFrame, n_estimators: int = 100, max_features: float = 1.0,
-                         seed: int = 42, key: str = "row_key") -> DataFrame:
-    """M2: forest node table ``(tree, node, feature, threshold, left, right, leaf_size, depth)``.
-
-    ``features`` holds the :data:`FEATURES` columns and a unique ``key``.
-    """
-    n = features.agg(F.count(F.lit(1))).scalar()
-    want = float(OVERSAMPLE * MAX_SAMPLES)
-    q = F.least(F.lit(1.0), F.lit(n_estimators * want) / n)            # any-tree pre-filter rate
-    p = F.least(F.lit(1.0), F.lit(want) / (q * n))                      # per-tree rate after it
-    # fewer than 48 training rows: no forest (every row then scores as normal)
-    pre = features.filter((n >= MIN_TRAINING_ROWS) & (_unit_hash(F.lit(seed), F.lit(-1), F.col(key)) < q))
-    cand = (pre.select(F.col(key), F.array(*[F.col(c).cast("double") for c in FEATURES]).alias("f"),
-                       F.explode(F.sequence(F.lit(0), F.lit(n_estimators - 1))).alias("tree"))
-            .withColumn("_h", _unit_hash(F.lit(seed), F.col("tree"), F.col(key)))
-            .filter(F.col("_h") < p))
-    nf = len(FEATURES)
-    return spread_for_python(cand, "tree").groupBy("tree").applyInPandas(
-        lambda pdf: _build_tree(pdf, nf, max_features, seed, key), schema=NODE_SCHEMA)
-
-
-def pack_forest(nodes: pd.DataFrame) -> dict:
-    """Flat node arrays of a forest (children as global indices) for vectorised scoring."""
-    nodes = nodes.sort_values(["tree", "node"]).reset_index(drop=True)
-    offsets = nodes.groupby("tree", sort=True).cumcount().to_numpy()
-    base = (np.arange(len(nodes)) - offsets).astype(np.int64)      # global index of each tree's root
-    left, right = nodes["left"].to_numpy(np.int64), nodes["right"].to_numpy(np.int64)
-    return {
-        "feature": nodes["feature"].to_numpy(np.int64), "threshold": nodes["threshold"].to_numpy(float),
-        "left": np.where(left >= 0, base + left, -1), "right": np.where(right >= 0, base + right, -1),
-        "leaf_size": nodes["leaf_size"].to_numpy(float), "depth": nodes["depth"].to_numpy(float),
-        "roots": np.unique(base),
-    }
-
-
-def forest_arrays(forest: DataFrame) -> dict:
-    """The whole forest packed (bounded: trees x <= 511 nodes) for broadcasting."""
-    return pack_forest(forest.toPandas())
-
-
-def score_samples_np(x: np.ndarray, model: dict) -> np.ndarray:
-    """``-2 ** (-mean path length / c(256))`` over all trees at once."""
-    roots = model["roots"]
-    if len(x) == 0 or len(roots) == 0:
-        return np.zeros(len(x))
-    feat, thr, left, right = model["feature"], model["threshold"], model["left"], model["right"]
-    node = np.broadcast_to(roots, (len(x), len(roots))).copy()          # rows x trees
-    rows = np.arange(len(x))[:, None]
-    while True:
-        f = feat[node]
-        active = f >= 0
-        if not active.any():
-            break
-        go_left = x[rows, np.where(active, f, 0)] < thr[node]
-        node = np.where(active, np.where(go_left, left[node], right[node]), node)
-    path = model["depth"][node] + average_path_length(model["leaf_size"][node])
-    return -np.power(2.0, -path.mean(axis=1) / average_path_length([MAX_SAMPLES])[0])
-
-
-MAX_BROADCAST_NODES = 500 * (2 * MAX_SAMPLES - 1)    # 500 trees of at most 511 nodes (~20 MB packed)
-
-
-def _scorer(spark, forest: DataFrame):
-    # Size check before broadcasting: a forest is bounded by trees x 511 nodes,
-    # never by the data; anything larger is not one forest (use the keyed path).
-    n_nodes = forest.count()
-    if n_nodes > MAX_BROADCAST_NODES:
-        raise ValueError(f"forest has {n_nodes} nodes; score per key with fit_score_by_key instead")
-    bc = spark.sparkContext.broadcast(forest_arrays(forest))
-
-    @F.pandas_udf(T.DoubleType())
-    def score(feats: pd.Series) -> pd.Series:
-        x = np.vstack(feats.to_numpy()).astype(float) if len(feats) else np.zeros((0, len(FEATURES)))
-        return pd.Series(score_samples_np(x, bc.value))
-    return score
+    if block_rows:
+        before, after = (EXPECTED_WINDOW // 2, EXPECTED_WINDOW - EXPECTED_WINDOW // 2 - 1) if expected else (ROLLING_ROWS - 1, 0)
+        d = over_blocks(df, windows, order_cols, partition_cols, before, after, block_rows)
+    else:
+        d = windows(df, partition_cols, order_cols)
+    d = cyclic_time_features(d, ts)
+    return d.withColumnRenamed(value, "value") if value != "value" else d
 
 
 # ---------------------------------------------------------------- M3
-def score_isolation_forest(df: DataFrame, forest: DataFrame, offset: F.Column | float = AUTO_OFFSET) -> DataFrame:
+def score_isolation_forest(df: DataFrame, forest: DataFrame, offset: F.Column | float | None = None) -> DataFrame:
     """M3: ``raw_score`` (score_samples), ``decision``, ``is_outlier`` and ``anomaly_score`` in [0, 1].
 
-    ``anomaly_score = 1 - (d - min d) / (max d - min d)`` over the scored frame
-    (0 when all decisions are equal).
+    ``offset`` is the forest's own where not given.  ``anomaly_score = 1 - (d - min d) /
+    (max d - min d)`` over the scored frame (0 when all decisions are equal).
     """
-    score = _scorer(df.sparkSession, forest)
-    s = df.withColumn("raw_score", score(F.array(*[F.col(c).cast("double") for c in FEATURES])))
-    off = offset if isinstance(offset, F.Column) else F.lit(float(offset))
+    off = forest_offset(forest) if offset is None else offset if isinstance(offset, F.Column) else F.lit(float(offset))
+    # one exchange behind the scorer: bounds, thresholds and results read the same scored rows
+    s = with_raw_score(df, forest).repartition("raw_score")
     s = s.withColumn("decision", F.col("raw_score") - off).withColumn("is_outlier", F.col("decision") < 0)
-    # the Python scorer runs once: later passes (bounds, thresholds) read the persisted rows
-    s = s.persist(StorageLevel.MEMORY_AND_DISK)
     bounds = s.agg(F.struct(F.min("decision").alias("lo"), F.max("decision").alias("hi"))).scalar()
     dmin, dmax = bounds.getField("lo"), bounds.getField("hi")
     return s.withColumn("anomaly_score", F.when(dmax == dmin, F.lit(0.0))
                         .otherwise(F.lit(1.0) - (F.col("decision") - dmin) / (dmax - dmin)))
 
 
-def training_offset(train_scored: DataFrame, contamination) -> F.Column:
-    """Offset: -0.5 for "auto", else the ``contamination`` quantile of training score_samples."""
-    if contamination in (None, "auto"):
-        return F.lit(AUTO_OFFSET)
-    return exact_percentile(train_scored, "raw_score", float(contamination)).scalar()
-
-
 # ---------------------------------------------------------------- M4 / M5
 def anomaly_threshold(scores: DataFrame, sensitivity: float = 0.8, score: str = "anomaly_score") -> DataFrame:
     """M4: ``max(0.7, percentile(score, 100 - 15 * s^2))`` with linear interpolation (one row)."""
@@ -249,25 +95,15 @@ def classify_anomalies(df: DataFrame, threshold: F.Column, actual: str = "value"
 
 def detect_anomalies(df: DataFrame, forest: DataFrame, sensitivity: float = 0.8,
                      offset: F.Column | float | None = None, order_cols=("timestamp",),
-                     train_features: DataFrame | None = None,
-                     contamination=DEFAULT_CONTAMINATION, partition_cols=(), block_rows: int | None = None) -> DataFrame:
+                     partition_cols=(), block_rows: int | None = None) -> DataFrame:
     """M5: features -> score -> threshold -> classification of a recent frame.
 
-    The decision offset is ``offset`` when given, else the ``contamination``
-    quantile of the training rows' scores (``train_features``), else -0.5.
+    The decision offset is ``offset`` when given, else the forest's own (fitted
+    with a contamination share), else -0.5.
     """
-    if offset is None:
-        if train_features is not None and contamination not in (None, "auto"):
-            train_scored = train_features.withColumn(
-                "raw_score", _scorer(df.sparkSession, forest)(F.array(*[F.col(c).cast("double") for c in FEATURES])))
-            offset = training_offset(train_scored, contamination)
-        else:
-            offset = AUTO_OFFSET
-    feats = anomaly_features(df, order_cols=order_cols, partition_cols=partition_cols, block_rows=block_rows)
+    feats = anomaly_features(df, order_cols=order_cols, partition_cols=partition_cols, block_rows=block_rows, expected=True)
     scored = score_isolation_forest(feats, forest, offset)
-    scored = expected_value(scored, "value", order_cols, partition_cols, block_rows=block_rows).persist(StorageLevel.MEMORY_AND_DISK)
-    thr = anomaly_threshold(scored, sensitivity).scalar()
-    return classify_anomalies(scored, thr)
+    return classify_anomalies(scored, anomaly_threshold(scored, sensitivity).scalar())
 
 
 # ---------------------------------------------------------------- M6 / M7
@@ -305,93 +141,64 @@ def anomaly_type_counts(anoms: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- P5 (forest tuning)
-def tune_isolation_forest(features: DataFrame, grid: dict | None = None, seed: int = 42,
-                          key: str = "row_key") -> DataFrame:
-    """P5: mean decision score of every (n_estimators, contamination, max_features); highest wins.
+def grid_scores(features: DataFrame, n_estimators: list, max_features: list, seed: int = 42, key: str = "row_key") -> DataFrame:
+    """(max_features, n_estimators, raw_score): every row's score by every forest of the grid.
 
     Trees are grown once per ``max_features`` value for the largest
-    ``n_estimators`` (tree t draws the same sub-sample in every combination);
-    a smaller forest is the first n trees.  One Arrow pass scores every row
-    for every (max_features, n_estimators) pair; offsets are percentiles of
-    those training scores.
+    ``n_estimators``; a smaller forest is the first n trees (tree t draws the same
+    sub-sample in every one), so one pass of a row through the largest gives all scores.
+    """
+    features = saved(features.select(key, *FEATURES), "training")  # counted, sampled and scored
+    mfs, sizes = sorted({float(m) for m in max_features}), sorted({int(n) for n in n_estimators})
+    samples = sub_samples(features, sizes[-1], seed, key).withColumn("mf", F.explode(F.array(*map(F.lit, mfs))))
+    nodes = saved(grow(samples, seed=seed, by="mf"), "forests")
+    kind = T.StructType([T.StructField("s", T.ArrayType(T.StructType([
+        T.StructField("max_features", T.DoubleType()), T.StructField("n_estimators", T.IntegerType()), T.StructField("raw_score", T.DoubleType())])))])
+
+    def scores(model, x):
+        groups = sorted(model)
+        each = np.stack([raw_scores(paths[:, :n]) for paths in (model[g].paths(x) for g in groups) for n in sizes], axis=1) if groups else np.zeros((len(x), 0))
+        pairs = [(g[0], n) for g in groups for n in sizes]
+        flat = pa.StructArray.from_arrays([pa.array(np.tile([p[0] for p in pairs], len(x)), pa.float64()), pa.array(np.tile([p[1] for p in pairs], len(x)), pa.int32()),
+                                           pa.array(each.ravel())], ["max_features", "n_estimators", "raw_score"])
+        return [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(pairs), pa.int32()), flat)]
+
+    return score_rows(features.select(*FEATURES), nodes, kind, scores, ("mf",)).select(F.explode("s").alias("s")).select("s.*")
+
+
+def mean_decisions(scores: DataFrame, contamination: list) -> DataFrame:
+    """(n_estimators, contamination, max_features, score, is_best): mean score less its contamination quantile, per forest; highest wins.
+
+    ``scores`` has (max_features, n_estimators, raw_score) rows.
     """
+    keys = ["max_features", "n_estimators"]
+    shared = scores.repartition(*keys, F.pmod(F.xxhash64("raw_score"), F.lit(64)))  # scored once: quantiles look several times
+    means = shared.groupBy(*keys).agg((exact_sum("raw_score") / F.count("raw_score").cast("double")).alias("mean_raw"))
+    offsets = exact_percentiles(shared, "raw_score", sorted({float(c) for c in contamination}), keys)
+    res = offsets.join(means, keys).select("n_estimators", F.col("q").alias("contamination"), "max_features", (F.col("mean_raw") - F.col("value")).alias("score"))
+    order = F.struct("score", -F.col("n_estimators"), -F.col("contamination"), -F.col("max_features"))
+    best = res.agg(F.max_by(F.struct("n_estimators", "contamination", "max_features"), order)).scalar()
+    own = F.struct("n_estimators", "contamination", "max_features")
+    return res.withColumn("is_best", F.coalesce(own == best, F.lit(False)))
+
+
+def tune_isolation_forest(features: DataFrame, grid: dict | None = None, seed: int = 42,
+                          key: str = "row_key") -> DataFrame:
+    """P5: mean decision score of every (n_estimators, contamination, max_features); highest wins."""
     from .forecast import FOREST_GRID
     g = grid or FOREST_GRID
-    n_max = max(g["n_estimators"])
-    mfs = sorted(set(float(m) for m in g["max_features"]))
-    n = features.agg(F.count(F.lit(1))).scalar()
-    want = float(OVERSAMPLE * MAX_SAMPLES)
-    q = F.least(F.lit(1.0), F.lit(n_max * want) / n)
-    p = F.least(F.lit(1.0), F.lit(want) / (q * n))
-    pre = features.filter(_unit_hash(F.lit(seed), F.lit(-1), F.col(key)) < q)
-    cand = (pre.select(F.col(key), F.array(*[F.col(c).cast("double") for c in FEATURES]).alias("f"),
-                       F.explode(F.sequence(F.lit(0), F.lit(n_max - 1))).alias("tree"))
-            .withColumn("_h", _unit_hash(F.lit(seed), F.col("tree"), F.col(key)))
-            .filter(F.col("_h") < p)
-            .withColumn("mf", F.explode(F.array(*[F.lit(m) for m in mfs]))))
-    nf = len(FEATURES)
-    schema = T.StructType([T.StructField("mf", T.DoubleType())] + NODE_SCHEMA.fields)
-
-    def build(pdf):
-        mf = float(pdf["mf"].iloc[0])
-        out = _build_tree(pdf, nf, mf, seed, key)
-        out.insert(0, "mf", mf)
-        return out
-
-    nodes = spread_for_python(cand, "mf", "tree").groupBy("mf", "tree").applyInPandas(build, schema=schema).persist()
-    bound = len(mfs) * n_max * (2 * MAX_SAMPLES - 1)          # fixed by the grid, not by the data
-    if nodes.count() > bound:
-        raise ValueError("forest grid larger than its construction bound")
-    pdf = nodes.orderBy("mf", "tree", "node").toPandas()
-    pairs = [(mf, ne) for mf in mfs for ne in sorted(set(g["n_estimators"]))]
-    packed = [pack_forest(pdf[(pdf["mf"] == mf) & (pdf["tree"] < ne)].drop(columns="mf")) for mf, ne in pairs]
-    bc = features.sparkSession.sparkContext.broadcast({"forests": packed, "pairs": pairs})
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def all_scores(feats: pd.Series) -> pd.Series:
-        x = np.vstack(feats.to_numpy()).astype(float) if len(feats) else np.zeros((0, nf))
-        v = bc.value
-        out = []
-        for model in v["forests"]:
-            out.append(score_samples_np(x, model))
-        return pd.Series(list(np.column_stack(out))) if len(x) else pd.Series([], dtype=object)
-
-    scored = features.select(all_scores(F.array(*[F.col(c).cast("double") for c in FEATURES])).alias("s"))
-    long = scored.select(F.posexplode("s").alias("pair", "raw"))
-    conts = sorted(set(float(c) for c in g["contamination"]))
-    stats = long.groupBy("pair").agg(F.avg("raw").alias("mean_raw"),
-                                     F.percentile("raw", F.array(*[F.lit(c) for c in conts])).alias("offs"))
-    pair_tbl = F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(mf).alias("max_features"), F.lit(ne).alias("n_estimators"))
-                         for i, (mf, ne) in enumerate(pairs)])
-    res = (stats.withColumn("c", F.explode(F.arrays_zip(F.array(*[F.lit(c) for c in conts]).alias("contamination"),
-                                                        F.col("offs").alias("offset"))))
-           .withColumn("pp", F.element_at(pair_tbl, F.col("pair") + 1))
-           .select(F.col("pp.n_estimators").alias("n_estimators"), F.col("c.contamination").alias("contamination"),
-                   F.col("pp.max_features").alias("max_features"),
-                   (F.col("mean_raw") - F.col("c.offset")).alias("score")))
-    best = res.agg(F.max_by(F.struct("n_estimators", "contamination", "max_features"), "score").alias("b")).select("b.*")
-    return res.join(best.withColumn("is_best", F.lit(True)), ["n_estimators", "contamination", "max_features"], "left") \
-        .withColumn("is_best", F.coalesce("is_best", F.lit(False)))
+    return mean_decisions(grid_scores(features, g["n_estimators"], g["max_features"], seed, key), g["contamination"])
 
 
 # ---------------------------------------------------------------- fleet mode (one forest per device)
-def _fit_forest_np(x: np.ndarray, n_estimators: int, max_features: float, seed: int, tag: int) -> pd.DataFrame:
-    """All trees of one small training set (rows already bounded), as a node table."""
-    rng = np.random.default_rng([seed, tag])
-    rows = []
-    for t in range(n_estimators):
-        take = rng.permutation(len(x))[:MAX_SAMPLES]
-        rows.extend(_grow_tree(x[take], rng, max_features, t))
-    return pd.DataFrame(rows, columns=[f.name for f in NODE_SCHEMA.fields])
-
-
 def fit_score_by_key(train: DataFrame, keys=("device_id",), score_from=None, sensitivity: float = 0.8,
                      n_estimators: int = 100, max_features: float = 1.0, seed: int = 42,
                      ts: str = "timestamp", contamination=DEFAULT_CONTAMINATION) -> DataFrame:
     """M2+M3 per key in one grouped pass: fit on the key's rows, score those at/after ``score_from``.
 
     The forest never leaves the Python worker (no node table shuffle); a group
-    is one device's hourly rows of the training window.
+    is one device's hourly rows of the training window.  ``status`` is ``ok``,
+    or ``short`` in the one row of a key of under 48 rows.
     """
     keys = list(keys)
     cols = [c for c in train.columns]
@@ -399,29 +206,32 @@ def fit_score_by_key(train: DataFrame, keys=("device_id",), score_from=None, sen
     out_fields = [f for f in train.schema.fields] + [
         T.StructField("raw_score", T.DoubleType()), T.StructField("decision", T.DoubleType()),
         T.StructField("is_outlier", T.BooleanType()), T.StructField("anomaly_score", T.DoubleType()),
-        T.StructField("threshold", T.DoubleType())]
+        T.StructField("threshold", T.DoubleType()), T.StructField("status", T.StringType())]
     schema = T.StructType(out_fields)
     names = [f.name for f in schema.fields]
     pct = 100.0 - (sensitivity ** 2) * 15.0
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < MIN_TRAINING_ROWS or not pdf["_score"].any():
+        known = pdf[pdf["value"].notna()]
+        if len(known) < MIN_TRAINING_ROWS:
+            row = {**dict.fromkeys(names), **{k: pdf[k].iloc[0] for k in keys}, "status": SHORT}
+            return pd.DataFrame([row], columns=names)
+        pdf = known.sort_values(ts, kind="mergesort")         # arrival order must not matter
+        mask = pdf["_score"].to_numpy(dtype=bool)
+        if not mask.any():
             return pd.DataFrame(columns=names)
-        pdf = pdf.sort_values(ts, kind="mergesort")           # arrival order must not matter
         x = pdf[FEATURES].to_numpy(dtype=float)
         tag = zlib.crc32("|".join(str(pdf[k].iloc[0]) for k in keys).encode())
-        model = pack_forest(_fit_forest_np(x, n_estimators, max_features, seed, tag))
-        raw_all = score_samples_np(x, model)
+        raw_all = fit_score_np(x, n_estimators, max_features, seed + tag)
         off = (AUTO_OFFSET if contamination in (None, "auto")
                else float(np.percentile(raw_all, 100.0 * float(contamination))))
-        mask = pdf["_score"].to_numpy(dtype=bool)
         rows = pdf[mask].copy()
         raw = raw_all[mask]
         d = raw - off
         lo, hi = d.min(), d.max()
         norm = np.zeros_like(d) if hi == lo else 1.0 - (d - lo) / (hi - lo)
         rows["raw_score"], rows["decision"], rows["is_outlier"], rows["anomaly_score"] = raw, d, d < 0, norm
-        rows["threshold"] = max(MIN_THRESHOLD, float(np.percentile(norm, pct)))
+        rows["threshold"], rows["status"] = max(MIN_THRESHOLD, float(np.percentile(norm, pct))), OK
         return rows[names]
 
     return spread_for_python(src.select(*cols, "_score"), *keys).groupBy(*keys).applyInPandas(run, schema=schema)
@@ -434,23 +244,25 @@ def detect_anomalies_by_device(hourly: DataFrame, as_of, train_hours: int = 168,
     ``hourly``: ``(device_id, timestamp, value)`` (A16 by device).  Features
     and the expected value are device-partitioned windows over hourly rows,
     so every window and every Python group is bounded by hours, not by the
-    raw volume of a device.
+    raw volume of a device.  Anomalies have ``status`` ``ok``; a device with under
+    48 hours in the window has one row with ``status`` ``short`` and nothing else.
     """
     from .periods import _ts
     now = _ts(as_of)
-    h = hourly.filter((F.col("timestamp") >= now - F.make_dt_interval(hours=F.lit(train_hours)))
-                      & (F.col("timestamp") <= now))
-    feats = anomaly_features(h, partition_cols=("device_id",))
-    feats = expected_value(feats, "value", ("timestamp",), ("device_id",))
-    scored = fit_score_by_key(feats.select("device_id", "timestamp", "expected", *FEATURES), ("device_id",),
-                              now - F.make_dt_interval(hours=F.lit(detect_hours)), sensitivity, n_estimators,
-                              seed=seed)
+    inside = (F.col("timestamp") >= now - F.make_dt_interval(hours=F.lit(train_hours))) & (F.col("timestamp") <= now)
+    # one row without a value stands for each device, so that one without any hour in the window is named, too
+    named = hourly.select("device_id").distinct().select("device_id", F.lit(None).cast("timestamp_ntz").alias("timestamp"), F.lit(None).cast("double").alias("value"))
+    h = hourly.filter(inside & F.col("value").isNotNull()).select("device_id", "timestamp", "value")
+    feats = anomaly_features(h, partition_cols=("device_id",), expected=True)
+    rows = feats.select("device_id", "timestamp", "expected", *FEATURES).unionByName(named, allowMissingColumns=True)
+    scored = fit_score_by_key(rows, ("device_id",), now - F.make_dt_interval(hours=F.lit(detect_hours)), sensitivity, n_estimators, seed=seed)
     return _classify_keyed(scored)
 
 
 def _classify_keyed(scored: DataFrame) -> DataFrame:
     a, e = F.col("value"), F.col("expected")
+    short = F.col("status") == SHORT
     keep = F.col("is_outlier") & (F.col("anomaly_score") > F.col("threshold")) & (F.abs(a - e) >= MIN_POWER_DIFF_W)
     kind = F.when(a > e * SPIKE_FACTOR, "spike").when(a < e * DIP_FACTOR, "dip").otherwise("pattern_change")
-    return scored.filter(keep).select("device_id", "timestamp", a.alias("actual_power"), e.alias("expected_power"),
-                                      "anomaly_score", kind.alias("anomaly_type"))
+    return scored.filter(short | keep).select("device_id", "timestamp", a.alias("actual_power"), e.alias("expected_power"),
+                                              "anomaly_score", F.when(~short, kind).alias("anomaly_type"), "status")

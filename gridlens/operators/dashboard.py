@@ -1,8 +1,8 @@
 """Dashboard summaries relative to an explicit ``as_of``.
 
 The reference answers one household with a single faceted pipeline; here
-the 7-day frame is filtered once and each summary is its own small plan
-(``persist`` the filtered frame when running all of them).  With
+each summary is a plan of its own, and ``generate_dashboard`` reduces the 7-day frame to
+cells of processing date and event hour in one pass, from which all summaries add up.  With
 ``by_device=True`` every summary is computed per device, which is the form
 that scales to a fleet: all grouping keys then include ``device_id`` and every
 window is partitioned by it.
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.formatting import js_number_text
 from ..functions.rounding import exact_avg, exact_sum, half_even, js_round
 from ..functions.tariff import DEFAULT_TARIFF, Tariff, confidence, is_low_tariff, reading_cost, today_estimate
+from ..session import saved
 from .periods import _ts, filter_devices
 
 # Look-back windows of the dashboard.
@@ -47,13 +48,20 @@ def _col_or_null(df: DataFrame, name: str):
     return F.col(name) if name in df.columns else F.lit(None).cast("double")
 
 
+def _metrics(df: DataFrame) -> F.Column:
+    return F.struct(F.col("has_energy"), F.col("processing_ts"), *[_col_or_null(df, c).alias(m) for m, c in LATEST_METRICS])
+
+
+_NEWEST = ("processing_ts", "reading_id")
+
+
 def dashboard_latest(readings: DataFrame, as_of, by_device: bool = False, **filters) -> DataFrame:
     """Newest reading's metrics as text (``'0'`` when NULL or when it has no ENERGY)."""
     df = recent_frame(readings, as_of, **filters)
-    metrics = F.struct(F.col("has_energy"), F.col("processing_ts"),
-                       *[_col_or_null(df, c).alias(m) for m, c in LATEST_METRICS])
-    latest = df.groupBy(*_k(by_device)).agg(
-        F.max_by(metrics, F.struct("processing_ts", "reading_id")).alias("r"))
+    return _latest(df.groupBy(*_k(by_device)).agg(F.max_by(_metrics(df), F.struct(*_NEWEST)).alias("r")), by_device)
+
+
+def _latest(latest: DataFrame, by_device: bool) -> DataFrame:
     out = [F.when(F.col("r.has_energy"), F.coalesce(js_number_text(F.col(f"r.{m}")), F.lit("0")))
            .otherwise(F.lit("0")).alias(m) for m, _ in LATEST_METRICS]
     return latest.select(*_k(by_device), *out, F.col("r.processing_ts").alias("processing_ts"))
@@ -85,6 +93,10 @@ def dashboard_hourly(readings: DataFrame, as_of, by_device: bool = False, **filt
     b = df.groupBy(*_k(by_device), F.date_trunc("hour", "event_ts").alias("timestamp")).agg(
         exact_avg("power_w").alias("avg_power"), F.max("power_w").alias("max_power"),
         F.max("today_kwh").alias("energy"))
+    return _hourly(b, by_device)
+
+
+def _hourly(b: DataFrame, by_device: bool) -> DataFrame:
     b = b.select(*_k(by_device), "timestamp", half_even(F.col("avg_power"), 1).alias("power"),
                  half_even(F.col("max_power"), 1).alias("peak_power"), "energy")
     return meter_delta_baseline(b, "energy", ["timestamp"], _k(by_device)) \
@@ -104,8 +116,8 @@ def dashboard_daily(readings: DataFrame, as_of, by_device: bool = False, **filte
 def dashboard_today(readings: DataFrame, as_of, by_device: bool = False, limit: int | None = None, **filters) -> DataFrame:
     """Readings since the start of ``as_of``'s day, ascending and numbered.
 
-    ``seq`` (per device with ``by_device``) is a row's place in its hour plus
-    the rows of the hours before, so no window spans the day's raw rows.  ``limit`` keeps the first so many; the
+    ``seq`` (per device with ``by_device``) is a row's place in its second (a
+    device's hour) plus the rows before it, so no window spans the fleet's raw rows.  ``limit`` keeps the first so many; the
     display that this feeds asks for 1440.
     """
     t = _ts(as_of)
@@ -113,7 +125,7 @@ def dashboard_today(readings: DataFrame, as_of, by_device: bool = False, limit:
     ts = F.coalesce("time_utc", "payload_ts", "processing_ts") if "time_utc" in df.columns else F.coalesce("payload_ts", "processing_ts")
     rows = df.select(*_k(by_device), "processing_ts", "reading_id", ts.alias("timestamp"),
                      F.col("power_w").alias("power"), F.col("voltage_v").alias("voltage"),
-                     F.col("today_kwh").alias("energy"), F.date_trunc("hour", "processing_ts").alias("_hour"))
+                     F.col("today_kwh").alias("energy"), F.date_trunc("hour" if by_device else "second", "processing_ts").alias("_hour"))
     keys = _k(by_device)
     if limit is not None and not by_device:
         rows = rows.orderBy("processing_ts", "reading_id").limit(limit)
@@ -161,25 +173,39 @@ def dashboard_cost(hourly: DataFrame, latest: DataFrame, as_of, tariff: Tariff =
     )
 
 
+def dashboard_cells(readings: DataFrame, as_of, **filters) -> DataFrame:
+    """The 7-day frame by device, processing date, event hour and whether a row is of the last 25 hours.
+
+    Per cell: exact power sum and counts, extremes, and the newest reading: all that A11-A13 add up.
+    """
+    df = recent_frame(readings, as_of, **filters)
+    last = F.col("processing_ts") >= _ts(as_of) - F.make_dt_interval(hours=F.lit(HOURLY_LOOKBACK_H))
+    return df.groupBy("device_id", F.to_date("processing_ts").alias("date"), F.date_trunc("hour", "event_ts").alias("timestamp"), last.alias("recent")).agg(
+        F.sum(F.col("power_w").cast("decimal(38,10)")).alias("power_sum"), F.count("power_w").alias("power_count"), F.max("power_w").alias("max_power"),
+        F.min("power_w").alias("min_power"), F.max("today_kwh").alias("energy"), F.count(F.lit(1)).alias("rows"),
+        F.max(F.struct(*_NEWEST)).alias("newest"), F.max_by(_metrics(df), F.struct(*_NEWEST)).alias("r"))
+
+
 def generate_dashboard(readings: DataFrame, as_of, device_id: str | None = None, device_type: str | None = None,
                        tariff: Tariff = DEFAULT_TARIFF, by_device: bool = False) -> dict:
     """All dashboard answers of one request: ``latest``, ``hourly``, ``daily``, ``today``, ``cost``.
 
-    The 7-day frame is filtered once and persisted (the reference's single
-    faceted pipeline); the five small plans read it.  Call ``unpersist`` on
-    ``frame`` when done.
+    The 7-day frame is scanned once, for a small stored table of cells that all
+    summaries add up; only ``today`` reads raw rows, those of its day.
     """
-    from pyspark import StorageLevel
-    frame = recent_frame(readings, as_of, device_id, device_type).persist(StorageLevel.MEMORY_AND_DISK)
-    # the frame is already filtered: pass it on with filters that keep every row
-    keep = {"device_type": device_type} if device_type else {}
-    latest = dashboard_latest(frame, as_of, by_device, **keep)
-    hourly = dashboard_hourly(frame, as_of, by_device, **keep)
+    filters = {"device_id": device_id, "device_type": device_type}
+    cells = saved(dashboard_cells(readings, as_of, **filters), "dashboard")
+    k = _k(by_device)
+    power = F.sum("power_sum").cast("double") / F.sum("power_count").cast("double")
+    latest = _latest(cells.groupBy(*k).agg(F.max_by("r", "newest").alias("r")), by_device)
+    hourly = _hourly(cells.filter("recent").groupBy(*k, "timestamp").agg(
+        F.when(F.sum("power_count") > 0, power).alias("avg_power"), F.max("max_power").alias("max_power"), F.max("energy").alias("energy")), by_device)
+    daily = cells.groupBy(*k, "date").agg(F.when(F.sum("power_count") > 0, power).alias("avg_power"), F.max("max_power").alias("max_power"), F.min("min_power").alias("min_power"),
+                                          F.coalesce(F.max("energy"), F.lit(0.0)).alias("energy_consumed"), F.sum("rows").alias("reading_count"))
     return {
-        "frame": frame,
         "latest": latest,
         "hourly": hourly,
-        "daily": dashboard_daily(frame, as_of, by_device, **keep),
-        "today": dashboard_today(frame, as_of, by_device, **keep),
+        "daily": daily,
+        "today": dashboard_today(readings, as_of, by_device, **filters),
         "cost": dashboard_cost(hourly, latest, as_of, tariff, by_device),
     }

@@ -8,13 +8,20 @@ Fourier seasonality, fitted by MAP with Gaussian priors (ridge penalties
 seasonality_prior_scale^2``) on max-abs scaled values.  The band is
 ``+-1.2816 sigma`` of the residuals (80 %).
 
-Spark layout: fitting is one ``applyInPandas`` call per series (a device's
-hourly means, so a group is bounded by the hours of the training window, not
-by the raw data); the fitted model is a row of arrays, and prediction is pure
-column arithmetic (``aggregate`` over the changepoint and Fourier arrays) on
-an hourly grid built with ``sequence``/``explode`` -- no Python at predict
-time.  Tuning replicates each fold of a series once per parameter combination
-with ``explode`` and fits the (combination, fold) groups in parallel.
+Spark layout: within a segment between two changepoints the trend's columns
+are linear in time, and the seasonal columns depend on the second of the week
+only.  So counts and sums of ``t, t^2, y, t*y, y^2`` by (segment, second of the
+week) hold all of X'X and X'y.  They are a grouped aggregation (``moment_cells``,
+exact, partial before the shuffle); of an hourly series at most 26 x 168 cells
+reach Python, however long its history, and only the 41 x 41 system is solved
+there.  The same sums give the residuals, so no pass over the rows follows.
+The fitted model is a row of arrays, and prediction is pure column arithmetic on
+an hourly grid built with ``sequence``/``explode``.
+
+Tuning groups by the segments that a row has in all folds at once: folds only
+grow, so each row is summed once and every fold adds up its cells.  The
+parameter grid is solved on those sums, and validation rows meet the models
+of their fold in a join.
 """
 
 from __future__ import annotations
@@ -24,10 +31,11 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.rounding import exact_avg
 from ..session import spread_for_python
 from .series import expanding_splits
 
@@ -68,7 +76,49 @@ OK, SHORT = "ok", "short"
 _SEASONS = [(1.0, DAILY_ORDER), (7.0, WEEKLY_ORDER)]     # (period in days, Fourier order)
 
 
-# ---------------------------------------------------------------- numpy core (inside tasks)
+# ---------------------------------------------------------------- sums
+WEEK = 7 * 86400
+_DEC = "decimal(38,10)"
+CELL = "n bigint, u double, uu double, y double, uy double, yy double, y_max double, u_max bigint"
+
+
+def changepoint_places(n: F.Column) -> F.Column:
+    """Places (from 0, in time order) of the changepoints of a history of ``n`` points: evenly over its first 80 %."""
+    some = F.least(F.lit(N_CHANGEPOINTS), F.greatest(n - 2, F.lit(0))).cast("int")
+    last = F.greatest(F.floor(n * F.lit(CHANGEPOINT_RANGE)) - 1, F.lit(0)).cast("double")
+    return F.when(some > 0, F.transform(F.sequence(F.lit(1), some), lambda i: F.rint(i * (last / some)).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+
+
+def segment_of(place: F.Column, places: F.Column) -> F.Column:
+    """How many changepoints come before the point at ``place``."""
+    return F.size(F.filter(places, lambda c: c < place))
+
+
+def ordered_points(series: DataFrame, keys, ts: str, value: str) -> DataFrame:
+    """(keys, ts, y, place, n, t0, u): points with a value, in time order; ``u`` is whole seconds since ``t0``."""
+    whole = Window.partitionBy(*keys)
+    pts = series.filter(F.col(value).isNotNull()).select(*keys, F.col(ts).alias("ts"), F.col(value).cast("double").alias("y"))
+    seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    return (pts.withColumn("place", F.row_number().over(whole.orderBy("ts", "y")).cast("bigint") - 1)
+            .withColumn("n", F.count(F.lit(1)).over(whole)).withColumn("t0", F.min("ts").over(whole))
+            .withColumn("u", seconds("ts") - seconds("t0")).withColumn("second", F.pmod(seconds("ts"), F.lit(WEEK))))
+
+
+def cell_sums() -> list:
+    """The aggregates of a cell, exact in any order of rows."""
+    y, u = F.col("y"), F.col("u")
+    exact = lambda c, name: F.sum(c.cast(_DEC)).cast("double").alias(name)
+    return [F.count(F.lit(1)).alias("n"), F.sum("u").cast("double").alias("u"), F.sum((u * u).cast("decimal(38,0)")).cast("double").alias("uu"),
+            exact(y, "y"), exact(y * u, "uy"), exact(y * y, "yy"), F.max(F.abs("y")).alias("y_max"), F.max("u").alias("u_max")]
+
+
+def moment_cells(series: DataFrame, keys=(), ts: str = "timestamp", value: str = "value") -> DataFrame:
+    """(keys, segment, second of the week, sums): all of a fit's X'X and X'y, by cells in which its columns are linear."""
+    pts = ordered_points(series, keys, ts, value).withColumn("segment", segment_of(F.col("place"), changepoint_places(F.col("n"))))
+    return pts.groupBy(*keys, "segment", "second").agg(*cell_sums())
+
+
+# ---------------------------------------------------------------- solving (a few sums of one series)
 def _fourier(days: np.ndarray):
     cols, periods, orders = [], [], []
     for period, order in _SEASONS:
@@ -81,85 +131,95 @@ def _fourier(days: np.ndarray):
     return np.column_stack(cols), periods, orders
 
 
-def _ridge(x: np.ndarray, y: np.ndarray, penalty: np.ndarray) -> np.ndarray:
-    a = x.T @ x + np.diag(penalty)
-    return np.linalg.solve(a, x.T @ y)
-
-
-def fit_series(ts: pd.Series, y: pd.Series, params: dict) -> dict:
-    """Fit one series; ``ts`` naive datetimes, ``y`` values (ascending order not required)."""
-    order = np.argsort(ts.to_numpy())
-    t_sec = ts.to_numpy()[order].astype("datetime64[us]").astype(np.int64) / 1e6
-    yv = y.to_numpy()[order].astype(float)
-    n = len(yv)
-    t0, t1 = float(t_sec[0]), float(t_sec[-1])
-    span = max(t1 - t0, 1.0)
-    t = (t_sec - t0) / span
-    y_scale = float(np.max(np.abs(yv))) or 1.0
-    ys = yv / y_scale
-    ncp = min(N_CHANGEPOINTS, max(n - 2, 0))
-    hist = int(math.floor(n * CHANGEPOINT_RANGE))
-    cps = t[np.linspace(0, max(hist - 1, 0), ncp + 1).round().astype(int)[1:]] if ncp > 0 else np.array([])
-    trend_x = np.column_stack([t, np.ones(n)] + [np.maximum(0.0, t - c) for c in cps])
-    four, periods, orders = _fourier(t_sec / 86400.0)
-    cps_scale = float(params["changepoint_prior_scale"])
-    s_scale = float(params["seasonality_prior_scale"])
-    mode = params.get("seasonality_mode", "additive")
-
-    def penalties(sigma2):
-        return (np.r_[0.0, 0.0, np.full(len(cps), sigma2 / cps_scale ** 2)],
-                np.full(four.shape[1], sigma2 / s_scale ** 2))
-
-    if mode == "multiplicative":
-        pt, _ = penalties(1e-4)
-        w_t = _ridge(trend_x, ys, pt + 1e-9)
-        trend = trend_x @ w_t
-        safe = np.where(np.abs(trend) > 1e-9, trend, 1e-9)
-        r = ys / safe - 1.0
-        _, ps = penalties(1e-4)
-        beta = _ridge(four, r, ps + 1e-9)
-        sigma = float(np.std(ys - trend * (1.0 + four @ beta)))
-        pt, ps = penalties(max(sigma ** 2, 1e-8))
-        w_t = _ridge(trend_x, ys, pt + 1e-9)
-        trend = trend_x @ w_t
-        safe = np.where(np.abs(trend) > 1e-9, trend, 1e-9)
-        beta = _ridge(four, ys / safe - 1.0, ps + 1e-9)
-        fitted = trend * (1.0 + four @ beta)
-    else:
-        x = np.column_stack([trend_x, four])
-        pt, ps = penalties(1e-4)
-        w = _ridge(x, ys, np.r_[pt, ps] + 1e-9)
-        sigma = float(np.std(ys - x @ w))
-        pt, ps = penalties(max(sigma ** 2, 1e-8))
-        w = _ridge(x, ys, np.r_[pt, ps] + 1e-9)
-        w_t, beta = w[:trend_x.shape[1]], w[trend_x.shape[1]:]
-        fitted = x @ w
-    sigma = float(np.std(ys - fitted)) * y_scale
+def _ridge(gram: np.ndarray, target: np.ndarray, penalty: np.ndarray) -> np.ndarray:
+    return np.linalg.solve(gram + np.diag(penalty + 1e-9), target)
+
+
+class Moments:
+    """X'X, X'y and residual sums of one series, from its cells; values scaled to 1 and times to [0, 1].
+
+    In a cell the trend's columns are ``A + B t``, so products of two of them, or of one and a value, are sums of cells.
+    """
+
+    def __init__(self, cells: dict, segment: np.ndarray, changepoints: np.ndarray, span: float, y_scale: float):
+        self.changepoints = cps = np.asarray(changepoints, float) / span
+        self.n, self.t, self.tt = np.asarray(cells["n"], float), np.asarray(cells["u"], float) / span, np.asarray(cells["uu"], float) / span ** 2
+        self.y, self.ty, self.yy = np.asarray(cells["y"], float) / y_scale, np.asarray(cells["uy"], float) / (span * y_scale), np.asarray(cells["yy"], float) / y_scale ** 2
+        on = np.arange(len(cps))[None, :] < np.asarray(segment)[:, None]
+        zero, one = np.zeros((len(on), 1)), np.ones((len(on), 1))
+        self.a = np.hstack([zero, one, np.where(on, -cps[None, :], 0.0)])
+        self.b = np.hstack([one, zero, on.astype(float)])
+        # Fourier columns by the second of the (epoch's) week
+        self.f, self.periods, self.orders = _fourier(np.asarray(cells["second"], float) / 86400.0)
+        self.points, self.sum_y, self.sum_yy = self.n.sum(), self.y.sum(), self.yy.sum()
+        self.gram_t = self._quadratic(self.n, self.t, self.tt)
+        self.target_t = self.a.T @ self.y + self.b.T @ self.ty
+        self.gram_f = self.f.T @ (self.f * self.n[:, None])
+        self.cross = (self.a * self.n[:, None] + self.b * self.t[:, None]).T @ self.f
+        self.target_f = self.f.T @ self.y
+
+    def _quadratic(self, n, t, tt) -> np.ndarray:
+        mixed = self.a.T @ (self.b * t[:, None])
+        return self.a.T @ (self.a * n[:, None]) + mixed + mixed.T + self.b.T @ (self.b * tt[:, None])
+
+    def _std(self, squares: float, total: float) -> float:
+        return math.sqrt(max(squares / self.points - (total / self.points) ** 2, 0.0))
+
+    def additive(self, trend_scale: float, season_scale: float):
+        """(trend weights, season weights, residual deviation): ridge, sigma, ridge with that sigma."""
+        k = len(self.target_t)
+        gram = np.block([[self.gram_t, self.cross], [self.cross.T, self.gram_f]])
+        target = np.r_[self.target_t, self.target_f]
+        sums = np.r_[self.a.T @ self.n + self.b.T @ self.t, self.f.T @ self.n]
+        penalty = np.r_[0.0, 0.0, np.full(k - 2, trend_scale ** -2.0), np.full(len(target) - k, season_scale ** -2.0)]
+        sigma2 = 1e-4
+        for _ in range(2):
+            w = _ridge(gram, target, sigma2 * penalty)
+            sigma = self._std(self.sum_yy - 2 * w @ target + w @ gram @ w, self.sum_y - sums @ w)
+            sigma2 = max(sigma ** 2, 1e-8)
+        return w[:k], w[k:], sigma
+
+    def multiplicative(self, trend_scale: float, season_scale: float):
+        """The same for ``trend * (1 + season)``: the trend alone, then the season of ``y - trend`` in columns ``trend * season``."""
+        k = len(self.target_t)
+        penalty_t, penalty_f = np.r_[0.0, 0.0, np.full(k - 2, trend_scale ** -2.0)], np.full(self.f.shape[1], season_scale ** -2.0)
+        sigma2 = 1e-4
+        for _ in range(2):
+            w = _ridge(self.gram_t, self.target_t, sigma2 * penalty_t)
+            a, b = self.a @ w, self.b @ w                       # the trend in a cell: a + b t
+            g, gg = a * self.n + b * self.t, a * a * self.n + 2 * a * b * self.t + b * b * self.tt
+            gy = a * self.y + b * self.ty
+            beta = _ridge(self.f.T @ (self.f * gg[:, None]), self.f.T @ (gy - gg), sigma2 * penalty_f)
+            season = 1.0 + self.f @ beta
+            sigma = self._std(self.sum_yy - 2 * season @ gy + season ** 2 @ gg, self.sum_y - season @ g)
+            sigma2 = max(sigma ** 2, 1e-8)
+        return w, beta, sigma
+
+    def solve(self, params: dict):
+        mode = params.get("seasonality_mode", "additive")
+        fit = self.multiplicative if mode == "multiplicative" else self.additive
+        return fit(float(params["changepoint_prior_scale"]), float(params["seasonality_prior_scale"]))
+
+
+def solved_model(cells: dict, segment, changepoints, t0_seconds: float, params: dict) -> dict:
+    """Model columns (up to the time columns) from the cells of one series; ``changepoints`` in seconds since ``t0``."""
+    span, y_scale = max(float(np.max(cells["u_max"])), 1.0), float(np.max(cells["y_max"])) or 1.0
+    m = Moments(cells, segment, changepoints, span, y_scale)
+    w, beta, sigma = m.solve(params)
     return {
-        "t0": t0, "t_span": span, "y_scale": y_scale, "mode": mode,
-        "k": float(w_t[0]), "m": float(w_t[1]),
-        "changepoints": [float(c) for c in cps], "deltas": [float(d) for d in w_t[2:]],
-        "periods": [float(p) for p in periods], "orders": [int(o) for o in orders],
-        "beta_sin": [float(b) for b in beta[0::2]], "beta_cos": [float(b) for b in beta[1::2]],
-        "sigma": sigma, "n_points": int(n),
-        "train_start": pd.Timestamp(ts.min()).to_pydatetime(), "train_end": pd.Timestamp(ts.max()).to_pydatetime(),
-        "history_ts": [pd.Timestamp(t).to_pydatetime() for t in np.sort(ts.to_numpy())],
+        "t0": float(t0_seconds), "t_span": span, "y_scale": y_scale, "mode": params.get("seasonality_mode", "additive"),
+        "k": float(w[0]), "m": float(w[1]), "changepoints": m.changepoints.tolist(), "deltas": w[2:].tolist(),
+        "periods": [float(p) for p in m.periods], "orders": [int(o) for o in m.orders],
+        "beta_sin": beta[0::2].tolist(), "beta_cos": beta[1::2].tolist(), "sigma": sigma * y_scale, "n_points": int(m.points),
     }
 
 
-def predict_np(model: dict, ts: pd.Series) -> np.ndarray:
-    t_sec = ts.to_numpy().astype("datetime64[us]").astype(np.int64) / 1e6
-    t = (t_sec - model["t0"]) / model["t_span"]
-    trend = model["k"] * t + model["m"]
-    for c, d in zip(model["changepoints"], model["deltas"]):
-        trend = trend + d * np.maximum(0.0, t - c)
-    days = t_sec / 86400.0
-    season = np.zeros_like(t)
-    for p, o, bs, bc in zip(model["periods"], model["orders"], model["beta_sin"], model["beta_cos"]):
-        w = 2.0 * math.pi * o * days / p
-        season += bs * np.sin(w) + bc * np.cos(w)
-    y = trend * (1.0 + season) if model["mode"] == "multiplicative" else trend + season
-    return y * model["y_scale"]
+def _columns(packed, names) -> dict:
+    """Arrays of the fields of an array of structs."""
+    return {name: np.array([c[name] for c in packed]) for name in names}
+
+
+_CELL_NAMES = ("second", "n", "u", "uu", "y", "uy", "yy", "y_max", "u_max")
 
 
 # ---------------------------------------------------------------- P1
@@ -168,29 +228,49 @@ def fit_forecast(series: DataFrame, params: dict | None = None, keys=(), ts: str
     """One model row per series; a series under 48 points gives a row with status ``short`` and no parameters.
 
     Rows without a value are no points, so a series may be announced by one.
+    Times count in whole seconds.
     """
     p = {**DEFAULT_PARAMS, **(params or {})}
-    key_fields = [f for f in series.schema.fields if f.name in keys]
-    schema = T.StructType(key_fields + MODEL_SCHEMA.fields)
     keys = tuple(keys)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = {k: pdf[k].iloc[0] for k in keys}
-        pdf = pdf[pdf[value].notna()]
-        if len(pdf) < MIN_TRAINING_POINTS:
-            row.update({f.name: None for f in MODEL_SCHEMA.fields}, n_points=len(pdf), status=SHORT)
-            if len(pdf):
-                row.update(train_start=pd.Timestamp(pdf[ts].min()).to_pydatetime(), train_end=pd.Timestamp(pdf[ts].max()).to_pydatetime())
-        else:
-            row.update(fit_series(pdf[ts], pdf[value], p), status=OK)
-        return pd.DataFrame([row], columns=[f.name for f in schema.fields])
-
     if not keys:  # one series: a constant key keeps the model joinable
         series = series.withColumn("_all", F.lit(0))
         keys = ("_all",)
-        schema = T.StructType([T.StructField("_all", T.IntegerType(), False)] + MODEL_SCHEMA.fields)
-    grouped = spread_for_python(series, *keys).groupBy(*keys)
-    return grouped.applyInPandas(fit, schema=schema)
+    # one shuffle: ordering, sums and joins below are all by series
+    series = spread_for_python(series.select(*keys, ts, value), *keys)
+    announced = series.select(*keys).distinct()
+    enough = lambda df: df.filter(F.col("n") >= MIN_TRAINING_POINTS)
+    points = ordered_points(series, keys, ts, value).withColumn("places", changepoint_places(F.col("n")))
+    facts = points.groupBy(*keys).agg(
+        F.max("n").alias("n_points"), F.min("ts").alias("train_start"), F.max("ts").alias("train_end"),
+        F.sort_array(F.collect_list("ts")).alias("history_ts"),
+        F.sort_array(F.collect_list(F.when(F.array_contains("places", F.col("place")), F.col("u")))).alias("cps"))
+    cells = enough(points).withColumn("segment", segment_of(F.col("place"), F.col("places"))).groupBy(*keys, "segment", "second").agg(*cell_sums())
+    # sums, facts and the series' mere names meet in one grouping, so no join is needed
+    cell = F.struct("segment", *_CELL_NAMES)
+    start = F.unix_seconds(F.col("train_start").cast("timestamp")).cast("double").alias("t0")
+    fact = F.struct("n_points", "train_start", "train_end", "history_ts", "cps", start)
+    rows = cells.select(*keys, cell.alias("cell")).unionByName(facts.select(*keys, fact.alias("fact")), allowMissingColumns=True) \
+        .unionByName(announced, allowMissingColumns=True)
+    rows = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("cell")).alias("cells"), F.first("fact", ignorenulls=True).alias("fact"))
+    kept = ("train_start", "train_end", "history_ts", "status", "n_points")
+    solved = T.StructType([f for f in MODEL_SCHEMA.fields if f.name not in kept])
+
+    @F.pandas_udf(solved)
+    def solve(cells: pd.Series, cps: pd.Series, t0: pd.Series) -> pd.DataFrame:
+        out = []
+        for packed, places, first in zip(cells, cps, t0):
+            if packed is None or not len(packed):
+                out.append(dict.fromkeys(solved.names))
+                continue
+            c = _columns(packed, ("segment", *_CELL_NAMES))
+            out.append(solved_model(c, c["segment"], places, first, p))
+        return pd.DataFrame(out, columns=solved.names)
+
+    out = spread_for_python(rows, *keys).withColumn("m", solve("cells", "fact.cps", "fact.t0"))
+    done = F.size("cells") > 0
+    columns = {"n_points": F.coalesce("fact.n_points", F.lit(0)).cast("bigint"), "status": F.when(done, OK).otherwise(SHORT),
+               "history_ts": F.when(done, F.col("fact.history_ts")), "train_start": F.col("fact.train_start"), "train_end": F.col("fact.train_end")}
+    return out.select(*keys, *[columns.get(f.name, F.col(f"m.{f.name}") if f.name not in kept else None).alias(f.name) for f in MODEL_SCHEMA.fields])
 
 
 # ---------------------------------------------------------------- P2 (column expressions)
@@ -270,42 +350,73 @@ def _grid_rows(grid: dict) -> list:
     return [dict(zip(names, combo)) for combo in product(*grid.values())]
 
 
+def fold_cells(splits: DataFrame, ts: str = "timestamp", value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Sums of the training rows of expanding folds, each row summed once: (cells, folds).
+
+    ``splits`` are the rows of :func:`expanding_splits`.  ``cells`` is (segments, second, sums) where ``segments`` has
+    a row's segment in every fold, -1 where it isn't trained on; ``folds`` is (fold, n, changepoints) with changepoints in seconds since
+    the first point.
+    """
+    train = splits.filter(F.col("role") == "train")
+    sizes = train.filter(F.col(value).isNotNull()).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+    # one row holds all folds: (fold, n, places), in fold order
+    plan = sizes.agg(F.sort_array(F.collect_list(F.struct("fold", "n", changepoint_places(F.col("n")).alias("places")))).alias("folds"))
+    last = splits.agg(F.max("fold")).scalar()
+    points = ordered_points(train.filter(F.col("fold") == last), (), ts, value)  # the last fold's rows hold all others'
+    points = points.withColumn("folds", plan.scalar())
+    segments = F.transform("folds", lambda f: F.when(F.col("place") < f["n"], segment_of(F.col("place"), f["places"])).otherwise(-1))
+    cells = points.withColumn("segments", segments).groupBy("segments", "second").agg(*cell_sums())
+    marks = points.select("place", "u", F.explode("folds").alias("f")).filter(F.array_contains("f.places", F.col("place")))
+    folds = marks.groupBy("f.fold").agg(F.max("f.n").alias("n"), F.sort_array(F.collect_list("u")).alias("changepoints"))
+    return cells, folds
+
+
 def tune_forecast(series: DataFrame, grid: dict | None = None, n_splits: int = 4, min_train_days: int = 3,
                   validation_days: int = 1, ts: str = "timestamp", value: str = "value") -> DataFrame:
     """Mean validation MAE of every parameter combination over expanding folds.
 
     Returns the history ``(combo, changepoint_prior_scale, seasonality_prior_scale,
     seasonality_mode, mae, folds, is_best)``; failed combinations get no row.
+    The shuffle holds each training row's sums once, whatever the grid.
     """
     combos = _grid_rows(grid or FORECAST_GRID)
     splits = expanding_splits(series.select(ts, value), n_splits, min_train_days, validation_days, ts)
-    lit_combos = F.array(*[F.struct(F.lit(i).alias("combo"),
-                                    F.lit(float(c["changepoint_prior_scale"])).alias("cps"),
-                                    F.lit(float(c["seasonality_prior_scale"])).alias("sps"),
-                                    F.lit(c["seasonality_mode"]).alias("mode")) for i, c in enumerate(combos)])
-    rep = splits.withColumn("c", F.explode(lit_combos)).select("c.*", "fold", "role", ts, value)
-    out_schema = "combo int, cps double, sps double, mode string, fold int, mae double"
-
-    def fit_fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf.iloc[0]
-        train = pdf[pdf["role"] == "train"]
-        val = pdf[pdf["role"] == "validation"].sort_values(ts, kind="mergesort")
-        try:
-            m = fit_series(train[ts], train[value], {"changepoint_prior_scale": head["cps"],
-                                                     "seasonality_prior_scale": head["sps"],
-                                                     "seasonality_mode": head["mode"]})
-            mae = float(np.mean(np.abs(val[value].to_numpy() - predict_np(m, val[ts]))))
-        except Exception:  # noqa: BLE001 - a failed combination is skipped, as in grid search
-            return pd.DataFrame(columns=["combo", "cps", "sps", "mode", "fold", "mae"])
-        return pd.DataFrame([{"combo": int(head["combo"]), "cps": float(head["cps"]), "sps": float(head["sps"]),
-                              "mode": head["mode"], "fold": int(head["fold"]), "mae": mae}])
-
-    per_fold = spread_for_python(rep, "combo", "fold").groupBy("combo", "fold").applyInPandas(fit_fold, schema=out_schema)
-    hist = per_fold.groupBy("combo", "cps", "sps", "mode").agg(F.avg("mae").alias("mae"), F.count("fold").alias("folds"))
+    cells, folds = fold_cells(splits, ts, value)
+    start = splits.agg(F.min(F.when((F.col("role") == "train") & F.col(value).isNotNull(), F.col(ts)))).scalar()
+    one = cells.agg(F.sort_array(F.collect_list(F.struct("segments", *_CELL_NAMES))).alias("cells"))
+    one = one.withColumn("folds", folds.agg(F.sort_array(F.collect_list(F.struct("fold", "changepoints")))).scalar()) \
+        .withColumn("t0", F.unix_seconds(start.cast("timestamp")).cast("double"))
+    fields = [f for f in MODEL_SCHEMA.fields if f.name not in ("train_start", "train_end", "history_ts", "status", "n_points")]
+    kind = T.StructType([T.StructField(n, t) for n, t in (("combo", T.IntegerType()), ("fold", T.IntegerType()))] + fields)
+
+    def solve(batches):
+        for pdf in batches:
+            for r in pdf.to_dict("records"):
+                rows = []
+                if r["cells"] is not None and len(r["cells"]):
+                    c = _columns(r["cells"], _CELL_NAMES)
+                    segments = np.array([x["segments"] for x in r["cells"]])
+                    for i, fold in enumerate(r["folds"]):
+                        mine = segments[:, i] >= 0
+                        part = {k: v[mine] for k, v in c.items()}
+                        for j, combo in enumerate(combos):
+                            try:
+                                model = solved_model(part, segments[mine, i], fold["changepoints"], r["t0"], combo)
+                            except np.linalg.LinAlgError:  # a failed combination is skipped, as in grid search
+                                continue
+                            rows.append({"combo": j, "fold": int(fold["fold"]), **model})
+                yield pd.DataFrame(rows, columns=[f.name for f in kind.fields])
+
+    models = one.mapInPandas(solve, kind).withColumnRenamed("fold", "m_fold")  # at most folds x combinations rows
+    held_out = splits.filter((F.col("role") == "validation") & F.col(value).isNotNull()).select("fold", ts, value)
+    errors = held_out.join(models, F.col("fold") == F.col("m_fold")).select("combo", "fold", F.abs(F.col(value) - model_value(F.col(ts))).alias("e"))
+    per_fold = errors.groupBy("combo", "fold").agg(exact_avg("e").alias("mae"))
+    names = F.array(*[F.struct(F.lit(float(c["changepoint_prior_scale"])).alias("cps"), F.lit(float(c["seasonality_prior_scale"])).alias("sps"),
+                               F.lit(c["seasonality_mode"]).alias("mode")) for c in combos])
+    hist = per_fold.groupBy("combo").agg(exact_avg("mae").alias("mae"), F.count("fold").alias("folds")).withColumn("c", F.element_at(names, F.col("combo") + 1))
     best = hist.agg(F.min_by("combo", F.struct("mae", "combo"))).scalar()
-    return hist.select("combo", F.col("cps").alias("changepoint_prior_scale"),
-                       F.col("sps").alias("seasonality_prior_scale"), F.col("mode").alias("seasonality_mode"),
-                       "mae", "folds", (F.col("combo") == best).alias("is_best"))
+    return hist.select("combo", F.col("c.cps").alias("changepoint_prior_scale"), F.col("c.sps").alias("seasonality_prior_scale"),
+                       F.col("c.mode").alias("seasonality_mode"), "mae", "folds", (F.col("combo") == best).alias("is_best"))
 
 
 def best_params(history: DataFrame) -> DataFrame:

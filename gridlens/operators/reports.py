@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..functions.rounding import exact_sum, js_round
 from ..functions.tariff import DEFAULT_TARIFF, Tariff, is_low_tariff_parts, reading_cost
+from ..session import saved
 from .periods import in_period
 
 
@@ -265,6 +266,15 @@ def dense_series(report: DataFrame, period: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- one-request form
+def report_rows(readings: DataFrame) -> DataFrame:
+    """Readings reduced to what reports look at: per device, date and hour the largest counter and power, as readings.
+
+    Every report takes maxima of days or hours, so it says the same of these rows.
+    """
+    g = readings.filter(F.col("has_energy")).groupBy("device_id", "event_date", F.date_trunc("hour", "event_ts").cast("timestamp_ntz").alias("event_ts"))
+    return g.agg(F.max("today_kwh").alias("today_kwh"), F.max("power_w").alias("power_w")).withColumn("has_energy", F.lit(True))
+
+
 def generate_report(readings: DataFrame, report_type: str = "daily", date=None, year: int | None = None,
                     week: int | None = None, month: int | None = None, tariff: Tariff = DEFAULT_TARIFF) -> dict:
     """Report of one requested period with its summary, comparison and device breakdown.
@@ -272,36 +282,34 @@ def generate_report(readings: DataFrame, report_type: str = "daily", date=None,
     Returns DataFrames ``data``, ``summary``, ``comparison`` (empty when the
     previous period has no rows, except weekly) and ``device_breakdown``
     (empty with at most one device), like one report request of the reference.
-    All four are lazy; the current and previous period come from one scan.
+    Readings are scanned once: the hourly maxima of both periods (:func:`report_rows`,
+    at most 24 rows per device and day) are stored, and all four read them.
     """
     import datetime as _dt
     kind = report_type.lower()
     if kind == "daily":
         d = _dt.date.fromisoformat(str(date)[:10])
-        start, prev = d, d - _dt.timedelta(days=1)
-        cur_rows = daily_report(readings, date=d, tariff=tariff)
-        prev_rows = daily_report(readings, date=prev, tariff=tariff)
-        end = d + _dt.timedelta(days=1)
+        start, prev, end = d, d - _dt.timedelta(days=1), d + _dt.timedelta(days=1)
     elif kind == "weekly":
         start = _week_start(year, week)
-        prev = start - _dt.timedelta(days=7)
-        end = start + _dt.timedelta(days=7)
-        cur_rows = weekly_report(readings, tariff, year=year, week=week)
-        p_iso = prev.isocalendar()
-        prev_rows = weekly_report(readings, tariff, year=p_iso[0], week=p_iso[1])
+        prev, end = start - _dt.timedelta(days=7), start + _dt.timedelta(days=7)
     elif kind == "monthly":
         start = _dt.date(int(year), int(month), 1)
         prev = _dt.date(start.year - (start.month == 1), (start.month - 2) % 12 + 1, 1)
         end = _dt.date(start.year + (start.month == 12), start.month % 12 + 1, 1)
-        cur_rows = monthly_report(readings, tariff, year=year, month=month)
-        prev_rows = monthly_report(readings, tariff, year=prev.year, month=prev.month)
     elif kind == "yearly":
-        start, prev = _dt.date(int(year), 1, 1), _dt.date(int(year) - 1, 1, 1)
-        end = _dt.date(int(year) + 1, 1, 1)
-        cur_rows = yearly_report(readings, tariff, year=year)
-        prev_rows = yearly_report(readings, tariff, year=year - 1)
+        start, prev, end = (_dt.date(int(year) + i, 1, 1) for i in (0, -1, 1))
     else:
         raise ValueError(f"Invalid report type: {report_type}")
+    readings = saved(report_rows(_restrict(readings, prev, end)), "report")
+    if kind == "daily":
+        cur_rows, prev_rows = (daily_report(readings, date=x, tariff=tariff) for x in (start, prev))
+    elif kind == "weekly":
+        cur_rows, prev_rows = (weekly_report(readings, tariff, year=x.isocalendar()[0], week=x.isocalendar()[1]) for x in (start, prev))
+    elif kind == "monthly":
+        cur_rows, prev_rows = (monthly_report(readings, tariff, year=x.year, month=x.month) for x in (start, prev))
+    else:
+        cur_rows, prev_rows = (yearly_report(readings, tariff, year=x.year) for x in (start, prev))
     summary = report_summary(cur_rows, tariff)
     both = summary.unionByName(report_summary(prev_rows, tariff))
     comparison = period_comparison(both, kind).filter(F.col("period_start") == F.lit(start))

@@ -114,3 +114,11 @@ def _cost(spark, sf, by_device):
 
 register("dashboard_cost", _cost_sql(False), "dashboard")(lambda spark, sf: _cost(spark, sf, False))
 register("dashboard_cost_by_device", _cost_sql(True), "dashboard")(lambda spark, sf: _cost(spark, sf, True))
+
+
+# ------------------------------------------------------------------ all answers from one pass of cells
+for _by, _name in ((False, "dashboard_request"), (True, "dashboard_request_by_device")):
+    register(f"{_name}_hourly", W("SELECT * FROM hourly", _rf() + "," + _hourly_sql(_by)), "dashboard")(
+        lambda spark, sf, by=_by: D.generate_dashboard(fx.readings(spark, sf), AS_OF_DASH, by_device=by)["hourly"])
+    register(f"{_name}_cost", _cost_sql(_by), "dashboard")(
+        lambda spark, sf, by=_by: D.generate_dashboard(fx.readings(spark, sf), AS_OF_DASH, by_device=by)["cost"])

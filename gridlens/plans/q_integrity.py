@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import integrity as H
+from ..session import shared_folder
 from ..sources import fixtures as fx
 from . import oracle as O
 from .registry import register
@@ -121,6 +122,19 @@ register("audit_full", W(_AUDIT.format(extra="", where=""), _LEDGER), "integrity
     lambda spark, sf: H.audit_full(_docs(spark, sf).drop("insert_ts"), fx.ledger(spark, sf), message_source="fixture")
     .select("id", "current_hash", "ledger_hash", "status"))
 
+
+
+@register("audit_bucketed", W(_AUDIT.format(extra="", where=""), _LEDGER), "integrity")
+def q_audit_bucketed(spark, sf):
+    """H7 on documents and ledger stored in equal buckets of their ids."""
+    folder = shared_folder(spark, "audit")
+    tag = folder.rsplit("-", 1)[-1]
+    H.write_bucketed(_docs(spark, sf).drop("insert_ts"), f"audit_docs_{tag}", f"{folder}/docs")
+    H.write_bucketed(fx.ledger(spark, sf), f"audit_ledger_{tag}", f"{folder}/ledger")
+    out = H.audit_bucketed(spark, f"audit_docs_{tag}", f"audit_ledger_{tag}", message_source="fixture")
+    return out.select("id", "current_hash", "ledger_hash", "status")
+
+
 SINCE = "2024-01-28 00:00:00"
 register("audit_incremental", W(_AUDIT.format(
     extra=", c.insert_ts, (SELECT max(insert_ts) FROM canon WHERE insert_ts > TIMESTAMP '" + SINCE + "') AS high_water_mark",

@@ -285,3 +285,29 @@ FROM pd""", _priced_sql("meter_days", "1998-12-01 00:00:00", "1999-01-01 00:00:0
     lambda spark, sf: R.monthly_report(fx.meter_days(spark, sf), year=1998, month=12))
 register("yearly_report_for_year", W("SELECT * FROM yearly WHERE period_start = DATE '1998-01-01'", _YEARLY), "reports")(
     lambda spark, sf: R.yearly_report(fx.meter_days(spark, sf), year=1998))
+
+
+# ------------------------------------------------------------------ one request's four answers, from one scan
+_REQUEST = "1996-05-01"
+_IN_REQUEST = f"period_start = DATE '{_REQUEST}'"
+
+
+def _request(spark, sf, answer):
+    return R.generate_report(fx.meter_days(spark, sf), "monthly", year=1996, month=5)[answer]
+
+
+for _answer, _sql in {
+    "data": W(f"SELECT * FROM monthly WHERE {_IN_REQUEST}", _MONTHLY),
+    "summary": W(f"SELECT * FROM summary WHERE {_IN_REQUEST}", _MONTHLY + "," + _summary_sql("monthly")),
+    "comparison": W(f"SELECT * FROM ({_comparison_sql('CAST(s.period_start - INTERVAL 1 MONTH AS DATE)', 'vs last month', False)}) c WHERE {_IN_REQUEST}",
+                    _MONTHLY + "," + _summary_sql("monthly")),
+    "device_breakdown": W(f"""
+SELECT DATE '{_REQUEST}' AS period_start, coalesce(device_id, 'unknown') AS device_id, {O.js_round('coalesce(dev_energy, 0.0e0)', 2)} AS total_energy,
+       CASE WHEN period_energy > 0 THEN floor(dev_energy / period_energy * 1000.0e0 + 0.5e0) / 10.0e0 ELSE 0.0e0 END AS percentage,
+       {O.js_round('coalesce(dev_peak, 0.0e0)', 2)} AS peak_power
+FROM dev, (SELECT {O.exact_sum('dev_energy')} AS period_energy, count(*) AS n FROM dev) t WHERE n > 1""", f"""
+pday AS (SELECT device_id, event_date, max(today_kwh) AS daily_energy, max(power_w) AS peak FROM meter_days
+         WHERE has_energy AND CAST(date_trunc('month', event_date) AS DATE) = DATE '{_REQUEST}' GROUP BY 1, 2),
+dev AS (SELECT device_id, {O.exact_sum('daily_energy')} AS dev_energy, max(peak) AS dev_peak FROM pday GROUP BY 1)"""),
+}.items():
+    register(f"report_request_{_answer}", _sql, "reports")(lambda spark, sf, answer=_answer: _request(spark, sf, answer))

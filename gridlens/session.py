@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -27,7 +28,7 @@ def get_spark(master: str | None = None, app_name: str = "gridlens",
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    conf = dict(DEFAULT_CONF)
+    conf = DEFAULT_CONF | REQUIRED_CONF
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -59,8 +60,25 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     return current
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/gridlens-tables/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def saved(df, name: str):
+    """``df`` as a table of its own in the shared folder, read back: for models and tables that a plan uses many times."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # Settings results depend on (time zone of NTZ -> instant casts) or plans rely on.
 REQUIRED_CONF = {
+    # as JSON.parse does: of equal keys the last one counts
+    "spark.sql.variant.allowDuplicateKeys": "true",
+    # ids and windows of streams live on disk, with changelogs in the checkpoint, not on the heap
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
 }

@@ -197,6 +197,7 @@ def ledger_batch(spark: SparkSession, sf_dir: str, hashed: DataFrame | None = No
 
 
 # Fixed values of the raw-message fixture.
+RAW_AGAIN_MOD, RAW_ANEW_MOD = 47, 53
 RAW_OTHER_TOPIC_MOD, RAW_NO_ENERGY_MOD, RAW_DUPLICATE_MOD, RAW_METER_ENERGY_MOD = 50, 41, 43, 3
 
 
@@ -238,3 +239,18 @@ def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(topic.alias("topic"), body.alias("body"), F.col("processing_ts").alias("enqueued_ts"),
                     rid.alias("seq"), F.explode(F.sequence(F.lit(1), copies)).alias("_copy"))
             .drop("_copy"))
+
+
+def redelivered_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`raw_messages` with ``arrived_ts`` and redeliveries long after any watermark.
+
+    Every 47th message comes again a day later as it was; every 53rd comes
+    again with a new enqueue time (the same sequence number, so the same
+    envelope id).  All others arrive when they are enqueued.
+    """
+    raw = raw_messages(spark, sf_dir)
+    shift = F.make_dt_interval(days=F.lit(1), secs=F.lit(7.123))
+    as_is = raw.withColumn("arrived_ts", F.col("enqueued_ts"))
+    again = raw.filter(F.col("seq") % RAW_AGAIN_MOD == 0).withColumn("arrived_ts", F.col("enqueued_ts") + shift)
+    anew = raw.filter(F.col("seq") % RAW_ANEW_MOD == 0).withColumn("enqueued_ts", F.col("enqueued_ts") + shift).withColumn("arrived_ts", F.col("enqueued_ts"))
+    return as_is.unionByName(again).unionByName(anew)

@@ -160,7 +160,7 @@ def wrap_messages(raw: DataFrame) -> DataFrame:
     dev = F.when(F.col("device_id") == "unknown", F.lit(None)).otherwise(F.col("device_id"))
     if "transport_device_id" in raw.columns:
         dev = F.col("transport_device_id")
-    json_object = F.col("body").startswith("{") & F.expr("try_parse_json(body)").isNotNull()
+    json_object = F.col("body").rlike(r"^[ \t\r\n]*\{") & F.expr("try_parse_json(body)").isNotNull()
     return d.select(
         F.concat_ws("-", F.coalesce(dev, F.lit("None")), F.col("seq").cast("string")).alias("id"),
         dev.alias("device_id"),

@@ -46,10 +46,16 @@ def report_csv_frame(report: DataFrame, keep=("period_start",)) -> DataFrame:
     return report.select(*out)
 
 
-def export_report_csv(report: DataFrame, path: str, partition_col: str = "period_start") -> None:
-    """Write one CSV (header + rows, in order) per period; minimal RFC-4180 quoting, doubled quotes."""
+def export_report_csv(report: DataFrame, path: str, partition_col: str = "period_start", files_per_period: int = 8) -> None:
+    """Write each period as CSV (header + rows, in order); minimal RFC-4180 quoting, doubled quotes.
+
+    A report of one household is one file per period.  One by device has up to
+    ``files_per_period``, each with all rows of its devices, so that a fleet's period isn't one task.
+    """
+    by_device = "device_id" in report.columns
     order = [partition_col] + [c for c in ("device_id", "hour", "day", "month") if c in report.columns]
-    frame = report_csv_frame(report.repartition(partition_col).sortWithinPartitions(*order))
+    part = [F.pmod(F.xxhash64("device_id"), F.lit(files_per_period))] if by_device else []
+    frame = report_csv_frame(report.repartition(partition_col, *part).sortWithinPartitions(*order))
     (frame.write.mode("overwrite")
      .partitionBy(partition_col)
      .option("header", True).option("quote", '"').option("escape", '"')

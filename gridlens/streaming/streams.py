@@ -1,20 +1,23 @@
 """Structured Streaming jobs.
 
-* T1 ``stream_ingest``: raw messages -> typed readings, first write per
-  document id wins (``dropDuplicatesWithinWatermark``; state bounded by the
-  watermark).
+* T1 ``stream_ingest``: raw messages -> typed readings, the first write of a
+  document id wins, for good: ids are kept in the state store (RocksDB, on the
+  executors' disks), like the unique index of a document store, not for the
+  length of a watermark.  Ids stored before the stream began are given as a table.
 * T2 ``stream_hourly_mean``: hourly mean power as a tumbling event-time
   window, append mode (a window is emitted once the watermark passes it).
+  ``stream_hourly_totals`` adds up per batch instead, keeps the rows that come
+  behind a closed hour in a table of their own and merges them as corrections.
 * T3 ``stream_audit``: every micro-batch of new documents is joined with the
   ledger snapshot in ``foreachBatch``; progress lives in the checkpoint, so a
   restarted query resumes after the last committed batch.
+  ``stream_audit_feeds`` joins the feeds of documents and ledger rows: a
+  document is an ERROR only after its ledger row had ``wait`` to come.
 * S10 ``ingest_stream``: one input stream feeds the document sink and the
   ledger sink; each batch writes under ``batch_id=<n>`` with overwrite, so a
   replayed batch replaces its own output (idempotent per sink).
 
 Sinks and checkpoints live under the cluster's shared ``spark.checkpoint.dir``.
-Late rows (older than the watermark) are dropped by Spark and reported in the
-query progress as ``numRowsDroppedByWatermark``.
 """
 
 from __future__ import annotations
@@ -38,26 +41,22 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return posixpath.join(ensure_checkpoint_dir(spark), "gridlens-streams", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def land_files(df: DataFrame, path: str, ts_col: str, files: int = 8) -> str:
-    """Land a batch frame as time-ordered Parquet files for a file-stream source.
+def land_files(df: DataFrame, path: str, ts_col: str, files: int = 8, drop: tuple = ()) -> str:
+    """Land a batch frame as time-ordered Parquet files for a file-stream source, without the columns ``drop``.
 
-    Each time range is one append of one sorted file (later ranges get later
-    file times), so the source replays the data in time order, as devices
-    would have sent it.  This is a test-harness helper (a real stream arrives
-    in order); only ``files - 1`` cut points reach the driver.
+    One job deals the rows to ``files`` time ranges, a sorted file each, in
+    parallel.  The source reads files in the order of their file times, which are
+    set to the order of the ranges, so it replays the data in time order, as
+    devices would have sent it.  (A test-harness helper; a real stream arrives in order.)
     """
-    cuts = df.select(F.unix_micros(F.col(ts_col).cast("timestamp")).alias("_us")) \
-        .approxQuantile("_us", [i / files for i in range(1, files)], 0.001)
-    bounds = [None, *sorted(set(int(c) for c in cuts)), None]
-    us = F.unix_micros(F.col(ts_col).cast("timestamp"))
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (us >= lo)
-        if hi is not None:
-            cond = cond & (us < hi)
-        # one time-sorted file per range: the source must not see a range's rows out of order
-        df.filter(cond).repartition(1).sortWithinPartitions(ts_col).write.mode("append").parquet(path)
+    parts = df.repartitionByRange(files, ts_col).sortWithinPartitions(ts_col)
+    parts.drop(*drop).write.mode("error").parquet(path)
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted((f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    for i, p in enumerate(found):  # names count the ranges
+        fs.setTimes(p, 1_700_000_000_000 + 60_000 * i, -1)
     return path
 
 
@@ -70,16 +69,30 @@ def _wm(df: DataFrame, col: str, delay: str) -> DataFrame:
     return df.withColumn("_wm_ts", F.col(col).cast("timestamp")).withWatermark("_wm_ts", delay)
 
 
-def stream_ingest(raw_stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
+def first_writes(stream: DataFrame, key: str, stored: DataFrame | None = None) -> DataFrame:
+    """Rows whose ``key`` neither came before on the stream nor stands in ``stored``.
+
+    Keys are state of the query without a time limit: a redelivery is rejected
+    however late it comes, and a first delivery is kept however late.  State is one
+    key per document, hash-partitioned and changelogged by the state store.
+    ``stored`` holds the keys written before this query's checkpoint began
+    (batch loads, an older query); it is read anew in every batch, so leave it out
+    where the checkpoint has seen everything.
+    """
+    if stored is not None:
+        stream = stream.join(stored.select(F.col(key).alias("_stored")).distinct(), F.col(key) == F.col("_stored"), "left_anti")
+    return stream.dropDuplicates([key])
+
+
+def stream_ingest(raw_stream: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """S2-S6 on a stream plus first-write-wins on ``doc_id``.
 
     Per-batch input metrics (rows, newest processing time) are published as
-    observed metrics ``ingest_input``; rows dropped as late show up as
-    ``numRowsDroppedByWatermark`` in the query progress.
+    observed metrics ``ingest_input``.
     """
     docs = I.normalize_messages(raw_stream).observe(
         "ingest_input", F.count(F.lit(1)).alias("rows"), F.max("processing_ts").alias("max_processing_ts"))
-    return _wm(docs, "processing_ts", delay).dropDuplicatesWithinWatermark(["doc_id"]).drop("_wm_ts")
+    return first_writes(docs, "doc_id", stored)
 
 
 def stream_hourly_mean(readings_stream: DataFrame, delay: str = "0 seconds") -> DataFrame:
@@ -91,6 +104,52 @@ def stream_hourly_mean(readings_stream: DataFrame, delay: str = "0 seconds") ->
                     (F.col("_s") / F.col("count").cast("double")).alias("value"), "count")
 
 
+def stream_hourly_totals(readings_stream: DataFrame, sink: str, checkpoint: str, delay: str = "1 hour",
+                         available_now: bool = False, processing_time: str = DEFAULT_AUDIT_TRIGGER):
+    """T2 with corrections: exact sums and counts per processing hour and batch, late rows also kept as they are.
+
+    A row is late if its hour ended ``delay`` or more before the newest row of
+    the batches before (the watermark).  Each batch writes three small tables
+    below ``sink``: ``totals`` (hour, late, sum, count), ``late_rows`` and
+    ``marks`` (rows in, newest time).  Sums add up, so :func:`hourly_totals`
+    gives the means with or without corrections, and no state grows.
+    """
+    to = lambda name, batch_id: posixpath.join(sink, name, f"batch_id={batch_id}")
+    marks_schema = "rows_in long, newest timestamp_ntz, batch_id long"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = F.lit(None).cast("timestamp_ntz")
+        if batch_id > 0:  # a replayed batch sees the batches before it only
+            marks = spark.read.schema(marks_schema).parquet(posixpath.join(sink, "marks")).filter(F.col("batch_id") < batch_id)
+            before = marks.agg(F.max("newest")).scalar()
+        hour = F.date_trunc("hour", "processing_ts").cast("timestamp_ntz")
+        rows = batch.filter(F.col("power_w").isNotNull()).withColumn("hour", hour)
+        closed = before - F.expr(f"interval {delay}")
+        late = F.coalesce(F.col("hour") + F.expr("interval 1 hour") <= closed, F.lit(False))
+        rows = rows.withColumn("late", late)
+        rows.groupBy("hour", "late").agg(F.sum(F.col("power_w").cast("decimal(38,10)")).alias("total"), F.count("power_w").alias("count")) \
+            .write.mode("overwrite").parquet(to("totals", batch_id))
+        rows.filter("late").drop("late").write.mode("overwrite").parquet(to("late_rows", batch_id))
+        rows.agg(F.count(F.lit(1)).alias("rows_in"), F.max("processing_ts").alias("newest")) \
+            .write.mode("overwrite").parquet(to("marks", batch_id))
+
+    q = _run(readings_stream, write, checkpoint, available_now, processing_time)
+    if available_now:
+        q.awaitTermination()
+    return q
+
+
+def hourly_totals(spark: SparkSession, sink: str, corrected: bool = True) -> DataFrame:
+    """(timestamp, value, count, late): hourly means from :func:`stream_hourly_totals`, late rows merged or left out."""
+    t = spark.read.parquet(posixpath.join(sink, "totals"))
+    if not corrected:
+        t = t.filter(~F.col("late"))
+    g = t.groupBy("hour").agg(F.sum("total").cast("double").alias("s"), F.sum("count").alias("count"),
+                              F.sum(F.when(F.col("late"), F.col("count")).otherwise(0)).alias("late"))
+    return g.select(F.col("hour").alias("timestamp"), (F.col("s") / F.col("count").cast("double")).alias("value"), "count", "late")
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append",
                  available_now: bool = True, processing_time: str | None = None):
     """Run a streaming frame into a Parquet sink (``availableNow`` drains the input and stops)."""
@@ -132,22 +191,39 @@ def stream_audit(docs_stream: DataFrame, ledger, sink: str, checkpoint: str,
     return q
 
 
+def stream_audit_feeds(docs_stream: DataFrame, ledger_stream: DataFrame, wait: str = "10 minutes", delay: str = "0 seconds",
+                       message_source: str = H.AUDIT_SOURCE) -> DataFrame:
+    """T3 on two feeds: ``(id, insert_ts, current_hash, ledger_hash, status)``, each document once.
+
+    Documents (``insert_ts``) meet ledger rows (``id, hash_value, created_at``)
+    that were created at most ``wait`` before or after them.  SUCCESS and TAMPER
+    come as soon as both are there; ERROR once the watermark has passed the
+    document by ``wait``.  State of both sides is bounded by ``wait``.
+    """
+    docs = H.hash_documents(docs_stream, message_source=message_source).select("id", "current_hash", "insert_ts")
+    docs = docs.withColumn("_doc_ts", F.col("insert_ts").cast("timestamp")).withWatermark("_doc_ts", delay)
+    rows = ledger_stream.select(F.col("id").alias("_id"), F.col("hash_value").alias("ledger_hash"), F.col("created_at").cast("timestamp").alias("_row_ts"))
+    rows = rows.withWatermark("_row_ts", delay)
+    span = F.expr(f"interval {wait}")
+    near = (F.col("id") == F.col("_id")) & (F.col("_row_ts") >= F.col("_doc_ts") - span) & (F.col("_row_ts") <= F.col("_doc_ts") + span)
+    return docs.join(rows, near, "left_outer").select("id", "insert_ts", "current_hash", "ledger_hash", H.audit_status().alias("status"))
+
+
 def ingest_stream(raw_stream: DataFrame, docs_sink: str, ledger_sink: str, checkpoint: str,
-                  delay: str = "10 minutes", available_now: bool = False, processing_time: str = "1 minute",
-                  quarantine_sink: str | None = None):
+                  stored: DataFrame | None = None, available_now: bool = False, processing_time: str = "1 minute",
+                  quarantine_sink: str | None = None, feeds: tuple = ("documents", "ledger", "quarantine")):
     """Envelopes of one stream feed document store, ledger and quarantine by three queries of their own.
 
     Each query has its own checkpoint, so a sink that fails doesn't hold up
     the others.  Envelopes failing S9 go to the quarantine before any
-    de-duplication, all of them.  Documents: first write per id within
-    ``delay`` (the watermark); later redeliveries are left to the store's key.
+    de-duplication, all of them.  Documents and ledger: the first write of an id
+    (:func:`first_writes`; ``stored`` has the column ``id``).
     Ledger: SHA-256 of each envelope's canonical text; rows that fail the
     ledger's own validation (H2) go to its ``_rejected`` folder with a reason.
-    Returns the three queries.
+    Returns the queries of the ``feeds`` asked for.
     """
     checked = I.reject_invalid(I.wrap_messages(raw_stream))
-    good = _wm(checked.filter(F.col("reason").isNull()).drop("reason"), "enqueued_ts", delay) \
-        .dropDuplicatesWithinWatermark(["id"]).drop("_wm_ts")
+    good = first_writes(checked.filter(F.col("reason").isNull()).drop("reason"), "id", stored)
     to = lambda sink, batch_id: posixpath.join(sink, f"batch_id={batch_id}")
 
     def write_documents(batch: DataFrame, batch_id: int) -> None:
@@ -166,9 +242,9 @@ def ingest_stream(raw_stream: DataFrame, docs_sink: str, ledger_sink: str, check
     def write_quarantine(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(to(quarantine_sink or posixpath.join(docs_sink, "_quarantine"), batch_id))
 
-    feeds = (("documents", good, write_documents), ("ledger", good, write_ledger),
-             ("quarantine", checked.filter(F.col("reason").isNotNull()), write_quarantine))
-    queries = [_run(frame, write, posixpath.join(checkpoint, name), available_now, processing_time) for name, frame, write in feeds]
+    all_feeds = (("documents", good, write_documents), ("ledger", good, write_ledger),
+                 ("quarantine", checked.filter(F.col("reason").isNotNull()), write_quarantine))
+    queries = [_run(frame, write, posixpath.join(checkpoint, name), available_now, processing_time) for name, frame, write in all_feeds if name in feeds]
     if available_now:
         for q in queries:
             q.awaitTermination()

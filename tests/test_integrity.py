@@ -6,7 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from conftest import SMALL
-from gridlens.functions.canonical import canonical_json_text
+from canonical_rows import canonical_json_text
 from gridlens.operators import integrity as H
 from gridlens.sources import fixtures as fx
 

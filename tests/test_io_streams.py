@@ -83,3 +83,69 @@ def test_stream_ingest_publishes_input_metrics(spark):
     seen = [p["observedMetrics"]["ingest_input"]["rows"] for p in q.recentProgress
             if "ingest_input" in p.get("observedMetrics", {})]
     assert sum(seen) == I.normalize_messages(fx.raw_messages(spark, SMALL)).count()
+
+
+def _messages(spark, rows):
+    """(seq, minute, power) device messages."""
+    import datetime as dt
+    base = dt.datetime(2024, 1, 1)
+    body = '{"Time":"2024-01-01T00:00:00","ENERGY":{"Power":%s,"Today":1,"Voltage":230}}'
+    return spark.createDataFrame([("tele/dev_1/SENSOR", body % p, base + dt.timedelta(minutes=m), s) for s, m, p in rows], RAW_SCHEMA)
+
+
+def test_first_write_wins_after_any_watermark_and_against_the_store(spark):
+    """Redeliveries hours later, in later runs of the query, and ids stored before it began."""
+    base = ST.work_dir(spark, "first")
+    batches = [[(1, 0, 10), (2, 1, 20)], [(1, 300, 11), (3, 301, 30)], [(2, 900, 21), (4, -500, 40), (9, 901, 90)]]
+    known = spark.createDataFrame([("dev_1-9",)], "id string")
+    src = posixpath.join(base, "in")
+    for rows in batches:  # each batch is a run of its own from the same checkpoint
+        _messages(spark, rows).coalesce(1).write.mode("append").parquet(src)
+        ST.ingest_stream(ST.read_stream(spark, src, RAW_SCHEMA), posixpath.join(base, "docs"), posixpath.join(base, "ledger"), posixpath.join(base, "chk"),
+                         stored=known, available_now=True)
+    docs = {r._id: r.payload for r in spark.read.parquet(posixpath.join(base, "docs")).collect()}
+    assert {k: v.split('"Power":')[1].split(",")[0] for k, v in docs.items()} == {"dev_1-1": "10", "dev_1-2": "20", "dev_1-3": "30", "dev_1-4": "40"}
+    assert sorted(r.id for r in spark.read.parquet(posixpath.join(base, "ledger")).select("id").collect()) == sorted(docs)
+
+
+def test_late_rows_are_kept_and_merged(spark):
+    import datetime as dt
+    base = ST.work_dir(spark, "late")
+    start = dt.datetime(2024, 1, 1)
+    batches = [[(0, 100.0), (30, 300.0)], [(90, 50.0), (200, 70.0)], [(20, 500.0), (210, 90.0), (205, None)]]
+    src = posixpath.join(base, "in")
+    for rows in batches:
+        spark.createDataFrame([(start + dt.timedelta(minutes=m), p) for m, p in rows], "processing_ts timestamp_ntz, power_w double").coalesce(1).write.mode("append").parquet(src)
+        stream = ST.read_stream(spark, src, spark.read.parquet(src).schema)
+        ST.stream_hourly_totals(stream, posixpath.join(base, "out"), posixpath.join(base, "chk"), delay="1 hour", available_now=True)
+    hour = lambda h: start + dt.timedelta(hours=h)
+    rows = lambda corrected: {r.timestamp: (r.value, r["count"], r.late) for r in ST.hourly_totals(spark, posixpath.join(base, "out"), corrected).collect()}
+    assert rows(False) == {hour(0): (200.0, 2, 0), hour(1): (50.0, 1, 0), hour(3): (80.0, 2, 0)}
+    assert rows(True) == {hour(0): (300.0, 3, 1), hour(1): (50.0, 1, 0), hour(3): (80.0, 2, 0)}
+    assert [r.power_w for r in spark.read.parquet(posixpath.join(base, "out", "late_rows")).collect()] == [500.0]
+
+
+def test_audit_of_feeds_waits_for_the_ledger(spark):
+    """A ledger row that comes three minutes after its document gives SUCCESS; one that never comes an ERROR, after the wait."""
+    import datetime as dt
+    base = ST.work_dir(spark, "feeds")
+    docs = fx.stored_documents(spark, SMALL, False).orderBy("insert_ts").limit(40)
+    hashes = H.hash_documents(docs, message_source="fixture").select("id", F.col("current_hash").alias("hash_value"), F.col("insert_ts").alias("created_at"))
+    ids = [r.id for r in docs.select("id").orderBy("insert_ts").collect()]
+    ledger = hashes.filter(F.col("id") != ids[3]).withColumn("hash_value", F.when(F.col("id") == ids[5], F.lit("0" * 64)).otherwise(F.col("hash_value"))) \
+        .withColumn("created_at", F.col("created_at") + F.expr("interval 3 minutes"))
+    ST.land_files(docs, posixpath.join(base, "docs"), "insert_ts", 4)
+    ST.land_files(ledger, posixpath.join(base, "ledger"), "created_at", 4)
+    read = lambda name, df: ST.read_stream(spark, posixpath.join(base, name), df.schema)
+    out = ST.stream_audit_feeds(read("docs", docs), read("ledger", ledger), "10 minutes", message_source="fixture")
+    ST.run_to_table(out, posixpath.join(base, "out"), posixpath.join(base, "chk"))
+    got = {r.id: r.status for r in spark.read.parquet(posixpath.join(base, "out")).collect()}
+    assert got[ids[3]] == H.STATUS_MISSING and got[ids[5]] == H.STATUS_TAMPER
+    assert {i for i, s in got.items() if s == H.STATUS_OK} == set(ids) - {ids[3], ids[5]}
+
+
+def test_a_body_with_leading_white_space_is_a_json_object(spark):
+    import datetime as dt
+    rows = [("tele/d/SENSOR", b, dt.datetime(2024, 1, 1), i) for i, b in enumerate([' \n{"a":1}', "[1]", " x", '{"a":'])]
+    env = I.wrap_messages(spark.createDataFrame(rows, RAW_SCHEMA)).orderBy("seq").collect()
+    assert [r.original_payload is not None for r in env] == [True, False, False, False]

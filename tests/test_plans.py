@@ -54,3 +54,14 @@ def test_no_cartesian_or_nested_loop_joins(spark, name):
 def test_aggregates_are_partial_first(spark):
     plan = _plan(E.queries()["daily_report"](spark, SMALL))
     assert "partial_max" in plan
+
+
+def test_bucketed_audit_joins_without_an_exchange(spark):
+    df = E.queries()["audit_bucketed"](spark, SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_free_form_hashing_stays_in_the_jvm(spark):
+    plan = E.queries()["hash_readings_free_form"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
