@@ -182,6 +182,7 @@ def fit_isolation_forest(features: DataFrame, n_estimators: int = 100, contamina
     # one exchange behind the scorer: the quantile looks at the scores several times
     scored = with_raw_score(features.select(*FEATURES), nodes).select("raw_score").repartition("raw_score")
     offset = exact_percentile(scored, "raw_score", float(contamination)).filter("value is not null")
+    offset = offset.filter(nodes.agg(F.count(F.lit(1)) > 0).scalar())  # no trees, no offset
     values = {"tree": F.lit(OFFSET_TREE), "node": F.lit(0), "feature": F.lit(-1), "threshold": F.col("value"), "left": F.lit(-1), "right": F.lit(-1),
               "leaf_size": F.lit(0), "depth": F.lit(0)}
     return nodes.union(saved(offset.select(*[c.alias(n) for n, c in values.items()]), "offset"))
