@@ -248,14 +248,15 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, k: int | None = Non
     k = k or max(1, length // 3)
     runs = stored(find_runs(texts, length, k), "runs")
     # minimizers found more than once, and their classes of equal regions
-    again = runs.groupBy(F.col("f").alias("a_f")).agg(F.count("*").alias("n")).filter("n > 1").select("a_f")
+    # (tables of their own, so that both sides of the joins are plain exchanges, of which frequent keys can be split)
+    again = stored(runs.groupBy(F.col("f").alias("a_f")).agg(F.count("*").alias("n")).filter("n > 1").select("a_f"), "again")
     # (merge: these sides grow with the input; a broadcast that only small inputs get would change nothing at scale)
     runs = stored(runs.join(again.hint("merge"), F.col("f") == F.col("a_f"), "left_semi"), "runs")
     first = F.min(F.struct("doc_id", "key", "lo", "hi")).alias("one")
     classes = stored(runs.groupBy("f", "c", "t").agg(F.count("*").alias("n"), first), "classes")
     whole = classes.filter("n > 1").select(F.col("f").alias("w_f"), F.col("c").alias("w_c"), F.col("t").alias("w_t"))
     out = runs.join(whole.hint("merge"), (F.col("f") == F.col("w_f")) & (F.col("c") == F.col("w_c")) & (F.col("t") == F.col("w_t")), "left_semi").select("doc_id", "key", "lo", "hi")
-    several = classes.groupBy(F.col("f").alias("s_f")).agg(F.count("*").alias("m")).filter("m > 1")
+    several = stored(classes.groupBy(F.col("f").alias("s_f")).agg(F.count("*").alias("m")).filter("m > 1"), "several")
     regions = classes.join(several.hint("merge"), F.col("f") == F.col("s_f")).select("one.*", "f", "t", F.col("m") > hot).toDF("doc_id", "key", "lo", "hi", "f", "t", "big")
     regions = stored(regions, "regions")
     wanted = stored(_spans_by_text(regions, "lo", "hi", "f", "t", "big"), "wanted")
