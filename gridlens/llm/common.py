@@ -58,29 +58,23 @@ def lean(run):
     Python workers are reused by later tasks and stages; what a task freed would otherwise stay with its worker.
     """
     def wrapped(batches):
-        libc = _libc()
-        if libc:
-            libc.mallopt(_MMAP_THRESHOLD, 1 << 20)  # large arrays get pages of their own, also after the first one was freed
         try:
             yield from run(batches)
         finally:
             _powers.clear()
             gc.collect()
             pa.default_memory_pool().release_unused()
-            if libc:
+            if libc := _libc():
                 libc.malloc_trim(0)
 
     return wrapped
 
 
-_MMAP_THRESHOLD = -3
-
-
 def _libc():
     """The C library, if it is one with malloc_trim."""
     try:
         libc = ctypes.CDLL(None)
-        libc.malloc_trim, libc.mallopt
+        libc.malloc_trim
         return libc
     except (AttributeError, OSError):
         return None
