@@ -260,11 +260,69 @@ def test_copies_of_a_page_make_no_template(spark):
     assert got[10] == "Story 6" and got[19] == "Story 9"  # four articles share the kicker
 
 
+def test_template_without_article_or_telling_names(spark):
+    """Plain ``div`` pages: constant siblings go, a varying sibling of the same label stays; optional parts shift places."""
+    def page(i):
+        promo = "<div><p>Buy now</p></div>" * (i % 2)
+        return (f"<body><div><div>The Daily</div><ul><li>Home</li><li>About</li></ul></div>{promo}<div><h1>Story {i}</h1><h2>Summary</h2><p>{'text ' * i}</p>"
+                f"<p>end {i}</p></div><div><p>Printed by us</p><table><tr><td>Terms</td></tr></table></div></body>")
+
+    rows = [(i, "http://plain.example/", page(i)) for i in range(1, 13)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"Story {i}\n\nSummary\n\n{' '.join(['text'] * i)}\n\nend {i}" for i in range(1, 13)}
+    for n in (7, 2):
+        assert {r.page_id: r.text for r in wrapper.extract(df.repartition(n)).collect()} == want
+
+
+def _tree_of(tree):
+    """(labels, depths) in page order of (label, children ..)."""
+    out, todo = ([], []), [(tree, 0)]
+    while todo:
+        (label, *kids), depth = todo.pop()
+        out[0].append(label)
+        out[1].append(depth)
+        todo.extend((k, depth + 1) for k in reversed(kids))
+    return out
+
+
+def _most(a, b):
+    """Nodes paired by simple tree matching, by its plain recursion."""
+    if a[0] != b[0]:
+        return 0
+    x, y = a[1:], b[1:]
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x)):
+        for j in range(len(y)):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + _most(x[i], y[j]))
+    return 1 + best[-1][-1]
+
+
 def test_simple_tree_matching():
-    tree = lambda label, *kids: [label, 1, 0, 0, list(kids)]
-    a = tree("r", tree("x", tree("p")), tree("y"), tree("z"))
-    b = tree("r", tree("y"), tree("x", tree("p"), tree("q")), tree("z"))
-    assert wrapper._matched(a, b) == 4
-    assert wrapper.align(a[4], b[4]) == [(0, 1), (2, 2)]
-    both = wrapper.combine(a, b)
-    assert [k[0] for k in both[4]].count("y") == 2 and both[1] == 2
+    a = (1, (2, (5,)), (3,), (4,))
+    b = (1, (3,), (2, (5,), (6,)), (4,))
+    aligner = wrapper.Aligner(*_tree_of(a))
+    places = aligner.places(*_tree_of(b))
+    assert places[0] == 0 and places[2:4] == [1, 2] and places[5] == 4 and not {places[1], places[4]} & set(range(5))
+    draw = random.Random(7)
+
+    def grow(depth):
+        return (draw.randrange(1, 4), *(grow(depth - 1) for _ in range(draw.randrange(5) if depth else 0)))
+
+    for _ in range(300):
+        a, b = (1, *grow(4)[1:]), (1, *grow(4)[1:])
+        aligner = wrapper.Aligner(*_tree_of(a))
+        places = aligner.places(*_tree_of(b))
+        assert sum(0 <= p < len(_tree_of(a)[0]) for p in places) == _most(a, b) and len(set(places)) == len(places)
+        labels = _tree_of(a)[0]
+        assert all(labels[p] == q for p, q in zip(places, _tree_of(b)[0]) if 0 <= p < len(labels))
+
+
+def test_long_rows_of_different_siblings():
+    """3000 siblings of many shapes: matched as a whole, in linear memory; same trees match entirely."""
+    draw = random.Random(3)
+    row = lambda: (1, *((2, *((draw.randrange(3, 6),) for _ in range(draw.randrange(4)))) for _ in range(3000)))
+    a, b = _tree_of(row()), _tree_of(row())
+    aligner = wrapper.Aligner(*a)
+    assert aligner.places(*a) == list(range(len(a[0])))
+    assert sum(0 <= p < len(a[0]) for p in aligner.places(*b)) > 5000
+
