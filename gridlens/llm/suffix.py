@@ -25,6 +25,7 @@ are allowed; an empty table gives an empty result; other columns are not looked
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -36,6 +37,8 @@ from .common import U, as_text, lean, mix, prefix_hash, span_hash, stored, text_
 
 LENGTH, V = 400, 32
 BLOCK, HOT = 1 << 20, 4000
+#: Rows of one key that a task joins, and the most keys with more of them.
+SPLIT, MOST_FREQUENT = 10_000, 1_000_000
 #: Bytes of ids and spans up to which they are sent to all executors; beyond, texts are joined by shuffle.
 BROADCAST_BYTES = 64 << 20
 #: Bytes of one text that are looked at together, and the bits that hold a place in them.
@@ -239,7 +242,27 @@ def _spans_by_text(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.groupBy(F.col("doc_id").alias("f_doc_id"), F.col("key").alias("f_key")).agg(F.collect_list(F.struct(*columns)).alias("spans"))
 
 
-def repeated_windows(texts: DataFrame, length: int = LENGTH, k: int | None = None, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+def _split_join(rows: DataFrame, small: DataFrame, keys: dict[str, str], count: str, how: str, split: int = SPLIT) -> DataFrame:
+    """``rows`` joined with stored ``small``, which has a row per key and how many rows of it there are in ``count``.
+
+    Rows of a frequent key are dealt to parts of ``split`` rows, to each of which the key's one row of
+    ``small`` is copied.  Frequent keys are at most ``MOST_FREQUENT``, as ``split`` grows with all rows
+    beyond that, so their table may go to all executors.  (merge: ``small`` grows with the input; a
+    broadcast that only small inputs get would change nothing at scale)
+    """
+    split = max(split, (small.agg(F.sum(count)).first()[0] or 0) // MOST_FREQUENT)
+    parts = F.ceil(F.col(count) / split).cast("int")
+    frequent = small.filter(F.col(count) > split).select(*[F.col(c).alias(f"q_{c}") for c in keys.values()], parts.alias("q_parts"))
+    found = [F.col(a) == F.col(f"q_{b}") for a, b in keys.items()]
+    part = F.when(F.col("q_parts").isNotNull(), F.pmod(F.xxhash64(*rows.columns), F.col("q_parts"))).otherwise(0).cast("int")
+    dealt = rows.join(F.broadcast(frequent), functools.reduce(Column.__and__, found), "left").withColumn("q_part", part)
+    copies = small.withColumn("q_copy", F.explode(F.sequence(F.lit(0), parts - 1)))
+    same = [F.col(a) == F.col(b) for a, b in keys.items()] + [F.col("q_part") == F.col("q_copy")]
+    out = dealt.join(copies.hint("merge"), functools.reduce(Column.__and__, same), how)
+    return out.drop(*[f"q_{c}" for c in keys.values()], "q_parts", "q_part", "q_copy")
+
+
+def repeated_windows(texts: DataFrame, length: int = LENGTH, k: int | None = None, hot: int = HOT, block: int = BLOCK, split: int = SPLIT) -> DataFrame:
     """(doc_id, key, lo, hi): runs of starts of repeated strings of (doc_id, key, text) rows.
 
     ``k`` is the bytes of a minimizer, a third of ``length`` by default: so long
@@ -248,16 +271,15 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, k: int | None = Non
     k = k or max(1, length // 3)
     runs = stored(find_runs(texts, length, k), "runs")
     # minimizers found more than once, and their classes of equal regions
-    # (tables of their own, so that both sides of the joins are plain exchanges, of which frequent keys can be split)
-    again = stored(runs.groupBy(F.col("f").alias("a_f")).agg(F.count("*").alias("n")).filter("n > 1").select("a_f"), "again")
-    # (merge: these sides grow with the input; a broadcast that only small inputs get would change nothing at scale)
-    runs = stored(runs.join(again.hint("merge"), F.col("f") == F.col("a_f"), "left_semi"), "runs")
+    again = stored(runs.groupBy(F.col("f").alias("a_f")).agg(F.count("*").alias("n")).filter("n > 1"), "again")
+    runs = stored(_split_join(runs, again, {"f": "a_f"}, "n", "left_semi", split), "runs")
     first = F.min(F.struct("doc_id", "key", "lo", "hi")).alias("one")
     classes = stored(runs.groupBy("f", "c", "t").agg(F.count("*").alias("n"), first), "classes")
-    whole = classes.filter("n > 1").select(F.col("f").alias("w_f"), F.col("c").alias("w_c"), F.col("t").alias("w_t"))
-    out = runs.join(whole.hint("merge"), (F.col("f") == F.col("w_f")) & (F.col("c") == F.col("w_c")) & (F.col("t") == F.col("w_t")), "left_semi").select("doc_id", "key", "lo", "hi")
+    whole = classes.filter("n > 1").select(F.col("f").alias("w_f"), F.col("c").alias("w_c"), F.col("t").alias("w_t"), "n")
+    out = _split_join(runs, whole, {"f": "w_f", "c": "w_c", "t": "w_t"}, "n", "left_semi", split).select("doc_id", "key", "lo", "hi")
     several = stored(classes.groupBy(F.col("f").alias("s_f")).agg(F.count("*").alias("m")).filter("m > 1"), "several")
-    regions = classes.join(several.hint("merge"), F.col("f") == F.col("s_f")).select("one.*", "f", "t", F.col("m") > hot).toDF("doc_id", "key", "lo", "hi", "f", "t", "big")
+    regions = _split_join(classes.drop("n"), several, {"f": "s_f"}, "m", "inner", split)
+    regions = regions.select("one.*", "f", "t", F.col("m") > hot).toDF("doc_id", "key", "lo", "hi", "f", "t", "big")
     regions = stored(regions, "regions")
     wanted = stored(_spans_by_text(regions, "lo", "hi", "f", "t", "big"), "wanted")
     # copies of a wanted row carry equal text: one of them is enough

@@ -227,6 +227,7 @@ def test_suffix_dedup(spark, texts):
     assert any(x[2] for x in want)
     assert _digests(suffix.remove_repeats(docs)) == want
     assert _digests(suffix.remove_repeats(docs, hot=2, block=50_000)) == want
+    assert _digests(suffix.remove_repeats(docs, hot=50, split=3)) == want  # frequent keys in parts
 
 
 def test_suffix_dedup_overlaps_and_odd_rows(spark, odd_docs):
