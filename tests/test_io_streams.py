@@ -149,3 +149,27 @@ def test_a_body_with_leading_white_space_is_a_json_object(spark):
     rows = [("tele/d/SENSOR", b, dt.datetime(2024, 1, 1), i) for i, b in enumerate([' \n{"a":1}', "[1]", " x", '{"a":'])]
     env = I.wrap_messages(spark.createDataFrame(rows, RAW_SCHEMA)).orderBy("seq").collect()
     assert [r.original_payload is not None for r in env] == [True, False, False, False]
+
+
+def test_streams_deal_their_rows_before_parsing_and_hashing(spark):
+    """A micro-batch of one file is read by one task; parsing and hashing run behind a shuffle, in all of them."""
+    base = ST.work_dir(spark, "dealt")
+    raw, docs = _messages(spark, [(1, 0, 10)]), fx.stored_documents(spark, SMALL, False).limit(1)
+    ledger = docs.select("id", F.lit("0" * 64).alias("hash_value"), F.col("insert_ts").alias("created_at"))
+    for name, df in (("raw", raw), ("docs", docs), ("ledger", ledger)):
+        df.write.parquet(posixpath.join(base, name))
+    read = lambda name, df: ST.read_stream(spark, posixpath.join(base, name), df.schema)
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    below = lambda text, mark: "RepartitionByExpression" in text[text.rindex(mark):]
+    assert below(plan(ST.stream_ingest(read("raw", raw))), "from_json")
+    assert below(plan(ST.stream_audit_feeds(read("docs", docs), read("ledger", ledger))), "sha2")
+
+
+def test_redelivered_messages_build_the_messages_once(spark):
+    out = fx.redelivered_messages(spark, SMALL)
+    raw = fx.raw_messages(spark, SMALL)
+    again, anew = raw.filter("seq % 47 = 0").count(), raw.filter("seq % 53 = 0").count()
+    assert out.count() == raw.count() + again + anew
+    assert out.filter("arrived_ts > enqueued_ts").count() == again
+    once = raw._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == once
