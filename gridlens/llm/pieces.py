@@ -38,7 +38,7 @@ from .common import flat, lean, slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Largest model file that is broadcast, and distinct words (and pairs of pieces) a worker remembers between slices.
-MODEL_BYTES, REMEMBERED = 64 << 20, 100_000
+MODEL_BYTES, REMEMBERED = 64 << 20, 300_000
 _UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 

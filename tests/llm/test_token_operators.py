@@ -260,3 +260,12 @@ def test_oracles_of_token_operators(spark):
 def test_byte_level_letters():
     vocab = json.load(open(align.A_FILE))["model"]["vocab"]
     assert set("".join(k for k in vocab if k != "<|endoftext|>")) <= set(align.byte_level())
+
+
+def test_an_encoder_remembers_two_hundred_thousand_words_between_slices():
+    """Words of a large vocabulary come back in later slices; segmenting them anew was most of the work."""
+    from gridlens.llm import pieces
+    encoder = pieces.Encoder(pieces.load_model())
+    encoder.encode([" ".join(f"w{i}" for i in range(150_000))])
+    encoder.encode(["again w7"])
+    assert len(encoder.code) > 150_000
