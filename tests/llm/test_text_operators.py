@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from gridlens.llm import common, compression, decontaminate, graph, langid, minhash, pieces, suffix
+from gridlens.llm import common, compression, decontaminate, graph, langid, minhash, pieces, queries, suffix
 from llm_tables import MEDIUM, SMALL, odd_docs, texts  # noqa: F401
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -240,6 +240,23 @@ def test_suffix_dedup_overlaps_and_odd_rows(spark, odd_docs):
     assert suffix.remove_repeats(odd_docs.limit(0)).count() == 0
 
 
+def test_suffix_dedup_query_shows_the_remaining_text(spark, tmp_path):
+    """Passages of over 50 words in otherwise different documents: those of 400 bytes go, shorter ones stay, other documents keep their text."""
+    rng = random.Random(21)
+    words = lambda n, k: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(k)) for _ in range(n))
+    gone, stays = words(60, 8), words(52, 5)
+    docs = [(i, f"{words(80, 6)} {i}\n{p}\n{i} {words(80, 6)}") for i, p in enumerate([gone, gone, gone, stays, stays, "", "é"])]
+    docs += [(10, None), (11, "1" + "é" * 210), (12, "2x" + "é" * 199 + "è"), (13, "3x" + "é" * 199 + "ê")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op6_suffix_dedup(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == set(_repeats(docs, 400))
+    found, given = {r.doc_id: r for r in out}, dict(docs)
+    for i in range(7):
+        assert found[i].text == (given[i].replace(f"\n{gone}\n", "") if i < 3 else given[i])
+    assert found[10].text == "" and found[11].text == "1"
+    assert (found[12].text, found[13].text) == ("2\ufffd", "3\ufffd")  # the first byte of the last character is in a repeated string, too
+
+
 def test_suffix_dedup_texts_longer_than_a_chunk(spark):
     rng = random.Random(12)
     body = "".join(rng.choices("abcdefgh \n", k=suffix.CHUNK + 5000))
